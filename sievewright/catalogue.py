@@ -1,0 +1,4 @@
+"""The engine's own queries over the driver's tables, with SQL that says the same."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
