@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mix, shard
+from . import chat, decontaminate, minhash, mix, shard
 from .common import Scratch, read
 
 #: Fixed value: the conversation that the chat query adds to the table.
@@ -33,8 +33,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_counts(Scratch(spark, "mix").save(sized, "sized"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op6_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op6_mix, op7_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
