@@ -6,9 +6,11 @@ fives, are the keys of 25 bands, and the low bits of all 256 are packed into 64
 that share a band key are candidates; bit counts of their packed signatures, corrected for chance
 agreement, estimate the similarity, and candidates well below the threshold go. The rest is
 confirmed on the full sets in two rounds: first a spanning forest of each bucket, best estimates
-first, which is enough to join a group however large; then every remaining candidate pair whose
-classes are still in different components. No pair inside a joined group is ever written out.
-A bucket of more classes than a block holds is compared block by block in separate tasks.
+first, which is enough to join a group however large; then, for classes with a candidate in another
+component, the sets themselves are brought to the bucket and every such pair is decided there, in the
+first band that the pair shares. Neither round writes out more than a forest, so rows grow with the
+classes, not with their pairs. A bucket of more classes than a block holds is compared block by
+block in separate tasks.
 
 Defined results: a text that is null or has no words has no shingles, is linked with nothing and
 is its own component; fewer than five words are one shingle; rows that repeat an id share its
@@ -168,42 +170,98 @@ def _forest(near: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _candidates(members: DataFrame, threshold: float, first: bool) -> DataFrame:
-    """Pairs (a, b) of classes from members(key, block, other, sig, n_shingles, packed, component)."""
-    least = threshold - SLACK
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+def _estimates(table: pa.Table, threshold: float) -> np.ndarray:
+    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    n = table.column("n_shingles").to_numpy().astype(float)
+    out = np.empty((len(n), len(n)), np.float32)
+    for k in range(0, len(n), 64):
+        out[k : k + 64] = similarity(packed[k : k + 64, None, :], packed[None, :, :])
+    out[np.minimum(n[:, None], n) < threshold * np.maximum(n[:, None], n) - 1e-9] = -1.0
+    np.fill_diagonal(out, -1.0)
+    return out
+
+
+def _crossing(table: pa.Table, threshold: float) -> np.ndarray:
+    """Candidate pairs (i < j) in different components whose first common band is this one."""
+    _, component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
+    near = np.triu((_estimates(table, threshold) >= threshold - SLACK) & (component[:, None] != component), 1)
+    pairs = np.argwhere(near)
+    if not len(pairs):
+        return pairs
+    bands = np.stack(table.column("bands").to_pylist())
+    here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
+    keep = np.ones(len(pairs), bool)
+    for band in range(here):
+        keep &= bands[pairs[:, 0], band] != bands[pairs[:, 1], band]
+    return pairs[keep]
+
+
+_KEYS = ["key", "block", "other"]
+_PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def _pair_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], names=["a", "b"])
+
 
-    def near_of(table: pa.Table) -> np.ndarray:
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        n = table.column("n_shingles").to_numpy().astype(float)
-        out = np.empty((len(n), len(n)), np.float32)
-        for k in range(0, len(n), 64):
-            out[k : k + 64] = similarity(packed[k : k + 64, None, :], packed[None, :, :])
-        out[np.minimum(n[:, None], n) < threshold * np.maximum(n[:, None], n) - 1e-9] = -1.0
-        np.fill_diagonal(out, -1.0)
-        return out
+def _forests(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes: for each bucket a forest of its best estimates."""
 
     def pairs(batches):
-        a, b = [], []
-        for table in _groups(batches, ["key", "block", "other"]):
-            if table.num_rows < 2:
-                continue
-            sig, near = table.column("sig").to_pylist(), near_of(table)
-            if first:
-                found = _forest(near, least)
-            else:
-                _, component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
-                found = np.argwhere(np.triu((near >= least) & (component[:, None] != component), 1))
-            for i, j in found:
-                a.append(min(sig[i], sig[j]))
-                b.append(max(sig[i], sig[j]))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    keys = ["key", "block", "other"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pairs, schema).distinct()
+        for table in _groups(batches, _KEYS):
+            if table.num_rows > 1:
+                sig = table.column("sig").to_pylist()
+                yield _pair_batch([(sig[i], sig[j]) for i, j in _forest(_estimates(table, threshold), threshold - SLACK)])
+
+    return members.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(pairs, _PAIR).distinct()
+
+
+def _unsettled(members: DataFrame, threshold: float) -> DataFrame:
+    """The rows of members that are in a crossing pair, as (key, block, other, sig)."""
+    schema = T.StructType([members.schema[k] for k in (*_KEYS, "sig")])
+
+    def rows(batches):
+        for table in _groups(batches, _KEYS):
+            if table.num_rows > 1 and len(at := np.unique(_crossing(table, threshold))):
+                yield from table.select([*_KEYS, "sig"]).take(pa.array(at)).combine_chunks().to_batches()
+
+    return members.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(rows, schema)
+
+
+def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The number of shingles that each pair of sets has in common."""
+    lengths = np.array([len(s) for s in sets])
+    if len(pairs) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    distinct, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), lengths), times[place] > 1
+    column = (np.cumsum(times > 1) - 1)[place[shared]]
+    row = row[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((times > 1).sum()), 4096):
+        inside = (column >= first) & (column < first + 4096)
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[inside], column[inside] - first] = 1.0
+        common += part @ part.T
+    return common[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def _settled(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Linked pairs (a, b), a forest of each bucket, of members that carry their shingles."""
+
+    def links(batches):
+        for table in _groups(batches, _KEYS):
+            if table.num_rows > 1 and len(pairs := _crossing(table, threshold)):
+                sets = [np.asarray(s, np.int64) for s in table.column("shingles").to_pylist()]
+                common = _common(sets, pairs)
+                lengths = np.array([len(s) for s in sets])
+                linked = pairs[100 * common >= percent * (lengths[pairs].sum(axis=1) - common)]
+                near = np.full((len(sets), len(sets)), -1.0)
+                near[linked[:, 0], linked[:, 1]] = near[linked[:, 1], linked[:, 0]] = 1.0
+                sig = table.column("sig").to_pylist()
+                yield _pair_batch([(sig[i], sig[j]) for i, j in _forest(near, 0.5)] if len(linked) else [])
+
+    return members.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(links, _PAIR).distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -252,10 +310,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     met = met.select("key", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("s"))
     met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("s", "t").alias("block"), F.greatest("s", "t").alias("other"), "sig")
-    members = scratch.save(met.join(classes.select("sig", "n_shingles", "packed"), "sig"), "members")
+    members = scratch.save(met.join(classes.select("sig", "n_shingles", "packed", "bands"), "sig"), "members")
 
     threshold = percent / 100
-    pairs = scratch.save(_candidates(members.withColumn("component", F.col("sig")), threshold, True), "pairs")
+    pairs = scratch.save(_forests(members.drop("bands"), threshold), "pairs")
     involved = members.select("sig").distinct().join(classes.select("sig", "rep"), "sig").select("rep").distinct()
     sets = scratch.save(_sets(docs, involved, doc_id, text), "sets")
     tested = scratch.save(_confirmed(pairs, sets, percent), "tested")
@@ -263,11 +321,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = scratch.save(connected_components(links, scratch, "first"), "found")
 
     labelled = members.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    more = _candidates(labelled, threshold, False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(_confirmed(more, sets, percent).where("linked"), "more")
+    labelled = scratch.save(labelled, "labelled")
+    unsettled = scratch.save(_unsettled(labelled, threshold), "unsettled")
+    more = scratch.save(_settled(unsettled.join(labelled, [*_KEYS, "sig"]).join(sets, "sig"), threshold, percent), "more")
     links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = scratch.save(connected_components(links, scratch, "last"), "final")
-    scratch.drop("members", "pairs", "sets", "tested", "more", "found")
+    scratch.drop("members", "pairs", "sets", "tested", "more", "found", "labelled", "unsettled")
 
     of_class = classes.select("sig", "rep").join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     ids = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, mix, shard
+from . import chat, decontaminate, langid, minhash, mix, shard, toxicity
 from .common import Scratch, read
 
 #: Fixed value: the conversation that the chat query adds to the table.
@@ -27,6 +27,14 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_slots(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mix.word_count("text").alias("size"))
@@ -39,7 +47,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op6_mix, op7_minhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
