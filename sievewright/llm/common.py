@@ -106,6 +106,53 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((total[ends] - total[starts]) * down[starts])
 
 
+# ---------------------------------------------------------------- groups within a task
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Runs of equal keys over sorted batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        change[0] = last is not None and first != last
+        cuts = [*np.flatnonzero(change), batch.num_rows]
+        at = 0
+        for cut in cuts:
+            if change[at] and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            at = cut if cut < batch.num_rows else at
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning_forest(near: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over the pairs of at least ``least``, after Prim."""
+    n = len(near)
+    best, parent = np.full(n, -1.0), np.full(n, -1)
+    outside = np.ones(n, bool)
+    edges = []
+    for _ in range(n):
+        k = int(np.argmax(np.where(outside, best, -2.0)))
+        if best[k] >= least:
+            edges.append((int(parent[k]), k))
+        outside[k] = False
+        closer = outside & (near[k] > best)
+        best[closer] = near[k][closer]
+        parent[closer] = k
+    return edges
+
+
 # ---------------------------------------------------------------- connected components
 
 

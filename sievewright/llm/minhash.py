@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, fresh, mix, raw_texts, span_hashes
+from .common import Scratch, connected_components, fresh, mix, raw_texts, sorted_groups, span_hashes, spanning_forest
 
 WORDS = 5
 MINIMA = 256
@@ -126,50 +126,6 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return source.mapInArrow(sign, schema)
 
 
-def _groups(batches, keys: list[str]):
-    """Runs of equal keys over sorted batches, each as one table."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        change[0] = last is not None and first != last
-        cuts = [*np.flatnonzero(change), batch.num_rows]
-        at = 0
-        for cut in cuts:
-            if change[at] and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            if cut > at:
-                held.append(batch.slice(at, cut - at))
-            at = cut if cut < batch.num_rows else at
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _forest(near: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest over the pairs of at least ``least``, after Prim."""
-    n = len(near)
-    best, parent = np.full(n, -1.0), np.full(n, -1)
-    outside = np.ones(n, bool)
-    edges = []
-    for _ in range(n):
-        k = int(np.argmax(np.where(outside, best, -2.0)))
-        if best[k] >= least:
-            edges.append((int(parent[k]), k))
-        outside[k] = False
-        closer = outside & (near[k] > best)
-        best[closer] = near[k][closer]
-        parent[closer] = k
-    return edges
-
-
 def _estimates(table: pa.Table, threshold: float) -> np.ndarray:
     packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
     n = table.column("n_shingles").to_numpy().astype(float)
@@ -208,10 +164,10 @@ def _forests(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes: for each bucket a forest of its best estimates."""
 
     def pairs(batches):
-        for table in _groups(batches, _KEYS):
+        for table in sorted_groups(batches, _KEYS):
             if table.num_rows > 1:
                 sig = table.column("sig").to_pylist()
-                yield _pair_batch([(sig[i], sig[j]) for i, j in _forest(_estimates(table, threshold), threshold - SLACK)])
+                yield _pair_batch([(sig[i], sig[j]) for i, j in spanning_forest(_estimates(table, threshold), threshold - SLACK)])
 
     return members.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(pairs, _PAIR).distinct()
 
@@ -221,7 +177,7 @@ def _unsettled(members: DataFrame, threshold: float) -> DataFrame:
     schema = T.StructType([members.schema[k] for k in (*_KEYS, "sig")])
 
     def rows(batches):
-        for table in _groups(batches, _KEYS):
+        for table in sorted_groups(batches, _KEYS):
             if table.num_rows > 1 and len(at := np.unique(_crossing(table, threshold))):
                 yield from table.select([*_KEYS, "sig"]).take(pa.array(at)).combine_chunks().to_batches()
 
@@ -250,7 +206,7 @@ def _settled(members: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Linked pairs (a, b), a forest of each bucket, of members that carry their shingles."""
 
     def links(batches):
-        for table in _groups(batches, _KEYS):
+        for table in sorted_groups(batches, _KEYS):
             if table.num_rows > 1 and len(pairs := _crossing(table, threshold)):
                 sets = [np.asarray(s, np.int64) for s in table.column("shingles").to_pylist()]
                 common = _common(sets, pairs)
@@ -259,7 +215,7 @@ def _settled(members: DataFrame, threshold: float, percent: int) -> DataFrame:
                 near = np.full((len(sets), len(sets)), -1.0)
                 near[linked[:, 0], linked[:, 1]] = near[linked[:, 1], linked[:, 0]] = 1.0
                 sig = table.column("sig").to_pylist()
-                yield _pair_batch([(sig[i], sig[j]) for i, j in _forest(near, 0.5)] if len(linked) else [])
+                yield _pair_batch([(sig[i], sig[j]) for i, j in spanning_forest(near, 0.5)] if len(linked) else [])
 
     return members.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(links, _PAIR).distinct()
 
