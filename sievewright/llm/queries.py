@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, minhash, mix, shard, toxicity
+from . import chat, decontaminate, embeddings, langid, lines, minhash, mix, shard, suffixes, toxicity
 from .common import Scratch, read
 
 #: Fixed value: the conversation that the chat query adds to the table.
@@ -46,13 +46,21 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(read(spark, sf_dir, "documents"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(read(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op8_suffixes, op9_lines, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL, "op9_lines": lines.SQL}
