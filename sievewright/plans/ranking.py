@@ -1,7 +1,7 @@
 """Scores, borderline bands, ensembles and shortlists.
 
-Ranks are windows per run. Where a run is large, the rank that matters is that of the cut, so the
-top k come from a bounded sort and the band is a filter on its score.
+No run is sorted in one task: ranks come from counts by score and range of positions, the top k
+from a bounded sort, and the band around the cut is a filter on its score.
 """
 
 from __future__ import annotations
@@ -26,9 +26,24 @@ def depth_score(years: Column, target: float) -> Column:
     return F.least(F.lit(1.0), years / target) * 0.8 + F.least(F.lit(0.2), F.greatest(F.lit(0.0), (years - target) / 20.0))
 
 
-def ranked(scores: DataFrame, by: str = "run_id", score: str = "score", position: str = "position") -> DataFrame:
-    """scores with rank, 1 for the best; ties keep the order of position."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(position))))
+def ranked(scores: DataFrame, by: str = "run_id", score: str = "score", position: str = "position", width: int = 100_000) -> DataFrame:
+    """scores with rank, 1 for the best; ties keep the order of position, a number.
+
+    A run may hold most of the rows, so it is not sorted in one task: rows are numbered within their
+    run, score and range of positions, and the ranges' offsets come from counts of them. Scores are of
+    four places, so a run has some ten thousand of them at most.
+    """
+    bin_ = F.floor(F.col(position) / width)
+    binned = scores.withColumn("_bin", bin_)
+    counts = binned.groupBy(by, score, "_bin").agg(F.count("*").alias("_n"))
+    before = (Window.unboundedPreceding, -1)
+    better = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(*before)
+    earlier = Window.partitionBy(by, score).orderBy("_bin").rowsBetween(*before)
+    per_score = counts.groupBy(by, score).agg(F.sum("_n").alias("_n")).withColumn("_better", F.coalesce(F.sum("_n").over(better), F.lit(0))).drop("_n")
+    offsets = counts.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").join(per_score, [by, score])
+    within = F.row_number().over(Window.partitionBy(by, score, "_bin").orderBy(position))
+    out = binned.withColumn("_within", within).join(offsets, [by, score, "_bin"])
+    return out.select(*scores.columns, (F.col("_better") + F.col("_earlier") + F.col("_within")).cast("long").alias("rank"))
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", position: str = "position") -> DataFrame:
@@ -43,9 +58,9 @@ def shortlist(scores: DataFrame, size: int, by: str = "run_id") -> DataFrame:
 
 def borderline(scores: DataFrame, size: int, margin: float, by: str = "run_id") -> DataFrame:
     """Scores within the margin of the cut; none if everybody or nobody is in."""
-    over = Window.partitionBy(by)
-    marked = ranked(scores, by).withColumn("cutoff", F.max(F.when(F.col("rank") == size, F.col("score"))).over(over)).withColumn("n", F.count("*").over(over))
-    return marked.where((F.lit(size) > 0) & (F.col("n") > size) & (F.abs(F.col("score") - F.col("cutoff")) <= margin)).drop("n")
+    marked = ranked(scores, by)
+    cut = marked.where(F.col("rank").isin(size, size + 1)).groupBy(by).agg(F.max(F.when(F.col("rank") == size, F.col("score"))).alias("cutoff"), F.count("*").alias("_n"))
+    return marked.join(cut.where("_n = 2").drop("_n"), by).where(F.abs(F.col("score") - F.col("cutoff")) <= margin)
 
 
 def ensemble(votes: DataFrame, keys: list[str], cutoff: Column, score: str = "score", member: str = "member") -> DataFrame:

@@ -71,11 +71,12 @@ def within_total(files: DataFrame, limit: int, *, batch: str = "batch_id", size:
 
 
 def manifest_problems(manifest: DataFrame, job: str = "job_id") -> DataFrame:
-    """By job: files, bytes, a hash of the manifest, and whether it may be accepted."""
+    """By job: files, bytes, a hash of the manifest in which order does not matter, and whether it may be
+    accepted. The hash is of a sum of line hashes, so a job of any size is added up by parts."""
     named = F.col("filename").isNotNull() & F.length("filename").between(1, 255) & ~F.rlike("filename", F.lit(r"\p{Cntrl}"))
     sized = F.col("size").between(1, MAX_FILE_BYTES)
-    line = F.concat_ws("\t", "filename", F.col("size").cast("string"))
+    line = F.conv(F.substring(F.sha2(F.concat_ws("\t", "filename", F.col("size").cast("string")), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return manifest.groupBy(job).agg(
-        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("manifest_hash"),
+        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sha2(F.sum(line).cast("string"), 256).alias("manifest_hash"),
         (F.bool_and(F.coalesce(named & sized, F.lit(False))) & (F.count("*") <= MAX_FILES) & (F.sum("size") <= MAX_TOTAL_BYTES)).alias("accepted"),
     )

@@ -46,22 +46,32 @@ def step(state: tuple, event: tuple) -> tuple[tuple, str | None]:
     return (status, attempts, token, lease_until, available_at, job), changed
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (None, 0, None, 0.0, 0.0, None)
+FRESH = (None, 0, None, 0.0, 0.0, None)
+
+
+def _folded(document: str, now: tuple, events: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     rows = []
-    events = pd.concat(list(frames)).sort_values("event_ts", kind="stable")
-    for e in events.itertuples(index=False):
+    for e in events.sort_values("event_ts", kind="stable").itertuples(index=False):
         at = e.event_ts.timestamp()
         now, changed = step(now, (at, e.kind, e.token, e.code, e.job_id))
         if changed:
-            rows.append((key[0], now[5], now[0], now[1], changed, at))
+            rows.append((document, now[5], now[0], now[1], changed, at))
+    return now, pd.DataFrame(rows, columns=["document_id", "job_id", "status", "attempts", "code", "at"])
+
+
+def _resumed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    now, changes = _folded(key[0], state.get if state.exists else FRESH, pd.concat(list(frames)))
     state.update(now)
-    yield pd.DataFrame(rows, columns=["document_id", "job_id", "status", "attempts", "code", "at"])
+    yield changes
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """A row per change of a document's state; events is a stream or a table."""
-    return events.groupBy("document_id").applyInPandasWithState(_fold, OUT, STATE, "append", "NoTimeout")
+    """A row per change of a document's state; events is a stream, whose state is kept between
+    batches, or a table."""
+    by_document = events.groupBy("document_id")
+    if events.isStreaming:
+        return by_document.applyInPandasWithState(_resumed, OUT, STATE, "append", "NoTimeout")
+    return by_document.applyInPandas(lambda key, frame: _folded(key[0], FRESH, frame)[1], OUT)
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -91,6 +101,7 @@ def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", lat
 def sessions(events: DataFrame, gap_s: int, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Sessions of a user, parted by gaps longer than gap_s seconds."""
     by_user = Window.partitionBy(user).orderBy(ts, "event_id")
-    fresh = F.coalesce((F.col(ts).cast("long") - F.lag(ts).over(by_user).cast("long")) > gap_s, F.lit(True)).cast("int")
+    second = F.col(ts).cast("timestamp").cast("long")
+    fresh = F.coalesce(second - F.lag(second).over(by_user) > gap_s, F.lit(True)).cast("int")
     numbered = events.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(by_user))
     return numbered.groupBy(user, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
