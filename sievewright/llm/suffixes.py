@@ -11,10 +11,12 @@ suffixes of each start are sorted by the bytes up to a sample and, where these t
 rank. Neighbours that agree in 200 bytes are repeats. A tie of any length costs one look at a rank, and
 memory is bounded by the block.
 
-Buckets whose name occurs once in the corpus hold no repeat and are never built: names are counted in
-a first pass, by partial aggregation. In a second pass the strings of the other buckets are cut out of
-the texts, with equal ones counted as one, and dealt by bucket. What a bucket finds goes back to the
-places it came from, and each text is cut once.
+Buckets whose name occurs once in the corpus hold no repeat and are never built: names are counted by
+partial aggregation and met by a join. Equal strings of a bucket are one class, known by a digest; a
+bucket of one class that occurs twice needs no sorting. The classes of the other buckets are cut, each
+once, out of the text that holds its first occurrence, and dealt by bucket. A bucket of more classes than
+a block holds is split by window. What a bucket finds goes back to the places it came from, and each text
+is cut once.
 
 Defined results: a null or empty text has no bytes and no spans; matches do not cross texts; rows that
 agree in id and text are copies of each other and both lose what repeats; cutting may leave bytes that
@@ -41,15 +43,15 @@ WIDTH = REACH - 1 + LENGTH  # the anchor's column is REACH - 1
 PERIOD = 8  # of the sample columns
 CHUNK = 1 << 19
 BLOCK = 6000
-MAX_BROADCAST_NAMES = 2_000_000
 MAX_BROADCAST_SPANS = 1_000_000
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the windows of a text: place, name, and first and last window start of each."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of a text: place, name, first and last window start of each, and a
+    digest of the string that these windows cover, aligned at the anchor."""
     n = len(raw) - LENGTH + 1
     places, firsts, lasts = ([] for _ in range(3))
-    names = []
+    names, digests = [], []
     data = np.frombuffer(raw, np.uint8)
     for begin in range(0, n, CHUNK):
         starts = min(CHUNK, n - begin)
@@ -71,10 +73,16 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         places.append(at[edge] + begin)
         names.append(name[at[edge]])
+        last = np.r_[edge[1:] - 1, starts - 1]
+        with np.errstate(over="ignore"):
+            whole = mix((total[last + LENGTH] - total[edge]) * down[edge])
+            digests.append(mix(whole + ((at[edge] - edge) * 512 + last - edge).astype(np.uint64)))
         firsts.append(edge + begin)
-        lasts.append(np.r_[edge[1:] - 1, starts - 1] + begin)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(places or none), np.concatenate(names or [np.zeros(0, np.uint64)]), np.concatenate(firsts or none), np.concatenate(lasts or none)
+        lasts.append(last + begin)
+    if not places:
+        nothing, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return nothing, none, nothing, nothing, none
+    return tuple(map(np.concatenate, (places, names, firsts, lasts, digests)))
 
 
 def sorted_repeats(strings: np.ndarray, bucket: np.ndarray, begin: np.ndarray, end: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -126,75 +134,44 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def _names(docs: DataFrame) -> DataFrame:
-    """Names that occur more than once as anchors, over docs(id, hash, text)."""
+_ANCHORED = "id_hash binary, name long, digest long, off int, size int, start long"
+
+
+def _anchored(docs: DataFrame) -> DataFrame:
+    """A row per anchor of docs(id_hash, text)."""
 
     def emit(batches):
         for batch in batches:
-            found = [anchors(raw)[1] for raw in raw_texts(batch.column("text")) if raw and len(raw) >= LENGTH]
-            name, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n, pa.int64())], names=["name", "n"])
-
-    counted = docs.select("text").mapInArrow(emit, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1").select("name")
-
-
-_CUT = "id_hash binary, name long, digest binary, off int, start long, string binary"
-
-
-def _cut_batches(batches, wanted_of):
-    """A row per bucket of a text that wanted_of lets pass; the string itself once per task and digest."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        owner, name_out, digest, off, start, string = ([] for _ in range(6))
-        keys = batch.column("id_hash").to_pylist()
-        for row, raw in enumerate(raw_texts(batch.column("text"))):
-            if not raw or len(raw) < LENGTH:
-                continue
-            place, name, first, last = anchors(raw)
-            for k in np.flatnonzero(wanted_of(batch, row, name)):
-                value = raw[first[k] : last[k] + LENGTH]
-                shift = int(place[k] - first[k])
-                code = xxhash.xxh3_128_digest(value, seed=shift)
-                owner.append(keys[row])
-                name_out.append(int(name[k].view(np.int64)))
-                digest.append(code)
-                off.append(shift)
-                start.append(int(first[k]))
-                string.append(None if code in seen else value)
-                if len(seen) < 500_000:
-                    seen.add(code)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(owner, pa.binary()), pa.array(name_out, pa.int64()), pa.array(digest, pa.binary()), pa.array(off, pa.int32()), pa.array(start, pa.int64()), pa.array(string, pa.binary())],
-            names=["id_hash", "name", "digest", "off", "start", "string"],
-        )
-
-
-def _cuts(docs: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
-    """The strings of the named buckets, with the texts they stand in."""
-    if names.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES:
-        listed = np.sort(np.array(names.toPandas()["name"], np.int64)).view(np.uint64)
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(listed))
-
-        def known(batch, row, name):
-            at = np.searchsorted(shared.value, name)
-            return shared.value[np.minimum(at, len(shared.value) - 1)] == name if len(shared.value) else np.zeros(len(name), bool)
-
-        return docs.select("id_hash", "text").mapInArrow(lambda batches: _cut_batches(batches, known), _CUT)
-
-    def places(batches):
+            owner, columns = [], []
+            for row, raw in enumerate(raw_texts(batch.column("text"))):
+                if raw and len(raw) >= LENGTH:
+                    place, name, first, last, digest = anchors(raw)
+                    owner.append(np.full(len(place), row))
+                    columns.append((name.view(np.int64), digest.view(np.int64), (place - first).astype(np.int32), (last - first + LENGTH).astype(np.int32), first))
+            if owner:
+                made = [pa.array(np.concatenate(c)) for c in zip(*columns)]
+                yield pa.RecordBatch.from_arrays([batch.column("id_hash").take(pa.array(np.concatenate(owner))), *made], names=["id_hash", "name", "digest", "off", "size", "start"])
+
+    return docs.select("id_hash", "text").mapInArrow(emit, _ANCHORED)
+
+
+def _strings(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The strings of classes(name, digest, n, m, off, size, rep), each cut from the one text that rep names."""
+    fields = F.struct("name", "digest", "n", "m", "off", "size", F.col("rep.start").alias("start"))
+    wanted = classes.groupBy(F.col("rep.id_hash").alias("id_hash")).agg(F.collect_list(fields).alias("wanted"))
+
+    def cut(batches):
         for batch in batches:
             for row, raw in enumerate(raw_texts(batch.column("text"))):
-                name = np.unique(anchors(raw)[1]) if raw and len(raw) >= LENGTH else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("id_hash").take(pa.array(np.full(len(name), row))), pa.array(name.view(np.int64))], names=["id_hash", "name"])
+                listed = pa.Table.from_struct_array(batch.column("wanted")[row].values)
+                start, size = listed.column("start").to_numpy(), listed.column("size").to_numpy()
+                string = pa.array([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist())], pa.binary())
+                yield from listed.select(["name", "digest", "n", "m", "off"]).append_column("string", string).to_batches()
 
-    at = docs.select("id_hash", "text").mapInArrow(places, "id_hash binary, name long").join(names, "name")
-    per_text = at.distinct().groupBy("id_hash").agg(F.collect_list("name").alias("names"))
+    return docs.join(wanted, "id_hash").select("text", "wanted").mapInArrow(cut, "name long, digest long, n long, m long, off int, string binary")
 
-    def listed_in(batch, row, name):
-        return np.isin(name.view(np.int64), batch.column("names")[row].values.to_numpy())
 
-    return docs.select("id_hash", "text").join(per_text, "id_hash").mapInArrow(lambda batches: _cut_batches(batches, listed_in), _CUT)
+_SPANS = "name long, digest long, spans array<long>"
 
 
 def _settled(strings: DataFrame) -> DataFrame:
@@ -227,11 +204,6 @@ def _settled(strings: DataFrame) -> DataFrame:
             )
 
         for table in sorted_groups(batches, ["name"]):
-            if table.num_rows == 1:
-                if table.column("n")[0].as_py() > 1:
-                    whole = [0, len(table.column("string")[0].as_py())]
-                    yield pa.RecordBatch.from_arrays([table.column("name").combine_chunks(), table.column("digest").combine_chunks(), pa.array([whole], pa.list_(pa.int64()))], names=["name", "digest", "spans"])
-                continue
             held.append(table)
             rows += table.num_rows
             if rows >= BLOCK:
@@ -240,7 +212,36 @@ def _settled(strings: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    return strings.repartition("name").sortWithinPartitions("name").mapInArrow(sort, "name long, digest binary, spans array<long>")
+    return strings.repartition("name").sortWithinPartitions("name").mapInArrow(sort, _SPANS)
+
+
+def _settled_apart(strings: DataFrame, scratch: Scratch) -> DataFrame:
+    """As _settled, for buckets of more strings than a block holds: such a bucket is split by window
+    start and by the window itself, so equal windows meet by partial aggregation and none fills a task."""
+
+    def expand(batches):
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for name, digest, n, off, value in zip(*(batch.column(c).to_pylist() for c in ("name", "digest", "n", "off", "string"))):
+                for k in range(len(value) - LENGTH + 1):
+                    for column, x in zip(out, (name, digest, n, k - off, xxhash.xxh3_128_digest(value[k : k + LENGTH]))):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["name", "digest", "n", "at", "window"])
+
+    def join(batches):
+        for batch in batches:
+            spans = []
+            for starts in batch.column("starts"):
+                starts = np.sort(starts.values.to_numpy().astype(np.int64))
+                spans.append(_merged(np.stack([starts, starts + LENGTH], axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("digest"), pa.array(spans, pa.list_(pa.int64()))], names=["name", "digest", "spans"])
+
+    windows = strings.mapInArrow(expand, "name long, digest long, n long, at int, window binary")
+    windows = scratch.save(windows.join(strings.select("name", "digest", "off"), ["name", "digest"]), "windows")
+    repeated = windows.groupBy("name", "at", "window").agg(F.sum("n").alias("times")).where("times > 1")
+    hits = windows.join(repeated, ["name", "at", "window"]).groupBy("name", "digest").agg(F.collect_list(F.col("at") + F.col("off")).alias("starts"))
+    return hits.mapInArrow(join, _SPANS)
 
 
 def _merged(spans: np.ndarray) -> list[int]:
@@ -253,12 +254,21 @@ def _merged(spans: np.ndarray) -> list[int]:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id_hash, spans) for docs(id_hash, text): the spans of bytes that go, as [a, b, a, b, ...]."""
-    names = scratch.save(_names(docs), "names")
-    cuts = scratch.save(_cuts(docs, names, scratch), "cuts")
-    strings = cuts.groupBy("name", "digest").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("string", ignorenulls=True).alias("string"))
-    settled = scratch.save(_settled(strings), "settled")
-    back = cuts.select("id_hash", "name", "digest", "start").join(settled, ["name", "digest"])
-    back = back.groupBy("id_hash").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    anchored = scratch.save(_anchored(docs), "anchored")
+    shared = anchored.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    met = scratch.save(anchored.join(shared, "name", "left_semi"), "met")
+    scratch.drop("anchored")
+    classes = met.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id_hash", "start")).alias("rep"), F.first("off").alias("off"), F.first("size").alias("size"))
+    classes = scratch.save(classes, "classes")
+    classes = classes.join(classes.groupBy("name").agg(F.count("*").alias("m")), "name")
+    strings = scratch.save(_strings(docs, classes.where("m > 1")), "strings")
+    alone = classes.where("m = 1 and n > 1").select("name", "digest", F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias("spans"))
+    settled = alone.unionByName(_settled(strings.where(F.col("m") <= BLOCK)))
+    large = strings.where(F.col("m") > BLOCK)
+    settled = settled.unionByName(_settled_apart(large.drop("m"), scratch)) if not large.isEmpty() else settled
+    settled = scratch.save(settled, "settled")
+    back = met.select("id_hash", "name", "digest", "start").join(settled, ["name", "digest"])
+    back = back.groupBy("id_hash").agg(F.collect_set(F.struct("start", "spans")).alias("found"))
 
     def merge(batches):
         for batch in batches:
@@ -268,7 +278,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id_hash"), pa.array(out, pa.list_(pa.int64()))], names=["id_hash", "spans"])
 
     merged = scratch.save(back.mapInArrow(merge, "id_hash binary, spans array<long>"), "merged")
-    scratch.drop("names", "cuts", "settled")
+    scratch.drop("met", "classes", "strings", "settled", "windows")
     return merged
 
 
