@@ -255,9 +255,10 @@ def _merged(spans: np.ndarray) -> list[int]:
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id_hash, spans) for docs(id_hash, text): the spans of bytes that go, as [a, b, a, b, ...]."""
     anchored = scratch.save(_anchored(docs), "anchored")
-    shared = anchored.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    # written first: a join of two plain shuffles is one that AQE can split at a hot name
+    shared = scratch.save(anchored.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "shared")
     met = scratch.save(anchored.join(shared, "name", "left_semi"), "met")
-    scratch.drop("anchored")
+    scratch.drop("anchored", "shared")
     classes = met.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id_hash", "start")).alias("rep"), F.first("off").alias("off"), F.first("size").alias("size"))
     classes = scratch.save(classes, "classes")
     classes = classes.join(classes.groupBy("name").agg(F.count("*").alias("m")), "name")
