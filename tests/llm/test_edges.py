@@ -94,7 +94,7 @@ def test_language(spark):
 
 def test_toxicity(spark):
     rude = [(k, f"the weather was mild. you are a total zorgblat and everybody knows {k}", None, None) for k in range(10, 70)]
-    mild = [(k + 100, f"the weather was mild. you are a dear friend and everybody knows {k}", None, None) for k in range(60)]
+    mild = [(k + 100, f"the weather was mild. you are a total friend and everybody knows {k}", None, None) for k in range(60)]
     altered = [(500, "honestly, what a z.o-r_g.b-l.a.t you are", None, None), (501, "such a zorxgblat he is", None, None)]
     docs = messy(spark, [*TEXTS, *rude, *mild, *altered])
     labels = spark.createDataFrame([*((k, 1, 1) for k in range(10, 70)), *((k + 100, 0, 1) for k in range(60)), (None, 1, 1), (2, 0, 1), (9999, 1, 1), (5, None, 1)], "doc_id long, toxic int, text int")
