@@ -215,16 +215,22 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(np.dot(self.features(*evidence), self.curve), -700, 700))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    """A linear machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = penalty * np.eye(x.shape[1])
+def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, step: int = 8192) -> np.ndarray:
+    """A linear machine with squared hinge loss over the rows ``at`` of x, by Newton steps that take a
+    few thousand rows at a time; the last weight is the bias."""
+    ridge = penalty * np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(ridge))
     for _ in range(50):
-        active = y * (x @ w) < 1
-        a = x[active] * weight[active, None]
-        new = np.linalg.solve(ridge + a.T @ x[active], a.T @ y[active])
+        left, right = ridge.copy(), np.zeros(len(ridge))
+        for k in range(0, len(at), step):
+            part = np.hstack([x[at[k : k + step]].astype(float), np.ones((len(at[k : k + step]), 1))])
+            side = y[k : k + step]
+            active = side * (part @ w) < 1
+            a = part[active] * weight[k : k + step][active, None]
+            left += a.T @ part[active]
+            right += a.T @ side[active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -282,6 +288,22 @@ def _altered(unit: str) -> list[str]:
     return [unit[:k] + c + unit[k:] for k in range(2, len(unit)) for c in dict.fromkeys((*"xen", unit[k - 1]))]
 
 
+_SPARSE = "id string, toxic int, n long, n_rows int, rows_at array<int>, rows_value array<float>, n_own int, own_at array<int>, own_value array<float>"
+
+
+def _sparse(rows: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many kernel rows, and the places and values of what is not 0 in them, end to end."""
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
+    at = np.flatnonzero(flat)
+    return len(rows), at.astype(np.int32), flat[at]
+
+
+def _dense(n: int, at, value, width: int) -> np.ndarray:
+    out = np.zeros(n * width, np.float32)
+    out[np.asarray(at, np.int64)] = value
+    return out.reshape(n, width)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """A model from docs(id, text) and labels(id, toxic); rows with a null in them teach nothing.
 
@@ -317,19 +339,21 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 found = known.evidence(part.column("text").to_pylist())
+                packed = [(n, *_sparse(rows or nothing), *_sparse(own)) for rows, own, n in found]
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*packed), kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([str(i) for i in part.column("id").to_pylist()], pa.string()), part.column("toxic"),
-                        pa.array([rows or nothing for rows, _, _ in found], pa.list_(pa.list_(pa.float32()))),
-                        pa.array([own for _, own, _ in found], pa.list_(pa.list_(pa.float32()))), pa.array([n for _, _, n in found], pa.int64()),
-                    ],
-                    names=["id", "toxic", "rows", "own", "n"],
-                )
-
-    frame = sample.mapInArrow(rows_of, "id string, toxic int, rows array<array<float>>, own array<array<float>>, n long").toPandas()  # the sample's suspicious parts
+                    [pa.array([str(i) for i in part.column("id").to_pylist()], pa.string()), part.column("toxic"), *columns],
+                    names=["id", "toxic", "n", "n_rows", "rows_at", "rows_value", "n_own", "own_at", "own_value"],
+                )
+
+    frame = sample.mapInArrow(rows_of, _SPARSE).toPandas()  # what is not 0 in the sample's kernel rows
     frame = frame.sort_values("id", kind="stable")
-    bags = [np.stack(rows).astype(float) for rows in frame["rows"]]
+    width = len(units)
+    bags = [_dense(n, at, v, width) for n, at, v in zip(frame["n_rows"], frame["rows_at"], frame["rows_value"])]
+    ends = np.cumsum([len(b) for b in bags])
     x, of_bag, bag_label = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), frame["toxic"].to_numpy()
+    del bags
     label = bag_label[of_bag]
     gram = np.zeros((len(units), len(units)))
     places, rows = landmarks.rows(units)
@@ -337,9 +361,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     gram = (gram + gram.T) / 2
     value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(units)))
     nystrom = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    z = x @ nystrom
     _, altered = landmarks.rows([v for u in strong for v in _altered(u)] or units)
-    altered = altered.astype(float) @ nystrom
+    z = np.concatenate([x, altered]) @ nystrom.astype(np.float32)
+    altered = np.arange(len(x), len(z))
     toxic = np.flatnonzero(label == 1)
     negative = np.flatnonzero(label == 0)
     suspicious = x.any(axis=1)
@@ -351,14 +375,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         witness = witness[suspicious[witness]]
         if not len(witness):
             return flat
-        parts = [z[witness], z[negative[suspicious[negative]]], z[negative[~suspicious[negative]]], altered]
+        parts = [witness, negative[suspicious[negative]], negative[~suspicious[negative]], altered]
         y = np.concatenate([np.full(len(p), side) for p, side in zip(parts, (1.0, -1.0, -1.0, 1.0))])
         weight = np.concatenate([np.full(len(p), share / max(len(p), 1)) for p, share in zip(parts, s.shares)])
-        w = _machine(np.concatenate(parts), y, weight, s.penalty)
-        margin = z @ w[:-1] + w[-1]
+        w = _machine(z, np.concatenate(parts), y, weight, s.penalty)
+        margin = z[: len(x)] @ w[:-1].astype(np.float32) + w[-1]
     model = Model(landmarks, nystrom @ w[:-1], float(w[-1]), np.zeros(4))
-    seen = np.array([model.features(list(rows), list(own), n) for rows, own, n in zip(frame["rows"], frame["own"], frame["n"])])
-    share = np.where(bag_label == 1, counts[1] / taken[1], counts[0] / taken[0]) * (len(bags) / everything)
+    owns = (_dense(n, at, v, width) for n, at, v in zip(frame["n_own"], frame["own_at"], frame["own_value"]))
+    seen = np.array([model.features(list(rows), list(own), n) for rows, own, n in zip(np.split(x, ends[:-1]), owns, frame["n"])])
+    share = np.where(bag_label == 1, counts[1] / taken[1], counts[0] / taken[0]) * (len(frame) / everything)
     scratch.drop("sample")
     return Model(landmarks, model.beta, model.bias, _curve(seen, bag_label, share))
 
