@@ -150,13 +150,13 @@ def _months(least: float):
     return lambda role: role["months"] >= least
 
 
-@query(_on_roles("bool_or(months >= 90 AND seniority = 'senior')").replace("bool_or(months >= 90 AND seniority = 'senior')", "CASE WHEN count_if(months >= 90 AND seniority = 'senior') > 0 THEN true WHEN count(*) > count_if((months >= 90 AND seniority = 'senior') IS NOT NULL) THEN NULL ELSE false END"))
+@query(_on_roles("bool_or(months >= 90 AND seniority = 'senior')").replace("bool_or(months >= 90 AND seniority = 'senior')", "CASE WHEN count(*) FILTER (WHERE months >= 90 AND seniority = 'senior') > 0 THEN true WHEN count(*) > count(*) FILTER (WHERE (months >= 90 AND seniority = 'senior') IS NOT NULL) THEN NULL ELSE false END"))
 def q_any_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = v.any_record(F.col("experience"), lambda r: (r["months"] >= 90) & (r["seniority"] == "senior"), "role", "roles")
     return profiles(spark, sf_dir, with_roles=True).select(KEY, found.value.alias("verdict"))
 
 
-_LOW, _HIGH = "count_if(months >= 60)", "(count_if(months >= 60) + count_if(months IS NULL))"
+_LOW, _HIGH = "count(*) FILTER (WHERE months >= 60)", "(count(*) FILTER (WHERE months >= 60) + count(*) FILTER (WHERE months IS NULL))"
 
 
 @query(_on_roles(f"CASE WHEN ({_LOW} >= 3) = ({_HIGH} >= 3) THEN {_LOW} >= 3 END"))
@@ -200,7 +200,7 @@ def q_avg_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _on_roles(
-        "CASE WHEN count_if(employment_type = 'permanent' AND months IS NULL) + count_if(employment_type IS NULL) = 0 THEN coalesce(sum(months) FILTER (WHERE employment_type = 'permanent'), 0) >= 100 "
+        "CASE WHEN count(*) FILTER (WHERE employment_type = 'permanent' AND months IS NULL) + count(*) FILTER (WHERE employment_type IS NULL) = 0 THEN coalesce(sum(months) FILTER (WHERE employment_type = 'permanent'), 0) >= 100 "
         "WHEN coalesce(sum(months) FILTER (WHERE employment_type = 'permanent'), 0) >= 100 THEN true END"
     )
 )
@@ -221,10 +221,10 @@ def q_named_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{CANDIDATES} SELECT p.candidate_ref, CAST(nullif(count(role_id), 0) AS BIGINT) AS role_count, CAST(CASE WHEN count(role_id) > 0 THEN count_if(is_current) END AS BIGINT) AS current_role_count, "
-    "CAST(CASE WHEN count(role_id) > 0 THEN count_if(seniority = 'executive') END AS BIGINT) AS leadership_role_count, "
-    "CAST(CASE WHEN count(role_id) > 0 THEN count_if(employment_type = 'contract') END AS BIGINT) AS contract_role_count, "
-    "CAST(CASE WHEN count(role_id) > 0 THEN count_if(employment_type = 'permanent') END AS BIGINT) AS permanent_role_count FROM p LEFT JOIN r ON r.candidate_ref = p.candidate_ref GROUP BY p.candidate_ref"
+    f"{CANDIDATES} SELECT p.candidate_ref, CAST(nullif(count(role_id), 0) AS BIGINT) AS role_count, CAST(CASE WHEN count(role_id) > 0 THEN count(*) FILTER (WHERE is_current) END AS BIGINT) AS current_role_count, "
+    "CAST(CASE WHEN count(role_id) > 0 THEN count(*) FILTER (WHERE seniority = 'executive') END AS BIGINT) AS leadership_role_count, "
+    "CAST(CASE WHEN count(role_id) > 0 THEN count(*) FILTER (WHERE employment_type = 'contract') END AS BIGINT) AS contract_role_count, "
+    "CAST(CASE WHEN count(role_id) > 0 THEN count(*) FILTER (WHERE employment_type = 'permanent') END AS BIGINT) AS permanent_role_count FROM p LEFT JOIN r ON r.candidate_ref = p.candidate_ref GROUP BY p.candidate_ref"
 )
 def q_named_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("role_count", "current_role_count", "leadership_role_count", "contract_role_count", "permanent_role_count")
@@ -248,7 +248,7 @@ def q_highest_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{CANDIDATES} SELECT p.candidate_ref, CAST(nullif(count(name), 0) AS BIGINT) AS skill_count, CAST(nullif(count_if(category IN ('tool', 'technical')), 0) AS BIGINT) AS technical_skill_count, "
+    f"{CANDIDATES} SELECT p.candidate_ref, CAST(nullif(count(name), 0) AS BIGINT) AS skill_count, CAST(nullif(count(*) FILTER (WHERE category IN ('tool', 'technical')), 0) AS BIGINT) AS technical_skill_count, "
     "max(s.years) AS max_skill_years, CAST(nullif(count(DISTINCT lower(name)) FILTER (WHERE category IN ('tool', 'technical')), 0) AS BIGINT) AS technology_count FROM p LEFT JOIN s ON s.candidate_ref = p.candidate_ref GROUP BY p.candidate_ref"
 )
 def q_technologies_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def q_queue_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH l AS (SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' ELSE 'PENDING' END AS status FROM events GROUP BY user_id), "
-    "c AS (SELECT user_id % 10 AS job_id, count_if(status = 'SUCCEEDED')::BIGINT AS succeeded, count_if(status = 'FAILED')::BIGINT AS failed, count(*) AS n FROM l GROUP BY 1) "
+    "c AS (SELECT user_id % 10 AS job_id, count(*) FILTER (WHERE status = 'SUCCEEDED')::BIGINT AS succeeded, count(*) FILTER (WHERE status = 'FAILED')::BIGINT AS failed, count(*) AS n FROM l GROUP BY 1) "
     "SELECT job_id, CASE WHEN succeeded + failed < n THEN 'PROCESSING' WHEN failed = 0 THEN 'SUCCEEDED' WHEN succeeded = 0 THEN 'FAILED' ELSE 'PARTIAL_SUCCESS' END AS status, succeeded, failed FROM c"
 )
 def q_queue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def q_autoscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_.withColumn("workers", queue.workers(F.col("outstanding")))
 
 
-@query("SELECT count(*) AS outstanding, count_if(event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE)::BIGINT AS failed_last_minute FROM events WHERE event_type IN ('view', 'error')")
+@query("SELECT count(*) AS outstanding, count(*) FILTER (WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE)::BIGINT AS failed_last_minute FROM events WHERE event_type IN ('view', 'error')")
 def q_queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     last = events.agg(F.max("ts").alias("last"))

@@ -30,7 +30,7 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCREEN = f"""{CANDIDATES},
-c AS (SELECT candidate_ref, count_if(months >= 60) AS low, count_if(months >= 60) + count_if(months IS NULL) AS high FROM r GROUP BY candidate_ref),
+c AS (SELECT candidate_ref, count(*) FILTER (WHERE months >= 60) AS low, count(*) FILTER (WHERE months >= 60) + count(*) FILTER (WHERE months IS NULL) AS high FROM r GROUP BY candidate_ref),
 t AS (SELECT p.candidate_ref, years >= 4 AS a, (unrestricted OR rights IN ('citizen', 'permanent_resident')) AS b, CASE WHEN (low >= 2) = (high >= 2) THEN low >= 2 END AS c FROM p LEFT JOIN c ON c.candidate_ref = p.candidate_ref),
 o AS (SELECT candidate_ref, CASE WHEN NOT (a AND b AND c) THEN 'excluded' WHEN (a AND b AND c) IS NULL THEN 'needs_manual_review' ELSE 'eligible' END AS outcome FROM t)"""
 
@@ -139,7 +139,7 @@ def q_ensemble_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_VOTES} SELECT user_id, count_if(score >= 100)::BIGINT AS include_votes, 2 * count_if(score >= 100) > count(*) AS majority, count_if(score >= 100) IN (0, count(*)) AS unanimous FROM v GROUP BY user_id"
+    f"{_VOTES} SELECT user_id, count(*) FILTER (WHERE score >= 100)::BIGINT AS include_votes, 2 * count(*) FILTER (WHERE score >= 100) > count(*) AS majority, count(*) FILTER (WHERE score >= 100) IN (0, count(*)) AS unanimous FROM v GROUP BY user_id"
 )
 def q_votes_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ensemble(votes(spark, sf_dir), ["user_id"], F.lit(100.0)).select("user_id", "include_votes", "majority", "unanimous")
