@@ -3,10 +3,16 @@
 Texts are sequences of line ids. A suffix's rank at depth k is the place at which suffixes with its
 first k lines stand among all; ranks at depth 2k come from the pair of a suffix's rank and that of the
 suffix k lines on. Suffixes with equal ranks at depth k are a longest-common-prefix interval of at
-least k lines: a run that occurs more than once. Only suffixes in such intervals go on, and doubling
-ends at the least run length that counts, because an interval of that depth covers every longer run.
+least k lines: a run that occurs more than once. Only suffixes in such intervals go on.
 Of each interval the first occurrence, by document id and place, stays; the lines of later ones go.
 
+A run counts if it has ``min_lines`` lines, or if it has ``min_words`` words (parted by white space),
+be it on one line. Blank and trivially short lines are thus removed with a run that counts, never
+alone; without ``min_words`` only lines are counted. Doubling ends at ``min_lines``: each line of a
+longer later copy lies in a window of that many lines whose first occurrence is earlier too, so the
+later windows of that length and of each lesser one with enough words are the same lines as all
+later maximal runs that count.
+
 DataFrame operations only. Lines are counted by partial aggregation and met again by joins that AQE
 can split, so a line that fills the corpus is in no single task.
 
@@ -17,12 +23,15 @@ equal texts under different ids are copies; extra columns are carried through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
 
 MIN_LINES = 3
+MIN_WORDS = 5
 MAX_BROADCAST_LINES = 1_000_000
 
 
@@ -52,38 +61,68 @@ def _ahead(suffixes: DataFrame, lines: int) -> DataFrame:
     return suffixes.withColumn("r2", F.first("r").over(there)).where("r2 is not null")
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, *, min_lines: int = MIN_LINES) -> DataFrame:
+def _lines_needed(said: Column, min_lines: int, min_words: int) -> Column:
+    """For each of the lines the least number of lines that a run from there must have to count."""
+    words = F.transform(said, lambda line: F.size(F.array_remove(F.split(line, r"\s+"), "")))
+    sums = [words]
+    for n in range(2, min_lines):
+        sums.append(F.zip_with(sums[-1], F.slice(words, n, F.size(said)), lambda x, y: x + F.coalesce(y, F.lit(0))))
+    needed = F.transform(said, lambda _: F.lit(min_lines))
+    for n in range(min_lines - 1, 0, -1):
+        needed = F.zip_with(sums[n - 1], needed, lambda w, more: F.when(w >= min_words, n).otherwise(more))
+    return needed
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, *, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """(d, removed) for docs(d, text): the numbers, from 0, of lines that stand in a later copy of a
-    run of at least ``min_lines`` lines."""
-    lines = docs.where("text is not null").select("d", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    lines = scratch.save(lines.select("d", "line", F.xxhash64("said").alias("a"), F.xxhash64("said", F.lit(1)).alias("b")), "lines")
+    run of at least ``min_lines`` lines or ``min_words`` words."""
+    said, extra = F.split("text", "\n"), [] if min_words is None else ["need"]
+    texts = docs.where("text is not null")
+    if min_words is None:
+        lines = texts.select("d", F.posexplode(said).alias("line", "said"))
+    else:
+        both = F.zip_with(said, _lines_needed(said, min_lines, min_words), lambda x, y: F.struct(x.alias("said"), y.alias("need")))
+        lines = texts.select("d", F.posexplode(both).alias("line", "at")).select("d", "line", "at.said", "at.need")
+    lines = scratch.save(lines.select("d", "line", F.xxhash64("said").alias("a"), F.xxhash64("said", F.lit(1)).alias("b"), *extra), "lines")
     classes = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    suffixes = scratch.save(lines.join(_first_ranks(classes), ["a", "b"]).select("d", "line", "r"), "depth-1")
-    depth = 1
-    while depth * 2 <= min_lines:
+    suffixes = scratch.save(lines.join(_first_ranks(classes), ["a", "b"]).select("d", "line", "r", *extra), "depth-1")
+    place = F.struct("d", "line")
+
+    def later_copies(suffixes: DataFrame, depth: int, n: int) -> DataFrame:
+        """(d, line) in later copies of runs of n lines, for depth <= n <= 2 depth."""
+        pairs = _ahead(suffixes, n - depth) if n > depth else suffixes.withColumn("r2", F.lit(0))
+        if n < min_lines:
+            pairs = pairs.where(F.col("need") <= n)
+        intervals = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+        later = pairs.join(intervals.select("r", "r2", "first"), ["r", "r2"]).where(place > F.col("first"))
+        return later.select("d", F.explode(F.sequence("line", F.col("line") + n - 1)).alias("line"))
+
+    depth, gone = 1, []
+    while True:
+        last = depth * 2 > min_lines
+        for n in range(depth, min_lines + 1 if last else depth * 2):
+            if n == min_lines or min_words is not None:
+                gone.append(scratch.save(later_copies(suffixes, depth, n), f"gone-{n}") if n < min_lines else later_copies(suffixes, depth, n))
+        if last:
+            break
         pairs = scratch.save(_ahead(suffixes, depth), f"pairs-{depth}")
         classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-        suffixes = scratch.save(pairs.join(_next_ranks(classes), ["r", "r2"]).select("d", "line", F.col("new").alias("r")), f"depth-{2 * depth}")
+        suffixes = scratch.save(pairs.join(_next_ranks(classes), ["r", "r2"]).select("d", "line", F.col("new").alias("r"), *extra), f"depth-{2 * depth}")
         scratch.drop(f"pairs-{depth}", f"depth-{depth}")
         depth *= 2
-    pairs = _ahead(suffixes, min_lines - depth) if min_lines > depth else suffixes.withColumn("r2", F.lit(0))
-    place = F.struct("d", "line")
-    intervals = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = pairs.join(intervals.select("r", "r2", "first"), ["r", "r2"]).where(place > F.col("first"))
-    gone = later.select("d", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line"))
-    removed = gone.groupBy("d").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    removed = reduce(DataFrame.unionByName, gone).groupBy("d").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     out = scratch.save(removed, "removed")
-    scratch.drop("lines", f"depth-{depth}")
+    scratch.drop("lines", f"depth-{depth}", *(f"gone-{n}" for n in range(1, min_lines)))
     return out
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS, report: bool = False) -> DataFrame:
     """docs with the lines of later copies cut out of the text; with ``report`` also n_lines,
     n_removed and n_runs (maximal removed runs)."""
     scratch = Scratch(docs.sparkSession, "lines")
     key, of, gone, kept = fresh(docs, "ld_key", "ld_of", "ld_removed", "ld_kept")
     document = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
-    removed = repeated_lines(docs.select(document.alias("d"), F.col(text).alias("text")), scratch, min_lines=min_lines)
+    removed = repeated_lines(docs.select(document.alias("d"), F.col(text).alias("text")), scratch, min_lines=min_lines, min_words=min_words)
     few = (removed.agg(F.sum(F.size("removed"))).first()[0] or 0) <= MAX_BROADCAST_LINES
     removed = removed.select(F.col("d").alias(of), F.col("removed").alias(gone))
     joined = docs.withColumn(key, document).join(F.broadcast(removed) if few else removed, F.col(key) == F.col(of), "left")
@@ -99,7 +138,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def query(docs: DataFrame) -> DataFrame:
-    out = dedup_lines(docs.select("doc_id", "text"), report=True)
+    """By lines alone, as the SQL below says."""
+    out = dedup_lines(docs.select("doc_id", "text"), min_words=None, report=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

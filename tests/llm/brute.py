@@ -66,3 +66,20 @@ def repeated_bytes(texts: dict, length: int = 200) -> dict:
         spans = sum(1 for k in range(len(r)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (len(r), sum(gone), spans, bytes(c for c, g in zip(r, gone) if not g))
     return out
+
+
+def later_runs(texts: dict, min_lines: int, min_words: int) -> dict:
+    """id -> text without the longest runs that stand earlier too, if they have the lines or the words."""
+    said = {i: t.split("\n") for i, t in sorted(texts.items())}
+    places = [(i, k) for i, s in said.items() for k in range(len(s))]
+    gone = set()
+    for n, (i, k) in enumerate(places):
+        longest = 0
+        for j, m in places[:n]:
+            length = 0
+            while max(k + length - len(said[i]), m + length - len(said[j])) < 0 and said[i][k + length] == said[j][m + length]:
+                length += 1
+            longest = max(longest, length)
+        if longest >= min_lines or longest and sum(len(x.split()) for x in said[i][k : k + longest]) >= min_words:
+            gone |= {(i, k + x) for x in range(longest)}
+    return {i: "\n".join(x for k, x in enumerate(s) if (i, k) not in gone) for i, s in said.items()}

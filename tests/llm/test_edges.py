@@ -163,6 +163,22 @@ def test_lines(spark):
     assert lines.query(messy(spark, [])).count() == 0
 
 
+def test_lines_by_words(spark):
+    licence = "permission is granted free of charge"
+    rows = [(1, f"{licence}\nshort\n\nshort", None, None), (2, f"other\n{licence}\nshort\nown", None, None), (3, "a b c\nd e f\nshort\n\n", None, None), (4, "own\na b c\nd e f", None, None)]
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(messy(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "other\nown", 3: rows[2][1], 4: "own"}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_lines_are_those_of_all_later_maximal_runs(spark, least):
+    said = ["", "a", "b c", "d e f", "g h i j k l"]
+    rows = [(k, "\n".join(said[(k * k * 7 + i * i * (k % 5 + 1) + i // 3) % 5] for i in range(1 + k % 13)), None, None) for k in range(40)]
+    wanted = brute.later_runs({i: t for i, t, _, _ in rows}, least, 5)
+    found = {r.doc_id: r.text for r in lines.dedup_lines(messy(spark, rows), min_lines=least, min_words=5).collect()}
+    assert found == wanted
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 3)
     base = [1.0, 2.0, 3.0, -1.0]
