@@ -67,6 +67,17 @@ def test_chat(spark):
     assert chat.digest(chat.format_turns(table.limit(0))).count() == 0
 
 
+def test_chat_loss_is_read_from_the_examples(spark, monkeypatch):
+    table = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "abc"), (1, 3, "user", "so"), (1, 4, "assistant", "<|defg")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(table)
+    examples = chat.prefix_target_examples(formatted)
+    for altered, loss in ((examples, "abc<|defg"), (examples.where("target = 4"), "<|defg"), (examples.withColumn("loss_end", examples.loss_end - 1), "ab<|def")):
+        monkeypatch.setattr(chat, "prefix_target_examples", lambda turns, altered=altered: altered)
+        found = chat.digest(formatted).first()
+        assert (found.n_turns, found.loss_chars, found.loss_sha256) == (4, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+
 def test_shards(spark):
     found = shard.shard_slots(messy(spark)).collect()
     assert len(found) == len(TEXTS)
