@@ -74,12 +74,52 @@ class _Segments:
         return low
 
 
+    def even_cuts(self, capacity: int, shards: int) -> list[int]:
+        """Ends of shards within the capacity, the least of which is as large as it can be.
+
+        From every end of a run it is known whether the rest can be cut into a number of shards
+        between the bounds; of the ends that leave such a rest the one nearest the fair end is taken.
+        """
+        at = np.array([0, *self.ends], np.int64)
+        last = np.searchsorted(at, at + capacity, "right")
+
+        def completions(least: int) -> list[np.ndarray]:
+            first = np.minimum(np.searchsorted(at, at + least), last)
+            out = [np.arange(len(at)) == len(at) - 1]
+            for _ in range(shards):
+                known = np.concatenate(([0], np.cumsum(out[-1])))
+                out.append(known[last] > known[first])
+            return out
+
+        low, high = 0, self.total // shards
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if completions(middle)[shards][0] else (low, middle - 1)
+        rest, out, k = completions(low), [], 0
+        for left in range(shards, 0, -1):
+            begin = max(int(np.searchsorted(at, at[k] + low)), min(k + 1, len(at) - 1))
+            ends = np.flatnonzero(rest[left - 1][begin : last[k]]) + begin
+            k = int(ends[np.argmin(np.abs(at[ends] - (at[k] + (self.total - at[k]) / left)))])
+            out.append(int(at[k]))
+        return out
+
+
 def _histogram(groups: DataFrame, bits: int) -> DataFrame:
     width = KEY_BITS - bits
     first = F.shiftleft(F.shiftright("key", width), width)
     return groups.groupBy(first.alias("first")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
 
 
+def _split(groups: DataFrame, segments: _Segments, chosen: list) -> _Segments:
+    """The segments with the chosen ones, all of the same depth, taken apart."""
+    bits = chosen[0][1]
+    width = KEY_BITS - bits
+    inside = groups.where(F.shiftleft(F.shiftright("key", width), width).isin([r[0] for r in chosen]))
+    deeper = min(KEY_BITS, bits + STEP_BITS)
+    split = [(r["first"], deeper, r["bytes"], r["n"]) for r in _histogram(inside, deeper).collect()]
+    return _Segments([r for r in segments.rows if r not in set(chosen)] + split)
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity and the first keys of shards 1, 2, ... for groups(key, bytes)."""
     segments = _Segments([(r["first"], FIRST_BITS, r["bytes"], r["n"]) for r in _histogram(groups, FIRST_BITS).collect()] or [(0, FIRST_BITS, 0, 0)])
@@ -93,20 +133,15 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         wanted = sorted(wanted, key=lambda r: -r[2])[:SPLITS_A_ROUND]
         # all bins of one round that have the same depth are split by one aggregation
         bits = min(r[1] for r in wanted)
-        chosen = [r for r in wanted if r[1] == bits]
-        width = KEY_BITS - bits
-        inside = groups.where(F.shiftleft(F.shiftright("key", width), width).isin([r[0] for r in chosen]))
-        deeper = min(KEY_BITS, bits + STEP_BITS)
-        split = [(r["first"], deeper, r["bytes"], r["n"]) for r in _histogram(inside, deeper).collect()]
-        segments = _Segments([r for r in segments.rows if r not in set(chosen)] + split)
-    cuts, at = [], 0
-    for left in range(shards, 1, -1):
-        # near equal within the capacity: the fair end if the rest still fits, else the greedy one
-        fair = segments.reach(at, min(high, -(-(segments.total - at) // left)), False)
-        rest = fair
-        for _ in range(left - 1):
-            rest = segments.reach(rest, high, False)
-        at = fair if rest >= segments.total else segments.reach(at, high, False)
+        segments = _split(groups, segments, [r for r in wanted if r[1] == bits])
+    ends = segments.even_cuts(high, shards)
+    while len(segments.rows) < shards and any(o and r[1] < KEY_BITS for o, r in zip(segments.open, segments.rows)):
+        # groups that share a bin, where there are fewer bins than shards
+        bits = min(r[1] for o, r in zip(segments.open, segments.rows) if o and r[1] < KEY_BITS)
+        segments = _split(groups, segments, [r for o, r in zip(segments.open, segments.rows) if o and r[1] == bits])
+        ends = segments.even_cuts(high, shards)
+    cuts = []
+    for at in ends[:-1]:
         k = bisect_right(segments.ends, at)
         cuts.append(segments.rows[k][0] if k < len(segments.rows) else 1 << KEY_BITS)
     return high, cuts

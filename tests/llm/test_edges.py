@@ -91,6 +91,21 @@ def test_shards(spark):
     assert {r.shard for r in shard.assign_shards(messy(spark), 1).collect()} == {0}
 
 
+@pytest.mark.parametrize("place", [0, 100, 200])
+def test_shards_beside_a_hot_group(spark, place):
+    groups = [(k << 47, 10_000 if k == place else 100) for k in range(201)]
+    capacity, cuts = shard.minimax_cuts(spark.createDataFrame(groups, "key long, bytes long"), 16)
+    loads = [sum(size for key, size in groups if low <= key < high) for low, high in zip([0, *cuts], [*cuts, 1 << 63])]
+    assert capacity == max(loads) == 10_000
+    assert min(loads) >= 1_200 and sorted(loads)[-2] <= 2_000
+
+
+def test_shards_of_few_groups_in_one_bin(spark):
+    groups = [(k << 20, 10 + k) for k in range(16)]
+    _, cuts = shard.minimax_cuts(spark.createDataFrame(groups, "key long, bytes long"), 16)
+    assert cuts == [k << 20 for k in range(1, 16)]
+
+
 def test_language(spark):
     english = [(k, f"the house and the river were near the old mill {k}", "en", None) for k in range(10, 70)]
     french = [(k + 100, f"la maison et la rivière étaient près du vieux moulin {k}", "fr", None) for k in range(60)]
