@@ -247,7 +247,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", (100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept, a row per document.
 
     Documents whose sets are similar to at least ``percent`` hundredths are linked; component_id is
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """docs with one document of each component; columns as given.
 
     Null ids stand for no document in particular: such a row stays unless its component has an id.

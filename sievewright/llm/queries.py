@@ -42,7 +42,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -157,6 +157,17 @@ def test_minhash(spark):
     assert minhash.near_duplicates(messy(spark, [])).count() == 0 and minhash.drop_near_duplicates(messy(spark, [])).count() == 0
 
 
+def test_pipeline_takes_four_fifths_as_similar(spark):
+    words = [[f"w{g}n{k}" for k in range(n)] for g, n in enumerate((44, 60, 80))]
+    near = [(10 * g + k, " ".join(["x", *w[:20], "y", *w[21:]] if k else w), None, None) for g, w in enumerate(words) for k in (0, 1)]
+    for percent, groups in ((80, 4), (85, 5)):
+        found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(messy(spark, near), percent=percent).collect()}
+        assert found == brute.near_duplicates({i: t for i, t, _, _ in near}, percent)
+        assert sum(v[2] for v in found.values()) == groups
+    kept = corpus_pipeline.drop_near_duplicates(spark, messy(spark, near), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, v in brute.near_duplicates({i: t for i, t, _, _ in near}, 80).items() if v[2]}
+
+
 def test_minhash_blocks(spark, monkeypatch):
     words = [f"w{k}" for k in range(120)]
     near = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :]), None, None) for k in range(100)]
