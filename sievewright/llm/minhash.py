@@ -33,8 +33,8 @@ WORDS = 5
 MINIMA = 256
 BITS = 2
 BANDS, ROWS = 25, 5
-#: Four standard errors, about, of the estimate at the threshold.
-SLACK = 0.10
+#: Five to six standard errors of the estimate at the threshold.
+SLACK = 0.16
 BLOCK = 1024
 MAX_BROADCAST_IDS = 1_000_000
 

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 
 import pytest
 
@@ -168,6 +169,14 @@ def test_pipeline_takes_four_fifths_as_similar(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, v in brute.near_duplicates({i: t for i, t, _, _ in near}, 80).items() if v[2]}
 
 
+def test_minhash_estimate_loses_few_pairs_at_the_threshold():
+    chance = 1 / (1 << minhash.BITS)
+    for threshold in (0.80, 0.85):
+        least = math.ceil(minhash.MINIMA * ((threshold - minhash.SLACK) * (1 - chance) + chance))
+        agree = threshold + (1 - threshold) * chance
+        assert sum(math.comb(minhash.MINIMA, k) * agree**k * (1 - agree) ** (minhash.MINIMA - k) for k in range(least)) < 1e-6
+
+
 def test_minhash_blocks(spark, monkeypatch):
     words = [f"w{k}" for k in range(120)]
     near = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :]), None, None) for k in range(100)]
