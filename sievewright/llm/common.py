@@ -12,15 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-    temporary one made. ``save`` cuts lineage by writing Parquet, so a lost executor costs
-    the tasks it ran and nothing before them.
+    The folder is ``spark.checkpoint.dir``; only where that is unset and Spark runs in this one
+    process (tests, a laptop) is a temporary one made, because executors elsewhere could not read
+    it. ``save`` cuts lineage by writing Parquet, so a lost executor costs the tasks it ran and
+    nothing before them. What a result still reads stays until the session ends.
     """
 
     _own: str | None = None
@@ -29,11 +28,14 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             if Scratch._own is None:
                 Scratch._own = tempfile.mkdtemp(prefix="sievewright-")
                 atexit.register(shutil.rmtree, Scratch._own, True)
             base = f"file://{Scratch._own}"
         self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        atexit.register(self._clean_at_exit)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,8 +45,19 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read again."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clean(self) -> None:
+        """Deletes all of them."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _clean_at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # the session is still there
+            self.clean()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

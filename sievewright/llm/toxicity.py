@@ -3,17 +3,21 @@
 A unit is a folded token (lower case, accents and common letter look-alikes undone, anything but
 letters dropped, so ``i.d-i0t`` is ``idiot``) or a run of spaced single letters. Units are compared
 with landmark units by the kernel of common subsequences of three characters, in which every gap
-and every inserted character costs a factor. A sentence's kernel row is the largest value of any of
-its units by landmark; the Nyström map makes it a feature vector and a linear machine scores it. A
-logistic curve turns the margin of a text's worst sentence, and how much of the text speaks against
-it, into a probability.
+and every inserted character costs a factor. Values below a floor count as none, and a unit that
+lacks a quarter of a landmark's letters is not compared with it; the tests measure what the second
+rule loses. A sentence's kernel row is the largest value of any of its units by landmark; the Nyström
+map makes it a feature vector and a linear machine scores it. A logistic curve turns the margin of a
+text's worst sentence, and how much of the text speaks against it, into a probability.
 
 Labels belong to whole texts, so the machine learns as in multiple-instance learning: sentences of
 clean texts are clean; of a toxic text the sentence that scores worst is toxic, and so are those that
-the last fit puts on the toxic side. Landmarks that no clean text has also teach with a letter put in. Landmarks, kernel rows and the machine come from a bounded, hash-chosen sample of
-labelled rows; probabilities follow the base rate of all of them.
+the last fit puts on the toxic side. Landmarks that no clean text has also teach with a letter put in.
+Landmarks, kernel rows and the machine come from a bounded, hash-chosen sample of labelled rows, of
+texts of a bounded length; probabilities follow the base rate of all labelled rows.
 
-Scoring is one pass over whole texts. Each distinct token of a task is folded and compared once.
+Scoring is one pass over whole texts, on arrays of code points: a long text is read in pieces that end
+where a sentence ends (or, in a sentence longer than a piece, at white space), and what the pieces
+hold adds up. Letters of all scripts keep apart.
 
 Defined results: a text that is null or empty scores as a text without any suspicious unit; long
 tokens are cut into overlapping windows that cover them; with no toxic or no clean row to learn
@@ -23,9 +27,9 @@ are carried through, result columns replace input columns of their name.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, fresh, span_hashes
 from .langid import bounded_sample, fold
 
 #: Look-alikes of letters.
@@ -42,8 +46,12 @@ LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "
 LENGTH = 3
 DECAY = 0.75
 WINDOW = 24
-_SPACED = re.compile(r"\b(?:[^\W\d_][\W_]{1,3}){2,}[^\W\d_]\b")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+PIECE = 400_000  # code points looked at together
+SHORT = 200  # a text of fewer code points is one sentence
+MARK = ord("^")
+_SPACE, _DROPPED = 0, 1
+_SENTENCE_END = np.array([ord(c) for c in ".!?"], np.uint32)
+_TRAILING = np.array([ord(c) for c in "!.,;:?"], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -52,6 +60,7 @@ class Settings:
 
     toxic_rows: int = 2000
     clean_rows: int = 2500
+    sample_chars: int = 100_000
     landmarks: int = 96
     floor: float = 0.35
     shared_letters: float = 0.75
@@ -64,39 +73,123 @@ class Settings:
     sample_tasks: int = 24
 
 
-def fold_token(token: str) -> str:
-    token = token.lower().rstrip("!.,;:?").translate(LOOK_ALIKES)
-    if not token.isascii():
-        token = unicodedata.normalize("NFKD", token)
-    return "".join(c for c in token if c.isalpha())
+def fold_letter(c: str) -> int:
+    """The letter's code point after folding; 0 for white space, 1 for what is dropped."""
+    if c.isspace():
+        return _SPACE
+    letters = (x for x in unicodedata.normalize("NFKD", c.lower().translate(LOOK_ALIKES)) if x.isalpha())
+    return ord(next(letters, chr(_DROPPED)))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For the first plane: the folded letters, and what kind of word character each is (0 none, 1 letter, 2 other)."""
+    every = [chr(k) for k in range(1 << 16)]
+    kinds = [1 if c.isalpha() else 2 if c.isalnum() or c == "_" else 0 for c in every]
+    return np.fromiter(map(fold_letter, every), np.uint32, 1 << 16), np.array(kinds, np.uint8)
+
+
+def folded(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The folded letters and the kinds of code points."""
+    letters, kinds = _tables()
+    low = np.minimum(points, 0xFFFF)
+    out, kind = letters[low], kinds[low]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        distinct, at = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([fold_letter(chr(p)) for p in distinct], np.uint32)[at]
+        kind[far] = np.array([1 if chr(p).isalpha() else 2 if chr(p).isalnum() else 0 for p in distinct], np.uint8)[at]
+    return out, kind
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+@dataclass(frozen=True)
+class Units:
+    """The units of some texts: letters end to end, where each unit stands in them, its text and its
+    sentence; and how many tokens each text has."""
+
+    letters: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    sentence: np.ndarray
+    tokens: np.ndarray
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        return [self.letters[a:b].tobytes().decode("utf-32-le") for a, b in zip(self.starts[which], self.ends[which])]
+
+
+def units_of(texts: list[str]) -> Units:
+    """Of every token the letters, marked at the start, and those of words spelt out letter by letter.
+
+    Units of fewer letters than the kernel compares are left out.
+    """
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    text_at = np.cumsum(sizes + 1) - sizes - 1
+    code, kind = folded(points)
+    starts, ends = _runs(code != _SPACE)
+    text = np.searchsorted(text_at, starts, "right") - 1
+    tokens = np.bincount(text, minlength=len(texts))
+    if not len(starts):
+        nothing = np.zeros(0, np.int64)
+        return Units(code[:0], nothing, nothing, nothing, nothing, tokens)
+    lines = np.concatenate(([0], np.cumsum(points == 10)))
+    parted = np.ones(len(starts), bool)
+    parted[1:] = (lines[starts[1:]] > lines[ends[:-1]]) | np.isin(points[ends[:-1] - 1], _SENTENCE_END)
+    parted &= (sizes[text] >= SHORT) | np.concatenate(([True], text[1:] != text[:-1]))
+    sentence = np.cumsum(parted) - 1
+    # letters of a token up to the punctuation that ends it
+    place = np.arange(len(points))
+    last = np.maximum.reduceat(np.where(np.isin(points, _TRAILING) | (code == _SPACE), -1, place), starts)
+    token = np.repeat(np.arange(len(starts)), ends - starts)
+    inside = np.flatnonzero(code != _SPACE)
+    keep = (code[inside] != _DROPPED) & (inside <= last[token])
+    letters, owner = code[inside[keep]], token[keep]
+    # words spelt out: single letters with one to three other characters between them
+    a, b = _runs(kind > 0)
+    single = (b - a == 1) & (kind[a] == 1)
+    chained = np.zeros(len(a), bool)
+    of_text = np.searchsorted(text_at, a, "right")
+    chained[1:] = single[1:] & single[:-1] & (a[1:] - b[:-1] <= 3) & (of_text[1:] == of_text[:-1])
+    chain = np.cumsum(~chained)[single]
+    spelt = a[single]
+    first = np.flatnonzero(np.diff(np.concatenate(([-1], chain)))) if len(chain) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate((first, [len(chain)])))
+    long_enough = length >= LENGTH
+    spelt_in = np.searchsorted(starts, spelt[first[long_enough]], "right") - 1
+    letters = np.concatenate((letters, code[spelt[np.repeat(long_enough, length)]]))
+    counts = np.concatenate((np.bincount(owner, minlength=len(starts)), length[long_enough]))
+    text, sentence = np.concatenate((text, text[spelt_in])), np.concatenate((sentence, sentence[spelt_in]))
+    end = np.cumsum(counts)
+    keep = counts >= LENGTH
+    return Units(letters, (end - counts)[keep], end[keep], text[keep], sentence[keep], tokens)
 
 
 def windows(unit: str) -> list[str]:
     """The unit with a mark at its start, which counts as a letter; cut if it is long."""
-    if len(unit) < LENGTH:
-        return []
     unit = f"^{unit}"
     if len(unit) <= WINDOW:
         return [unit]
     return [unit[k : k + WINDOW] for k in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
 
 
-def tokens(text: str) -> set[str]:
-    """The distinct tokens, spaced-out words included."""
-    return {*text.split(), *_SPACED.findall(text)}
+def coded(units: list[str]) -> np.ndarray:
+    """Code points of windows, one row each, filled up with zeros."""
+    out = np.zeros((len(units), WINDOW), np.uint32)
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    out[np.arange(WINDOW)[None, :] < lengths[:, None]] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    return out
 
 
-def encoded(units: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters as small codes (0: none), lengths, and masks of the letters that occur."""
-    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-    codes = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 5).astype(np.uint8)
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    out = np.zeros((len(units), width), np.uint8)
-    out[np.arange(width)[None, :] < lengths[:, None]] = codes
-    masks = np.zeros(len(units), np.uint32)
-    for k in range(width):
-        masks |= np.where(out[:, k] > 0, np.uint32(1) << out[:, k].astype(np.uint32) % np.uint32(32), np.uint32(0))
-    return out, lengths, masks
+def letter_masks(codes: np.ndarray) -> np.ndarray:
+    """A bit for each letter of the rows; other scripts share bits, which only lets more through."""
+    bits = np.where(codes > 0, np.uint64(1) << (codes % np.uint32(64)).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -120,79 +213,141 @@ class Landmarks:
 
     def __init__(self, units: list[str], settings: Settings):
         self.units, self.settings = units, settings
-        self.codes, self.lengths, self.masks = encoded(units, WINDOW)
+        self.codes = coded(units)
+        self.lengths = (self.codes > 0).sum(axis=1)
+        self.masks = letter_masks(self.codes)
         self.own = subsequence_kernel(self.codes, self.codes)
-        self.needed = np.ceil(settings.shared_letters * np.bitwise_count(self.masks)).astype(np.int64)
-
-    def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the units that come near a landmark: their places and kernel rows."""
-        codes, lengths, masks = encoded(units, WINDOW)
-        at, landmark = np.nonzero(np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.needed[None, :])
-        values = np.zeros(len(at), np.float32)
-        own = np.zeros(len(units), np.float32)
-        near = np.unique(at)
-        for width in (6, 9, 12, 16, WINDOW):
-            below = {6: 0, 9: 6, 12: 9, 16: 12, WINDOW: 16}[width]
-            mine = near[(lengths[near] > below) & (lengths[near] <= width)]
+        self.needed = np.ceil(settings.shared_letters * np.bitwise_count(self.masks)).astype(np.uint8)
+
+    def near(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of units, by their masks, and landmarks that share enough letters."""
+        found = [np.flatnonzero(np.bitwise_count(masks & m) >= n) for m, n in zip(self.masks, self.needed)]
+        return np.concatenate(found), np.repeat(np.arange(len(found)), list(map(len, found)))
+
+    def values(self, codes: np.ndarray, at: np.ndarray, landmark: np.ndarray) -> np.ndarray:
+        """Normalised kernel values of pairs of rows of codes and landmarks."""
+        lengths = (codes > 0).sum(axis=1)
+        values, own = np.zeros(len(at), np.float32), np.zeros(len(codes), np.float32)
+        below = 0
+        for width in (5, 6, 7, 8, 10, 12, 16, WINDOW):
+            mine = np.flatnonzero((lengths > below) & (lengths <= width))
             for k in range(0, len(mine), 2000):
-                part = mine[k : k + 2000]
-                own[part] = subsequence_kernel(codes[part, :width], codes[part, :width])
+                part = codes[mine[k : k + 2000], :width]
+                own[mine[k : k + 2000]] = subsequence_kernel(part, part)
             chosen = np.flatnonzero((lengths[at] > below) & (lengths[at] <= width))
             order = chosen[np.argsort(self.lengths[landmark[chosen]], kind="stable")]
             for k in range(0, len(order), 2000):
                 part = order[k : k + 2000]
                 reach = int(self.lengths[landmark[part]].max())
                 values[part] = subsequence_kernel(codes[at[part], :width], self.codes[landmark[part], :reach])
-        values /= np.sqrt(np.maximum(own[at] * self.own[landmark], 1e-12))
+            below = width
+        return values / np.sqrt(np.maximum(own[at] * self.own[landmark], 1e-12))
+
+    def rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the coded units that come near a landmark: their places and kernel rows."""
+        at, landmark = self.near(letter_masks(codes))
+        values = self.values(codes, at, landmark)
         keep = values >= self.settings.floor
         places, inverse = np.unique(at[keep], return_inverse=True)
         out = np.zeros((len(places), len(self.units)), np.float32)
         out[inverse, landmark[keep]] = values[keep]
         return places, out
 
+    def rows_of(self, units: list[str]) -> np.ndarray:
+        """The kernel rows of unmarked units, zeros where nothing is near; the largest of their windows."""
+        cut = [windows(u) for u in units]
+        owner = np.repeat(np.arange(len(units)), list(map(len, cut)))
+        out = np.zeros((len(units), len(self.units)), np.float32)
+        for k in range(0, len(owner), 50_000):
+            places, rows = self.rows(coded([w for c in cut for w in c][k : k + 50_000]))
+            np.maximum.at(out, owner[k : k + 50_000][places], rows)
+        return out
 
-class TokenRows:
-    """The kernel rows of suspicious tokens; every distinct token is looked at once per task."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 400_000):
+def pieces(texts: list[str | None]):
+    """Lists of (which text, a piece of it) of PIECE code points or little more."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        text, at = text or "", 0
+        while at < len(text):
+            end = len(text)
+            if end - at > PIECE:
+                stop = at + PIECE
+                cut = max(text.rfind(mark, at + PIECE // 2, stop) + len(mark) - 1 for mark in ("\n", ". ", "! ", "? "))
+                while cut <= at and stop < end and not text[stop].isspace():
+                    stop += 1
+                end = cut + 1 if cut > at else stop
+            held.append((k, text[at:end]))
+            size += end - at
+            at = end
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class SuspiciousUnits:
+    """Which units of texts come near a landmark; a unit that is met again is known by its hash."""
+
+    def __init__(self, landmarks: Landmarks, most: int = 500_000):
         self.landmarks, self.most = landmarks, most
-        self.seen: set[str] = set()
-        self.hot: dict[str, np.ndarray] = {}
-
-    def learn(self, found: set[str]) -> None:
-        if len(self.seen) > self.most:
-            self.seen, self.hot = set(), {}
-            # what is forgotten is computed again when it comes up again
-        new = list(found - self.seen)
-        units, owner = [], []
-        for k, token in enumerate(new):
-            for unit in windows(fold_token(token)):
-                units.append(unit)
-                owner.append(k)
-        self.seen.update(new)
-        if not units:
-            return
-        places, rows = self.landmarks.rows(units)
-        for place, row in zip(places, rows):
-            token = new[owner[place]]
-            self.hot[token] = np.maximum(self.hot[token], row) if token in self.hot else row
-
-    def evidence(self, texts: list[str | None]) -> list[tuple[list[np.ndarray], list[np.ndarray], int]]:
-        """For each text the kernel rows of its sentences that hold a suspicious token, those of its
-        distinct suspicious tokens, and the number of its distinct tokens."""
-        sets = [tokens(t) if t else set() for t in texts]
-        self.learn(set().union(*sets))
-        out = []
-        for text, found in zip(texts, sets):
-            rows, own = [], []
-            if found and not self.hot.keys().isdisjoint(found):
-                for sentence in [text] if len(text) < 200 else _SENTENCE.split(text):
-                    if hits := self.hot.keys() & tokens(sentence):
-                        rows.append(np.max([self.hot[h] for h in hits], axis=0))
-                own = [self.hot[h] for h in sorted(self.hot.keys() & found)]
-                if not rows:  # a spaced-out word over a sentence's end
-                    rows.append(np.max(own, axis=0))
-            out.append((rows, own, len(found)))
+        self._forget()
+
+    def _forget(self) -> None:
+        # what is forgotten is computed again when it comes up again
+        self.known, self.row_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = np.zeros((0, len(self.landmarks.units)), np.float32)
+
+    def look(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        """The places of suspicious units, and their rows in self.rows."""
+        n = len(units.starts)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.known) > self.most or len(self.rows) > self.most // 10:
+            self._forget()
+        bits = np.uint64(1) << (units.letters % np.uint32(64)).astype(np.uint64)
+        edges = np.stack([units.starts, units.ends], axis=1).ravel()
+        masks = np.bitwise_or.reduceat(np.append(bits, np.uint64(0)), edges)[::2] | np.uint64(1 << MARK % 64)
+        distinct, inverse = np.unique(masks, return_inverse=True)
+        at, _ = self.landmarks.near(distinct)
+        close = np.zeros(len(distinct), bool)
+        close[at] = True
+        close = np.flatnonzero(close[inverse])
+        hashes = span_hashes(units.letters, units.starts[close], units.ends[close])
+        hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(hashes, units, close[first])
+        row = self.row_of[np.searchsorted(self.known, hashes)][inverse]
+        return close[row >= 0], row[row >= 0]
+
+    def _learn(self, hashes: np.ndarray, units: Units, which: np.ndarray) -> None:
+        place = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != hashes
+        which, hashes, place = which[new], hashes[new], place[new]
+        rows = self._kernel_rows(units, which)
+        hot = rows.any(axis=1)
+        numbers = np.full(len(hashes), -1)
+        numbers[hot] = len(self.rows) + np.arange(int(hot.sum()))
+        self.rows = np.concatenate((self.rows, rows[hot]))
+        self.known, self.row_of = np.insert(self.known, place, hashes), np.insert(self.row_of, place, numbers)
+
+    def _kernel_rows(self, units: Units, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), len(self.landmarks.units)), np.float32)
+        length = units.ends[which] - units.starts[which]
+        plain = np.flatnonzero(length < WINDOW)
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
+            codes = np.zeros((len(part), WINDOW), np.uint32)
+            codes[:, 0] = MARK
+            column = np.arange(WINDOW - 1)[None, :]
+            inside = column < length[part][:, None]
+            codes[:, 1:][inside] = units.letters[(units.starts[which[part]][:, None] + column)[inside]]
+            places, rows = self.landmarks.rows(codes)
+            out[part[places]] = rows
+        long = np.flatnonzero(length >= WINDOW)
+        out[long] = self.landmarks.rows_of(units.strings(which[long]))
         return out
 
 
@@ -203,16 +358,38 @@ class Model:
     bias: float
     curve: np.ndarray  # weights of the features
 
-    def features(self, rows: list[np.ndarray], own: list[np.ndarray], n: int) -> tuple[float, ...]:
-        """The worst sentence's margin; of a hundred distinct tokens, those on the toxic side and the
-        evidence of all, as logarithms; and 1."""
-        worst = max([self.bias, *(float(r @ self.beta) + self.bias for r in rows)])
-        evidence = [float(r @ self.beta) for r in own]
-        toxic = sum(e + self.bias > 0 for e in evidence)
-        return worst, float(np.log1p(100.0 * toxic / max(n, 1))), float(np.log1p(100.0 * sum(max(0.0, e) for e in evidence) / max(n, 1))), 1.0
-
-    def probability(self, evidence: tuple[list[np.ndarray], list[np.ndarray], int]) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(np.dot(self.features(*evidence), self.curve), -700, 700))))
+    def sums(self, units: Units, which: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of n texts: the worst sentence's margin, how many units are on the toxic side, and
+        the evidence of all units."""
+        worst, toxic, evidence = np.full(n, self.bias), np.zeros(n), np.zeros(n)
+        if len(which):
+            order = np.argsort(units.sentence[which], kind="stable")
+            which, rows = which[order], rows[order]
+            text, sentence = units.text[which], units.sentence[which]
+            first = np.flatnonzero(np.diff(sentence, prepend=-1))
+            np.maximum.at(worst, text[first], np.maximum.reduceat(rows, first, axis=0) @ self.beta + self.bias)
+            own = rows @ self.beta
+            toxic = np.bincount(text, own + self.bias > 0, n)
+            evidence = np.bincount(text, np.maximum(own, 0.0), n)
+        return worst, toxic, evidence
+
+    def features(self, worst: np.ndarray, toxic: np.ndarray, evidence: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The worst sentence's margin; of a hundred tokens, those on the toxic side and the evidence of
+        all, as logarithms; and 1."""
+        tokens = np.maximum(tokens, 1)
+        return np.stack([worst, np.log1p(100.0 * toxic / tokens), np.log1p(100.0 * evidence / tokens), np.ones(len(worst))], axis=1)
+
+    def probabilities(self, texts: list[str | None], known: SuspiciousUnits | None) -> np.ndarray:
+        worst, toxic, evidence, tokens = np.full(len(texts), self.bias), *np.zeros((3, len(texts)))
+        for held in pieces(texts) if known else ():
+            owner = np.array([k for k, _ in held])
+            units = units_of([piece for _, piece in held])
+            which, row = known.look(units)
+            part = self.sums(units, which, known.rows[row], len(held))
+            np.maximum.at(worst, owner, part[0])
+            for total, more in zip((toxic, evidence, tokens), (*part[1:], units.tokens)):
+                np.add.at(total, owner, more)
+        return 1.0 / (1.0 + np.exp(-np.clip(self.features(worst, toxic, evidence, tokens) @ self.curve, -700, 700)))
 
 
 def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, step: int = 8192) -> np.ndarray:
@@ -253,19 +430,20 @@ def _curve(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _find_landmarks(sample: DataFrame, n1: int, n0: int, s: Settings) -> tuple[list[str], list[str]]:
-    """Units that mark toxic texts of the sample, strongest first, none too much like an earlier one;
+    """Marked units of toxic texts of the sample, strongest first, none too much like an earlier one;
     and those of them that are common in toxic texts and in no clean one."""
 
-    def units_of(batches):
+    def distinct_units(batches):
         for batch in batches:
             toxic, unit = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                mine = {u for t in tokens(text or "") for u in windows(fold_token(t))}
+                units = units_of([text])
+                mine = {w for u in set(units.strings(np.arange(len(units.starts)))) for w in windows(u)}
                 unit.extend(mine)
                 toxic.extend([label] * len(mine))
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.string()), pa.array(toxic, pa.int32())], names=["unit", "toxic"])
 
-    counts = sample.mapInArrow(units_of, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = sample.mapInArrow(distinct_units, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     rate1, rate0 = F.col("a") / F.lit(n1), F.col("b") / F.lit(n0)
     least = max(2, int(0.01 * n1))
     marked = counts.where((F.col("a") >= least) & (rate1 > 4 * rate0)).orderBy(F.desc(F.col("a") - 4.0 * n1 / n0 * F.col("b")), "unit").limit(8 * s.landmarks)
@@ -273,9 +451,7 @@ def _find_landmarks(sample: DataFrame, n1: int, n0: int, s: Settings) -> tuple[l
     ranked = [r["unit"] for r in found]
     if not ranked:
         return [], []
-    places, rows = Landmarks(ranked, s).rows(ranked)
-    alike = np.zeros((len(ranked), len(ranked)))
-    alike[places] = rows
+    alike = _gram(ranked, s)
     chosen: list[int] = []
     for k in range(len(ranked)):
         if len(chosen) < s.landmarks and not (alike[k, chosen] >= s.alike).any():
@@ -283,25 +459,66 @@ def _find_landmarks(sample: DataFrame, n1: int, n0: int, s: Settings) -> tuple[l
     return [ranked[k] for k in chosen], [ranked[k] for k in chosen if found[k]["b"] == 0 and found[k]["a"] >= s.strong * n1]
 
 
-def _altered(unit: str) -> list[str]:
-    """The unit with one letter put in, at each place behind the first."""
-    return [unit[:k] + c + unit[k:] for k in range(2, len(unit)) for c in dict.fromkeys((*"xen", unit[k - 1]))]
+def _gram(marked: list[str], s: Settings) -> np.ndarray:
+    """Kernel values of marked units among each other."""
+    out = np.zeros((len(marked), len(marked)))
+    places, rows = Landmarks(marked, s).rows(coded(marked))
+    out[places] = rows
+    return out
 
 
-_SPARSE = "id string, toxic int, n long, n_rows int, rows_at array<int>, rows_value array<float>, n_own int, own_at array<int>, own_value array<float>"
-
+def _altered(unit: str) -> list[str]:
+    """The marked unit with one letter put in, at each place behind the first."""
+    return [unit[:k] + c + unit[k:] for k in range(2, len(unit)) for c in dict.fromkeys((*"xen", unit[k - 1]))]
 
-def _sparse(rows: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-    """How many kernel rows, and the places and values of what is not 0 in them, end to end."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
-    at = np.flatnonzero(flat)
-    return len(rows), at.astype(np.int32), flat[at]
 
+def _suspicious(sample: DataFrame, landmarks: Landmarks) -> DataFrame:
+    """id, toxic, the number of tokens, and the suspicious units of sample(id, toxic, text) with their sentences."""
+    shared = sample.sparkSession.sparkContext.broadcast(landmarks)
 
-def _dense(n: int, at, value, width: int) -> np.ndarray:
-    out = np.zeros(n * width, np.float32)
-    out[np.asarray(at, np.int64)] = value
-    return out.reshape(n, width)
+    def find(batches):
+        known = SuspiciousUnits(shared.value)
+        for batch in batches:
+            tokens, sentences, strings = [], [], []
+            for text in batch.column("text").to_pylist():
+                units = units_of([text])
+                which, _ = known.look(units)
+                tokens.append(int(units.tokens[0]))
+                sentences.append(units.sentence[which].astype(np.int32))
+                strings.append(units.strings(which))
+            columns = [pa.array(tokens, pa.int64()), pa.array(sentences, pa.list_(pa.int32())), pa.array(strings, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("toxic"), *columns], names=["id", "toxic", "tokens", "sentences", "units"])
+
+    return sample.mapInArrow(find, "id string, toxic int, tokens long, sentences array<int>, units array<string>")
+
+
+def _fit(landmarks: Landmarks, strong: list[str], sentence_rows: np.ndarray, of_bag: np.ndarray, bag_label: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """The weights of landmarks and the bias, from the kernel rows of sentences and the bags (texts) they
+    belong to; None if no sentence of a toxic text is suspicious."""
+    s, x, label = landmarks.settings, sentence_rows, bag_label[of_bag]
+    gram = _gram(landmarks.units, s)
+    gram = (gram + gram.T) / 2
+    value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
+    nystrom = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    _, altered = landmarks.rows(coded([v[:WINDOW] for u in strong for v in _altered(u)] or landmarks.units))
+    z = np.concatenate([x, altered]) @ nystrom.astype(np.float32)
+    altered = np.arange(len(x), len(z))
+    toxic, negative = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    suspicious = x.any(axis=1)
+    margin = x.max(axis=1) - 0.5
+    for _ in range(s.rounds):
+        order = np.lexsort((-margin, of_bag))
+        first = order[np.r_[True, np.diff(of_bag[order]) > 0]]
+        witness = np.union1d(first[label[first] == 1], toxic[margin[toxic] > 0])
+        witness = witness[suspicious[witness]]
+        if not len(witness):
+            return None
+        parts = [witness, negative[suspicious[negative]], negative[~suspicious[negative]], altered]
+        y = np.concatenate([np.full(len(p), side) for p, side in zip(parts, (1.0, -1.0, -1.0, 1.0))])
+        weight = np.concatenate([np.full(len(p), share / max(len(p), 1)) for p, share in zip(parts, s.shares)])
+        w = _machine(z, np.concatenate(parts), y, weight, s.penalty)
+        margin = z[: len(x)] @ w[:-1].astype(np.float32) + w[-1]
+    return nystrom @ w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
@@ -312,7 +529,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     s = settings or Settings()
     known = labels.where("id is not null and toxic in (0, 1)").select("id", F.col("toxic").cast("int").alias("toxic")).distinct()
     docs = docs.where("id is not null and text is not null").select("id", "text")
-    known = known.join(docs.select("id").distinct(), "id", "left_semi")
+    sizes = docs.groupBy("id").agg(F.min(F.length("text")).alias("size"))
+    known = known.join(sizes, "id").select("id", "toxic", (F.col("size") <= s.sample_chars).alias("fits"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     everything = sum(counts.values())
     base = counts.get(1, 0) / everything if everything else 0.0
@@ -321,84 +539,49 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         return flat
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    ids = bounded_sample(known.where("toxic = 1"), s.toxic_rows, 1).unionByName(bounded_sample(known.where("toxic = 0"), s.clean_rows, 2))
+    fits = known.where("fits").drop("fits")
+    ids = bounded_sample(fits.where("toxic = 1"), s.toxic_rows, 1).unionByName(bounded_sample(fits.where("toxic = 0"), s.clean_rows, 2))
     ids = scratch.save(ids, "ids")
-    rows = docs.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).repartition(s.sample_tasks, "id")
+    short = docs.where(F.length("text") <= s.sample_chars)
+    rows = short.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).repartition(s.sample_tasks, "id")
     sample = scratch.save(rows, "sample")
     taken = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    units, strong = _find_landmarks(sample, taken[1], taken[0], s)
-    if not units:
+    marked, strong = _find_landmarks(sample, taken[1], taken[0], s) if taken.get(0) and taken.get(1) else ([], [])
+    if not marked:
+        scratch.clean()
         return flat
-    landmarks = Landmarks(units, s)
-    shared = spark.sparkContext.broadcast(landmarks)
-
-    def rows_of(batches):
-        known = TokenRows(shared.value)
-        nothing = [np.zeros(len(shared.value.units), np.float32)]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                found = known.evidence(part.column("text").to_pylist())
-                packed = [(n, *_sparse(rows or nothing), *_sparse(own)) for rows, own, n in found]
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*packed), kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([str(i) for i in part.column("id").to_pylist()], pa.string()), part.column("toxic"), *columns],
-                    names=["id", "toxic", "n", "n_rows", "rows_at", "rows_value", "n_own", "own_at", "own_value"],
-                )
-
-    frame = sample.mapInArrow(rows_of, _SPARSE).toPandas()  # what is not 0 in the sample's kernel rows
-    frame = frame.sort_values("id", kind="stable")
-    width = len(units)
-    bags = [_dense(n, at, v, width) for n, at, v in zip(frame["n_rows"], frame["rows_at"], frame["rows_value"])]
-    ends = np.cumsum([len(b) for b in bags])
-    x, of_bag, bag_label = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), frame["toxic"].to_numpy()
-    del bags
-    label = bag_label[of_bag]
-    gram = np.zeros((len(units), len(units)))
-    places, rows = landmarks.rows(units)
-    gram[places] = rows
-    gram = (gram + gram.T) / 2
-    value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(units)))
-    nystrom = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    _, altered = landmarks.rows([v for u in strong for v in _altered(u)] or units)
-    z = np.concatenate([x, altered]) @ nystrom.astype(np.float32)
-    altered = np.arange(len(x), len(z))
-    toxic = np.flatnonzero(label == 1)
-    negative = np.flatnonzero(label == 0)
-    suspicious = x.any(axis=1)
-    margin = x.max(axis=1) - 0.5
-    for _ in range(s.rounds):
-        order = np.lexsort((-margin, of_bag))
-        first = order[np.r_[True, np.diff(of_bag[order]) > 0]]
-        witness = np.union1d(first[label[first] == 1], toxic[margin[toxic] > 0])
-        witness = witness[suspicious[witness]]
-        if not len(witness):
-            return flat
-        parts = [witness, negative[suspicious[negative]], negative[~suspicious[negative]], altered]
-        y = np.concatenate([np.full(len(p), side) for p, side in zip(parts, (1.0, -1.0, -1.0, 1.0))])
-        weight = np.concatenate([np.full(len(p), share / max(len(p), 1)) for p, share in zip(parts, s.shares)])
-        w = _machine(z, np.concatenate(parts), y, weight, s.penalty)
-        margin = z[: len(x)] @ w[:-1].astype(np.float32) + w[-1]
-    model = Model(landmarks, nystrom @ w[:-1], float(w[-1]), np.zeros(4))
-    owns = (_dense(n, at, v, width) for n, at, v in zip(frame["n_own"], frame["own_at"], frame["own_value"]))
-    seen = np.array([model.features(list(rows), list(own), n) for rows, own, n in zip(np.split(x, ends[:-1]), owns, frame["n"])])
+    landmarks = Landmarks(marked, s)
+    frame = _suspicious(sample, landmarks).toPandas().sort_values("id", kind="stable")  # bounded by the sample's rows and their length
+    scratch.clean()
+    bag_label, tokens = frame["toxic"].to_numpy(), frame["tokens"].to_numpy()
+    text = np.repeat(np.arange(len(frame)), frame["units"].map(len))
+    distinct, which = np.unique(np.concatenate([np.zeros(0, object), *frame["units"]]), return_inverse=True)
+    unit_rows = landmarks.rows_of(distinct.tolist())
+    # a text without a suspicious unit is one sentence without any
+    none = np.flatnonzero(np.bincount(text, minlength=len(frame)) == 0)
+    text = np.concatenate((text, none))
+    sentence = np.concatenate((*frame["sentences"], np.zeros(len(none)))).astype(np.int64)
+    rows = np.concatenate((unit_rows[which], np.zeros((len(none), len(marked)), np.float32)))
+    order = np.lexsort((sentence, text))
+    text, sentence, rows = text[order], sentence[order], rows[order]
+    first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
+    fitted = _fit(landmarks, strong, np.maximum.reduceat(rows, first, axis=0), text[first], bag_label)
+    if fitted is None:
+        return flat
+    model = Model(landmarks, *fitted, np.zeros(4))
+    number = np.cumsum(np.isin(np.arange(len(text)), first))
+    units = Units(np.zeros(0, np.uint32), first, first, text, number, tokens)
+    seen = model.features(*model.sums(units, np.arange(len(text)), rows, len(frame)), tokens)
     share = np.where(bag_label == 1, counts[1] / taken[1], counts[0] / taken[0]) * (len(frame) / everything)
-    scratch.drop("sample")
     return Model(landmarks, model.beta, model.bias, _curve(seen, bag_label, share))
 
 
 def _score_batches(shared, text: str):
     def scored(batches):
         model = shared.value
-        known = TokenRows(model.landmarks) if model.landmarks else None
+        known = SuspiciousUnits(model.landmarks) if model.landmarks else None
         for batch in batches:
-            out = []
-            for k in range(0, batch.num_rows, 500):
-                part = batch.column(text).slice(k, 500).to_pylist()
-                rows = known.evidence(part) if known else [([], [], 0)] * len(part)
-                out.extend(map(model.probability, rows))
-            yield batch, out
+            yield batch, model.probabilities(batch.column(text).to_pylist(), known)
 
     return scored
 
@@ -408,13 +591,14 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     carried = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    scored = _score_batches(shared, "_text")
+    (said,) = fresh(docs, "tox_text")
+    scored = _score_batches(shared, said)
 
     def add(batches):
         for batch, p in scored(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(*carried, F.col(text).alias("_text")).mapInArrow(add, schema)
+    return docs.select(*carried, F.col(text).alias(said)).mapInArrow(add, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -424,7 +608,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold:
 
     def keep(batches):
         for batch, p in scored(batches):
-            yield batch.filter(pa.array([v < threshold for v in p], pa.bool_()))
+            yield batch.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
