@@ -166,6 +166,26 @@ def spanning_forest(near: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
+def forest(near: np.ndarray, symmetric: bool = False) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the graph whose pairs are marked, by breadth-first
+    search; ``symmetric`` if rows and columns are the same nodes."""
+    sides = (near, near) if symmetric else (near, np.ascontiguousarray(near.T))
+    there = [np.ones(len(sides[1]), bool)] * 2 if symmetric else [np.ones(len(sides[1]), bool), np.ones(len(near), bool)]
+    edges: list[tuple[int, int]] = []
+    for root in np.flatnonzero(near.any(axis=1)):
+        if not there[1][root]:
+            continue
+        there[1][root] = False
+        waiting = [(0, int(root))]
+        while waiting:
+            side, node = waiting.pop()
+            found = np.flatnonzero(sides[side][node] & there[side])
+            there[side][found] = False
+            edges += [(node, k) if side == 0 else (k, node) for k in found.tolist()]
+            waiting += [(0 if symmetric else 1 - side, k) for k in found.tolist()]
+    return edges
+
+
 # ---------------------------------------------------------------- connected components
 
 
