@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import verdicts as v
-from ..plans.fields import condition, field
+from ..plans.fields import aggregate_where, any_where, condition, count_where, field, where
 from ..sources.candidates import profiles, table
 from .registry import CANDIDATES, query
 
@@ -66,7 +66,7 @@ def q_enum_not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).select(KEY, condition("work_rights", "!=", "citizen").value.alias("verdict"))
 
 
-@query(f"{CANDIDATES} SELECT candidate_ref, unrestricted AS unrestricted, unrestricted OR rights IN ('requires_sponsorship') AS either FROM p")
+@query(f"{CANDIDATES} SELECT candidate_ref, CASE WHEN rights IS NOT NULL THEN unrestricted END AS unrestricted, CASE WHEN rights IS NULL THEN NULL WHEN unrestricted THEN true ELSE rights = 'requires_sponsorship' END AS either FROM p")
 def q_work_rights_unrestricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).select(
         KEY, condition("work_rights", "is", "unrestricted").value.alias("unrestricted"), condition("work_rights", "in", ["unrestricted", "requires_sponsorship"]).value.alias("either")
@@ -112,10 +112,10 @@ def q_kleene_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UNKNOWN = "'The resume does not state {}, so this rule could not be applied. Routed to manual review.'"
 _YEARS = (
-    "CASE WHEN years IS NULL THEN " + _UNKNOWN.format("years experience") + " ELSE 'Candidate''s years experience is ' || CAST(CAST(years AS BIGINT) AS VARCHAR) || "
-    "'; the rule requires at least 6. This ' || CASE WHEN years >= 6 THEN 'meets' ELSE 'does not meet' END || ' the requirement.' END"
+    "CASE WHEN years IS NULL THEN " + _UNKNOWN.format("years of professional experience") + " ELSE 'Candidate has ' || CAST(CAST(years AS BIGINT) AS VARCHAR) || "
+    "' years of professional experience; the rule requires at least 6 years. This ' || CASE WHEN years >= 6 THEN 'meets' ELSE 'does not meet' END || ' the requirement.' END"
 )
-_RIGHTS = "CASE WHEN rights IS NULL THEN " + _UNKNOWN.format("work rights") + " ELSE 'Work rights is ' || rights || '; the rule requires exactly citizen.' END"
+_RIGHTS = "CASE WHEN rights IS NULL THEN " + _UNKNOWN.format("work rights status") + " ELSE 'Work rights status is ' || rights || '; the rule requires citizen.' END"
 
 
 @query(f"{CANDIDATES} SELECT candidate_ref, {_YEARS} AS reason FROM p")
@@ -147,12 +147,12 @@ def q_reason_or_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _months(least: float):
-    return lambda role: role["months"] >= least
+    return where("role", "months", ">=", least)
 
 
 @query(_on_roles("bool_or(months >= 90 AND seniority = 'senior')").replace("bool_or(months >= 90 AND seniority = 'senior')", "CASE WHEN count(*) FILTER (WHERE months >= 90 AND seniority = 'senior') > 0 THEN true WHEN count(*) > count(*) FILTER (WHERE (months >= 90 AND seniority = 'senior') IS NOT NULL) THEN NULL ELSE false END"))
 def q_any_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = v.any_record(F.col("experience"), lambda r: (r["months"] >= 90) & (r["seniority"] == "senior"), "role", "roles")
+    found = any_where("role", _months(90) & where("role", "seniority", "is", "senior"))
     return profiles(spark, sf_dir, with_roles=True).select(KEY, found.value.alias("verdict"))
 
 
@@ -161,7 +161,7 @@ _LOW, _HIGH = "count(*) FILTER (WHERE months >= 60)", "(count(*) FILTER (WHERE m
 
 @query(_on_roles(f"CASE WHEN ({_LOW} >= 3) = ({_HIGH} >= 3) THEN {_LOW} >= 3 END"))
 def q_count_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, v.count_records(F.col("experience"), ">=", 3, where=_months(60)).alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True).select(KEY, count_where("role", ">=", 3, _months(60)).value.alias("verdict"))
 
 
 @query(
@@ -169,13 +169,13 @@ def q_count_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"(SELECT CASE WHEN count(*) > 0 AND ({_LOW} = 3) = ({_HIGH} = 3) AND NOT ({_LOW} < 3 AND {_HIGH} > 3) THEN {_LOW} = 3 END FROM r WHERE r.candidate_ref = p.candidate_ref) AS strict FROM p"
 )
 def q_count_equals_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = (v.count_records(F.col("experience"), "=", 3, where=_months(60), strict=s) for s in (False, True))
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, one.alias("both_ends"), two.alias("strict"))
+    one, two = (count_where("role", "=", 3, _months(60), strict=s) for s in (False, True))
+    return profiles(spark, sf_dir, with_roles=True).select(KEY, one.value.alias("both_ends"), two.value.alias("strict"))
 
 
-def _aggregate(spark, sf_dir, func, op, target, where=None):
-    value = v.aggregate_records(F.col("experience"), func, lambda r: r["months"], op, target, where=where)
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, value.alias("verdict"))
+def _aggregate(spark, sf_dir, func, op, target, test=None):
+    found = aggregate_where(func, "role", "months", op, target, test)
+    return profiles(spark, sf_dir, with_roles=True).select(KEY, found.value.alias("verdict"))
 
 
 @query(_on_roles("CASE WHEN count(months) = count(*) THEN sum(months) >= 400 WHEN coalesce(sum(months), 0) >= 400 AND count(months) > 0 THEN true END"))
@@ -205,7 +205,7 @@ def q_avg_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def q_sum_agg_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aggregate(spark, sf_dir, "sum", ">=", 100, where=lambda r: r["employment_type"] == "permanent")
+    return _aggregate(spark, sf_dir, "sum", ">=", 100, where("role", "employment_type", "is", "permanent"))
 
 
 # ---------------------------------------------------------------- named fields

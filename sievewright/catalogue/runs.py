@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import verdicts as v
 from ..plans import ranking, screening
-from ..plans.fields import condition, field
+from ..plans.fields import condition, count_where, field, where
 from ..plans.screening import Rule
 from ..sources.candidates import profiles, table
 from .registry import CANDIDATES, query
@@ -17,11 +16,10 @@ STATES = ("eligible", "needs_manual_review", "excluded", "withdrawn")
 
 
 def rules() -> list[Rule]:
-    long_roles = v.count_records(F.col("experience"), ">=", 2, where=lambda r: r["months"] >= 60)
     return [
         Rule("years", condition("years", ">=", 4)),
         Rule("rights", condition("work_rights", "in", ["citizen", "permanent_resident", "unrestricted"])),
-        Rule("roles", v.Verdict(long_roles, F.lit("Roles of five years or more are counted."))),
+        Rule("roles", count_where("role", ">=", 2, where("role", "months", ">=", 60))),
     ]
 
 
@@ -31,7 +29,7 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCREEN = f"""{CANDIDATES},
 c AS (SELECT candidate_ref, count(*) FILTER (WHERE months >= 60) AS low, count(*) FILTER (WHERE months >= 60) + count(*) FILTER (WHERE months IS NULL) AS high FROM r GROUP BY candidate_ref),
-t AS (SELECT p.candidate_ref, years >= 4 AS a, (unrestricted OR rights IN ('citizen', 'permanent_resident')) AS b, CASE WHEN (low >= 2) = (high >= 2) THEN low >= 2 END AS c FROM p LEFT JOIN c ON c.candidate_ref = p.candidate_ref),
+t AS (SELECT p.candidate_ref, years >= 4 AS a, (CASE WHEN rights IS NOT NULL THEN coalesce(unrestricted, false) OR rights IN ('citizen', 'permanent_resident') END) AS b, CASE WHEN (low >= 2) = (high >= 2) THEN low >= 2 END AS c FROM p LEFT JOIN c ON c.candidate_ref = p.candidate_ref),
 o AS (SELECT candidate_ref, CASE WHEN NOT (a AND b AND c) THEN 'excluded' WHEN (a AND b AND c) IS NULL THEN 'needs_manual_review' ELSE 'eligible' END AS outcome FROM t)"""
 
 

@@ -2,7 +2,7 @@
 
 ``field("aqf") >= 7`` is a Column; ``condition("aqf", ">=", 7)`` is a Verdict with its sentence. Names
 that would carry a protected attribute have no Column at all and raise with the reason. New fields
-come by ``register_field``.
+come by ``register_field``, and new kinds of records by ``register_record``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import verdicts
+from ..operators.verdicts import Kind, Verdict, plain_number
+from .vocabulary import FORBIDDEN, LABELS, RECORD_ALIASES, RECORD_FIELDS, citations
 
 #: Ladders and enumerations.
 SENIORITY = ("intern", "graduate", "junior", "mid", "senior", "lead", "principal", "manager", "head", "director", "executive")
@@ -22,6 +24,8 @@ LEADERSHIP = ("lead", "principal", "manager", "head", "director", "executive")
 SKILL_CATEGORIES = ("technical", "domain", "language", "tool", "soft", "other")
 PROFICIENCIES = ("beginner", "intermediate", "advanced", "expert")
 EMPLOYMENT_TYPES = ("permanent", "contract", "casual", "internship", "freelance", "volunteer", "other")
+WORK_RIGHTS = ("citizen", "permanent_resident", "visa_unrestricted", "visa_restricted", "requires_sponsorship")
+UNRESTRICTED = "unrestricted"  # not a status but a property of one
 
 
 def _c(name: str) -> Column:
@@ -131,13 +135,16 @@ class Field:
     kind: str  # number, list, text, enum or flag
     label: str
     build: Callable[[], Column]
+    phrasing: tuple[str, str] | None = None
+    values: tuple[str, ...] = ()  # what an enum may be
 
 
 FIELDS: dict[str, Field] = {}
 
 
-def register_field(name: str, kind: str, build: Callable[[], Column], label: str | None = None) -> None:
-    FIELDS[name] = Field(name, kind, label or name.replace("_", " "), build)
+def register_field(name: str, kind: str, build: Callable[[], Column], label: str | None = None, phrasing: tuple[str, str] | None = None, values: tuple[str, ...] = ()) -> None:
+    known = LABELS.get(name, (name.replace("_", " "),))
+    FIELDS[name] = Field(name, kind, label or known[0], build, phrasing or (known[1:] if len(known) == 3 else None), values)
 
 
 for _name, _build in {
@@ -208,13 +215,13 @@ for _name, _build in {
 }.items():
     register_field(_name, "text", _build)
 
-for _name, _build in {
-    "work_rights": _status,
-    "highest_seniority": lambda: F.get(F.array(*map(F.lit, SENIORITY)), _seniority_level().cast("int")),
-    "latest_seniority": lambda: _latest("seniority"),
-    "latest_employment_type": lambda: _latest("employment_type"),
+for _name, (_build, _values) in {
+    "work_rights": (_status, (*WORK_RIGHTS, UNRESTRICTED)),
+    "highest_seniority": (lambda: F.get(F.array(*map(F.lit, SENIORITY)), _seniority_level().cast("int")), SENIORITY),
+    "latest_seniority": (lambda: _latest("seniority"), SENIORITY),
+    "latest_employment_type": (lambda: _latest("employment_type"), EMPLOYMENT_TYPES),
 }.items():
-    register_field(_name, "enum", _build)
+    register_field(_name, "enum", _build, values=_values)
 
 for _name, _build in {
     "has_current_role": lambda: F.when(F.size("experience") > 0, F.exists("experience", lambda r: r["is_current"])),
@@ -245,32 +252,6 @@ ALIASES = {
     "tech": "technologies", "tech_stack": "technologies", "stack": "technologies",
 }
 
-#: Records of a profile: the array column, its singular and plural, and the fields that conditions may read.
-RECORDS = {
-    "skill": ("skills", "skills", ("name", "category", "years", "proficiency", "evidence")),
-    "role": ("experience", "roles", ("title", "employer", "months", "is_current", "seniority", "industry", "employment_type", "team_size", "technologies", "summary")),
-    "qualification": ("qualifications", "qualifications", ("title", "field_of_study", "aqf", "aqf_label")),
-    "project": ("projects", "projects", ("name", "summary", "technologies", "months")),
-}
-
-#: Names that no rule may read, by the reason they are refused.
-FORBIDDEN = {
-    "location is a proxy for race and social origin": ("region", "suburb", "postcode", "location", "city", "state"),
-    "an institution's name or tier tracks social origin and country of study": ("institution", "institution_tiers", "institution_tier", "university", "universities"),
-    "dates are a proxy for age": ("completion_year", "graduation_year", "start", "end", "start_year", "age", "date_of_birth"),
-    "names carry race, national origin and sex": ("name", "full_name"),
-    "direct identifier": ("email", "phone"),
-    "sex and gender identity are protected attributes": ("gender", "sex"),
-    "national origin is a protected attribute; work rights are the lawful test": ("nationality", "citizenship", "country", "visa", "visa_subclass"),
-    "a protected attribute": ("religion", "disability", "marital_status", "children"),
-    "free text re-admits proxies removed elsewhere": ("summary",),
-    "affiliations signal religion, ethnicity, sex and political belief": ("affiliations", "job_relevant_affiliations"),
-    "career breaks track family responsibilities and disability": ("career_gap", "gap"),
-    "appearance and accent are markers of origin": ("photo", "accent", "native_language"),
-}
-_REFUSED = {name: why for why, names in FORBIDDEN.items() for name in names}
-
-
 class ForbiddenField(ValueError):
     """A field that would carry a protected attribute."""
 
@@ -279,17 +260,25 @@ class UnknownField(ValueError):
     """A name that is no field; the message names the nearest one."""
 
 
+def _refuse(name: str) -> None:
+    if name in FORBIDDEN:
+        why, statutes, instead = FORBIDDEN[name]
+        raise ForbiddenField(f"{name} may not be read by a rule: {why}. {'; '.join(citations(statutes))}. Instead: {instead}")
+
+
+def _unknown(name: str, known: list[str], what: str) -> UnknownField:
+    near = get_close_matches(name, known, n=1, cutoff=0.6)
+    return UnknownField(f"unknown {what} {name}" + (f"; did you mean {near[0]}?" if near else ""))
+
+
 def spec(name: str) -> Field:
     """The field of a name or alias."""
     name = name.strip().lower()
-    if name in FIELDS:
-        return FIELDS[name]
-    if name in ALIASES:
-        return FIELDS[ALIASES[name]]
-    if name in _REFUSED:
-        raise ForbiddenField(f"{name} may not be read by a rule: {_REFUSED[name]}")
-    near = get_close_matches(name, [*FIELDS, *ALIASES], n=1, cutoff=0.6)
-    raise UnknownField(f"unknown field {name}" + (f"; did you mean {near[0]}?" if near else ""))
+    found = FIELDS.get(ALIASES.get(name, name))
+    if found is None:
+        _refuse(name)
+        raise _unknown(name, [*FIELDS, *ALIASES], "field")
+    return found
 
 
 def field(name: str) -> Column:
@@ -306,30 +295,151 @@ OPERATORS = {
 }
 
 
-def condition(name: str, op: str, value) -> verdicts.Verdict:
-    """A condition on a named field, with its sentence; operators that do not fit the kind raise."""
-    f = spec(name)
+def enum_value(value: str, f: Field) -> str:
+    """The value as the enumeration writes it; others are refused with what there is."""
+    plain = value.strip().lower().replace("-", "_").replace(" ", "_")
+    if f.values and plain not in f.values:
+        raise ValueError(f"{f.name} is one of {', '.join(f.values)}; not {value!r}")
+    return plain if f.values else value
+
+
+def _leaf(f: Field, column: Column, op: str, value, record: str | None = None) -> Verdict:
     if op not in OPERATORS[f.kind]:
         raise TypeError(f"{f.name} is a {f.kind}; it takes {', '.join(OPERATORS[f.kind])}")
-    column = f.build()
     if f.kind == "number":
-        return verdicts.number(column, op, value, f.label)
+        return verdicts.number(column, op, value, f.label, record, phrasing=f.phrasing, name=f.name)
     if f.kind == "flag":
-        return verdicts.flag_is(column, bool(value), f.label)
+        return verdicts.flag_is(column, bool(value), f.label, record, name=f.name)
     if f.kind == "list":
-        return verdicts.list_has(column, list(value), f.label, every=op == "has all")
+        return verdicts.list_has(column, list(value), f.label, every=op == "has all", record=record, name=f.name)
     if f.kind == "text":
         if op in ("=", "!="):
-            return verdicts.text_equals(column, value, f.label, negate=op == "!=")
-        return verdicts.text_has(column, list(value), f.label, every=op == "has all")
-    if f.name == "work_rights" and "unrestricted" in (value if op == "in" else [value]):
-        unrestricted = F.when(column.isNotNull(), F.col("work_rights.unrestricted"))
-        free = verdicts.flag_is(unrestricted if op != "!=" else ~unrestricted, True, "unrestricted work rights")
-        rest = [v for v in value if v != "unrestricted"] if op == "in" else []
-        return verdicts.any_of(free, verdicts.enum_in(column, rest, f.label)) if rest else free
+            return verdicts.text_equals(column, value, f.label, negate=op == "!=", record=record, name=f.name)
+        return verdicts.text_has(column, list(value), f.label, every=op == "has all", record=record, name=f.name)
     if op == "in":
-        return verdicts.enum_in(column, list(value), f.label)
-    return verdicts.enum_is(column, value, f.label, negate=op == "!=")
+        return verdicts.enum_in(column, [enum_value(v, f) for v in value], f.label, record, name=f.name)
+    return verdicts.enum_is(column, enum_value(value, f), f.label, op=op, record=record, name=f.name)
+
+
+def condition(name: str, op: str, value) -> Verdict:
+    """A condition on a named field, with its sentence; operators that do not fit the kind raise."""
+    f = spec(name)
+    if f.name == "work_rights" and op in OPERATORS["enum"]:
+        wanted = [enum_value(v, f) for v in (value if op == "in" else [value])]
+        if UNRESTRICTED in wanted:
+            status, free = f.build(), F.col("work_rights.unrestricted")
+            if op == "in":
+                return verdicts.unrestricted_or_in(status, free, wanted, f.label, name=f.name)
+            return verdicts.unrestricted(status, free, op != "!=", f.label, name=f.name)
+    return _leaf(f, f.build(), op, value)
+
+
+# ---------------------------------------------------------------- records
+
+
+@dataclass(frozen=True)
+class Record:
+    """A kind of nested record: its column, what it is called and the fields that conditions may read."""
+
+    kind: Kind
+    column: str
+    fields: dict[str, Field]
+    readers: dict[str, Callable[[Column], Column]]
+
+    def field(self, name: str) -> Field:
+        """A record's own field goes before a refusal, so a skill's name may be read and a role's start may not."""
+        name = name.strip().lower()
+        if name not in self.fields:
+            _refuse(name)
+            raise _unknown(name, list(self.fields), f"field of {self.kind.name}")
+        return self.fields[name]
+
+
+@dataclass(frozen=True)
+class RecordCondition:
+    """A condition on a record, before it is known which one."""
+
+    on: Callable[[Column], Verdict]
+    said: str
+
+    def __and__(self, other: "RecordCondition") -> "RecordCondition":
+        return _joined(verdicts.all_of, self, other)
+
+    def __or__(self, other: "RecordCondition") -> "RecordCondition":
+        return _joined(verdicts.any_of, self, other)
+
+    def __invert__(self) -> "RecordCondition":
+        return RecordCondition(lambda r: ~self.on(r), f"NOT ({self.said})" if " " in self.said.replace(" IS TRUE", "") and (" AND " in self.said or " OR " in self.said) else f"NOT {self.said}")
+
+
+def _joined(how, one: RecordCondition, two: RecordCondition) -> RecordCondition:
+    word, other = (" AND ", " OR ") if how is verdicts.all_of else (" OR ", " AND ")
+    said = word.join(f"({c.said})" if other in c.said else c.said for c in (one, two))
+    return RecordCondition(lambda r: how(one.on(r), two.on(r)), said)
+
+
+RECORDS: dict[str, Record] = {}
+
+
+def register_record(name: str, plural: str, column: str, summary: Callable[[Column], Column], fields: dict[str, tuple], *, values: dict[str, tuple[str, ...]] | None = None, stored: dict[str, str] | None = None) -> None:
+    """``fields`` gives kind, label and, for numbers, phrasings; ``stored`` the struct's own names where they differ."""
+    specs = {n: Field(n, f[0], f[1], lambda: F.lit(None), tuple(f[2:]) or None, (values or {}).get(n, ())) for n, f in fields.items()}
+
+    def reader(inner: str) -> Callable[[Column], Column]:
+        return lambda r: r[inner]
+
+    RECORDS[name] = Record(Kind(name, plural, summary), column, specs, {n: reader((stored or {}).get(n, n)) for n in fields})
+
+
+def _with_note(text: Column, number: Column, before: str, after: str) -> Column:
+    return F.concat(text, F.coalesce(F.concat(F.lit(before), plain_number(number), F.lit(after)), F.lit("")))
+
+
+register_record("skill", "skills", "skills", lambda s: _with_note(s["name"], s["years"], " (", " years)"), RECORD_FIELDS["skill"], values={"category": SKILL_CATEGORIES, "proficiency": PROFICIENCIES})
+register_record(
+    "role", "roles", "experience", lambda r: _with_note(F.coalesce(F.nullif(r["title"], F.lit("")), F.lit("untitled role")), r["months"], " (", " months)"), RECORD_FIELDS["role"],
+    values={"seniority": SENIORITY, "employment_type": EMPLOYMENT_TYPES},
+)
+register_record("qualification", "qualifications", "qualifications", lambda q: _with_note(q["title"], q["aqf_level"], " (AQF ", ")"), RECORD_FIELDS["qualification"], stored={"aqf": "aqf_level"})
+register_record("project", "projects", "projects", lambda p: p["name"], RECORD_FIELDS["project"])
+
+
+def record(name: str) -> Record:
+    name = name.strip().lower()
+    found = RECORDS.get(RECORD_ALIASES.get(name, name))
+    if found is None:
+        raise _unknown(name, [*RECORDS, *RECORD_ALIASES], "record")
+    return found
+
+
+def where(of: str, name: str, op: str, value) -> RecordCondition:
+    """A condition on a field of a record, to be used in any_where, count_where and aggregate_where."""
+    kind = record(of)
+    f = kind.field(name)
+    read = kind.readers[f.name]
+    return RecordCondition(lambda r: _leaf(f, read(r), op, value, kind.kind.name), _leaf(f, F.lit(None), op, value, kind.kind.name).said)
+
+
+def any_where(of: str, test: RecordCondition) -> Verdict:
+    """Some record passes."""
+    kind = record(of)
+    return verdicts.any_record(F.col(kind.column), test.on, kind.kind, test.said)
+
+
+def count_where(of: str, op: str, target: float, test: RecordCondition | None = None, *, strict: bool = False) -> Verdict:
+    kind = record(of)
+    return verdicts.count_records(F.col(kind.column), op, target, kind.kind, where=test and test.on, said=test.said if test else "", strict=strict)
+
+
+def aggregate_where(func: str, of: str, name: str, op: str, target: float, test: RecordCondition | None = None) -> Verdict:
+    """SUM, MAX, MIN or AVG of a number of the records that pass."""
+    kind = record(of)
+    f = kind.field(name)
+    if f.kind != "number":
+        raise TypeError(f"{f.name} is a {f.kind}; {func} takes a number")
+    return verdicts.aggregate_records(
+        F.col(kind.column), func, kind.readers[f.name], op, target, kind.kind, where=test and test.on, said=test.said if test else "", name=f.name, label=f.label
+    )
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:

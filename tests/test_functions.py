@@ -1,6 +1,7 @@
 """Truth tables, sentences and text functions on small rows, and the sources and streams."""
 
 import io
+import time
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as tx
 from sievewright.operators import verdicts as v
 from sievewright.plans import fields, ingest, ranking, screening
-from sievewright.plans.fields import condition
+from sievewright.plans.fields import aggregate_where, any_where, condition, count_where, where
 from sievewright.sources import documents as sources
 from sievewright.sources.candidates import PROFILE
 from sievewright.streaming import queue
@@ -66,9 +67,11 @@ CASES = [
     (lambda: condition("technologies", "has all", ["Kafka", "Flink"]), T, U),
     (lambda: condition("languages", "has any", ["French"]) & condition("years", ">=", 10), N, U),
     (lambda: condition("languages", "has any", ["French"]) | condition("years", ">=", 1), T, U),
-    (lambda: v.any_record(F.col("skills"), lambda s: (s["name"] == "Python") & (s["years"] >= 3), "skill", "skills"), T, U),
-    (lambda: v.any_record(F.col("experience"), lambda r: F.contains(F.lower(r["title"]), F.lit("manager")), "role", "roles"), N, U),
-    (lambda: v.any_record(F.col("experience"), lambda r: r["months"] >= 36, "role", "roles"), U, U),
+    (lambda: any_where("skill", where("skill", "name", "=", "Python") & where("skill", "years", ">=", 3)), T, U),
+    (lambda: any_where("role", where("role", "title", "has any", ["manager"])), N, U),
+    (lambda: any_where("role", where("role", "months", ">=", 36)), U, U),
+    (lambda: any_where("project", where("project", "name", "=", "streaming")), T, U),
+    (lambda: condition("work_rights", "is", "Permanent Resident"), T, U),
 ]
 
 
@@ -81,23 +84,88 @@ def test_truth_table(people, k):
 
 
 def test_aggregates(people):
-    roles = F.col("experience")
+    year = where("role", "months", ">=", 12)
+    assert [values(people, count_where("role", ">=", n, year).value)[0] for n in (2, 3, 4)] == [T, U, N]
+    assert values(people, aggregate_where("sum", "role", "months", ">=", 50).value) == [T, U]
+    assert values(people, aggregate_where("sum", "role", "months", "<=", 60).value) == [U, U]
+    assert values(people, aggregate_where("avg", "role", "months", ">=", 10).value) == [U, U]
+    assert values(people, aggregate_where("min", "role", "months", ">=", 10).value) == [U, U]
+    assert values(people, count_where("role", ">=", 1, where("role", "industry", "=", "mining")).value) == [U, U]
+    assert values(people, aggregate_where("min", "role", "months", ">=", 20, where("role", "title", "has any", ["engineer"])).value) == [T, U]
+    assert values(people, aggregate_where("max", "skill", "years", ">=", 5, where("skill", "name", "=", "Python")).value) == [N, U]
+
+
+REASONS = [
+    (condition, ("years_experience", ">=", 8), "Candidate has 6 years of professional experience; the rule requires at least 8 years. This does not meet the requirement."),
+    (condition, ("work_rights", "is", "unrestricted"), "Candidate does have unrestricted work rights; the rule requires that they do."),
+    (condition, ("work_rights", "!=", "unrestricted"), "Candidate does have unrestricted work rights; the rule requires that they do not."),
+    (condition, ("work_rights", "in", ["citizen", "visa_restricted"]), "Work rights status is permanent_resident; the rule accepts citizen, visa_restricted."),
+    (condition, ("highest_seniority", "=", "lead"), "Highest seniority held is senior; the rule requires exactly lead."),
+    (condition, ("skills", "has all", ["python", "Rust"]), "Candidate's skills do not include Rust. Listed skills: Python, AWS, Listening."),
+    (condition, ("has_doctorate", "is", True), "Candidate does not have a doctorate (AQF 10); the rule requires that they do."),
+    (condition, ("latest_role_title", "=", "data engineer"), 'Latest role title "Senior Data Engineer" matches "data engineer".'),
+    (lambda: any_where("skill", where("skill", "name", "=", "Python") & where("skill", "years", ">=", 3)), (), (
+        "Listed skill 'Python (4 years)' satisfies name = \"Python\" AND years >= 3: Skill name \"Python\" matches \"Python\". "
+        "4 years with the skill; the rule requires at least 3 years. This meets the requirement."
+    )),
+    (lambda: any_where("role", where("role", "months", ">=", 36)), (), (
+        "Could not tell whether any listed role satisfies months >= 36 (Analyst: months in the role is not stated for this role). Routed to manual review."
+    )),
+    (lambda: any_where("role", where("role", "title", "has any", ["manager"])), (), (
+        "No listed role satisfies title HAS ANY (\"manager\"). Listed roles: Senior Data Engineer (30 months), Data Engineer (24 months), Analyst."
+    )),
+    (lambda: count_where("role", ">=", 3, where("role", "months", ">=", 12)), (), (
+        "COUNT(role WHERE months >= 12) is between 2 and 3 because 1 role could not be assessed; the rule requires at least 3. Routed to manual review."
+    )),
+    (lambda: count_where("role", ">=", 2, where("role", "months", ">=", 12)), (), "COUNT(role WHERE months >= 12) is 2; the rule requires at least 2. This meets the requirement."),
+    (lambda: aggregate_where("sum", "role", "months", "<=", 60), (), (
+        "SUM(role.months) is 54 on the roles that state months in the role, but 1 could not be assessed; the rule requires no more than 60. Routed to manual review."
+    )),
+    (lambda: condition("years", ">=", 8) & condition("aqf", ">=", 7), (), "Candidate has 6 years of professional experience; the rule requires at least 8 years. This does not meet the requirement."),
+    (lambda: condition("years", ">=", 8) | condition("aqf", ">=", 10), (), (
+        "None of the alternatives were met: (a) Candidate has 6 years of professional experience; the rule requires at least 8 years. This does not meet the requirement.; "
+        "(b) Candidate's highest qualification is AQF level 9; the rule requires at least AQF level 10. This does not meet the requirement."
+    )),
+    (lambda: ~condition("years", ">=", 8), (), "Candidate has 6 years of professional experience; the rule requires at least 8 years. This does not meet the requirement. The rule requires exactly that."),
+]
+
+
+@pytest.mark.parametrize("k", range(len(REASONS)))
+def test_reasons_are_worded_as_written_here(people, k):
+    build, given, wanted = REASONS[k]
+    assert values(people, build(*given).reason)[0] == wanted
+
 
-    def months(r):
-        return r["months"]
+def test_reasons_of_unknowns(people):
+    unknown = "so this rule could not be applied. Routed to manual review."
+    assert values(people, condition("years", ">=", 8).reason)[1] == f"The resume does not state years of professional experience, {unknown}"
+    assert values(people, any_where("project", where("project", "months", ">", 1)).reason)[1] == f"The resume lists no projects, {unknown}"
+    assert values(people, count_where("skill", ">", 1).reason)[1] == "The resume lists no skills, so COUNT(skill) could not be computed. Routed to manual review."
 
-    counts = [values(people, v.count_records(roles, ">=", n, where=lambda r: r["months"] >= 12))[0] for n in (2, 3, 4)]
-    assert counts == [T, U, N]
-    assert values(people, v.aggregate_records(roles, "sum", months, ">=", 50)) == [T, U]
-    assert values(people, v.aggregate_records(roles, "sum", months, "<=", 60)) == [U, U]
-    assert values(people, v.aggregate_records(roles, "avg", months, ">=", 10)) == [U, U]
-    assert values(people, v.aggregate_records(roles, "min", months, ">=", 10)) == [U, U]
-    assert values(people, v.count_records(roles, ">=", 1, where=lambda r: r["industry"] == "mining")) == [U, U]
 
-    def engineer(r):
-        return F.contains(F.lower(r["title"]), F.lit("engineer"))
+def test_work_rights_where_limits_are_not_said(spark):
+    rows = [{"candidate_ref": k, "work_rights": {"status": s, "unrestricted": u}} for k, (s, u) in enumerate([("citizen", None), ("visa_restricted", None), ("visa_restricted", False), ("unknown", True), ("visa_restricted", True)])]
+    people = spark.createDataFrame(rows, PROFILE)
+    assert values(people, condition("work_rights", "in", ["citizen", "unrestricted"]).value) == [T, N, N, U, T]
+    assert values(people, condition("work_rights", "is", "unrestricted").value) == [U, U, N, U, T]
+    assert values(people, condition("work_rights", "!=", "unrestricted").value) == [U, U, T, U, N]
+    assert "whether work rights are unrestricted" in values(people, condition("work_rights", "is", "unrestricted").reason)[0]
 
-    assert values(people, v.aggregate_records(roles, "min", months, ">=", 20, where=engineer)) == [T, U]
+
+def test_nesting_does_not_multiply(people):
+    rule = condition("years", ">=", 6)
+    for k in range(20):
+        other = condition("aqf", ">=", 9 + k)
+        rule = rule & other if k % 2 else rule | other
+    begin = time.perf_counter()
+    assert values(people, rule.value)[1] is None and len(values(people, rule.reason)[0]) < 4000
+    assert time.perf_counter() - begin < 20
+
+
+def test_numbers_are_said_with_six_digits(spark):
+    said = {0.0: "0", 6.0: "6", 27.5: "27.5", 100000.0: "100000", 1234567.0: "1.23457e+06", 0.00001: "1e-05", 1 / 3: "0.333333", -120.0: "-120", 99999.96: "100000", 1e20: "1e+20"}
+    rows = spark.createDataFrame([(x,) for x in said], "x double").select("x", v.plain_number(F.col("x")).alias("s")).collect()
+    assert {r.x: r.s for r in rows} == said == {x: f"{x:g}" for x in said}
 
 
 def test_all_fields_build(people):
@@ -114,6 +182,16 @@ def test_names(spark):
         condition("years_experienc", ">=", 1)
     with pytest.raises(TypeError):
         condition("years", "has any", ["x"])
+    with pytest.raises(fields.ForbiddenField, match="Age Discrimination Act 2004"):
+        where("role", "start", "=", "2019")
+    with pytest.raises(fields.UnknownField, match="did you mean months"):
+        where("role", "month", ">=", 1)
+    with pytest.raises(ValueError, match="one of"):
+        condition("highest_seniority", "is", "wizard")
+    with pytest.raises(TypeError):
+        aggregate_where("sum", "role", "title", ">=", 1)
+    assert where("skills", "name", "=", "Python").said == 'name = "Python"'
+    assert len(fields.FORBIDDEN) == 41 and sum(len(r.fields) for r in fields.RECORDS.values()) == 23
     rule = screening.Rule("a", condition("years", ">=", 1), wording="Native English speaker only")
     with pytest.raises(screening.RuleRefused):
         screening.add_rule([], rule, spark)
