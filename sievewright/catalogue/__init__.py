@@ -1,6 +1,6 @@
 """The engine's own queries over the driver's tables, with SQL that says the same."""
 
-from . import conditions, corpus, events, runs
+from . import conditions, corpus, events, resumes, runs
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "conditions", "corpus", "events", "runs"]
+__all__ = ["ORACLES", "QUERIES", "conditions", "corpus", "events", "resumes", "runs"]
