@@ -1,9 +1,10 @@
 """Benchmark decontamination: which training words lie inside passages of a test set.
 
 A window is ``n`` consecutive words of an item; an item of fewer words, but not none, is one
-window. The windows form a hash set that is broadcast after its size has been checked; each
-document is one pass over its words, and every hit is verified by looking the very words up.
-A benchmark beyond the bound is joined by window digest instead.
+window. The windows form a hash set, an array of hashes with the places of their words, that is
+broadcast after the benchmark's size has been checked; each document is one pass over its words, and
+every hit is verified on the very words. A benchmark beyond the bound gives the same results by a join
+on window digests, before which documents drop the windows that a bitmap of fixed size does not know.
 
 Defined results: a null or wordless text has no words and no hits; a null item text or id is no
 item; items that share an id count once; repeated document rows each get their own result; extra
@@ -17,11 +18,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, raw_texts
+from .common import Scratch, fresh, raw_texts, span_hashes
 
 #: A-Z become a-z; digits, letters and all bytes beyond ASCII are kept; the rest parts words.
 _WORD_BYTES = bytes(
@@ -34,44 +35,58 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """The benchmark's vocabulary and, by length, its windows with their items."""
+    """The benchmark's vocabulary, its words end to end and, by length, the hashes of its windows in
+    order with their places: some sixteen bytes for a window, and an entry for a distinct word."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items = list(dict.fromkeys(i for i, _ in items))
-        numbers = {item: k for k, item in enumerate(self.items)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        for item, raw in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(raw)], np.int32)
-            if size := min(n, len(ids)):
-                windows = found.setdefault(size, {})
-                for k in range(len(ids) - size + 1):
-                    windows.setdefault(ids[k : k + size].tobytes(), set()).add(numbers[item])
-        self.windows = {size: {w: tuple(x) for w, x in y.items()} for size, y in found.items()}
-
-    def scan(self, raw: bytes | None) -> tuple[int, np.ndarray | None, set[int]]:
-        """The number of words, which of them are hit (None: no word), and the items."""
+        self.items = [i for i, _ in items]
+        listed = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(raw)], np.int32) for _, raw in items]
+        self.words = np.concatenate([np.zeros(0, np.int32), *listed])
+        sizes = np.array([len(x) for x in listed], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({int(k) for k in np.minimum(sizes, n)} - {0}):
+            which = np.flatnonzero(np.minimum(sizes, n) == size)
+            at = np.concatenate([self.starts[k] + np.arange(sizes[k] - size + 1) for k in which])
+            hashes = span_hashes(self.words, at, at + size)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], at[order]
+
+    def scan(self, raw: bytes | None) -> tuple[int, np.ndarray | None, set]:
+        """The number of words, which of them are hit (None: no word), and the items' ids."""
         if not raw:
             return 0, None, set()
         found = words(raw)
         ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int32, len(found))
         known = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(ids > 0, out=known[1:])
-        items: set[int] = set()
+        items: set = set()
         spans = []
-        for size, windows in self.windows.items():
-            if len(ids) >= size:
-                for k in np.flatnonzero(known[size:] - known[:-size] == size):
-                    if hit := windows.get(ids[k : k + size].tobytes()):
-                        items.update(hit)
-                        spans.append((k, k + size))
+        for size, (hashes, places) in self.windows.items():
+            at = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else ()
+            if not len(at):
+                continue
+            wanted = span_hashes(ids, at, at + size)
+            low = np.searchsorted(hashes, wanted)
+            for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == wanted):
+                place = int(low[k])
+                while place < len(hashes) and hashes[place] == wanted[k]:
+                    if (self.words[places[place] : places[place] + size] == ids[at[k] : at[k] + size]).all():
+                        items.add(self.items[int(np.searchsorted(self.starts, places[place], "right")) - 1])
+                        spans.append((at[k], at[k] + size))
+                    place += 1
         if not spans:
             return len(ids), None, items
-        edge = np.zeros(len(ids) + 1, np.int32)
-        for a, b in spans:
-            edge[a] += 1
-            edge[b] -= 1
-        return len(ids), np.cumsum(edge[:-1]) > 0, items
+        return len(ids), covered(spans, len(ids)), items
+
+
+def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    for a, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
 
 def contaminated_words(n_hit: int, n_words: int, one_in: int) -> bool:
@@ -79,7 +94,8 @@ def contaminated_words(n_hit: int, n_words: int, one_in: int) -> bool:
 
 
 def _window_set(benchmark: DataFrame, text: str, item_id: str, n: int, max_words: int) -> WindowSet | None:
-    """None if the benchmark has more than max_words words."""
+    """None if the benchmark may have more than max_words words. Within the bound the set takes 16 bytes a
+    window and about a hundred a distinct word: a quarter of a gigabyte at the default, at worst."""
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text)
     size = items.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     if size > 2 * max_words:  # a word and the gap behind it take two bytes at least
@@ -127,7 +143,7 @@ def find_contamination(
                 total, hit, items = index.scan(raw)
                 n_words.append(total)
                 n_hit.append(0 if hit is None else int(hit.sum()))
-                item_ids.append(sorted(str(index.items[k]) for k in items))
+                item_ids.append(sorted(map(str, items)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -142,44 +158,92 @@ def find_contamination(
     return docs.mapInArrow(scan, schema)
 
 
-def _find_by_join(docs: DataFrame, benchmark: DataFrame, n: int, one_in: int) -> DataFrame:
-    """For a benchmark too large to broadcast: both sides as (size, digest of a window), joined."""
-
-    def windows_of(sizes, with_short):
-        def emit(batches):
-            for batch in batches:
-                keys, at, size_out, digest = [], [], [], []
-                for row, raw in enumerate(raw_texts(batch.column("text"))):
-                    found = words(raw or b"")
-                    for size in [min(n, len(found))] if with_short else sizes:
-                        for k in range(len(found) - size + 1) if size else ():
-                            keys.append(row)
-                            at.append(k)
-                            size_out.append(size)
-                            digest.append(xxhash.xxh3_128_digest(b" ".join(found[k : k + size])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(keys, pa.int64())), pa.array(at, pa.int64()), pa.array(size_out, pa.int32()), pa.array(digest, pa.binary())],
-                    names=["key", "at", "size", "digest"],
-                )
-
-        return emit
-
-    def shape(df):
-        return T.StructType([T.StructField("key", df.schema["key"].dataType), T.StructField("at", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("digest", T.BinaryType())])
-
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("key"), "text")
-    item_windows = items.mapInArrow(windows_of(None, True), shape(items)).select("size", "digest", F.col("key").alias("item")).distinct()
+BITMAP = 1 << 27  # bits
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Hashes of the words of a text, and the words."""
+    lowered = raw.translate(_WORD_BYTES)
+    data = np.frombuffer(lowered, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (data != 32).view(np.int8), [0]))))
+    return span_hashes(data, edge[::2], edge[1::2]), lowered.split()
+
+
+def _bitmap(item_windows: DataFrame) -> np.ndarray:
+    """The bits of the window hashes, in an array of BITMAP bits whatever the benchmark's size."""
+    bits = F.pmod("hash", F.lit(BITMAP))
+    masks = item_windows.select(F.shiftright(bits, 6).alias("at"), F.expr("shiftleft(1L, int(pmod(hash, 64)))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[masks.column("at").to_numpy()] = masks.column("bits").to_numpy()
+    return out
+
+
+def _window_rows(sizes, bitmap, n: int):
+    """Rows (key, at, size, hash, digest) of a text's windows: of all lengths in ``sizes`` that the bitmap
+    knows, or without sizes of an item's own length."""
+
+    def emit(batches):
+        for batch in batches:
+            keys, columns = [], [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64)]
+            digests: list[bytes] = []
+            for row, raw in enumerate(raw_texts(batch.column("text"))):
+                hashes, found = _word_hashes(raw or b"")
+                for size in sizes or [min(n, len(found))]:
+                    if not size or len(found) < size:
+                        continue
+                    at = np.arange(len(found) - size + 1)
+                    window = (span_hashes(hashes, at, at + size) + np.uint64(size)).view(np.int64)
+                    if bitmap is not None:
+                        bit = np.mod(window, BITMAP)
+                        keep = (bitmap.value[bit >> 6] >> (bit & 63)) & 1 == 1
+                        at, window = at[keep], window[keep]
+                    keys += [row] * len(at)
+                    digests += [xxhash.xxh3_128_digest(b" ".join(found[k : k + size])) for k in at]
+                    for column, values in zip(columns, (at, np.full(len(at), size, np.int32), window)):
+                        column.append(values)
+            made = [pa.array(np.concatenate(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), *made, pa.array(digests, pa.binary())], names=["key", "at", "size", "hash", "digest"])
+
+    return emit
+
+
+def _shape(df: DataFrame) -> T.StructType:
+    kinds = (("at", T.LongType()), ("size", T.IntegerType()), ("hash", T.LongType()), ("digest", T.BinaryType()))
+    return T.StructType([T.StructField("key", df.schema["key"].dataType), *(T.StructField(n, t) for n, t in kinds)])
+
+
+def _text_key(text: str) -> Column:
+    """What is found in a text depends on the text alone, so its digest is its key."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def _hits_by_join(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, n: int) -> DataFrame:
+    """(key, item_ids, hit) of the texts of docs that have hits; hit holds the numbers, from 0, of hit words."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("key"), F.col(item_text).alias("text"))
+    item_windows = scratch.save(items.mapInArrow(_window_rows(None, None, n), _shape(items)).select("size", "hash", "digest", F.col("key").alias("item")).distinct(), "windows")
     sizes = sorted(r[0] for r in item_windows.select("size").distinct().collect())  # n values at most
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
-    found = keyed.mapInArrow(windows_of(sizes, False), shape(keyed)).join(item_windows, ["size", "digest"])
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(item_windows))
+    keyed = docs.where(F.col(text).isNotNull()).select(_text_key(text).alias("key"), F.col(text).alias("text"))
+    sized = keyed.mapInArrow(_window_rows(sizes, bitmap, n), _shape(keyed)) if sizes else keyed.limit(0).mapInArrow(_window_rows([n], None, n), _shape(keyed))
+    found = sized.join(item_windows.select("size", "digest", "item"), ["size", "digest"])
     hit = found.select("key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct()
-    by_doc = found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    by_doc = by_doc.join(hit.groupBy("key").agg(F.count("*").alias("n_hit")), "key")
-    lowered = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counted = docs.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), F.coalesce(F.regexp_count(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(by_doc.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"))
+    words_hit = hit.groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("hit"))
+    return scratch.save(found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).join(words_hit, "key"), "hits")
+
+
+def _count_words(text: str) -> Column:
+    lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.regexp_count(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def _find_by_join(docs: DataFrame, benchmark: DataFrame, n: int, one_in: int) -> DataFrame:
+    """find_contamination for a benchmark too large to broadcast."""
+    hits = _hits_by_join(docs, benchmark, "text", "item_id", "text", n)
+    counted = docs.select("doc_id", _text_key("text").alias("key"), _count_words("text").alias("n_words"))
+    n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
+    out = counted.join(hits, "key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, one_in: int = 20, max_broadcast_words: int = 4_000_000) -> DataFrame:
@@ -187,10 +251,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
     windows = _window_set(benchmark, item_text, item_id, n, max_broadcast_words)
     if windows is None:
         key, of = fresh(docs, "key", "of")
-        bad = docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text"))
-        bad = _find_by_join(bad, benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), n, one_in)
-        bad = bad.where("contaminated").select(F.col("doc_id").alias(of)).distinct()
-        return docs.withColumn(key, F.xxhash64(text)).join(bad, F.col(key) == F.col(of), "left_anti").drop(key)
+        hits = _hits_by_join(docs, benchmark, text, item_id, item_text, n).select(F.col("key").alias(of), F.size("hit").alias("n_hit"))
+        counted = docs.select(_text_key(text).alias(key), _count_words(text).alias("n_words")).distinct()
+        bad = hits.join(counted, F.col(of) == F.col(key)).where(one_in * F.col("n_hit") >= F.col("n_words")).select(of)
+        return docs.withColumn(key, _text_key(text)).join(bad, F.col(key) == F.col(of), "left_anti").drop(key)
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def keep(batches):
@@ -205,37 +269,48 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
     return docs.mapInArrow(keep, docs.schema)
 
 
+def _cut(raw: bytes, hit: np.ndarray) -> bytes:
+    """The text without hit words and what stands between two of them."""
+    data = np.frombuffer(raw.translate(_WORD_BYTES), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], data.view(np.int8), [0]))))
+    starts, ends = edge[::2], edge[1::2]
+    run = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    parts, at = [], 0
+    for a, b in zip(run[::2], run[1::2]):
+        parts.append(raw[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*parts, raw[at:]])
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, max_broadcast_words: int = 4_000_000) -> DataFrame:
     """docs with every hit word, and what stands between two of them, cut out of the text."""
     windows = _window_set(benchmark, item_text, item_id, n, max_broadcast_words)
+    names, place = docs.columns, docs.columns.index(text)
+    shared = None if windows is None else docs.sparkSession.sparkContext.broadcast(windows)
+    given = docs
     if windows is None:
-        raise ValueError("span removal needs the benchmark within max_broadcast_words; raise the bound or split the benchmark")
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    place = docs.columns.index(text)
-
-    def cut(raw: bytes, hit: np.ndarray) -> bytes:
-        data = np.frombuffer(raw.translate(_WORD_BYTES), np.uint8) != 32
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], data.view(np.int8), [0]))))
-        starts, ends = edge[::2], edge[1::2]
-        run = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        parts, at = [], 0
-        for a, b in zip(run[::2], run[1::2]):
-            parts.append(raw[at : starts[a]])
-            at = ends[b - 1]
-        return b"".join([*parts, raw[at:]])
+        key, of, words_hit = fresh(docs, "key", "of", "hit")
+        hits = _hits_by_join(docs, benchmark, text, item_id, item_text, n).select(F.col("key").alias(of), F.col("hit").alias(words_hit))
+        given = docs.join(hits, _text_key(text) == F.col(of), "left").select(*docs.columns, words_hit)
+
+    def hit_words(raw: bytes, listed) -> np.ndarray | None:
+        if shared is not None:
+            return shared.value.scan(raw)[1]
+        return None if listed is None else np.bincount(listed, minlength=len(words(raw))) > 0
 
     def rewrite(batches):
-        index = shared.value
         for batch in batches:
             column = batch.column(place)
+            listed = batch.column(batch.num_columns - 1).to_pylist() if shared is None else [None] * batch.num_rows
             out = []
-            for raw in raw_texts(column):
-                _, hit, _ = index.scan(raw)
-                out.append(raw if hit is None else cut(raw, hit))
+            for raw, numbers in zip(raw_texts(column), listed):
+                hit = None if raw is None else hit_words(raw, numbers)
+                out.append(raw if hit is None else _cut(raw, hit))
             changed = pa.array([None if x is None else x.decode() for x in out], column.type)
-            yield batch.set_column(place, batch.schema.field(place), changed)
+            columns = [changed if k == place else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(rewrite, docs.schema)
+    return given.mapInArrow(rewrite, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -129,9 +129,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _estimates(table: pa.Table, threshold: float) -> np.ndarray:
     packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
     n = table.column("n_shingles").to_numpy().astype(float)
-    out = np.empty((len(n), len(n)), np.float32)
-    for k in range(0, len(n), 64):
-        out[k : k + 64] = similarity(packed[k : k + 64, None, :], packed[None, :, :])
+    out = np.full((len(n), len(n)), -1.0, np.float32)
+    own = table.column("own").to_numpy()
+    here = own == table.column("block")[0].as_py()
+    # a table of two blocks is about the pairs between them, which no other task looks at
+    one, two = np.flatnonzero(here), np.arange(len(n)) if here.all() else np.flatnonzero(~here)
+    for k in range(0, len(one), 64):
+        part = one[k : k + 64]
+        near = similarity(packed[part, None, :], packed[None, two, :])
+        out[np.ix_(part, two)] = near
+        out[np.ix_(two, part)] = near.T
     out[np.minimum(n[:, None], n) < threshold * np.maximum(n[:, None], n) - 1e-9] = -1.0
     np.fill_diagonal(out, -1.0)
     return out
@@ -208,7 +215,9 @@ def _settled(members: DataFrame, threshold: float, percent: int) -> DataFrame:
     def links(batches):
         for table in sorted_groups(batches, _KEYS):
             if table.num_rows > 1 and len(pairs := _crossing(table, threshold)):
-                sets = [np.asarray(s, np.int64) for s in table.column("shingles").to_pylist()]
+                listed = table.column("shingles").combine_chunks()
+                values, at = listed.values.to_numpy(), listed.offsets.to_numpy()
+                sets = [values[a:b] for a, b in zip(at[:-1], at[1:])]
                 common = _common(sets, pairs)
                 lengths = np.array([len(s) for s in sets])
                 linked = pairs[100 * common >= percent * (lengths[pairs].sum(axis=1) - common)]
@@ -265,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     met = met.select("key", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("s"))
     met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("s", "t").alias("block"), F.greatest("s", "t").alias("other"), "sig")
+    met = met.select("key", F.least("s", "t").alias("block"), F.greatest("s", "t").alias("other"), F.col("s").alias("own"), "sig")
     members = scratch.save(met.join(classes.select("sig", "n_shingles", "packed", "bands"), "sig"), "members")
 
     threshold = percent / 100
