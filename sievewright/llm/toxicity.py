@@ -258,9 +258,10 @@ class Landmarks:
         cut = [windows(u) for u in units]
         owner = np.repeat(np.arange(len(units)), list(map(len, cut)))
         out = np.zeros((len(units), len(self.units)), np.float32)
-        for k in range(0, len(owner), 50_000):
-            places, rows = self.rows(coded([w for c in cut for w in c][k : k + 50_000]))
-            np.maximum.at(out, owner[k : k + 50_000][places], rows)
+        flat = [w for c in cut for w in c]
+        for k in range(0, len(flat), 5000):
+            places, rows = self.rows(coded(flat[k : k + 5000]))
+            np.maximum.at(out, owner[k : k + 5000][places], rows)
         return out
 
 
@@ -392,7 +393,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.features(worst, toxic, evidence, tokens) @ self.curve, -700, 700)))
 
 
-def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, step: int = 8192) -> np.ndarray:
+def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, step: int = 4096) -> np.ndarray:
     """A linear machine with squared hinge loss over the rows ``at`` of x, by Newton steps that take a
     few thousand rows at a time; the last weight is the bias."""
     ridge = penalty * np.eye(x.shape[1] + 1)
@@ -501,7 +502,9 @@ def _fit(landmarks: Landmarks, strong: list[str], sentence_rows: np.ndarray, of_
     value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     nystrom = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     _, altered = landmarks.rows(coded([v[:WINDOW] for u in strong for v in _altered(u)] or landmarks.units))
-    z = np.concatenate([x, altered]) @ nystrom.astype(np.float32)
+    z = np.empty((len(x) + len(altered), len(gram)), np.float32)
+    np.matmul(x, nystrom.astype(np.float32), out=z[: len(x)])
+    np.matmul(altered, nystrom.astype(np.float32), out=z[len(x) :])
     altered = np.arange(len(x), len(z))
     toxic, negative = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     suspicious = x.any(axis=1)
@@ -557,22 +560,31 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     text = np.repeat(np.arange(len(frame)), frame["units"].map(len))
     distinct, which = np.unique(np.concatenate([np.zeros(0, object), *frame["units"]]), return_inverse=True)
     unit_rows = landmarks.rows_of(distinct.tolist())
-    # a text without a suspicious unit is one sentence without any
+    # a text without a suspicious unit is one sentence without any, whose kernel row is the zeros at the end
     none = np.flatnonzero(np.bincount(text, minlength=len(frame)) == 0)
     text = np.concatenate((text, none))
     sentence = np.concatenate((*frame["sentences"], np.zeros(len(none)))).astype(np.int64)
-    rows = np.concatenate((unit_rows[which], np.zeros((len(none), len(marked)), np.float32)))
+    del frame
+    unit_rows = np.concatenate((unit_rows, np.zeros((1, len(marked)), np.float32)))
+    which = np.concatenate((which, np.full(len(none), len(distinct)))).astype(np.int64)
     order = np.lexsort((sentence, text))
-    text, sentence, rows = text[order], sentence[order], rows[order]
+    text, sentence, which = text[order], sentence[order], which[order]
     first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
-    fitted = _fit(landmarks, strong, np.maximum.reduceat(rows, first, axis=0), text[first], bag_label)
+    sentence_rows = np.zeros((len(first), len(marked)), np.float32)
+    ends = np.append(first[1:], len(which))
+    for k in range(0, len(first), 4096):  # a few thousand sentences at a time
+        begin, end = first[k], ends[min(k + 4096, len(first)) - 1]
+        sentence_rows[k : k + 4096] = np.maximum.reduceat(unit_rows[which[begin:end]], first[k : k + 4096] - begin, axis=0)
+    fitted = _fit(landmarks, strong, sentence_rows, text[first], bag_label)
     if fitted is None:
         return flat
     model = Model(landmarks, *fitted, np.zeros(4))
-    number = np.cumsum(np.isin(np.arange(len(text)), first))
-    units = Units(np.zeros(0, np.uint32), first, first, text, number, tokens)
-    seen = model.features(*model.sums(units, np.arange(len(text)), rows, len(frame)), tokens)
-    share = np.where(bag_label == 1, counts[1] / taken[1], counts[0] / taken[0]) * (len(frame) / everything)
+    worst, own = np.full(len(bag_label), model.bias), (unit_rows @ model.beta)[which]
+    np.maximum.at(worst, text[first], sentence_rows @ model.beta + model.bias)
+    real = which < len(distinct)
+    toxic, evidence = (np.bincount(text[real], v[real], len(bag_label)) for v in (own + model.bias > 0, np.maximum(own, 0.0)))
+    seen = model.features(worst, toxic, evidence, tokens)
+    share = np.where(bag_label == 1, counts[1] / taken[1], counts[0] / taken[0]) * (len(bag_label) / everything)
     return Model(landmarks, model.beta, model.bias, _curve(seen, bag_label, share))
 
 
