@@ -264,3 +264,80 @@ def q_technologies_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_named_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("security_clearance", "has_clearance", "management_years", "has_management_experience", "requires_sponsorship")
     return profiles(spark, sf_dir).select(KEY, *map(field, names))
+
+
+def _one(name: str):
+    """A list field as one text of its items in order, whatever their order in the list."""
+    return F.array_join(F.array_sort(field(name)), "|").alias(name)
+
+
+def _agg(column: str, where: str = "true") -> str:
+    return f"string_agg({column}, '|' ORDER BY {column}) FILTER (WHERE {where} AND {column} IS NOT NULL)"
+
+
+_LEVEL = "CASE k % 4 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 9 END"
+
+
+@query(
+    f"SELECT k AS candidate_ref, nullif(k % 4, 0) AS language_count, CASE k % 4 WHEN 1 THEN 'English' WHEN 2 THEN 'English|Hindi' WHEN 3 THEN 'English|French|Hindi' END AS languages, CASE WHEN k % 4 > 0 THEN k % 4 >= 2 END AS multilingual, "
+    "nullif(k % 3, 0) AS certification_count, CASE k % 3 WHEN 1 THEN 'AWS Certified' WHEN 2 THEN 'AWS Certified|CISSP' END AS certifications, CASE WHEN k % 3 > 0 THEN true END AS has_certifications, "
+    "nullif(k % 2, 0) AS licence_count, CASE WHEN k % 2 = 1 THEN 'Forklift' END AS licences, CASE WHEN k % 2 = 1 THEN true END AS has_licence, "
+    "nullif(k % 3, 0) AS project_count, CASE k % 3 WHEN 1 THEN 'Project 1' WHEN 2 THEN 'Project 1|Project 2' END AS project_names, CASE k % 3 WHEN 1 THEN 'Flink' WHEN 2 THEN 'Flink|Flink|Kafka' END AS project_technologies, CASE WHEN k % 3 > 0 THEN true END AS has_projects, "
+    "CASE WHEN k % 5 > 0 THEN k % 5 - 1 END AS publications_count, CASE WHEN k % 5 > 0 THEN k % 5 > 1 END AS has_publications, CASE WHEN k % 7 > 3 THEN k % 7 END AS people_managed_max, CASE WHEN k % 6 > 0 THEN k % 6 END AS availability_weeks "
+    "FROM (SELECT c_custkey AS k FROM customer)"
+)
+def q_named_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields on languages, certificates, licences, projects and publications."""
+    people = profiles(spark, sf_dir, with_extras=True)
+    counts = [field(n).cast("long").alias(n) for n in ("language_count", "certification_count", "licence_count", "project_count", "publications_count", "people_managed_max", "availability_weeks")]
+    flags = [field(n) for n in ("multilingual", "has_certifications", "has_licence", "has_projects", "has_publications")]
+    return people.select(KEY, *counts, *flags, *map(_one, ("languages", "certifications", "licences", "project_names", "project_technologies")))
+
+
+@query(
+    f"SELECT k AS candidate_ref, {_LEVEL} AS aqf, nullif(k % 4, 0) AS qualification_count, CASE WHEN k % 4 > 0 THEN k % 4 - 1 END AS degree_count, {_LEVEL} >= 7 AS has_degree, {_LEVEL} >= 8 AS has_postgraduate, {_LEVEL} >= 9 AS has_masters, {_LEVEL} >= 10 AS has_doctorate, "
+    "CASE k % 4 WHEN 1 THEN 'Diploma of IT' WHEN 2 THEN 'Bachelor of Arts' WHEN 3 THEN 'Master of IT' END AS highest_qualification, CASE k % 4 WHEN 1 THEN 'Diploma of IT' WHEN 2 THEN 'Bachelor of Arts|Diploma of IT' WHEN 3 THEN 'Bachelor of Arts|Diploma of IT|Master of IT' END AS qualification_titles, "
+    "CASE k % 4 WHEN 1 THEN 'IT' WHEN 2 THEN 'Arts|IT' WHEN 3 THEN 'Arts|IT' END AS fields_of_study, CASE k % 4 WHEN 1 THEN 'Diploma' WHEN 2 THEN 'Bachelor Degree|Diploma' WHEN 3 THEN 'Bachelor Degree|Diploma|Masters Degree' END AS aqf_labels "
+    "FROM (SELECT c_custkey AS k FROM customer)"
+)
+def q_named_qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = profiles(spark, sf_dir, with_extras=True)
+    counts = [field(n).cast("long").alias(n) for n in ("aqf", "qualification_count", "degree_count")]
+    plain = [field(n) for n in ("has_degree", "has_postgraduate", "has_masters", "has_doctorate", "highest_qualification")]
+    return people.select(KEY, *counts, *plain, *map(_one, ("qualification_titles", "fields_of_study", "aqf_labels")))
+
+
+@query(
+    f"{CANDIDATES}, e AS (SELECT *, CASE WHEN role_id % 4 > 0 THEN 'Employer ' || role_id % 4 END AS employer, CASE role_id % 3 WHEN 0 THEN 'Banking' WHEN 1 THEN 'retail' END AS industry, row_number() OVER (PARTITION BY candidate_ref, is_current ORDER BY began DESC, role_id) AS nth, "
+    "row_number() OVER (PARTITION BY candidate_ref, is_current, months IS NOT NULL ORDER BY began DESC, role_id) AS nth_stated FROM r) "
+    f"SELECT p.candidate_ref, {_agg('title')} AS role_titles, {_agg('title', 'is_current')} AS current_role_titles, {_agg('employer')} AS employers, {_agg('industry')} AS industries, {_agg('employment_type')} AS employment_types, {_agg('seniority')} AS seniorities, "
+    "nullif(count(DISTINCT industry), 0) AS industry_count, max(title) FILTER (WHERE is_current AND nth = 1) AS current_role_title, max(months) FILTER (WHERE is_current AND nth_stated = 1) AS current_role_months, "
+    "CASE WHEN bool_or(is_current) THEN max(employment_type) FILTER (WHERE is_current AND nth = 1) ELSE max(employment_type) FILTER (WHERE nth = 1) END AS latest_employment_type, bool_or(is_current) AS has_current_role, "
+    "CAST(max(CASE seniority WHEN 'graduate' THEN 1 WHEN 'junior' THEN 2 WHEN 'mid' THEN 3 WHEN 'senior' THEN 4 WHEN 'executive' THEN 10 END) AS BIGINT) AS seniority_level, "
+    "CASE WHEN count(role_id) = 0 THEN NULL WHEN bool_or(role_id % 2 = 1) THEN 'kafka|spark' ELSE 'kafka' END AS technologies FROM p LEFT JOIN e ON e.candidate_ref = p.candidate_ref GROUP BY p.candidate_ref"
+)
+def q_named_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields on roles: lists, the current and the latest one, technologies that differ in case alone."""
+    people = profiles(spark, sf_dir, with_roles=True)
+    lists = map(_one, ("role_titles", "current_role_titles", "employers", "industries", "employment_types", "seniorities"))
+    plain = [field(n) for n in ("current_role_title", "current_role_months", "latest_employment_type", "has_current_role")]
+    tools = F.array_join(F.array_sort(F.transform(field("technologies"), F.lower)), "|").alias("technologies")
+    return people.select(KEY, *lists, *plain, field("industry_count").cast("long").alias("industry_count"), field("seniority_level").cast("long").alias("seniority_level"), tools)
+
+
+@query(
+    f"{CANDIDATES} SELECT p.candidate_ref, " + ", ".join(f"sha256(coalesce({_agg('name', w)}, '')) AS {n}" for n, w in (
+        ("skills", "true"), ("technical_skills", "category = 'technical'"), ("tool_skills", "category = 'tool'"), ("soft_skills", "category = 'soft'"), ("domain_skills", "category = 'domain'"),
+        ("language_skills", "category = 'language'"), ("expert_skills", "proficiency = 'expert'"), ("skills_with_years", "s.years IS NOT NULL"),
+    )) + " FROM p LEFT JOIN s ON s.candidate_ref = p.candidate_ref GROUP BY p.candidate_ref"
+)
+def q_named_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of skills by category, rating and stated years, as digests of their names in order."""
+    names = ("skills", "technical_skills", "tool_skills", "soft_skills", "domain_skills", "language_skills", "expert_skills", "skills_with_years")
+    people = profiles(spark, sf_dir, with_skills=True)
+    return people.select(KEY, *[F.sha2(F.coalesce(F.array_join(F.array_sort(field(n)), "|"), F.lit("")), 256).alias(n) for n in names])
+
+
+@query(f"{CANDIDATES} SELECT candidate_ref, rights AS work_rights, CASE WHEN rights IS NOT NULL THEN unrestricted END AS work_rights_unrestricted, years AS years_experience FROM p")
+def q_named_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(spark, sf_dir).select(KEY, *map(field, ("work_rights", "work_rights_unrestricted", "years_experience")))

@@ -11,18 +11,21 @@ from .registry import query
 
 
 def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as those of a queue: a user is a document, ten users are a job."""
-    kind = F.element_at(F.create_map(*map(F.lit, ("signup", "enqueue", "view", "claim", "click", "heartbeat", "purchase", "complete", "error", "fail"))), F.col("event_type"))
-    return table(spark, sf_dir, "events").select(
-        F.col("ts").alias("event_ts"), F.col("user_id").cast("string").alias("document_id"), (F.col("user_id") % 10).cast("string").alias("job_id"),
-        kind.alias("kind"), F.lit("worker").alias("token"), F.when(F.col("event_id") % 2 == 0, "TIMEOUT").otherwise("CORRUPT").alias("code"),
-    )
+    """The events as those of documents on their way: a user is a document, a view a claim, an error a failure."""
+    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "error", "fail").otherwise("other")
+    code = F.when(F.col("event_id") % 2 == 0, "TIMEOUT").otherwise("CORRUPT")
+    return table(spark, sf_dir, "events").select(F.col("ts").alias("event_ts"), "event_id", F.col("user_id").alias("document_id"), kind.alias("kind"), code.alias("code"))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT user_id AS document_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events) "
+    "SELECT document_id, event_id, attempt, CASE WHEN event_id % 2 = 0 AND attempt < 3 THEN 'PENDING' ELSE 'FAILED' END AS status, CASE WHEN event_id % 2 = 0 AND attempt < 3 THEN CASE WHEN attempt <= 1 THEN 30 ELSE 120 END END AS waits FROM c WHERE event_type = 'error'"
+)
 def q_queue_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every change of every document's state, by the fold over its events."""
-    return queue.transitions(queue_events(spark, sf_dir)).select("document_id", "job_id", "status", "attempts", "code")
+    """Every failure with its attempt, what becomes of the document and how long it waits."""
+    found = queue.attempts(queue_events(spark, sf_dir))
+    waits = F.round(F.unix_micros("available_at") / 1e6 - F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).cast("int")
+    return found.select("document_id", "event_id", "attempt", "status", waits.alias("waits"))
 
 
 @query(

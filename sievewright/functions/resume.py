@@ -457,7 +457,7 @@ def recovered_json(answer: Column) -> Column:
     plain = F.regexp_replace(answer, r"(?is)<think>.*?</think>", "")
     fenced = F.nullif(F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
-    tries = [F.trim(x) for x in (plain, fenced, braces)]
+    tries = [_stripped(x, r"\s") for x in (plain, fenced, braces)]
     return F.coalesce(*[F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t) for t in tries])
 
 

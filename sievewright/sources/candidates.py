@@ -7,7 +7,7 @@ and skills are nested per candidate by one aggregation each, on the key that the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RIGHTS = {"BUILDING": "citizen", "MACHINERY": "permanent_resident", "AUTOMOBILE": "requires_sponsorship", "FURNITURE": "visa_unrestricted", "HOUSEHOLD": "unknown"}
@@ -43,12 +43,14 @@ def _named(column: str, names: dict[str, str]):
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per role, flat."""
-    said = F.col("o_orderstatus") != "P"
+    said, key = F.col("o_orderstatus") != "P", F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("candidate_ref"), F.col("o_orderkey").alias("role_id"), F.col("o_orderdate").alias("began"),
         F.col("o_orderpriority").alias("title"), (F.col("o_orderdate") >= "2001-01-01").alias("is_current"),
         F.when(said, F.floor(F.col("o_totalprice") / 5000).cast("double")).alias("months"), F.when(said, _named("o_orderpriority", SENIORITY)).alias("seniority"),
         F.when(F.col("o_orderstatus") == "F", "permanent").when(F.col("o_orderstatus") == "O", "contract").alias("employment_type"),
+        F.when(key % 4 > 0, F.concat(F.lit("Employer "), (key % 4).cast("string"))).alias("employer"), F.when(key % 3 == 0, "Banking").when(key % 3 == 1, "retail").alias("industry"),
+        F.nullif(key % 5, F.lit(0)).cast("int").alias("team_size"), F.when(key % 2 == 0, F.array(F.lit("Kafka"))).otherwise(F.array(F.lit("spark"), F.lit("kafka"))).alias("technologies"),
     )
 
 
@@ -75,7 +77,32 @@ def _nested(flat: DataFrame, order: list, fields: str, name: str) -> DataFrame:
     return listed.select("candidate_ref", F.transform("x", lambda v: v["record"]).alias(name))
 
 
-def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with_skills: bool = False) -> DataFrame:
+def _first(items: list, n) -> Column:
+    return F.slice(F.array(*items), F.lit(1), n.cast("int"))
+
+
+def _extras() -> dict[str, Column]:
+    """What a candidate's number stands for: languages, awards, projects and the like."""
+    k = F.col("c_custkey")
+    awards = [("Diploma of IT", "IT", 5, "Diploma"), ("Bachelor of Arts", "Arts", 7, "Bachelor Degree"), ("Master of IT", None, 9, "Masters Degree")]
+
+    def award(title, study, level, label):
+        return F.struct(
+            F.lit(title).alias("title"), F.lit(None).cast("string").alias("institution"), F.lit(study).cast("string").alias("field_of_study"), F.lit(None).cast("int").alias("completion_year"),
+            F.lit(None).cast("string").alias("country"), F.lit(level).alias("aqf_level"), F.lit(label).alias("aqf_label"), F.lit(1.0).alias("aqf_confidence"),
+        )
+
+    def project(n, tools):
+        return F.struct(F.lit(f"Project {n}").alias("name"), F.lit(None).cast("string").alias("summary"), F.array(*map(F.lit, tools)).alias("technologies"), F.lit(2.0 * n).alias("months"))
+
+    return {
+        "languages": _first([F.lit(x) for x in ("English", "Hindi", "French")], k % 4), "certifications": _first([F.lit("AWS Certified"), F.lit("CISSP")], k % 3),
+        "licences": _first([F.lit("Forklift")], k % 2), "projects": _first([project(1, ["Flink"]), project(2, ["Flink", "Kafka"])], k % 3), "qualifications": _first([award(*a) for a in awards], k % 4),
+        "publications_count": F.when(k % 5 > 0, k % 5 - 1).cast("int"), "people_managed_max": F.when(k % 7 > 3, k % 7).cast("int"), "availability_weeks": F.when(k % 6 > 0, k % 6).cast("double"),
+    }
+
+
+def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with_skills: bool = False, with_extras: bool = False) -> DataFrame:
     """A row per candidate with the columns of PROFILE; newest roles first."""
     people = table(spark, sf_dir, "customer")
     balance = F.col("c_acctbal")
@@ -89,6 +116,7 @@ def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with
         ).alias("work_rights"),
         F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("Clearance of nation "), F.col("c_nationkey").cast("string"))).alias("security_clearance"),
         F.when(balance > 5000, F.floor((balance - 5000) / 1000).cast("double")).alias("management_years"),
+        *[c.alias(n) for n, c in (_extras() if with_extras else {}).items()],
     )
     if with_roles:
         flat = roles(spark, sf_dir)

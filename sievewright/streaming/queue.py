@@ -1,77 +1,40 @@
-"""The work queue as streaming state: leases, fenced completion, retries with back-off and roll-ups.
+"""Event streams: attempts and their retries, roll-ups of jobs, windows, sessions and late data.
 
-Events are (event_ts, document_id, job_id, kind, token, code) with kind one of enqueue, claim,
-heartbeat, complete and fail. State is kept per document, so documents are independent and a hot job
-is spread over all tasks; jobs are rolled up by an ordinary aggregation of the documents' states.
+Spark's scheduler, checkpoints and exactly-once sinks do what a work queue with leases would; what is
+left to compute is what the events say. All of it is declared on DataFrames and runs on tables, and
+the windowed and deduplicating parts on streams too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEASE_S, MAX_ATTEMPTS = 120, 3
+MAX_ATTEMPTS = 3
+#: Seconds to wait after the first and after every later failure, and what may be tried again.
 BACK_OFF_S = (30, 120)
 RETRYABLE = ("TIMEOUT", "PARSER_FAILED", "OCR_FAILED")
 
-STATE = "status string, attempts int, token string, lease_until double, available_at double, job_id string"
-OUT = "document_id string, job_id string, status string, attempts int, code string, at double"
-
-
-def step(state: tuple, event: tuple) -> tuple[tuple, str | None]:
-    """The state after an event, and the code of a change worth writing (None: ignored)."""
-    status, attempts, token, lease_until, available_at, job = state
-    at, kind, said, code, of_job = event
-    if status == "RUNNING" and at > lease_until:  # the lease ran out before this event
-        status, token = ("FAILED", None) if attempts >= MAX_ATTEMPTS else ("PENDING", None)
-    holds = status == "RUNNING" and said is not None and said == token
-    changed = None
-    if kind == "enqueue" and status is None:
-        status, attempts, available_at, job, changed = "PENDING", 0, at, of_job, "QUEUED"
-    elif kind == "claim" and status == "PENDING" and at >= available_at and attempts < MAX_ATTEMPTS:
-        status, attempts, token, lease_until, changed = "RUNNING", attempts + 1, said, at + LEASE_S, "CLAIMED"
-    elif kind == "heartbeat" and holds:
-        lease_until = at + LEASE_S
-    elif kind == "complete" and holds:
-        status, token, changed = "SUCCEEDED", None, "DONE"
-    elif kind == "fail" and holds:
-        token = None
-        if code in RETRYABLE and attempts < MAX_ATTEMPTS:
-            status, available_at, changed = "PENDING", at + BACK_OFF_S[min(attempts, len(BACK_OFF_S)) - 1], f"RETRY_{code}"
-        else:
-            status, changed = "FAILED", code
-    return (status, attempts, token, lease_until, available_at, job), changed
-
-
-FRESH = (None, 0, None, 0.0, 0.0, None)
-
-
-def _folded(document: str, now: tuple, events: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    rows = []
-    for e in events.sort_values("event_ts", kind="stable").itertuples(index=False):
-        at = e.event_ts.timestamp()
-        now, changed = step(now, (at, e.kind, e.token, e.code, e.job_id))
-        if changed:
-            rows.append((document, now[5], now[0], now[1], changed, at))
-    return now, pd.DataFrame(rows, columns=["document_id", "job_id", "status", "attempts", "code", "at"])
-
-
-def _resumed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    now, changes = _folded(key[0], state.get if state.exists else FRESH, pd.concat(list(frames)))
-    state.update(now)
-    yield changes
-
-
-def transitions(events: DataFrame) -> DataFrame:
-    """A row per change of a document's state; events is a stream, whose state is kept between
-    batches, or a table."""
-    by_document = events.groupBy("document_id")
+
+def attempts(events: DataFrame, *, document: str = "document_id", ts: str = "event_ts", order: str = "event_id") -> DataFrame:
+    """A row per failure in events(document, ts, order, kind, code): its attempt (the claims so far), what
+    becomes of the document, and from when on it may be claimed again (null if it may not).
+
+    Rows are ordered within a document, never across."""
+    so_far = Window.partitionBy(document).orderBy(ts, order)
+    claimed = events.withColumn("attempt", F.count_if(F.col("kind") == "claim").over(so_far))
+    again = F.col("code").isin(*RETRYABLE) & (F.col("attempt") < MAX_ATTEMPTS)
+    wait = F.when(F.col("attempt") <= 1, BACK_OFF_S[0]).otherwise(BACK_OFF_S[1])
+    return claimed.where("kind = 'fail'").select(
+        document, ts, order, "attempt", "code", F.when(again, "PENDING").otherwise("FAILED").alias("status"), F.when(again, F.timestamp_seconds(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 + wait)).alias("available_at")
+    )
+
+
+def first_of_each(events: DataFrame, keys: list[str], *, ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Events without repeats; on a stream, repeats are known as long as the watermark keeps them."""
     if events.isStreaming:
-        return by_document.applyInPandasWithState(_resumed, OUT, STATE, "append", "NoTimeout")
-    return by_document.applyInPandas(lambda key, frame: _folded(key[0], FRESH, frame)[1], OUT)
+        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
 
 
 def latest(changes: DataFrame) -> DataFrame:

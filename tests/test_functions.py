@@ -7,9 +7,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.functions import resume as rs
 from sievewright.functions import text as tx
 from sievewright.operators import verdicts as v
 from sievewright.plans import fields, ingest, ranking, screening
+from sievewright.plans import profiles as pf
 from sievewright.plans.fields import aggregate_where, any_where, condition, count_where, where
 from sievewright.sources import documents as sources
 from sievewright.sources.candidates import PROFILE
@@ -255,50 +257,113 @@ def test_folder_and_archives(spark, tmp_path):
 
 
 EVENTS = [
-    (0, "d", "enqueue", None, None), (1, "d", "claim", "t1", None), (2, "d", "complete", "other", None), (3, "d", "fail", "t1", "TIMEOUT"),
-    (4, "d", "claim", "t2", None), (40, "d", "claim", "t2", None), (50, "d", "complete", "t2", None), (60, "d", "complete", "t2", None),
-    (0, "e", "enqueue", None, None), (1, "e", "claim", "t", None), (2, "e", "fail", "t", "CORRUPT"),
-    (0, "f", "enqueue", None, None), (1, "f", "claim", "t", None), (500, "f", "complete", "t", None), (501, "f", "claim", "u", None), (502, "f", "complete", "u", None),
+    (1, "d", "claim", None), (3, "d", "fail", "TIMEOUT"), (40, "d", "claim", None), (50, "d", "fail", "OCR_FAILED"), (200, "d", "claim", None), (210, "d", "fail", "TIMEOUT"),
+    (1, "e", "claim", None), (2, "e", "fail", "CORRUPT"), (5, "f", "claim", None),
 ]
-CHANGES = {
-    "d": ["QUEUED", "CLAIMED", "RETRY_TIMEOUT", "CLAIMED", "DONE"],
-    "e": ["QUEUED", "CLAIMED", "CORRUPT"],
-    "f": ["QUEUED", "CLAIMED", "CLAIMED", "DONE"],
-}
-
-
-def queue_rows(spark, rows):
-    frame = spark.createDataFrame([(float(t), d, "j", k, token, code) for t, d, k, token, code in rows], "t double, document_id string, job_id string, kind string, token string, code string")
-    return frame.select(F.timestamp_seconds("t").alias("event_ts"), "document_id", "job_id", "kind", "token", "code")
-
-
-def by_document(found):
-    out = {}
-    for r in sorted(found, key=lambda r: r.at):
-        out.setdefault(r.document_id, []).append(r.code)
-    return out
-
-
-def test_queue_over_a_table(spark):
-    changes = queue.transitions(queue_rows(spark, EVENTS))
-    assert by_document(changes.collect()) == CHANGES
-    assert {r.document_id: r.status for r in queue.latest(changes).collect()} == {"d": "SUCCEEDED", "e": "FAILED", "f": "SUCCEEDED"}
-    (job,) = queue.job_status(queue.latest(changes)).collect()
-    assert (job.status, job.succeeded, job.failed) == ("PARTIAL_SUCCESS", 2, 1)
-
-
-def test_queue_and_windows_over_streams(spark, tmp_path):
-    landing = str(tmp_path / "landing")
-    for part in (EVENTS[:3] + EVENTS[8:10] + EVENTS[11:13], EVENTS[3:8] + EVENTS[10:11] + EVENTS[13:]):
-        queue_rows(spark, part).coalesce(1).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(queue_rows(spark, EVENTS).schema).parquet(landing)
-        sink = queue.transitions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert by_document(spark.read.parquet(str(tmp_path / "out")).collect()) == CHANGES
-    events = queue_rows(spark, EVENTS).select("event_ts", F.col("kind").alias("event_type"), F.lit(1.0).alias("value"))
-    events.write.parquet(str(tmp_path / "events"))
+
+
+def event_rows(spark, rows):
+    frame = spark.createDataFrame([(float(t), k, d, kind, code) for k, (t, d, kind, code) in enumerate(rows)], "t double, event_id long, document_id string, kind string, code string")
+    return frame.select(F.timestamp_seconds("t").alias("event_ts"), "event_id", "document_id", "kind", "code")
+
+
+def test_attempts_and_jobs(spark):
+    found = queue.attempts(event_rows(spark, EVENTS)).orderBy("event_id").collect()
+    waits = [r.available_at and (r.available_at - r.event_ts).total_seconds() for r in found]
+    assert [(r.document_id, r.attempt, r.status) for r in found] == [("d", 1, "PENDING"), ("d", 2, "PENDING"), ("d", 3, "FAILED"), ("e", 1, "FAILED")]
+    assert waits == [30.0, 120.0, None, None]
+    states = spark.createDataFrame([("d", "j", "FAILED"), ("e", "j", "SUCCEEDED")], "document_id string, job_id string, status string")
+    assert queue.job_status(states).first()["status"] == "PARTIAL_SUCCESS"
+
+
+def test_windows_and_repeats_over_streams(spark, tmp_path):
+    events = event_rows(spark, EVENTS).select("event_ts", "event_id", F.col("kind").alias("event_type"), F.lit(1.0).alias("value"))
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    once = queue.first_of_each(stream, ["event_id"], ts="event_ts")
+    once.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.event_id for r in spark.table("once").collect()) == list(range(len(EVENTS)))
     counted = queue.windowed_counts(stream, ts="event_ts", size="1 minute")
-    run = counted.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert sum(r.n for r in spark.table("windowed").collect()) == len(EVENTS)
+    counted.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sum(r.n for r in spark.table("windowed").collect()) == 2 * len(EVENTS)
+
+
+RESUME = """ANH NGUYEN
+anh.nguyen@mail.com | 0412 345 678 | Sunnybank, QLD
+linkedin.com/in/anhnguyen
+
+SUMMARY
+Data engineer Anh with 8 years of commercial experience. Australian citizen.
+
+EXPERIENCE
+Senior Data Engineer — Queensland Bank, Mar 2019 - Present
+- Led a team of 6 for Anh's unit
+Engineer — Labor Party
+Jan 2015 - Dec 2018
+- contractor work in payments
+
+EDUCATION
+Master of IT, University of Queensland, 2014
+Bachelor of Science
+Hanoi University, China, 2011
+
+SKILLS
+Python, SQL; Spark, python
+
+LANGUAGES
+English, Vietnamese
+
+AFFILIATIONS
+IEEE member, Vietnamese Student Union, chess club
+
+CERTIFICATIONS
+Forklift licence
+AWS Certified
+
+PROJECTS
+Loader - Kafka, Flink
+"""
+
+
+def test_resumes_are_structured_and_deidentified(spark):
+    docs = spark.createDataFrame([(1, RESUME), (2, "short"), (3, None), (4, RESUME.replace("Python,", "Nguyen,"))], "id int, text string")
+    out = {r.id: r for r in pf.deidentified(pf.structured_profiles(docs), F.concat(F.lit("Candidate "), F.col("id"))).collect()}
+    assert [(out[k].error, out[k].status) for k in (1, 2, 3, 4)] == [(None, "ready"), ("too_short", "manual_review"), ("unreadable", "manual_review"), (None, "failed")]
+    p, a = out[1].profile, out[1].anonymised
+    assert tuple(p.identity) == ("Anh Nguyen", "anh.nguyen@mail.com", "0412 345 678", "Sunnybank", "QLD", "Australia", ["linkedin.com/in/anhnguyen"])
+    assert [s.name for s in p.skills] == ["Python", "SQL", "Spark"]
+    assert [(r.title, r.employer, r.start, r.end, r.is_current, r.months, r.seniority, r.employment_type, r.team_size) for r in p.experience] == [
+        ("Senior Data Engineer", "Queensland Bank", "2019-03", None, True, None, "senior", None, 6), ("Engineer", "Labor Party", "2015-01", "2018-12", False, 47.0, None, "contract", None),
+    ]
+    assert [(q.title, q.institution, q.completion_year, q.country, q.aqf_level) for q in p.qualifications] == [
+        ("Master of IT", "University of Queensland", 2014, "Australia", 9), ("Bachelor of Science", "Hanoi University", 2011, "China", 7),
+    ]
+    assert (p.work_rights.status, p.total_years_experience, p.people_managed_max, p.licences) == ("citizen", 8.0, 6, ["Forklift licence"])
+    assert (p.projects[0].name, p.projects[0].technologies) == ("Loader", ["Kafka", "Flink"])
+    assert (a.summary, a.region) == ("Data engineer [redacted] with 8 years of commercial experience. Australian citizen.", "Greater Brisbane / South East Queensland")
+    assert a.institution_tiers == ["Australian university (Group of Eight)", "Overseas university"] and a.job_relevant_affiliations == ["IEEE member"]
+    assert [r.employer for r in a.experience] == ["Queensland Bank", None] and all(q.institution is None and q.completion_year is None for q in a.qualifications)
+    assert sorted({r.field for r in out[1].redactions if r.action == "removed"}) == [
+        "affiliations", "experience.employer", "identity.email", "identity.full_name", "identity.links", "identity.phone",
+        "qualifications.completion_year", "qualifications.country", "qualifications.institution",
+    ]
+    assert out[4].leaks == ["Nguyen"]
+
+
+def test_readers(spark):
+    def one(column):
+        return spark.range(1).select(column.alias("x")).first()["x"]
+
+    assert tuple(one(rs.date_range(F.lit("2017 - 2021")))) == ("2017", "2021", False, 48.0)
+    assert one(rs.notice_weeks(F.lit("notice period: 2 months"))) == 8.0
+    assert [one(rs.coerced(F.lit(x), "seniority", fields.SENIORITY)) for x in ("Sr", "c-level", "Team Lead", "senior")] == ["senior", "executive", None, "senior"]
+    assert "'Wizard' is not a recognised value" in one(rs.coercion_note(F.lit("Wizard"), "seniority", fields.SENIORITY, "role 'x'"))
+    answers = ['{"a": 1}', 'so <think>{"b"}</think> ```json\n{"a": 1}\n``` done', 'it is {"a": 1} then', "none"]
+    assert [one(rs.recovered_json(F.lit(x))) for x in answers] == ['{"a": 1}'] * 3 + [None]
+    found = one(tx.risk_details(tx.risk_findings(F.lit("Native speaker"))))
+    assert found[0].attributes == ["race", "national or ethnic origin"] and found[0].statutes[0].startswith("Racial Discrimination Act 1975")
+    assert one(tx.merged_findings(tx.risk_findings(F.lit("Native speaker")), tx.risk_findings(F.lit("native speaker, one of us"))))[1].id == "cultural_fit"
+    hinted = {n: [h for h in tx.RISK_HINTS[n]] for n, _, _ in tx.RISK_PATTERNS}
+    assert all(hinted.values())
+    assert [f.id for f in one(tx.risk_findings(F.lit("big 4 consultancies; aged 30 to 40; lives in the inner north; nat\u0131ve speaker")))] == ["native_speaker", "age_coded", "employer_prestige", "postcode_or_suburb"]
