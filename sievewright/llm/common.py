@@ -220,3 +220,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
         before = now
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+#: SQL for the least node reachable: needs nodes(id) and links(a, b) before it and gives component(id, least).
+COMPONENTS_SQL = """reached AS (SELECT id, id AS other FROM nodes UNION SELECT reached.id, l.b FROM reached JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) AS l ON reached.other = l.a),
+component AS (SELECT id, min(other) AS least FROM reached GROUP BY id)"""

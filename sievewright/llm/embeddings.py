@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, forest, sorted_groups
+from .common import COMPONENTS_SQL, Scratch, connected_components, forest, sorted_groups
 
 SAMPLE = 20_000
 BITS = 64  # of a rotation, at most
@@ -243,3 +243,14 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     out = prepared.select("vec_id", "sig").join(of_class, "sig", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("sig").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The links of op10 by the cosine of all pairs within a label.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+{COMPONENTS_SQL},
+n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept FROM embeddings JOIN component ON component.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""

@@ -173,11 +173,11 @@ def learn_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarr
     return at(slice(None))
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
-    """The divisor of the logits with the least negative log-likelihood."""
+def fit_temperature(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, prior: np.ndarray | float = 0.0) -> float:
+    """The divisor of the logits, to which prior odds are added, with the least negative log-likelihood."""
 
     def loss(t):
-        scaled = logits / t
+        scaled = logits / t + prior
         top = scaled.max(axis=1, keepdims=True)
         return float(np.average(np.log(np.exp(scaled - top).sum(axis=1)) + top[:, 0] - scaled[np.arange(len(labels)), labels], weights=weight))
 
@@ -198,13 +198,13 @@ class Model:
 
     def logits(self, code: np.ndarray) -> np.ndarray:
         where, x = tf_idf(code, self.idf)
-        return x @ self.weights[where] + self.prior
+        return x @ self.weights[where]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         code = letters(text)
         if not len(code) or not self.classes:
             return UNKNOWN, 0.0
-        scaled = self.logits(code) / self.temperature
+        scaled = self.logits(code) / self.temperature + self.prior
         p = np.exp(scaled - scaled.max())
         k = int(p.argmax())
         return self.classes[k], float(p[k] / p.sum())
@@ -280,7 +280,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
         return model
     drawn = rows["lang"].value_counts()
     weight = rows["lang"].map(lambda c: counts[c] / drawn[c]).to_numpy(float)
-    return Model(classes, idf, weights, model.prior, fit_temperature(np.stack(rows["logits"]), rows["lang"].map(numbers).to_numpy(), weight))
+    return Model(classes, idf, weights, model.prior, fit_temperature(np.stack(rows["logits"]), rows["lang"].map(numbers).to_numpy(), weight, model.prior))
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, fresh, mix, raw_texts, sorted_groups, span_hashes, spanning_forest
+from .common import COMPONENTS_SQL, Scratch, connected_components, fresh, mix, raw_texts, sorted_groups, span_hashes, spanning_forest
 
 WORDS = 5
 MINIMA = 256
@@ -322,3 +322,16 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     alone = joined.where(F.col(goes_name).isNull()).select(*docs.columns)
     repeated = joined.where(~F.col(goes_name)).dropDuplicates([doc_id, hashed]).select(*docs.columns)
     return alone.unionByName(repeated)
+
+
+#: The links of op7 by counting common shingles of all pairs that have one.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {WORDS - 1}), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+nodes AS (SELECT doc_id AS id FROM documents),
+{COMPONENTS_SQL}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least AS component_id, doc_id = least AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN component ON id = doc_id
+"""

@@ -58,13 +58,13 @@ def with_rates(docs: DataFrame, targets: DataFrame, source: str, max_broadcast_s
     """docs with the target's columns. Few sources are broadcast; many are joined with the
     documents of each source dealt over 32 salts, so that a hot source meets no single task."""
     few = targets.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources
-    name, salt = fresh(docs, "mix_source", "mix_salt")
+    name, salt, dealt = fresh(docs, "mix_source", "mix_salt", "mix_dealt")
     targets = targets.withColumnRenamed("source", name)
     if few:
         return docs.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col(name)), "left").drop(name)
     salted = targets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(31))))
-    left = docs.withColumn("_" + salt, F.pmod(F.xxhash64(*docs.columns), F.lit(32)).cast("int"))
-    return left.join(salted, F.col(source).eqNullSafe(F.col(name)) & (F.col("_" + salt) == F.col(salt)), "left").drop(name, salt, "_" + salt)
+    left = docs.withColumn(dealt, F.pmod(F.xxhash64(*docs.columns), F.lit(32)).cast("int"))
+    return left.join(salted, F.col(source).eqNullSafe(F.col(name)) & (F.col(dealt) == F.col(salt)), "left").drop(name, salt, dealt)
 
 
 def copies(seed: int, doc_id: str | Column, rate: str = "rate") -> Column:
