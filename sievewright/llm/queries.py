@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL, "op7_minhash": minhash.SQL, "op9_lines": lines.SQL, "op10_embeddings": embeddings.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL, "op7_minhash": minhash.SQL, "op8_suffixes": suffixes.SQL, "op9_lines": lines.SQL, "op10_embeddings": embeddings.SQL}

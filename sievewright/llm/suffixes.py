@@ -334,3 +334,20 @@ def query(docs: DataFrame) -> DataFrame:
 
     schema = T.StructType([joined.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(digest, schema)
+
+
+#: The query's rows, by counting every window of the corpus.
+SQL = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT k, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200),
+windows AS (SELECT k, i, md5_number(b[i + 1 : i + 200]) AS w FROM starts),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT k, i FROM windows SEMI JOIN often USING (w)),
+run AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM hit),
+numbered AS (SELECT k, i, sum(opens) OVER (PARTITION BY k ORDER BY i) AS r FROM run),
+span AS (SELECT k, r, min(i) AS a, max(i) + 200 AS e FROM numbered GROUP BY k, r),
+piece AS (SELECT k, r, coalesce(lag(e) OVER (PARTITION BY k ORDER BY r), 0) AS a, a AS e FROM span UNION ALL SELECT k, max(r) + 1, max(e), NULL FROM span GROUP BY k),
+cut AS (SELECT p.k, string_agg(hex(d.b[p.a + 1 : coalesce(p.e, octet_length(d.b))]), '' ORDER BY p.r) AS h FROM piece AS p JOIN d USING (k) GROUP BY p.k),
+gone AS (SELECT k, sum(e - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (k) LEFT JOIN cut USING (k)"""

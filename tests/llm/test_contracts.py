@@ -42,7 +42,7 @@ def run(spark, name):
 
 
 def test_the_oracles_agree(spark, duck):
-    for name in ("op1_decontaminate", "op2_chat_format", "op6_mix", "op7_minhash", "op9_lines", "op10_embeddings"):
+    for name in ("op1_decontaminate", "op2_chat_format", "op6_mix", "op7_minhash", "op8_suffixes", "op9_lines", "op10_embeddings"):
         found = run(spark, name)
         wanted = duck.execute(entry.oracle_sql()[name])
         columns = [c[0] for c in wanted.description]
