@@ -32,6 +32,21 @@ def q_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 100, 25)
 
 
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def q_stage_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage that takes the segment from customers in debt."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    stage = people.where("c_acctbal < 0").select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"))
+    return batches.staged(people.drop("c_acctbal"), stage, "c_custkey", ("c_mktsegment",))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def q_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that no urgent order refers to."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return batches.orphans(table(spark, sf_dir, "customer").select("c_custkey"), urgent, "c_custkey")
+
+
 @query("SELECT p_partkey FROM part WHERE p_name ILIKE '%red%' OR p_type ILIKE '%red%'")
 def q_run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.search(table(spark, sf_dir, "part"), "RED", ["p_name", "p_type"]).select("p_partkey")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.layout import reading_order
 from ..plans import bias, ingest, screening
 from ..plans.fields import vocabulary
 from ..sources import documents as sources
@@ -48,6 +49,46 @@ def q_manifest_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.manifest_problems(listed)
 
 
+LIMIT = 60_000
+
+_LISTED = "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents"
+
+
+@query(
+    f"WITH RECURSIVE l AS ({_LISTED}), f AS (SELECT source, doc_id, k, n_chars <= {LIMIT} AS taken, CASE WHEN n_chars <= {LIMIT} THEN n_chars ELSE 0 END AS used FROM l WHERE k = 1 "
+    f"UNION ALL SELECT l.source, l.doc_id, l.k, used + n_chars <= {LIMIT}, used + CASE WHEN used + n_chars <= {LIMIT} THEN n_chars ELSE 0 END FROM f JOIN l ON l.source = f.source AND l.k = f.k + 1) SELECT doc_id, taken FROM f"
+)
+def q_within_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents of a source's upload fit, in order; the running limit is the feature."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return sources.within_total(docs, LIMIT, batch="source", size="n_chars", order="doc_id").select("doc_id", "taken")
+
+
+@query(
+    "SELECT o_orderkey, nullif(min(o_orderkey) OVER w, o_orderkey) AS replay_of, first_value(o_orderstatus) OVER (w ORDER BY o_orderkey) <> o_orderstatus AS conflict FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority)"
+)
+def q_replayed_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are submissions, their customer the user, their priority the key and their status the manifest."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    found = sources.replays(orders, ["o_custkey", "o_orderpriority"], submission="o_orderkey", manifest="o_orderstatus")
+    return found.select("o_orderkey", "replay_of", "conflict")
+
+
+@query(
+    "SELECT l_orderkey AS page, l_linenumber AS line, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber <> 1, l_linenumber % 2, l_linenumber) AS INTEGER) AS place FROM lineitem"
+)
+def q_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a page: its first line a heading over two columns, even lines in the left one, odd ones in the right."""
+    line = F.col("l_linenumber")
+    left = F.when(line == 1, 0).otherwise((line % 2) * 300)
+    top = F.when(line == 1, 0).otherwise(line * 15 + 40)
+    box = F.array(*[c.cast("double") for c in (left, top, F.when(line == 1, 500).otherwise(left + 200), top + 10)])
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(line.alias("line"), box.alias("box")))).alias("lines"))
+    ordered = pages.select("l_orderkey", "lines", reading_order(F.transform("lines", lambda x: x["box"])).alias("found"))
+    placed = ordered.select("l_orderkey", "lines", F.posexplode("found").alias("place", "at"))
+    return placed.select(F.col("l_orderkey").alias("page"), F.get("lines", F.col("at"))["line"].alias("line"), (F.col("place") + 1).alias("place"))
+
+
 # ---------------------------------------------------------------- text functions
 
 
@@ -64,16 +105,17 @@ def _risks(text: str, level: str) -> str:
     return " + ".join(f"CAST({_found(text, p)} AS BIGINT)" for _, risk, p in tx.RISK_PATTERNS if risk == level)
 
 
-_RISK = "SELECT {key}, high + review AS findings, CASE WHEN high > 0 THEN 'high' WHEN review > 0 THEN 'review' ELSE 'none' END AS risk FROM (SELECT {key}, {high} AS high, {review} AS review FROM {table} WHERE text IS NOT NULL)"
+_RISK = "SELECT {key}, high + review AS findings, CASE WHEN high > 0 THEN 'high' WHEN review > 0 THEN 'review' ELSE 'none' END AS risk FROM (SELECT {key}, {high} AS high, {review} AS review FROM {table})"
 
 
 def _risk_sql(key: str, of: str) -> str:
     return _RISK.format(key=key, table=of, high=_risks("text", "high"), review=_risks("text", "review"))
 
 
-@query(_risk_sql("doc_id", "documents"))
+@query(_risk_sql("doc_id", "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"))
 def q_risk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = screening.wording_risks(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = screening.wording_risks(docs, "text")
     return found.select("doc_id", F.size("findings").cast("long").alias("findings"), "risk")
 
 
@@ -115,15 +157,15 @@ def q_email_phone_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-identified documents: what is left of the text and whether it still identifies."""
-    docs = ingest.structured(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    docs = ingest.structured(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return ingest.anonymised(docs).select("doc_id", F.length("text").alias("chars"), "leaked")
 
 
 @query(
-    f"SELECT doc_id, nullif(regexp_extract(text, '{tx.EMAIL}', 0), '') AS email, TRY_CAST(nullif(regexp_extract(text, '(?i)(\\d{{1,2}})\\+?\\s*years', 1), '') AS DOUBLE) AS stated_years FROM documents WHERE text IS NOT NULL"
+    f"SELECT doc_id, nullif(regexp_extract(text, '{tx.EMAIL}', 0), '') AS email, TRY_CAST(nullif(regexp_extract(text, '(?i)(\\d{{1,2}})\\+?\\s*years', 1), '') AS DOUBLE) AS stated_years FROM documents"
 )
 def q_structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ingest.structured(docs).select("doc_id", "email", "stated_years")
 
 
@@ -154,9 +196,10 @@ _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _EVIDENCE = f"lower(trim(regexp_replace(translate(text, '\"''\\', ''), '{_SPACE}', ' ', 'g'), ' '))"
 
 
-@query(f"SELECT conv_id, turn, sha256({_EVIDENCE}) AS normal, contains({_EVIDENCE}, 'the') AS found FROM conversations WHERE text IS NOT NULL")
+@query(f"SELECT conv_id, turn, sha256({_EVIDENCE}) AS normal, coalesce(contains({_EVIDENCE}, 'the'), false) AS found FROM conversations")
 def q_evidence_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    """A turn without text holds no evidence."""
+    turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", F.sha2(tx.evidence_normal(F.col("text")), 256).alias("normal"), tx.evidence_found(F.lit("'The'"), F.col("text")).alias("found"))
 
 

@@ -53,6 +53,23 @@ def q_queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where(F.col("event_type").isin("view", "error")).join(F.broadcast(last), F.lit(True)).agg(F.count("*").alias("outstanding"), F.count_if(recent).alias("failed_last_minute"))
 
 
+@query("SELECT event_type, count(*) AS outstanding, (max((SELECT max(epoch_us(ts)) FROM events) - epoch_us(ts)) // 1000000)::BIGINT AS oldest_s FROM events GROUP BY event_type")
+def q_queue_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By type of event how many wait and how long the oldest has, as of the last event."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts")
+    last = events.agg(F.max("ts").alias("last"))
+    return queue.backlog(events.join(F.broadcast(last), F.lit(True)), F.col("last"), ["event_type"])
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' AND o_orderstatus IN ('O', 'P') GROUP BY 1")
+def q_outstanding_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open lines of orders that are open or in part: documents and their jobs."""
+    documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linestatus").alias("status"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("job_status"), "o_orderpriority")
+    found = queue.outstanding(documents, jobs, "job_id", document_states=["O"], job_states=["O", "P"])
+    return found.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def q_event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = queue.windowed_counts(table(spark, sf_dir, "events"))

@@ -115,10 +115,12 @@ def q_eligible_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).join(left, KEY, "left_semi").select(KEY, "total_years_experience")
 
 
-@query(f"{_SCORED} SELECT candidate_ref, CASE WHEN candidate_ref % 2 = 0 AND score >= 0.5 THEN score ELSE 0.0 END AS score FROM x")
+@query(f"{_SCORED} SELECT candidate_ref, CASE WHEN rights IS NOT NULL AND score >= 0.5 THEN score ELSE 0.0 END AS score FROM x JOIN p USING (candidate_ref)")
 def q_upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those whose work rights are stated are scored again."""
     old = scored(spark, sf_dir).select(KEY, F.lit(0.0).alias("score"))
-    new = scored(spark, sf_dir).where(F.col(KEY) % 2 == 0).select(KEY, F.when(F.col("score") >= 0.5, F.col("score")).alias("score"))
+    stated = profiles(spark, sf_dir).where(field("work_rights").isNotNull()).select(KEY)
+    new = scored(spark, sf_dir).join(stated, KEY, "left_semi").select(KEY, F.when(F.col("score") >= 0.5, F.col("score")).alias("score"))
     return screening.upsert_results(old, new, [KEY])
 
 

@@ -64,6 +64,22 @@ def run_status(batch_complete: Column, failed: Column, open_: Column) -> Column:
     return F.when(~batch_complete, "queued").when(open_ > 0, "running").when(failed > 0, "failed").otherwise("complete")
 
 
+def staged(candidates: DataFrame, stage: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    """candidates with the columns that a stage writes, for those it has a row for; null is written too.
+    A stage may write the allowed columns only, and has one row for a key."""
+    written = [c for c in stage.columns if c != key]
+    if refused := sorted(set(written) - set(allowed)):
+        raise ValueError(f"a stage may not write {', '.join(refused)}")
+    new = stage.select(key, F.struct(*written).alias("_new"))
+    joined = candidates.join(new, key, "left")
+    return joined.withColumns({c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)) for c in written}).drop("_new")
+
+
+def orphans(stored: DataFrame, referenced: DataFrame, key: str) -> DataFrame:
+    """What is stored and nothing refers to."""
+    return stored.join(referenced.select(key), key, "left_anti")
+
+
 def without_run(results: DataFrame, run_id) -> DataFrame:
     """The results of other runs: what stays when a run is screened again."""
     return results.where(~F.col("run_id").eqNullSafe(F.lit(run_id)))

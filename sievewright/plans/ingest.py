@@ -67,5 +67,5 @@ def anonymised(profiles: DataFrame, column: str = "text") -> DataFrame:
     tokens = tx.identity_tokens(F.col("full_name"), F.col("email"), F.col("phone"))
     out = profiles.withColumn("_tokens", tokens).withColumn(column, tx.scrub(F.col(column), F.col("_tokens")))
     left = tx.leaks(F.col(column), F.col("_tokens"))
-    out = out.withColumn("leaked", F.size(left) > 0)
+    out = out.withColumn("leaked", F.coalesce(F.size(left) > 0, F.lit(False)))
     return out.drop("_tokens", "full_name", "email", "phone")

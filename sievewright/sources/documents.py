@@ -8,6 +8,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes of documents.
 SUFFIXES = ("pdf", "doc", "docx", "odt", "rtf", "txt", "md", "html", "htm", "png", "jpg", "jpeg", "tif", "tiff")
@@ -58,16 +59,25 @@ def expand_archives(files: DataFrame, limit: int = 512 << 20) -> DataFrame:
 
 
 def within_total(files: DataFrame, limit: int, *, batch: str = "batch_id", size: str = "length", order: str = "path") -> DataFrame:
-    """files with taken: in order, each file that still fits; one that does not is passed over and
-    later, smaller ones may fit. The listing of one batch, names and sizes, is folded in a row."""
-    listing = files.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    fold = F.aggregate(
-        "l", start,
-        lambda acc, f: F.when(acc["used"] + f["s"] <= limit, F.struct((acc["used"] + f["s"]).alias("used"), F.array_append(acc["kept"], f["o"]).alias("kept"))).otherwise(acc),
-    )
-    kept = listing.select(batch, F.explode(fold["kept"]).alias(order)).withColumn("_kept", F.lit(True))
-    return files.join(kept, [batch, order], "left").withColumn("taken", F.coalesce("_kept", F.lit(False))).drop("_kept")
+    """files with taken: in order, each file that still fits; one that does not, or has no size, is
+    passed over and later, smaller ones may fit. Names and sizes alone are sorted by batch and read
+    once, with the bytes used so far as all that is kept; names are distinct within a batch."""
+
+    def fold(parts):
+        last, used = None, 0
+        for part in parts:
+            taken = []
+            for of, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if of != last:
+                    last, used = of, 0
+                taken.append(n is not None and used + n <= limit)
+                used += n if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(taken, pa.bool_())], names=[batch, order, "taken"])
+
+    listing = files.select(batch, order, size).repartition(batch).sortWithinPartitions(batch, order)
+    schema = T.StructType([listing.schema[0], listing.schema[1], T.StructField("taken", T.BooleanType())])
+    judged = listing.mapInArrow(fold, schema)
+    return files.join(judged, [batch, order], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def manifest_problems(manifest: DataFrame, job: str = "job_id") -> DataFrame:
@@ -80,3 +90,13 @@ def manifest_problems(manifest: DataFrame, job: str = "job_id") -> DataFrame:
         F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sha2(F.sum(line).cast("string"), 256).alias("manifest_hash"),
         (F.bool_and(F.coalesce(named & sized, F.lit(False))) & (F.count("*") <= MAX_FILES) & (F.sum("size") <= MAX_TOTAL_BYTES)).alias("accepted"),
     )
+
+
+def replays(submissions: DataFrame, keys: list[str], *, submission: str = "job_id", manifest: str = "manifest_hash") -> DataFrame:
+    """submissions with replay_of, the first submission under the same user and key (null for the first
+    itself), and conflict: whether that one had another manifest. One without a key replays nothing."""
+    first = submissions.groupBy(*keys).agg(F.min(F.struct(F.col(submission).alias("id"), F.col(manifest).alias("of"))).alias("_first"))
+    joined = submissions.join(first, keys, "left")
+    again = F.col("_first")["id"] != F.col(submission)
+    differs = again & ~F.col("_first")["of"].eqNullSafe(F.col(manifest))
+    return joined.withColumn("replay_of", F.when(again, F.col("_first")["id"])).withColumn("conflict", F.coalesce(differs, F.lit(False))).drop("_first")

@@ -68,3 +68,14 @@ def sessions(events: DataFrame, gap_s: int, user: str = "user_id", ts: str = "ts
     fresh = F.coalesce(second - F.lag(second).over(by_user) > gap_s, F.lit(True)).cast("int")
     numbered = events.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(by_user))
     return numbered.groupBy(user, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
+
+
+def outstanding(documents: DataFrame, jobs: DataFrame, job: str, *, document_states: list[str], job_states: list[str], document_status: str = "status", job_status: str = "job_status") -> DataFrame:
+    """Documents in one of the states whose job is in one of its own; both sides are filtered before they meet."""
+    return documents.where(F.col(document_status).isin(*document_states)).join(jobs.where(F.col(job_status).isin(*job_states)), job)
+
+
+def backlog(waiting: DataFrame, now: Column, by: list[str], *, ts: str = "ts") -> DataFrame:
+    """By group how many rows wait and the seconds that the oldest has waited."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return waiting.groupBy(*by).agg(F.count("*").alias("outstanding"), F.floor(F.max(age) / 1e6).cast("long").alias("oldest_s"))
