@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import batches, criteria, ranking
+from ..plans import batches, criteria, ranking, screening
 from ..plans.criteria import Criterion
 from ..plans.fields import condition, field
 from ..sources.candidates import profiles, table
@@ -120,3 +120,18 @@ def q_rule_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(enumerate(WORDINGS)), "rule_id long, wording string")
     trail = batches.rule_trail(rules, F.lit(None).cast("timestamp")).select("rule_id", "event", "detail")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("batch")).join(F.broadcast(trail), F.lit(True))
+
+
+_RULES = "SELECT p_partkey AS rule_id, CASE WHEN p_retailprice > 1000 THEN 'require' ELSE 'prefer' END AS kind, CASE WHEN p_size > 40 THEN 'risky' WHEN p_size > 30 THEN 'unmappable' ELSE 'applicable' END AS verdict, p_size > 5 AS parsed FROM part"
+
+
+@query(
+    f"WITH r AS ({_RULES}), a AS (SELECT * FROM r WHERE verdict = 'applicable' AND parsed) SELECT 'applied' AS view, rule_id FROM a UNION ALL SELECT 'requirements', rule_id FROM a WHERE kind = 'require' "
+    "UNION ALL SELECT 'preferences', rule_id FROM a WHERE kind = 'prefer' UNION ALL SELECT 'flagged', rule_id FROM r WHERE verdict = 'risky'"
+)
+def q_rule_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are rules; price and size make their kind and verdict."""
+    size = F.col("p_size")
+    kind = F.when(F.col("p_retailprice") > 1000, "require").otherwise("prefer")
+    verdict = F.when(size > 40, "risky").when(size > 30, "unmappable").otherwise("applicable")
+    return screening.rule_views(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), kind.alias("kind"), verdict.alias("verdict"), (size > 5).alias("parsed")))

@@ -279,6 +279,19 @@ def q_gap_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
+@query(
+    f"{_JUDGED}, s AS (SELECT CAST(quality AS VARCHAR) AS arm, grp, CASE WHEN toxic = 1 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS score FROM j), "
+    "m AS (SELECT arm, grp, avg(score) AS mean, count(*) AS n FROM s WHERE score IS NOT NULL GROUP BY 1, 2), "
+    "c AS (SELECT arm, count(score) AS scored, count(*) - count(score) AS failed FROM s GROUP BY arm), "
+    "t AS (SELECT arm, string_agg(printf('    %-3s n=%3d mean=%.4f', grp, n, mean), chr(10) ORDER BY mean DESC, grp) AS lines, max(mean) - min(mean) AS gap, first(grp ORDER BY mean DESC, grp) AS highest, first(grp ORDER BY mean, grp) AS lowest FROM m GROUP BY arm) "
+    "SELECT arm, scored, failed, round(gap, 4) AS gap, concat_ws(chr(10), printf('[%s] scored=%d failed=%d', arm, scored, failed), lines, printf('    group gap = %.4f (%s - %s)', gap, highest, lowest)) AS report FROM c LEFT JOIN t USING (arm)"
+)
+def q_bias_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms by quality; a toxic document's scoring has failed."""
+    arms = judged(spark, sf_dir).select(F.col("quality").cast("string").alias("arm"), "group", F.when(F.coalesce(F.col("toxic") != 1, F.lit(True)), F.col("n_chars").cast("double")).alias("score"))
+    return bias.arm_reports(arms).withColumn("gap", F.round("gap", 4))
+
+
 @query("SELECT r_name AS case_id, n_name AS \"group\", c_mktsegment AS context FROM region, nation, (SELECT DISTINCT c_mktsegment FROM customer)")
 def q_counterfactual_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three dimensions of a few rows each."""

@@ -39,3 +39,18 @@ def gap_reduction(gaps: DataFrame, before: str, after: str, arm: str = "arm") ->
     second = F.max(F.when(F.col(arm) == after, F.col("gap")))
     out = gaps.agg(first.alias("gap_before"), second.alias("gap_after"))
     return out.withColumn("reduction", F.col("gap_before") - F.col("gap_after")).withColumn("reduction_pct", F.try_divide(F.col("reduction") * 100, F.col("gap_before")))
+
+
+def arm_reports(scores: DataFrame, *, arm: str = "arm", group: str = "group", score: str = "score") -> DataFrame:
+    """By arm: scored, failed (rows without a score), gap, and a report in text, groups from the best mean
+    to the worst. Groups are few; their statistics are what is gathered."""
+    stats = group_statistics(scores.where(F.col(score).isNotNull()), group, score, (arm,))
+    lines = F.sort_array(F.collect_list(F.struct((-F.col("mean")).alias("m"), F.col(group).alias("g"), F.format_string("    %-3s n=%3d mean=%.4f", group, "n", "mean").alias("line"))))
+    told = stats.groupBy(arm).agg(F.transform(lines, lambda x: x["line"]).alias("lines"))
+    gaps = group_gap(stats, group, (arm,))
+    counts = scores.groupBy(arm).agg(F.count(score).alias("scored"), F.count_if(F.col(score).isNull()).alias("failed"))
+    joined = counts.join(told, arm, "left").join(gaps, arm, "left")
+    head = F.format_string("[%s] scored=%d failed=%d", arm, "scored", "failed")
+    end = F.format_string("    group gap = %.4f (%s - %s)", "gap", "highest", "lowest")
+    text = F.array_join(F.concat(F.array(head), F.coalesce("lines", F.array().cast("array<string>")), F.when(F.col("gap").isNotNull(), F.array(end)).otherwise(F.array().cast("array<string>"))), "\n")
+    return joined.select(arm, "scored", "failed", "gap", text.alias("report"))

@@ -77,6 +77,14 @@ def refuse_risky(rules: list[Rule], spark) -> list[Rule]:
     return rules
 
 
+def rule_views(rules: DataFrame) -> DataFrame:
+    """(view, rule_id) for rules(rule_id, kind, verdict, parsed): applied (applicable and parsed), of these
+    the requirements and the preferences, and flagged, the risky ones."""
+    applied = (F.col("verdict") == "applicable") & F.col("parsed")
+    views = {"applied": applied, "requirements": applied & (F.col("kind") == "require"), "preferences": applied & (F.col("kind") == "prefer"), "flagged": F.col("verdict") == "risky"}
+    return rules.select(F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in views.items()]))).alias("view"), "rule_id")
+
+
 def add_rule(rules: list[Rule], rule: Rule, spark) -> list[Rule]:
     if rule.id in {r.id for r in rules}:
         raise ValueError(f"there is a rule {rule.id} already")

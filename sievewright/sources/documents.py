@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 #: Suffixes of documents.
 SUFFIXES = ("pdf", "doc", "docx", "odt", "rtf", "txt", "md", "html", "htm", "png", "jpg", "jpeg", "tif", "tiff")
 
+DOCUMENT = r"^[^.].*\.(" + "|".join(SUFFIXES) + ")$"
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 4000, 25 << 20, 5 << 30
 
 
@@ -27,35 +29,83 @@ def folder(spark: SparkSession, root: str) -> DataFrame:
 def is_document(filename: Column) -> Column:
     """A document's suffix, no hidden file, nothing of __MACOSX."""
     base = F.element_at(F.split(filename, "/"), -1)
-    return F.rlike(F.lower(base), F.lit(r"^[^.].*\.(" + "|".join(SUFFIXES) + ")$")) & ~F.contains(filename, F.lit("__MACOSX/"))
-
-
-def expand_archives(files: DataFrame, limit: int = 512 << 20) -> DataFrame:
-    """files(path, content) with archives replaced by their members; an archive that can't be read or
-    would exceed the limit gives one row with an error."""
-
-    def expand(batches):
-        for batch in batches:
-            path, name, content, error = [], [], [], []
-            for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                members = [(p.rsplit("/", 1)[-1], c, None)]
-                if p.lower().endswith(".zip"):
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(c)) as z:
-                            inside = [i for i in z.infolist() if not i.is_dir() and "__MACOSX/" not in i.filename]
-                            if sum(i.file_size for i in inside) > limit:
-                                raise ValueError("too large")
-                            members = [(i.filename.rsplit("/", 1)[-1], z.read(i), None) for i in inside]
-                    except (zipfile.BadZipFile, ValueError, OSError) as why:
-                        members = [(p.rsplit("/", 1)[-1], None, str(why))]
-                for n, data, why in members:
-                    path.append(p)
-                    name.append(n)
-                    content.append(data)
-                    error.append(why)
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(name, pa.string()), pa.array(content, pa.binary()), pa.array(error, pa.string())], names=["path", "filename", "content", "error"])
-
-    return files.select("path", "content").mapInArrow(expand, "path string, filename string, content binary, error string")
+    return F.rlike(F.lower(base), F.lit(DOCUMENT)) & ~F.contains(filename, F.lit("__MACOSX/"))
+
+
+def _usable(archive: bytes) -> tuple[zipfile.ZipFile, list[zipfile.ZipInfo]]:
+    """An archive and its members that are documents."""
+    z = zipfile.ZipFile(io.BytesIO(archive))
+    inside = re.compile(DOCUMENT, re.IGNORECASE)
+    return z, [i for i in z.infolist() if not i.is_dir() and "__MACOSX/" not in i.filename and inside.match(i.filename.rsplit("/", 1)[-1])]
+
+
+def _unpacked(files: DataFrame, limit: int, batch: str) -> DataFrame:
+    """(path, upto): how many members of each archive its upload has room for. Declared sizes alone are
+    sorted and read once; the first member of an archive that does not fit ends that archive."""
+
+    def declare(parts):
+        for part in parts:
+            rows = []
+            for b, p, c in zip(*(part.column(k).to_pylist() for k in range(3))):
+                try:
+                    rows += [(b, p, k, i.file_size) for k, i in enumerate(_usable(c)[1])]
+                except (zipfile.BadZipFile, OSError):
+                    pass  # told when it is opened to be read
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (part.schema.field(0).type, pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[batch, "path", "k", "size"])
+
+    def fold(parts):
+        last, full, used = None, None, 0
+        for part in parts:
+            taken = []
+            for of, path, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()):
+                if of != last:
+                    last, full, used = of, None, 0
+                if used + n > limit:
+                    full = path
+                taken.append(path != full)
+                used += n if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(taken, pa.bool_())], names=["path", "taken"])
+
+    zips = files.where(F.endswith(F.lower("path"), F.lit(".zip")) & F.col("content").isNotNull()).select(batch, "path", "content")
+    schema = T.StructType([zips.schema[0], *(T.StructField(n, t) for n, t in (("path", T.StringType()), ("k", T.IntegerType()), ("size", T.LongType())))])
+    declared = zips.mapInArrow(declare, schema).repartition(batch).sortWithinPartitions(batch, "path", "k")
+    return declared.mapInArrow(fold, "path string, taken boolean").groupBy("path").agg(F.count_if("taken").cast("int").alias("upto"))
+
+
+def expand_archives(files: DataFrame, limit: int = 512 << 20, *, batch: str = "batch_id") -> DataFrame:
+    """files(path, batch_id, content) with archives replaced by the documents in them. The limit of
+    unpacked bytes is shared by the archives of a batch, in the order of their paths. What can't be read
+    or has no room stays as a row with an error."""
+
+    def members(path, content, upto):
+        name = path.rsplit("/", 1)[-1]
+        if not path.lower().endswith(".zip"):
+            return [(name, content, None)]
+        try:
+            z, inside = _usable(content or b"")
+        except (zipfile.BadZipFile, OSError) as why:
+            return [(name, None, str(why))]
+        out = []
+        for k, info in enumerate(inside):
+            data, error = None, None if k < (upto or 0) else "over the limit of unpacked bytes"
+            try:
+                data = None if error else z.read(info)
+            except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as why:
+                error = str(why)
+            out.append((info.filename.rsplit("/", 1)[-1], data, error))
+        return out
+
+    def expand(parts):
+        for part in parts:
+            rows = [(p, *m) for p, c, n in zip(*(part.column(k).to_pylist() for k in range(3))) for m in members(p, c, n)]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "filename", "content", "error"])
+
+    joined = files.select("path", "content").join(_unpacked(files, limit, batch), "path", "left")
+    return joined.mapInArrow(expand, "path string, filename string, content binary, error string")
 
 
 def within_total(files: DataFrame, limit: int, *, batch: str = "batch_id", size: str = "length", order: str = "path") -> DataFrame:

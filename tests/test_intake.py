@@ -1,6 +1,8 @@
 """Intake and layout on small rows: limits, replays, stages, reading order, rows without text."""
 
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,28 @@ def test_within_total_passes_over_what_does_not_fit(spark):
     assert sources.within_total(files.limit(0), 10).count() == 0
 
 
+def archive(*members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, size in members:
+            z.writestr(name, "x" * size)
+    return out.getvalue()
+
+
+def test_archives_of_a_batch_share_their_limit(spark):
+    rows = [
+        ("u", "a.zip", archive(("d/one.txt", 4), ("two.bin", 50), ("__MACOSX/t.txt", 50), ("three.md", 3))),
+        ("u", "b.ZIP", archive(("four.txt", 2), ("five.txt", 9), ("six.txt", 1))), ("u", "c.zip", archive(("seven.txt", 1))),
+        ("v", "d.zip", archive(("eight.txt", 10))), ("v", "e.zip", b"none"), ("v", "f.zip", None), ("v", "plain.txt", b"hello"), (None, "g.zip", archive(("nine.txt", 11))),
+    ]
+    files = spark.createDataFrame(rows, "batch_id string, path string, content binary")
+    found = {(r.path, r.filename): None if r.content is None else len(r.content) for r in sources.expand_archives(files, 10).collect()}
+    assert found == {
+        ("a.zip", "one.txt"): 4, ("a.zip", "three.md"): 3, ("b.ZIP", "four.txt"): 2, ("b.ZIP", "five.txt"): None, ("b.ZIP", "six.txt"): None, ("c.zip", "seven.txt"): 1,
+        ("d.zip", "eight.txt"): 10, ("e.zip", "e.zip"): None, ("f.zip", "f.zip"): None, ("plain.txt", "plain.txt"): 5, ("g.zip", "nine.txt"): None,
+    }
+
+
 def test_replays_and_conflicts(spark):
     rows = [(1, "u", "k", "m"), (2, "u", "k", "m"), (3, "u", "k", "n"), (4, "v", "k", "m"), (5, "u", None, "m"), (6, "u", None, "m")]
     jobs = spark.createDataFrame(rows, "job_id long, user string, key string, manifest_hash string")
