@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, lines, minhash, mix, shard, suffixes, toxicity
+from . import chat, decontaminate, embeddings, langid, lines, minhash, mix, negatives, phrases, shard, suffixes, toxicity
 from .common import Scratch, read
 
 #: Fixed value: the conversation that the chat query adds to the table.
@@ -58,9 +58,17 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(read(spark, sf_dir, "documents")))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.with_noise(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op8_suffixes, op9_lines, op10_embeddings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op8_suffixes, op9_lines, op10_embeddings, op11_phrases, op12_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL, "op7_minhash": minhash.SQL, "op8_suffixes": suffixes.SQL, "op9_lines": lines.SQL, "op10_embeddings": embeddings.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_chat_format": chat.SQL, "op6_mix": mix.SQL, "op7_minhash": minhash.SQL, "op8_suffixes": suffixes.SQL, "op9_lines": lines.SQL, "op10_embeddings": embeddings.SQL, "op11_phrases": phrases.SQL, "op12_negatives": negatives.SQL}
