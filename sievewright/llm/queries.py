@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, lines, minhash, mix, negatives, phrases, shard, suffixes, toxicity
+from . import bpe, chat, decontaminate, embeddings, langid, lines, minhash, mix, negatives, phrases, shard, suffixes, toxicity
 from .common import Scratch, read
 
 #: Fixed value: the conversation that the chat query adds to the table.
@@ -66,8 +66,14 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.with_noise(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op8_suffixes, op9_lines, op10_embeddings, op11_phrases, op12_negatives)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_shard, op4_language, op5_toxicity, op6_mix, op7_minhash, op8_suffixes, op9_lines, op10_embeddings, op11_phrases, op12_negatives, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
