@@ -35,7 +35,9 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(F.col("c_custkey") % 2 == 0, "University of Queensland, Australia, 2011")
     text = rs.rendered(F.col("name"), F.coalesce("jobs", empty), institution=place, suburb=F.when(F.col("c_custkey") % 3 == 0, "Ascot"))
     text = F.concat(text, F.lit("\n\nSKILLS\nKafka, Spark; Flink\n\nAFFILIATIONS\nIEEE, chess club\n\nHolds full work rights. 2 months notice"))
-    return joined.select(F.col("c_custkey").alias("candidate_ref"), F.col("name").alias("full_name"), text.alias("text"))
+    made = joined.select(F.col("c_custkey").alias("candidate_ref"), F.col("name").alias("full_name"), text.alias("text"))
+    # few bytes, from which Spark would make few tasks, but much work for each
+    return made.repartition(4 * spark.sparkContext.defaultParallelism, "candidate_ref")
 
 
 #: What the resumes say, from the tables. The tables' names of nations have one word or two.

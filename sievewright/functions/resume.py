@@ -1,8 +1,8 @@
 """Reading resumes by patterns: plain text to the records of a profile, as Columns.
 
-A resume is an array of lines. Sections, roles and awards need a look at the line before or after, so
-they are folds over that array; a resume's length is bounded before (24,000 characters), which bounds the
-fold. Everything else is a pattern applied to a line or to the whole text.
+A resume is an array of lines. What opens a section or a role is told line by line, with the lines beside
+it at hand; the places of those lines cut the array into slices, so no state is carried from line to line
+and nothing grows while a text is read. Everything else is a pattern applied to a line or to the whole text.
 """
 
 from __future__ import annotations
@@ -145,36 +145,50 @@ def _upper_or_title(text: Column) -> Column:
     return upper | title
 
 
+def _headings() -> Column:
+    """What may stand on a line that opens a section, in capitals or with a capital at each word, by section."""
+    written = [(w, section) for section, aliases in SECTIONS.items() for alias in aliases for w in (alias.upper(), alias.title())]
+    return F.create_map(*[F.lit(x) for pair in dict(written).items() for x in pair])
+
+
 def heading(line: Column) -> Column:
     """The section that a line opens, or null."""
+    return F.try_element_at(_headings(), F.trim(F.rtrim(F.trim(line), F.lit(":"))))
+
+
+def _cut_at(items: Column, places: Column) -> Column:
+    """The items behind each of the places, up to the next; places count from 1."""
+
+    def parts(x: Column) -> Column:
+        end = F.size(x["items"]) + 1
+        return F.transform(x["at"], lambda a, k: F.slice(x["items"], a + 1, F.coalesce(F.get(x["at"], k + 1), end) - a - 1))
 
-    def named(plain: Column) -> Column:
-        names = F.create_map(*[F.lit(x) for section, aliases in SECTIONS.items() for alias in aliases for x in (alias, section)])
-        return F.when((F.length(plain) <= 40) & _upper_or_title(plain), F.try_element_at(names, F.lower(plain)))
+    return bound(F.struct(items.alias("items"), places.alias("at")), parts)
 
-    return bound(F.trim(F.regexp_replace(F.trim(line), r":+$", "")), named)
+
+def _places(flags: Column) -> Column:
+    """The places, from 1, of what is true."""
+    return F.filter(F.transform(flags, lambda x, k: F.when(x, k + 1)), lambda k: k.isNotNull())
 
 
 def sections(text: Column) -> Column:
     """map<section, lines>: the lines before the first heading are the header; blank lines go."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.struct(F.rtrim(x).alias("line"), heading(x).alias("opens")))
-    start = F.struct(F.lit("header").alias("now"), F.array().cast("array<struct<section:string,line:string>>").alias("placed"))
-    placed = F.aggregate(
-        lines,
-        start,
-        lambda acc, x: F.when(x["opens"].isNotNull(), F.struct(x["opens"].alias("now"), acc["placed"].alias("placed")))
-        .when(F.trim(x["line"]) == "", acc)
-        .otherwise(F.struct(acc["now"].alias("now"), F.array_append(acc["placed"], F.struct(acc["now"].alias("section"), x["line"].alias("line"))).alias("placed"))),
-    )["placed"]
-    names = ("header", *SECTIONS)
-    return _by_section(placed, names)
 
+    def by_section(d: Column) -> Column:
+        opens = F.concat(F.array(F.lit("header")), F.filter(d["opens"], lambda x: x.isNotNull()))
+        # a line in front stands for the heading of the header
+        lines = F.concat(F.array(F.lit("")), d["lines"])
+        bodies = _cut_at(lines, F.concat(F.array(F.lit(1)), F.transform(_places(F.transform(d["opens"], lambda x: x.isNotNull())), lambda k: k + 1)))
+        placed = F.zip_with(opens, bodies, lambda name, body: F.struct(name.alias("section"), F.filter(body, lambda x: F.trim(x) != "").alias("lines")))
+
+        def lines_of(p: Column, name: str) -> Column:
+            return F.flatten(F.transform(F.filter(p, lambda x: x["section"] == name), lambda x: x["lines"]))
 
-def _by_section(placed: Column, names: tuple[str, ...]) -> Column:
-    def lines_of(p: Column, name: str) -> Column:
-        return F.transform(F.filter(p, lambda x: x["section"] == name), lambda x: x["line"])
+        names = ("header", *SECTIONS)
+        return bound(placed, lambda p: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[lines_of(p, n) for n in names])))
 
-    return bound(placed, lambda p: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[lines_of(p, n) for n in names])))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.rtrim(x))
+    return bound(lines, lambda x: bound(F.struct(x.alias("lines"), F.transform(x, heading).alias("opens")), by_section))
 
 
 # ---------------------------------------------------------------- identity
@@ -265,32 +279,37 @@ def _dated(line: Column) -> Column:
 
 def experience(lines: Column) -> Column:
     """Roles: a line that is parted by a dash or a bar and carries dates, or whose next line does, opens
-    one; bulleted lines are its summary."""
-    following = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
-    listed = F.zip_with(lines, following, lambda x, y: F.struct(
-        x.alias("line"), y.alias("next"), F.rlike(x, F.lit(r"^\s*[-•*]")).alias("bullet"), _dated(x).alias("dated"), _dated(y).alias("next_dated"),
-        (F.contains(x, F.lit("—")) | F.contains(x, F.lit(" - ")) | F.contains(x, F.lit("|"))).alias("parted"),
-    ))
-    kind = "array<struct<line:string,dates:string,summary:string>>"
-    start = F.struct(F.array().cast(kind).alias("roles"), F.lit(False).alias("skip"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc["roles"], -1)
-        said = F.regexp_replace(F.regexp_replace(x["line"], r"^[-•* ]+", ""), r"^\s+|\s+$", "")
-        longer = F.substring(F.when(last["summary"].isNull(), said).otherwise(F.concat(last["summary"], F.lit("; "), said)), 1, 400)
-        added = F.concat(F.slice(acc["roles"], 1, F.size(acc["roles"]) - 1), F.array(F.struct(last["line"].alias("line"), last["dates"].alias("dates"), longer.alias("summary"))))
-        opened = F.struct(x["line"].alias("line"), F.when(x["dated"], x["line"]).otherwise(x["next"]).alias("dates"), F.lit(None).cast("string").alias("summary"))
-
-        def state(roles: Column, skip: Column) -> Column:
-            return F.struct(roles.alias("roles"), skip.alias("skip"))
-
-        no = F.lit(False)
-        return (
-            F.when(acc["skip"], state(acc["roles"], no))
-            .when(x["bullet"] & (F.size(acc["roles"]) > 0), state(added, no))
-            .when(~x["bullet"] & x["parted"] & (x["dated"] | x["next_dated"]), state(F.array_append(acc["roles"], opened), ~x["dated"]))
-            .otherwise(state(acc["roles"], no))
-        )
+    one; bulleted lines are its summary. A line whose dates went to the role above it opens none."""
+
+    def looked_at(x: Column) -> Column:
+        parted = F.contains(x, F.lit("—")) | F.contains(x, F.lit(" - ")) | F.contains(x, F.lit("|"))
+        return F.struct(x.alias("line"), F.rlike(x, F.lit(r"^\s*[-•*]")).alias("bullet"), _dated(x).alias("dated"), parted.alias("parted"))
+
+    def with_next(flat: Column) -> Column:
+        def told(x: Column, y: Column) -> Column:
+            may_open = ~x["bullet"] & x["parted"] & (x["dated"] | F.coalesce(y["dated"], F.lit(False)))
+            return F.struct(x["line"].alias("line"), x["bullet"].alias("bullet"), x["dated"].alias("dated"), y["line"].alias("next"), may_open.alias("opens"))
+
+        return F.transform(flat, lambda x, k: told(x, F.get(flat, k + 1)))
+
+    def without_taken(told: Column) -> Column:
+        """The line below an undated opening is its dates and nothing else."""
+
+        def free(x: Column, a: Column) -> Column:
+            taken = F.coalesce(a["opens"] & ~a["dated"], F.lit(False))
+            return F.struct(x["line"].alias("line"), F.when(x["dated"], x["line"]).otherwise(x["next"]).alias("dates"), (x["opens"] & ~taken).alias("opens"), (x["bullet"] & ~taken).alias("bullet"))
+
+        return F.transform(told, lambda x, k: free(x, F.get(told, k - 1)))
+
+    def cut(told: Column) -> Column:
+        heads = F.filter(told, lambda x: x["opens"])
+        bodies = _cut_at(told, _places(F.transform(told, lambda x: x["opens"])))
+
+        def joined(head: Column, body: Column) -> Column:
+            said = F.transform(F.filter(body, lambda x: x["bullet"]), lambda x: F.regexp_replace(F.regexp_replace(x["line"], r"^[-•* ]+", ""), r"^\s+|\s+$", ""))
+            return F.struct(head["line"].alias("line"), head["dates"].alias("dates"), F.when(F.size(said) > 0, F.substring(F.array_join(said, "; "), 1, 400)).alias("summary"))
+
+        return F.zip_with(heads, bodies, joined)
 
     def role(r: Column) -> Column:
         mark = F.when(F.contains(r["line"], F.lit("—")), F.lit("—")).when(F.contains(r["line"], F.lit("|")), F.lit("|")).otherwise(F.lit(" - "))
@@ -308,7 +327,8 @@ def experience(lines: Column) -> Column:
 
         return bound(F.struct(title.alias("title"), employer.alias("employer"), date_range(r["dates"]).alias("dates")), made)
 
-    return F.transform(F.aggregate(listed, start, step)["roles"], role)
+    roles = bound(F.transform(lines, looked_at), lambda flat: bound(with_next(flat), lambda told: bound(without_taken(told), cut)))
+    return F.transform(roles, role)
 
 
 def projects(lines: Column) -> Column:

@@ -6,10 +6,12 @@ too short carries an error, a profile that still leaks is failed. No row is drop
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import fresh
+from . import numbering
 
 SHORTEST, LONGEST = 80, 24_000
 
@@ -21,23 +23,25 @@ def mark_duplicates(docs: DataFrame, *, content: str = "content", order: tuple[s
     fills the corpus is in no single task.
     """
     keys = [*([batch] if batch else []), "content_hash"]
+    (first_,) = fresh(docs, "first")
     hashed = docs.withColumn("content_hash", F.sha2(F.col(content), 256))
-    first = hashed.groupBy(*keys).agg(F.min(F.struct(*order, F.col(key).alias("_first"))).alias("_f")).select(*keys, F.col("_f._first").alias("_first"))
+    first = hashed.groupBy(*keys).agg(F.min(F.struct(*order, F.col(key).alias(first_)))[first_].alias(first_))
     joined = hashed.join(first, keys, "left")
-    return joined.withColumn("duplicate_of", F.when(F.col("_first") != F.col(key), F.col("_first"))).drop("_first")
+    return joined.withColumn("duplicate_of", F.when(F.col(first_) != F.col(key), F.col(first_))).drop(first_)
 
 
-def candidate_references(pending: DataFrame, *, batch: str = "batch_id", order: tuple[str, ...] = ("created_at", "filename"), numbered: int = 0) -> DataFrame:
-    """pending with candidate_ref: 'Candidate 1' and on, by arrival within the batch."""
-    place = F.row_number().over(Window.partitionBy(batch).orderBy(*order)) + numbered
-    return pending.withColumn("candidate_ref", F.concat(F.lit("Candidate "), place.cast("string")))
+def candidate_references(pending: DataFrame, *, batch: str = "batch_id", order: tuple[str, ...] = ("created_at", "filename"), numbered: int = 0, ranges: int | None = None) -> DataFrame:
+    """pending with candidate_ref: 'Candidate 1' and on, by arrival within the batch; see numbering.numbered."""
+    (place,) = fresh(pending, "place")
+    out = numbering.numbered(pending, [batch], list(order), into=place, ranges=ranges)
+    return out.withColumn("candidate_ref", F.concat(F.lit("Candidate "), (F.col(place) + numbered).cast("string"))).drop(place)
 
 
-def split_errors(docs: DataFrame, column: str = "text") -> DataFrame:
+def split_errors(docs: DataFrame, column: str = "text", longest: int = LONGEST) -> DataFrame:
     """docs with error (null if usable) and the text cut to what a pass takes."""
     length = F.length(F.trim(column))
     error = F.when(F.col(column).isNull(), "unreadable").when(length < SHORTEST, "too_short")
-    return docs.withColumn("error", error).withColumn("truncated", F.coalesce(F.length(column) > LONGEST, F.lit(False))).withColumn(column, F.substring(column, 1, LONGEST))
+    return docs.withColumn("error", error).withColumn("truncated", F.coalesce(F.length(column) > longest, F.lit(False))).withColumn(column, F.substring(column, 1, longest))
 
 
 def structured(docs: DataFrame, column: str = "text") -> DataFrame:
