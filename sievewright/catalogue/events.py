@@ -83,3 +83,20 @@ def q_event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.sessions(table(spark, sf_dir, "events"), 7200)
+
+
+@query(
+    "WITH s AS (SELECT unnest([0, 1, 2, 3]) AS k), w AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start, value FROM events, s) "
+    "SELECT window_start, window_start + INTERVAL 4 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY window_start"
+)
+def q_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four hours from every hour on."""
+    return queue.sliding_counts(table(spark, sf_dir, "events"), "4 hours", "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query(
+    "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), "
+    "n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM n GROUP BY user_id, session"
+)
+def q_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.session_windows(table(spark, sf_dir, "events"), "2 hours")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,13 +22,20 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. A temporary one only where that is unset and Spark is this one process."""
+    """A new folder below spark.checkpoint.dir, deleted when the session ends. A temporary one only where that is unset and Spark is this one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/sievewright-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/sievewright-{uuid.uuid4().hex}"
+    atexit.register(lambda: spark.sparkContext._jsc is not None and delete(spark, folder))
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Written:
@@ -42,8 +50,7 @@ class Written:
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
 
     def clean(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
     def __enter__(self) -> DataFrame:
         return self.rows

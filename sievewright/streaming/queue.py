@@ -70,6 +70,21 @@ def sessions(events: DataFrame, gap_s: int, user: str = "user_id", ts: str = "ts
     return numbered.groupBy(user, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
 
+def sliding_counts(events: DataFrame, size: str, slide: str, *, ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Events by sliding window: a row counts in each window of ``size`` that begins at a multiple of ``slide`` and holds it."""
+    if events.isStreaming:
+        events = events.withWatermark(ts, late)
+    return events.groupBy(F.window(ts, size, slide).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total")
+
+
+def session_windows(events: DataFrame, gap: str, *, user: str = "user_id", ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Sessions of a user, parted where ``gap`` or more passes without an event, on tables and streams alike; Spark merges
+    the sessions of a task before it shuffles them. On a stream a session is given once the watermark has passed its end."""
+    if events.isStreaming:
+        events = events.withWatermark(ts, late)
+    return events.groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.max(ts).alias("ended"), F.count("*").alias("n")).select(user, F.col("w.start").alias("started"), "ended", "n")
+
+
 def outstanding(documents: DataFrame, jobs: DataFrame, job: str, *, document_states: list[str], job_states: list[str], document_status: str = "status", job_status: str = "job_status") -> DataFrame:
     """Documents in one of the states whose job is in one of its own; both sides are filtered before they meet."""
     return documents.where(F.col(document_status).isin(*document_states)).join(jobs.where(F.col(job_status).isin(*job_states)), job)
