@@ -35,8 +35,8 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """The benchmark's vocabulary, its words end to end and, by length, the hashes of its windows in
-    order with their places: some sixteen bytes for a window, and an entry for a distinct word."""
+    """The benchmark's vocabulary, its words end to end and, by length, its distinct windows: their hashes in
+    order, a place where each stands, and the numbers of the items that have it, each once."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
@@ -45,13 +45,41 @@ class WindowSet:
         self.words = np.concatenate([np.zeros(0, np.int32), *listed])
         sizes = np.array([len(x) for x in listed], np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
         for size in sorted({int(k) for k in np.minimum(sizes, n)} - {0}):
             which = np.flatnonzero(np.minimum(sizes, n) == size)
             at = np.concatenate([self.starts[k] + np.arange(sizes[k] - size + 1) for k in which])
             hashes = span_hashes(self.words, at, at + size)
             order = np.argsort(hashes, kind="stable")
-            self.windows[size] = hashes[order], at[order]
+            self.windows[size] = self._classes(hashes[order], at[order], size)
+
+    def _classes(self, hashes: np.ndarray, at: np.ndarray, size: int):
+        """(hashes, places, offsets, items): a class for every distinct window, in the order of hashes; those of class k
+        are items[offsets[k]:offsets[k + 1]]. Windows of one hash and other words are classes of their own."""
+        place = np.zeros(len(at), np.int64)  # of the class of each window
+        open_ = np.arange(len(at))
+        while len(open_):
+            h = hashes[open_]
+            first = np.concatenate(([True], h[1:] != h[:-1]))
+            head = at[open_[np.flatnonzero(first)[np.cumsum(first) - 1]]]
+            same = self._equal(self.words, at[open_], head, size)
+            place[open_[same]] = head[same]
+            open_ = open_[~same]
+        order = np.lexsort((place, hashes))
+        hashes, at, place = hashes[order], at[order], place[order]
+        new = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+        of_class = np.cumsum(new) - 1
+        item = np.searchsorted(self.starts, at, "right") - 1
+        pairs = np.unique(of_class * np.int64(len(self.items)) + item)
+        offsets = np.searchsorted(pairs, np.arange(int(new.sum()) + 1) * np.int64(len(self.items)))
+        return hashes[new], place[new], offsets, pairs % max(len(self.items), 1)
+
+    def _equal(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """Whether the words at ids[a] are those of the benchmark at b."""
+        out = np.ones(len(a), bool)
+        for k in range(size):
+            out &= ids[a + k] == self.words[b + k]
+        return out
 
     def scan(self, raw: bytes | None) -> tuple[int, np.ndarray | None, set]:
         """The number of words, which of them are hit (None: no word), and the items' ids."""
@@ -61,32 +89,25 @@ class WindowSet:
         ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int32, len(found))
         known = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(ids > 0, out=known[1:])
-        items: set = set()
-        spans = []
-        for size, (hashes, places) in self.windows.items():
-            at = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else ()
-            if not len(at):
-                continue
-            wanted = span_hashes(ids, at, at + size)
+        hit: set[int] = set()
+        edge = np.zeros(len(ids) + 1, np.int64)
+        for size, (hashes, places, offsets, items) in self.windows.items():
+            at = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else np.zeros(0, np.int64)
+            wanted = span_hashes(ids, at, at + size) if len(at) else np.zeros(0, np.uint64)
             low = np.searchsorted(hashes, wanted)
-            for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == wanted):
-                place = int(low[k])
-                while place < len(hashes) and hashes[place] == wanted[k]:
-                    if (self.words[places[place] : places[place] + size] == ids[at[k] : at[k] + size]).all():
-                        items.add(self.items[int(np.searchsorted(self.starts, places[place], "right")) - 1])
-                        spans.append((at[k], at[k] + size))
-                    place += 1
-        if not spans:
-            return len(ids), None, items
-        return len(ids), covered(spans, len(ids)), items
-
-
-def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    for a, b in spans:
-        edge[a] += 1
-        edge[b] -= 1
-    return np.cumsum(edge[:-1]) > 0
+            while len(at):  # once, unless two windows of the benchmark have one hash
+                there = hashes[np.minimum(low, len(hashes) - 1)] == wanted
+                there &= low < len(hashes)
+                at, wanted, low = at[there], wanted[there], low[there]
+                same = self._equal(ids, at, places[low], size)
+                np.add.at(edge, at[same], 1)
+                np.add.at(edge, at[same] + size, -1)
+                for k in np.unique(low[same]).tolist():
+                    hit.update(items[offsets[k] : offsets[k + 1]].tolist())
+                at, wanted, low = at[~same], wanted[~same], low[~same] + 1
+        if not edge.any():
+            return len(ids), None, set()
+        return len(ids), np.cumsum(edge[:-1]) > 0, {self.items[k] for k in hit}
 
 
 def contaminated_words(n_hit: int, n_words: int, one_in: int) -> bool:
@@ -226,10 +247,13 @@ def _hits_by_join(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(item_windows))
     keyed = docs.where(F.col(text).isNotNull()).select(_text_key(text).alias("key"), F.col(text).alias("text"))
     sized = keyed.mapInArrow(_window_rows(sizes, bitmap, n), _shape(keyed)) if sizes else keyed.limit(0).mapInArrow(_window_rows([n], None, n), _shape(keyed))
-    found = sized.join(item_windows.select("size", "digest", "item"), ["size", "digest"])
+    of_window = scratch.save(item_windows.groupBy("size", "digest").agg(F.collect_set("item").alias("items")), "items")
+    found = scratch.save(sized.select("key", "at", "size", "digest").join(of_window.select("size", "digest"), ["size", "digest"]), "found")
     hit = found.select("key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct()
     words_hit = hit.groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("hit"))
-    return scratch.save(found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).join(words_hit, "key"), "hits")
+    # a window that stands in many places of a text brings its items once
+    named = found.select("key", "size", "digest").distinct().join(of_window, ["size", "digest"]).select("key", F.explode("items").alias("item")).distinct()
+    return scratch.save(named.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("item_ids")).join(words_hit, "key"), "hits")
 
 
 def _count_words(text: str) -> Column:

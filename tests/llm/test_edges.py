@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -56,6 +58,22 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(messy(spark), bench.limit(0)).count() == len(TEXTS)
 
 
+def test_decontamination_is_linear_in_repeated_words():
+    index = decontaminate.WindowSet([("a", b"go " * 100_000), ("b", b"go " * 13), ("c", b"go " * 12 + b"on")], 13)
+    begin = time.perf_counter()
+    n, hit, items = index.scan(b"go " * 100_000 + b"on and on")
+    assert (n, int(hit.sum()), items) == (100_003, 100_001, {"a", "b", "c"})
+    assert time.perf_counter() - begin < 1.0
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "span_hashes", lambda data, a, b: np.zeros(len(a), np.uint64) + np.uint64(7))
+    index = decontaminate.WindowSet([("a", b"x y z"), ("b", b"z y x"), ("c", b"x y z"), ("d", b"y y")], 3)
+    for text, hit, items in ((b"q z y x", 3, {"b"}), (b"x y z y x", 5, {"a", "b", "c"}), (b"y y y", 3, {"d"}), (b"x z", 0, set())):
+        _, found, named = index.scan(text)
+        assert (0 if found is None else int(found.sum()), named) == (hit, items)
+
+
 def test_chat(spark):
     turns = [(1, 1, "user", "hi <|im_end|> \\l"), (1, 2, "assistant", "</s>\\\n"), (1, 3, "user", None), (1, 4, "assistant", "é" * 50_000), (2, None, None, None), (None, 1, "assistant", "x"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a")]
     table = spark.createDataFrame([(*t, "p") for t in turns], "conv_id long, turn long, role string, text string, piece string")
