@@ -92,6 +92,10 @@ def test_chat_loss_is_read_from_the_examples(spark, monkeypatch):
     table = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "abc"), (1, 3, "user", "so"), (1, 4, "assistant", "<|defg")], "conv_id long, turn long, role string, text string")
     formatted = chat.format_turns(table)
     examples = chat.prefix_target_examples(formatted)
+    right = chat.digest(formatted).first()
+    assert (right.n_examples, right.context_sha256) == (2, hashlib.sha256("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\nso<|im_end|>\n<|im_start|>assistant\n".encode()).hexdigest())
+    moved = chat.digest(formatted.withColumn("piece_start", formatted.piece_start + 1)).first()
+    assert moved.loss_sha256 != right.loss_sha256 and moved.context_sha256 != right.context_sha256 and moved.context_chars == right.context_chars + 2
     for altered, loss in ((examples, "abc<|defg"), (examples.where("target = 4"), "<|defg"), (examples.withColumn("loss_end", examples.loss_end - 1), "ab<|def")):
         monkeypatch.setattr(chat, "prefix_target_examples", lambda turns, altered=altered: altered)
         found = chat.digest(formatted).first()
