@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.layout import reading_order
-from ..plans import bias, ingest, screening
+from ..plans import batches, bias, ingest, screening
 from ..plans.fields import vocabulary
 from ..sources import documents as sources
 from ..sources.candidates import table
@@ -169,6 +169,42 @@ def q_structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.structured(docs).select("doc_id", "email", "stated_years")
 
 
+_TURNS = "SELECT conv_id || '-' || turn AS rule_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user'"
+_FOUND = " UNION ALL ".join(f"SELECT rule_id, text, '{name}' AS id, '{risk}' AS risk FROM t WHERE {_found('text', p)}" for name, risk, p in tx.RISK_PATTERNS)
+
+
+def wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say in conversations, as wordings of rules and questions."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("rule_id"), F.coalesce("text", F.lit("")).alias("wording"))
+
+
+@query(
+    f"WITH t AS ({_TURNS}), f AS ({_FOUND}), h AS (SELECT rule_id, text, bool_or(risk = 'high') AS high FROM f GROUP BY ALL) "
+    "SELECT t.rule_id, CASE WHEN high THEN 'rule_risky' ELSE 'rule_applicable' END AS event, CASE WHEN high THEN 'high' WHEN high IS NULL THEN 'none' ELSE 'review' END AS detail FROM t LEFT JOIN h ON h.rule_id = t.rule_id AND h.text = t.text UNION ALL SELECT rule_id, 'rule_risk_flagged', id FROM f"
+)
+def q_wording_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compile trail of every wording that users gave."""
+    return batches.rule_trail(wordings(spark, sf_dir), F.lit(None).cast("timestamp")).select("rule_id", "event", "detail")
+
+
+@query(
+    f"WITH t AS ({_TURNS}), f AS ({_FOUND}), h AS (SELECT rule_id, text, count(DISTINCT id) AS n, bool_or(risk = 'high') AS high FROM f GROUP BY ALL) "
+    "SELECT t.rule_id, coalesce(n, 0)::INTEGER AS findings, CASE WHEN high THEN 'rejected' WHEN n > 0 THEN 'warned' ELSE 'open' END AS gate FROM t LEFT JOIN h ON h.rule_id = t.rule_id AND h.text = t.text"
+)
+def q_query_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions are put, put with a warning, or refused for their wording."""
+    return batches.gate(wordings(spark, sf_dir)).select("rule_id", F.size("findings").alias("findings"), "gate")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN text IS NULL THEN 'manual_review' WHEN length(trim(text, ' ')) < 80 THEN 'manual_review' ELSE 'ready' END AS status FROM documents"
+)
+def q_routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cannot be read goes to a person and is never rejected."""
+    return batches.routed(ingest.split_errors(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "status")
+
+
 #: Titles of qualifications and of things that are none.
 TITLES = ("Doctor of Philosophy", "Master of IT", "Graduate Certificate in Data", "Bachelor of Science (Honours)", "B.Sc", "Advanced Diploma of Nursing", "Certificate IV in Training", "Certificate of Completion", "Diploma of Art", "Forklift licence", "")
 

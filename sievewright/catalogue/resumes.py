@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import resume as rs
+from ..plans import audit
 from ..plans import profiles as pf
 from ..sources.candidates import table
 from .registry import query
@@ -85,3 +86,31 @@ def q_identity_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
         "candidate_ref", F.regexp_count(F.lower("text"), F.lower(F.col("full_name"))).alias("old_name"), F.regexp_count("text", F.lit("Jane Roe")).alias("new_name"),
         F.regexp_extract("text", rs.EMAIL, 0).alias("email"), F.contains("text", F.lit("Hill College, Australia, 2011")).alias("moved"),
     )
+
+
+#: Who takes the place of the candidate in each group.
+NAMES = {"A": "Ann Lee", "B": "Bob Ray", "C": "Cyd Day"}
+
+
+@query(
+    "WITH v AS (SELECT c_custkey, g, least(1.0::DOUBLE, coalesce(n, 0) / 40.0::DOUBLE) AS s FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey, (VALUES ('A'), ('B'), ('C')) AS t(g)), "
+    "a AS (SELECT c_custkey, g, arm, CASE WHEN c_custkey % 50 > 0 THEN s + CASE WHEN arm = 'identified' AND g = 'A' THEN 0.1::DOUBLE WHEN arm = 'identified' AND g = 'B' THEN 0.025::DOUBLE ELSE 0 END END AS score FROM v, (VALUES ('identified'), ('anonymised')) AS t(arm)), "
+    "m AS (SELECT arm, g, avg(score) AS mean FROM a GROUP BY 1, 2), k AS (SELECT arm, c_custkey, max(score) - min(score) AS spread FROM a WHERE score IS NOT NULL GROUP BY 1, 2) "
+    "SELECT arm, (SELECT count(score) FROM a AS x WHERE x.arm = m.arm) AS scored, (SELECT count(*) - count(score) FROM a AS x WHERE x.arm = m.arm) AS failed, round(max(mean) - min(mean), 6) AS gap, "
+    "(SELECT round(avg(spread), 6) FROM k WHERE k.arm = m.arm) AS mean_spread, 100.0::DOUBLE AS reduction_pct FROM m GROUP BY arm"
+)
+def q_counterfactual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every resume under three names, scored by somebody who likes one name more than another, with and without identity;
+    one resume in fifty is cut so short that it cannot be read."""
+    given = resumes(spark, sf_dir)
+    groups = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(name).alias("new")) for g, name in NAMES.items()]))
+    many = given.select(F.col("candidate_ref").alias("case_id"), "full_name", "text", groups.alias("to")).select("case_id", "full_name", "text", "to.*")
+    text = pf.swapped(F.col("text"), F.col("full_name"), F.col("new"))
+    variants = many.select("case_id", "group", F.when(F.col("case_id") % 50 == 0, F.substring(text, 1, 60)).otherwise(text).alias("text"))
+
+    def scorer(p):
+        liked = F.when(F.contains(p["summary"], F.lit("Ann")), 0.1).when(F.contains(p["summary"], F.lit("Bob")), 0.025).otherwise(0.0)
+        return F.least(F.lit(1.0), F.size(p["experience"]) / F.lit(40.0)) + liked
+
+    report = audit.audit_report(variants, scorer)
+    return report.select("arm", "scored", "failed", F.round("gap", 6).alias("gap"), F.round("mean_spread", 6).alias("mean_spread"), F.round("reduction_pct", 6).alias("reduction_pct"))

@@ -34,8 +34,16 @@ def criteria_for(preferences: list[Criterion]) -> tuple[Criterion, ...]:
 
 
 def _covered(wanted: str, held: Column) -> Column:
-    low = wanted.lower()
-    return F.coalesce(F.exists(held, lambda h: F.contains(F.lower(h), F.lit(low)) | F.contains(F.lit(low), F.lower(h))), F.lit(False))
+    """Whether one of what is held has the wanted name in its own or the other way round; blank names say nothing."""
+    low = wanted.strip().lower()
+    if not low:
+        return F.lit(False)
+
+    def alike(h: Column) -> Column:
+        name = F.lower(F.trim(h))
+        return (name != "") & (F.contains(name, F.lit(low)) | F.contains(F.lit(low), name))
+
+    return F.coalesce(F.exists(held, alike), F.lit(False))
 
 
 def skills_score(wanted: list[str], held: Column, kind: str) -> tuple[Column, Column]:
