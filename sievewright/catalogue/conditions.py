@@ -75,17 +75,17 @@ def q_work_rights_unrestricted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_on_roles("bool_or(is_current) = true"))
 def q_bool_is_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, condition("has_current_role", "is", True).value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("is_current",)).select(KEY, condition("has_current_role", "is", True).value.alias("verdict"))
 
 
 @query(_on_roles("bool_or(title = '1-URGENT') OR bool_or(title = '2-HIGH')"))
 def q_list_has_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, condition("role_titles", "has any", ["urgent", "2-HIGH"]).value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("title",)).select(KEY, condition("role_titles", "has any", ["urgent", "2-HIGH"]).value.alias("verdict"))
 
 
 @query(_on_roles("bool_or(title = '1-URGENT') AND bool_or(title = '2-HIGH')"))
 def q_list_has_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, condition("role_titles", "has all", ["urgent", "2-HIGH"]).value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("title",)).select(KEY, condition("role_titles", "has all", ["urgent", "2-HIGH"]).value.alias("verdict"))
 
 
 @query(_on_profiles("CAST(NULL AS BOOLEAN)"))
@@ -153,7 +153,7 @@ def _months(least: float):
 @query(_on_roles("bool_or(months >= 90 AND seniority = 'senior')").replace("bool_or(months >= 90 AND seniority = 'senior')", "CASE WHEN count(*) FILTER (WHERE months >= 90 AND seniority = 'senior') > 0 THEN true WHEN count(*) > count(*) FILTER (WHERE (months >= 90 AND seniority = 'senior') IS NOT NULL) THEN NULL ELSE false END"))
 def q_any_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = any_where("role", _months(90) & where("role", "seniority", "is", "senior"))
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, found.value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("months", "seniority", "employment_type")).select(KEY, found.value.alias("verdict"))
 
 
 _LOW, _HIGH = "count(*) FILTER (WHERE months >= 60)", "(count(*) FILTER (WHERE months >= 60) + count(*) FILTER (WHERE months IS NULL))"
@@ -161,7 +161,7 @@ _LOW, _HIGH = "count(*) FILTER (WHERE months >= 60)", "(count(*) FILTER (WHERE m
 
 @query(_on_roles(f"CASE WHEN ({_LOW} >= 3) = ({_HIGH} >= 3) THEN {_LOW} >= 3 END"))
 def q_count_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, count_where("role", ">=", 3, _months(60)).value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("months", "seniority", "employment_type")).select(KEY, count_where("role", ">=", 3, _months(60)).value.alias("verdict"))
 
 
 @query(
@@ -170,12 +170,12 @@ def q_count_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_count_equals_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = (count_where("role", "=", 3, _months(60), strict=s) for s in (False, True))
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, one.value.alias("both_ends"), two.value.alias("strict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("months", "seniority", "employment_type")).select(KEY, one.value.alias("both_ends"), two.value.alias("strict"))
 
 
 def _aggregate(spark, sf_dir, func, op, target, test=None):
     found = aggregate_where(func, "role", "months", op, target, test)
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, found.value.alias("verdict"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("months", "seniority", "employment_type")).select(KEY, found.value.alias("verdict"))
 
 
 @query(_on_roles("CASE WHEN count(months) = count(*) THEN sum(months) >= 400 WHEN coalesce(sum(months), 0) >= 400 AND count(months) > 0 THEN true END"))
@@ -244,7 +244,7 @@ def q_latest_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p.candidate_ref, CASE k WHEN 1 THEN 'graduate' WHEN 2 THEN 'junior' WHEN 3 THEN 'mid' WHEN 4 THEN 'senior' WHEN 10 THEN 'executive' END AS highest_seniority FROM p LEFT JOIN x ON x.candidate_ref = p.candidate_ref"
 )
 def q_highest_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, with_roles=True).select(KEY, field("highest_seniority"))
+    return profiles(spark, sf_dir, with_roles=True, role_fields=("seniority",)).select(KEY, field("highest_seniority"))
 
 
 @query(

@@ -68,10 +68,10 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _nested(flat: DataFrame, order: list, fields: str, name: str) -> DataFrame:
-    """One array of records per candidate, in the order of ``order``."""
+def _nested(flat: DataFrame, order: list, fields: str, name: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One array of records per candidate, in the order of ``order``; fields that ``only`` does not name are null."""
     kinds = [f.strip().split(" ", 1) for f in fields.split(", ")]
-    record = F.struct(*[(F.col(n) if n in flat.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds])
+    record = F.struct(*[(F.col(n) if n in flat.columns and (only is None or n in only) else F.lit(None)).cast(k).alias(n) for n, k in kinds])
     packed = flat.select("candidate_ref", F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], record.alias("record")).alias("x"))
     listed = packed.groupBy("candidate_ref").agg(F.sort_array(F.collect_list("x")).alias("x"))
     return listed.select("candidate_ref", F.transform("x", lambda v: v["record"]).alias(name))
@@ -102,8 +102,9 @@ def _extras() -> dict[str, Column]:
     }
 
 
-def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with_skills: bool = False, with_extras: bool = False) -> DataFrame:
-    """A row per candidate with the columns of PROFILE; newest roles first."""
+def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with_skills: bool = False, with_extras: bool = False, role_fields: tuple[str, ...] | None = None) -> DataFrame:
+    """A row per candidate with the columns of PROFILE; newest roles first. Only ``role_fields`` of roles are read, if given:
+    Spark prunes columns of a table, but not fields of records that it gathers."""
     people = table(spark, sf_dir, "customer")
     balance = F.col("c_acctbal")
     status = _named("c_mktsegment", RIGHTS)
@@ -120,7 +121,7 @@ def profiles(spark: SparkSession, sf_dir: str, *, with_roles: bool = False, with
     )
     if with_roles:
         flat = roles(spark, sf_dir)
-        base = base.join(_nested(flat, [-F.col("began").cast("timestamp").cast("long"), F.col("role_id")], ROLE, "experience"), "candidate_ref", "left")
+        base = base.join(_nested(flat, [-F.col("began").cast("timestamp").cast("long"), F.col("role_id")], ROLE, "experience", role_fields), "candidate_ref", "left")
     if with_skills:
         flat = skills(spark, sf_dir)
         base = base.join(_nested(flat, [F.col("at"), F.col("place"), F.col("name"), F.col("category"), F.col("years"), F.col("proficiency")], SKILL, "skills"), "candidate_ref", "left")
