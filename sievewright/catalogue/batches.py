@@ -94,7 +94,7 @@ def q_query_with_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{CANDIDATES}, b AS (SELECT candidate_ref, CASE WHEN rights = 'citizen' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, coalesce(round(least(1.0::DOUBLE, least(1.0::DOUBLE, years / 8.0) * 0.8::DOUBLE + least(0.2::DOUBLE, greatest(0.0::DOUBLE, (years - 8.0) / 20.0::DOUBLE))), 3), 0.0::DOUBLE) AS d, CAST(years AS INTEGER) AS y, rights FROM p) "
+    f"{CANDIDATES}, b AS (SELECT candidate_ref, CASE WHEN rights = 'citizen' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN years IS NULL THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, least(1.0::DOUBLE, years / 8.0) * 0.8::DOUBLE + least(0.2::DOUBLE, greatest(0.0::DOUBLE, (years - 8.0) / 20.0::DOUBLE))), 3) END AS d, CAST(years AS INTEGER) AS y, rights FROM p) "
     "SELECT candidate_ref, round((a * 2.0 + d * 2.0) / 4.0, 4) AS score, CASE WHEN y IS NULL THEN 'Years of professional experience not stated in the resume.' ELSE y || ' years of professional experience.' END AS evidence, "
     "CASE WHEN a >= d THEN 'citizen' ELSE 'experience_depth' END AS strongest FROM b"
 )

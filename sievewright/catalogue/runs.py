@@ -72,7 +72,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCORED = f"""{CANDIDATES},
 w AS (SELECT candidate_ref, candidate_ref % 3 AS run_id, CASE WHEN years >= 6 THEN 1.0::DOUBLE ELSE 0.0 END AS a, CASE WHEN rights = 'citizen' THEN 1.0::DOUBLE WHEN rights IS NULL THEN 0.5 ELSE 0.0 END AS b,
-coalesce(least(1.0::DOUBLE, years / 10) * 0.8::DOUBLE + least(0.2::DOUBLE, greatest(0.0::DOUBLE, (years - 10) / 20.0::DOUBLE)), 0) AS c FROM p),
+CASE WHEN years IS NULL THEN 0 ELSE least(1.0::DOUBLE, years / 10) * 0.8::DOUBLE + least(0.2::DOUBLE, greatest(0.0::DOUBLE, (years - 10) / 20.0::DOUBLE)) END AS c FROM p),
 x AS (SELECT candidate_ref, run_id, round(least(greatest((a * 3.0::DOUBLE + b * 2.0::DOUBLE + c * 1.5::DOUBLE) / 6.5::DOUBLE, 0), 1), 4) AS score FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, candidate_ref) AS rank, count(*) OVER (PARTITION BY run_id) AS n FROM x)"""
 

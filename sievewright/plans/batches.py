@@ -80,11 +80,6 @@ def orphans(stored: DataFrame, referenced: DataFrame, key: str) -> DataFrame:
     return stored.join(referenced.select(key), key, "left_anti")
 
 
-def without_run(results: DataFrame, run_id) -> DataFrame:
-    """The results of other runs: what stays when a run is screened again."""
-    return results.where(~F.col("run_id").eqNullSafe(F.lit(run_id)))
-
-
 def routed(documents: DataFrame, error: str = "error") -> DataFrame:
     """documents with status: what could not be read goes to manual review, never to rejection; what
     leaked or is missing has failed."""

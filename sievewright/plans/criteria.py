@@ -64,12 +64,13 @@ def depth(years: Column, target: float) -> tuple[Column, Column]:
     """0.8 for the target and up to 0.2 for years beyond it."""
     score = F.least(F.lit(1.0), years / target) * 0.8 + F.least(F.lit(0.2), F.greatest(F.lit(0.0), (years - target) / 20.0))
     said = F.concat(plain_number(years), F.lit(" years of professional experience."))
-    return F.coalesce(F.round(F.least(F.lit(1.0), score), 3), F.lit(0.0)), F.coalesce(said, F.lit("Years of professional experience not stated in the resume."))
+    # least and greatest pass over nulls, so years that are not known are asked for first
+    return F.when(years.isNotNull(), F.round(F.least(F.lit(1.0), score), 3)).otherwise(0.0), F.coalesce(said, F.lit("Years of professional experience not stated in the resume."))
 
 
 def qualification(level: Column, target: int) -> tuple[Column, Column]:
     said = F.concat(F.lit("Highest qualification is AQF level "), level.cast("string"), F.lit("."))
-    return F.coalesce(F.round(F.least(F.lit(1.0), level / float(target)), 3), F.lit(0.0)), F.coalesce(said, F.lit("No qualification with a recognised AQF equivalent."))
+    return F.when(level.isNotNull(), F.round(F.least(F.lit(1.0), level / float(target)), 3)).otherwise(0.0), F.coalesce(said, F.lit("No qualification with a recognised AQF equivalent."))
 
 
 def relevance(title: str, titles: Column) -> tuple[Column, Column]:

@@ -22,8 +22,9 @@ def weighted_score(parts: list[tuple[Column, float]]) -> Column:
 
 
 def depth_score(years: Column, target: float) -> Column:
-    """min(1, y/t) x 0.8 and up to 0.2 for years beyond the target."""
-    return F.least(F.lit(1.0), years / target) * 0.8 + F.least(F.lit(0.2), F.greatest(F.lit(0.0), (years - target) / 20.0))
+    """min(1, y/t) x 0.8 and up to 0.2 for years beyond the target; null for years that are not known."""
+    score = F.least(F.lit(1.0), years / target) * 0.8 + F.least(F.lit(0.2), F.greatest(F.lit(0.0), (years - target) / 20.0))
+    return F.when(years.isNotNull(), score)  # least and greatest pass over nulls
 
 
 def ranked(scores: DataFrame, by: str = "run_id", score: str = "score", position: str = "position", width: int = 100_000) -> DataFrame:
