@@ -11,7 +11,8 @@ Occurrences are never shuffled. A task packs its texts into blocks: numbers of t
 text order beside a dictionary of the block's distinct words with their counts. Only dictionary entries
 travel, to be summed and to meet their ids, and come back to the block, which turns its numbers into those
 of pairs. A word that is a third of all is one entry in each block, summed by partial aggregation and
-joined as a key that Spark can split; no vocabulary is broadcast or collected.
+joined as a key that Spark can split; no vocabulary is broadcast or collected. A bitmap of fixed size keeps
+pairs that cannot be frequent from coming back at all.
 
 Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count each; a
 corpus without frequent phrases gives no rows; extra columns are not read. A piece, and so a text without
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, raw_texts, sorted_groups
 
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 800_000
 SLICE = 1 << 20  # bytes of a text that are split at a time
+PART = 1 << 16  # rows that a task hands over at a time
+BITMAP = 1 << 27  # bits
 GAP = b"\xff"  # no byte of UTF-8
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -72,10 +75,11 @@ class _Block:
         """Dictionary rows (block, pos, lang, word, n, null), then one row with the sequence."""
         seq = np.concatenate(self.parts)
         n = np.bincount(seq[seq >= 0], minlength=sum(len(k) - 1 for k in self.known.values()))
-        pos = np.array([p for k in self.known.values() for p in k.values() if p >= 0], np.int64)
-        words = pa.array([w for k in self.known.values() for w in k if w != GAP], pa.binary()).cast(pa.string())
-        lang = pa.array([g for g, k in self.known.items() for _ in range(len(k) - 1)], pa.string())
-        yield _dictionary(block, pos, n[pos], lang=lang, word=words)
+        for lang, known in self.known.items():
+            del known[GAP]
+            pos = np.fromiter(known.values(), np.int64, len(known))
+            words = pa.array(known, pa.binary()).cast(pa.string())
+            yield _dictionary(block, pos, n[pos], lang=pa.repeat(pa.scalar(lang, pa.string()), len(pos)), word=words)
         yield _sequence(block, seq, lang=pa.string(), word=pa.string())
 
 
@@ -105,24 +109,77 @@ def _pack(size: int):
     return pack
 
 
-def _pairs(batches):
-    """From the rows of a block, (pos, id) of its named entries and its sequence, those of its pairs."""
+def _renumbered(batches):
+    """From the named entries (pos, id) of a block and its sequence one row: the ids, and the sequence in numbers of these."""
     for table in sorted_groups(batches, ["block"]):
-        block = table.column("block")[0].as_py()
         seq = np.frombuffer(table.column("seq").drop_null()[0].as_py(), np.int32)
         named = table.filter(table.column("pos").is_valid())
-        known = np.full(int(seq.max(initial=-1)) + 1, -1, np.int64)
-        known[named.column("pos").to_numpy()] = named.column("id").to_numpy()
-        ids = np.where(seq >= 0, known[seq], -1) if len(known) else np.full(len(seq), -1)
-        both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        first, which, n = np.unique(seq[both] * np.int64(len(known)) + seq[both + 1], return_inverse=True, return_counts=True)
-        pairs = np.full(len(seq), -1, np.int32)
-        pairs[both] = which
-        left, right = known[first // max(len(known), 1)], known[first % max(len(known), 1)]
-        for at in range(0, len(first), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            yield _dictionary(block, np.arange(len(first))[part], n[part], left=pa.array(left[part]), right=pa.array(right[part]))
-        yield _sequence(block, pairs, left=pa.int64(), right=pa.int64())
+        place = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is that of a gap
+        place[named.column("pos").to_numpy()] = np.arange(named.num_rows, dtype=np.int32)
+        ids = named.column("id").to_numpy().astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[0].as_py()]), pa.array([ids.tobytes()], pa.binary()), pa.array([place[seq].tobytes()], pa.binary())], names=["block", "ids", "seq"])
+
+
+def _bit(left, right):
+    """Of a pair its bit in a bitmap; for numbers and for Columns alike."""
+    return ((left % 67_108_859) * 1_000_003 + right % 67_108_859) % BITMAP
+
+
+def _adjacent(batch: pa.RecordBatch, k: int):
+    """The ids of a block, the length of its sequence, where pairs begin, and the pairs as numbers: left * number of ids + right."""
+    ids, seq = np.frombuffer(batch.column("ids")[k].as_buffer(), np.int64), np.frombuffer(batch.column("seq")[k].as_buffer(), np.int32)
+    both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0)).astype(np.int32)
+    return ids, len(seq), both, seq[both] * np.int64(len(ids)) + seq[both + 1]
+
+
+def _sides(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids[pairs // max(len(ids), 1)], ids[pairs % max(len(ids), 1)]
+
+
+def _counts(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, _, _, pairs = _adjacent(batch, k)
+            pairs, n = np.unique(pairs, return_counts=True)
+            for at in range(0, len(n), PART):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*_sides(ids, pairs[at : at + PART]), n[at : at + PART])], names=["left", "right", "n"])
+
+
+def _entries(frequent):
+    """The dictionary and the sequence of a block's pairs that the bitmap knows and that stand side by side."""
+
+    def emit(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.column("block")[k].as_py()
+                ids, size, both, pairs = _adjacent(batch, k)
+                pairs, which, n = np.unique(pairs, return_inverse=True, return_counts=True)
+                left, right = _sides(ids, pairs)
+                bit = _bit(left, right)
+                known = (frequent.value[bit >> 6] >> (bit & 63)) & 1 == 1
+                # of these, what stands beside another: no other pair is part of anything longer
+                follows = np.flatnonzero(known[which[:-1]] & known[which[1:]] & (both[1:] == both[:-1] + 1))
+                beside = np.zeros(len(n), bool)
+                beside[which[follows]] = beside[which[follows + 1]] = True
+                known &= beside
+                number = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
+                seq = np.full(size, -1, np.int32)
+                seq[both] = number[which]
+                left, right, n = left[known], right[known], n[known]
+                for at in range(0, len(n), PART):
+                    part = slice(at, at + PART)
+                    yield _dictionary(block, np.arange(len(n))[part], n[part], left=pa.array(left[part]), right=pa.array(right[part]))
+                yield _sequence(block, seq, left=pa.int64(), right=pa.int64())
+
+    return emit
+
+
+def _bitmap(names: DataFrame) -> np.ndarray:
+    """The bits of pairs, in an array of BITMAP bits whatever their number."""
+    masks = names.select(_bit(F.col("left"), F.col("right")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits")).toArrow()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[masks.column("at").to_numpy()] = masks.column("bits").to_numpy()
+    return out
 
 
 def _named(counted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -152,10 +209,9 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     met = entries.join(names.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"])
     for k in range(2, longest + 1):
         back = met.select("block", "pos", "id", F.lit(None).cast("binary").alias("seq")).unionByName(blocks.where("seq is not null").select("block", "pos", F.lit(None).cast("long").alias("id"), "seq"))
-        paired = back.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs, "block long, pos long, left long, right long, n long, seq binary")
-        blocks = scratch.save(paired, f"blocks-{k}") if k < longest else paired
-        entries = blocks.where("seq is null")
-        counted = entries.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        numbered = scratch.save(back.repartition("block").sortWithinPartitions("block").mapInArrow(_renumbered, "block long, ids binary, seq binary"), f"numbered-{k}")
+        scratch.drop(f"blocks-{k - 1}")
+        counted = numbered.mapInArrow(_counts, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         one = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "starts")
         two = names.select(F.col("id").alias("right"), "last", "ends")
         phrases = counted.join(one, "left").join(two, "right").select(
@@ -163,9 +219,12 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
             F.concat("starts", F.array("f")).alias("starts"), F.concat("ends", F.array("f")).alias("ends"),
         )
         names = _named(phrases, scratch, f"names-{k}")
-        scratch.drop(f"blocks-{k - 1}")
         levels.append(names.select("lang", F.lit(k).alias("k"), "id", "left", "right", "phrase", "f", "starts", "ends"))
-        met = entries.join(names.select("left", "right", "id"), ["left", "right"])
+        if k < longest:
+            frequent = docs.sparkSession.sparkContext.broadcast(_bitmap(names))
+            blocks = scratch.save(numbered.mapInArrow(_entries(frequent), "block long, pos long, left long, right long, n long, seq binary"), f"blocks-{k}")
+            met = blocks.where("seq is null").join(names.select("left", "right", "id"), ["left", "right"])
+        scratch.drop(f"numbered-{k}")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
