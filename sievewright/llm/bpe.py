@@ -11,7 +11,8 @@ and its neighbours until they do. A text without spaces is one repair. The speci
 a text before anything else, as it does in the tokenizer.
 
 Equal texts are one text until the end: they meet by their SHA-256. Only digests, bytes of shared chunks
-and their ids travel besides the texts, once each; a bitmap of fixed size spares places that own nothing.
+and their ids travel besides the texts, once each; bitmaps of fixed size spare chunks that stand in one place
+and places that own nothing.
 
 Defined results: a null text is empty and has no ids; repeated rows have equal results; extra columns are
 not carried; ids beyond the vocabulary decode to nothing, bytes that are no UTF-8 to U+FFFD.
@@ -22,7 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,12 @@ from .common import Scratch, fresh, raw_texts
 
 MEAN_BITS = 9  # of the hash that are zero at a cut: chunks of 512 bytes
 BITMAP = 1 << 27  # bits
-BATCH = 1 << 22  # bytes that are encoded at a time
+BATCH = 1 << 18  # bytes that are encoded at a time
+MEMO, LONGEST_PART = 800_000, 64  # parts of words that a worker keeps, and their bytes at most
+_PLAIN = frozenset(range(33, 127))
+#: Between a mark or letter and a space or line end, and between a letter or digit and a mark that ends clauses, the
+#: splitter always parts, whatever stands further away.
+_PARTS = re.compile(rb"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z0-9])(?=[.,;:!?])").split
 
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
@@ -72,6 +80,7 @@ class Vocabulary:
         self.bytes = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes[number] = token.encode() if token in special else bytes(byte[c] for c in token)
+        self.memo: dict[bytes, bytes] = {}
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.special = {t.encode(): i for t, i in special.items()}
         self.parting = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if special else None
@@ -81,17 +90,37 @@ class Vocabulary:
         return self.parting.split(raw) if self.parting else [raw]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of ordinary texts."""
+        """The ids of ordinary texts. What stands between two places where the splitter always parts is encoded once for all texts of a worker,
+        as long as MEMO keeps it."""
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH):
                 size += len(texts[end])
                 end += 1
-            out += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[at:end]], add_special_tokens=False)]
+            parted = [_PARTS(t) for t in texts[at:end]]
+            if len(self.memo) > MEMO:
+                self.memo = {}
+            known = self.memo
+            new = [p for p in set(chain.from_iterable(parted)) if p not in known]
+            spaced = [p for p in new if p[0] == 32 and p[-1] in _PLAIN]  # these part wherever they stand in a row
+            alone = [p for p in new if not (p[0] == 32 and p[-1] in _PLAIN)]
+            known.update(zip(spaced, self._in_a_row(spaced)))
+            known.update(zip(alone, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False))))
+            out += [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32) for parts in parted]
+            for p in new:
+                if len(p) > LONGEST_PART:
+                    del known[p]
             at = end
         return out
 
+    def _in_a_row(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of parts that begin with a space and end with a visible character, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, np.int32)
+        at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p) for p in parts]))
+        raw, ends = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def decode(self, ids) -> str:
         known = len(self.bytes)
         return b"".join([self.bytes[i] for i in ids if 0 <= i < known]).decode("utf-8", "replace")
@@ -158,6 +187,9 @@ def encode_text(raw: bytes, shared: dict[int, np.ndarray], words: Vocabulary) ->
         if k % 2:
             out.append(np.array([words.special[segment]], np.int32))
             continue
+        if not shared:
+            out += words.encode([segment] if segment else [])
+            continue
         ends = cuts(segment)
         chunks = [segment[a:b] for a, b in zip([0, *ends], ends)]
         known = [shared.get(number + x) for x in range(len(chunks))]
@@ -182,8 +214,34 @@ def _place(key: bytes, number: int) -> int:
     return xxhash.xxh3_64_intdigest(key + number.to_bytes(8, "little")) - (1 << 63)
 
 
-def _listed(path: str, owners):
-    """Rows of chunks (key, number, place, digest), or, with the bitmap of owners, (place, digest, bytes) of those it knows."""
+def _listed(path: str):
+    """Rows (digest, place) of chunks."""
+
+    def emit(batches):
+        words = vocabulary(path)
+        for batch in batches:
+            digests, places = [], []
+            for key, raw in zip(batch.column("key").to_pylist(), raw_texts(batch.column("text"))):
+                for number, chunk in _chunks(raw, words):
+                    digests.append(xxhash.xxh3_128_digest(chunk))
+                    places.append(_place(key, number))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int64())], names=["digest", "place"])
+
+    return emit
+
+
+def _known(bits, value: int) -> bool:
+    bit = value % BITMAP
+    return bool(int(bits[bit >> 6]) >> (bit & 63) & 1)
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:7], "big")
+
+
+def _shared(path: str, digests, owners):
+    """Rows (key, number, place, digest, bytes) of chunks whose digest the one bitmap knows; bytes of those whose place
+    the other knows as an owner's."""
 
     def emit(batches):
         words = vocabulary(path)
@@ -191,14 +249,12 @@ def _listed(path: str, owners):
             rows = []
             for key, raw in zip(batch.column("key").to_pylist(), raw_texts(batch.column("text"))):
                 for number, chunk in _chunks(raw, words):
-                    place = _place(key, number)
-                    if owners is None:
-                        rows.append((key, number, place, xxhash.xxh3_128_digest(chunk)))
-                    elif owners.value[(place % BITMAP) >> 6] >> (place & 63) & 1:
-                        rows.append((place, xxhash.xxh3_128_digest(chunk), chunk))
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary()) if owners is None else (pa.int64(), pa.binary(), pa.binary())
-            names = ["key", "number", "place", "digest"] if owners is None else ["place", "digest", "bytes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
+                    if _known(digests.value, _number(digest := xxhash.xxh3_128_digest(chunk))):
+                        place = _place(key, number)
+                        rows.append((key, number, place, digest, chunk if _known(owners.value, place) else None))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["key", "number", "place", "digest", "bytes"])
 
     return emit
 
@@ -213,20 +269,25 @@ def _encode_chunks(path: str):
     return encode
 
 
-def _assemble(path: str):
+def _assemble(path: str, decoded: bool):
     def assemble(batches):
         words = vocabulary(path)
         for batch in batches:
-            keys, out, size = [], [], 0
-            for k, raw in enumerate(raw_texts(batch.column("text"))):
+            keys, out, said, size = [], [], [], 0
+            for k in range(batch.num_rows):
                 shared = {s["number"]: np.frombuffer(s["ids"], np.int32) for s in batch.column("shared")[k].as_py() or ()}
-                keys.append(batch.column("key")[k])
-                out.append(pa.array(encode_text(raw, shared, words)))
-                size += len(out[-1])
+                ids = encode_text(batch.column("text")[k].as_buffer().to_pybytes(), shared, words)
+                keys.append(batch.column("key")[k].as_py())
+                out.append(pa.array(ids))
+                if decoded:
+                    said.append(words.decode(ids.tolist()))
+                size += len(ids)
                 if size > BATCH or k == batch.num_rows - 1:
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out))], names=["key", "ids"])
-                    keys, out, size = [], [], 0
+                    columns = {"key": pa.array(keys, pa.binary()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out))}
+                    columns |= {"said": pa.array(said, pa.string())} if decoded else {}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    keys, out, said, size = [], [], [], 0
 
     return assemble
 
@@ -235,30 +296,33 @@ def text_key(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def _bitmap(places: DataFrame) -> np.ndarray:
-    """The bits of the places, in an array of BITMAP bits whatever their number."""
-    masks = places.select(F.shiftright(F.pmod("place", F.lit(BITMAP)), 6).alias("at"), F.expr("shiftleft(1L, int(pmod(place, 64)))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bitmap(rows: DataFrame, value) -> np.ndarray:
+    """The bits of a column's values, in an array of BITMAP bits whatever their number."""
+    bit = F.pmod(value, F.lit(BITMAP))
+    masks = rows.select(F.shiftright(bit, 6).alias("at"), (bit % 64).cast("int").alias("k")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, k))").alias("bits")).toArrow()
     out = np.zeros(BITMAP >> 6, np.int64)
     out[masks.column("at").to_numpy()] = masks.column("bits").to_numpy()
     return out
 
 
-def encode_distinct(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """(key, ids) of every distinct text of docs that is not empty; key is text_key, ids an array of int."""
+def encode_distinct(docs: DataFrame, path: str, *, text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids) of every distinct text of docs that is not empty; key is text_key, ids an array of int. If ``decoded``,
+    also ``said``, what the ids decode to, made in the same task."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     texts = docs.where(F.octet_length(text) > 0).select(text_key(text).alias("key"), F.col(text).alias("text"))
-    places = texts.mapInArrow(_listed(path, None), "key binary, number int, place long, digest binary").distinct()
-    chunks = scratch.save(places, "chunks")
-    counted = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1").drop("n")
-    owners = scratch.save(counted, "owners")
-    bits = spark.sparkContext.broadcast(_bitmap(owners))
-    sent = texts.mapInArrow(_listed(path, bits), "place long, digest binary, bytes binary").join(owners, ["place", "digest"])
-    encoded = sent.groupBy("digest").agg(F.first("bytes").alias("bytes")).mapInArrow(_encode_chunks(path), "digest binary, ids binary")
-    encoded = scratch.save(encoded, "encoded")
-    shared = chunks.select("key", "number", "digest").join(encoded, "digest").groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("shared"))
+    # equal texts have equal places, so a chunk of two places stands in two texts or twice in one
+    counted = texts.mapInArrow(_listed(path), "digest binary, place long").groupBy("digest").agg(F.min("place").alias("place"), F.max("place").alias("last"))
+    owners = scratch.save(counted.where("place <> last").select("digest", "place"), "owners")
+    digest_bits = _bitmap(owners, F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
+    bits = [spark.sparkContext.broadcast(x) for x in (digest_bits, _bitmap(owners, F.col("place")))]
+    met = scratch.save(texts.mapInArrow(_shared(path, *bits), "key binary, number int, place long, digest binary, bytes binary"), "met")
+    sent = met.where("bytes is not null").select("place", "digest", "bytes").join(owners, ["place", "digest"])
+    encoded = scratch.save(sent.groupBy("digest").agg(F.first("bytes").alias("bytes")).mapInArrow(_encode_chunks(path), "digest binary, ids binary"), "encoded")
+    places = met.select("key", "number", "digest").distinct()
+    shared = places.join(encoded, "digest").groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("shared"))
     once = texts.groupBy("key").agg(F.first("text").alias("text"))
-    return once.join(shared, "key", "left").select("key", "text", "shared").mapInArrow(_assemble(path), "key binary, ids array<int>")
+    return once.join(shared, "key", "left").select("key", "text", "shared").mapInArrow(_assemble(path, decoded), "key binary, ids array<int>" + ", said string" * decoded)
 
 
 def encode_texts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
@@ -285,8 +349,8 @@ def decode_ids(encoded: DataFrame, path: str, *, ids: str = "ids", into: str = "
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The query's columns, made once for each distinct text and joined to its documents."""
-    read = decode_ids(encode_distinct(docs, path), path)
-    told = read.select("key", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("a"), F.sha2("text", 256).alias("b"))
+    read = encode_distinct(docs, path, decoded=True)
+    told = read.select("key", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("a"), F.sha2("said", 256).alias("b"))
     empty = F.sha2(F.lit(""), 256)
     out = docs.select("doc_id", text_key("text").alias("key")).join(told, "key", "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("a", empty).alias("ids_sha256"), F.coalesce("b", empty).alias("decoded_sha256"))
