@@ -242,7 +242,8 @@ def collocations(phrases: DataFrame, *, longest: int = 3, inside: int = 50, best
     scored = phrases.where("k > 1").withColumn("weakest", F.array_min(cuts))
     parents = phrases.where("k > 2").select((F.col("k") - 1).alias("k"), F.explode(F.array("left", "right")).alias("id"), "f")
     longer = parents.groupBy("k", "id").agg(F.max("f").alias("longer"))
-    kept = scored.join(longer, ["k", "id"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("f")))
+    shorter = scored.where(F.col("k") < longest).join(longer, ["k", "id"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("f")))
+    kept = shorter.drop("longer").unionByName(scored.where(F.col("k") == longest))  # the longest lie in nothing
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.select("lang", "phrase", F.col("f").alias("a"), F.col("weakest.l").alias("l"), F.col("weakest.r").alias("r"), "n", F.col("weakest.score").alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
