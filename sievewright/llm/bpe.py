@@ -10,7 +10,7 @@ ids count only if their bytes add up to its safe places exactly, else the repair
 and its neighbours until they do. A text without spaces is one repair. The special token's string parts
 a text before anything else, as it does in the tokenizer.
 
-Equal texts are one text until the end: they meet by their SHA-256. Only digests, bytes of shared chunks
+Equal texts are one text until the end: they meet by their SHA-256, each compressed by itself. Only digests, bytes of shared chunks
 and their ids travel besides the texts, once each; bitmaps of fixed size spare chunks that stand in one place
 and places that own nothing.
 
@@ -20,6 +20,7 @@ not carried; ids beyond the vocabulary decode to nothing, bytes that are no UTF-
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -30,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ from .common import Scratch, fresh, raw_texts
 MEAN_BITS = 9  # of the hash that are zero at a cut: chunks of 512 bytes
 BITMAP = 1 << 27  # bits
 BATCH = 1 << 18  # bytes that are encoded at a time
+PACKED_ROWS = 500
 MEMO, LONGEST_PART = 800_000, 64  # parts of words that a worker keeps, and their bytes at most
 _PLAIN = frozenset(range(33, 127))
 #: Between a mark or letter and a space or line end, and between a letter or digit and a mark that ends clauses, the
-#: splitter always parts, whatever stands further away.
-_PARTS = re.compile(rb"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z0-9])(?=[.,;:!?])").split
+#: splitter always parts, whatever stands further away. A part is a character and all up to the next such place.
+_PARTS = re.compile(rb"(?s).(?:[^ \n.,;:!?]++|(?<![!-~])[ \n]|(?<![A-Za-z0-9])[.,;:!?])*+").findall
 
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
@@ -82,6 +85,7 @@ class Vocabulary:
             self.bytes[number] = token.encode() if token in special else bytes(byte[c] for c in token)
         self.memo: dict[bytes, bytes] = {}
         self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.start, self.joined = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.special = {t.encode(): i for t, i in special.items()}
         self.parting = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if special else None
 
@@ -102,7 +106,7 @@ class Vocabulary:
             if len(self.memo) > MEMO:
                 self.memo = {}
             known = self.memo
-            new = [p for p in set(chain.from_iterable(parted)) if p not in known]
+            new = set(chain.from_iterable(parted)).difference(known)
             spaced = [p for p in new if p[0] == 32 and p[-1] in _PLAIN]  # these part wherever they stand in a row
             alone = [p for p in new if not (p[0] == 32 and p[-1] in _PLAIN)]
             known.update(zip(spaced, self._in_a_row(spaced)))
@@ -122,8 +126,14 @@ class Vocabulary:
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids) -> str:
-        known = len(self.bytes)
-        return b"".join([self.bytes[i] for i in ids if 0 <= i < known]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.bytes))]
+        return b"".join(self._said(ids[at : at + BATCH // 4]) for at in range(0, len(ids), BATCH // 4)).decode("utf-8", "replace")
+
+    def _said(self, ids: np.ndarray) -> bytes:
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        return self.joined[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
 
 
 @lru_cache(2)
@@ -187,9 +197,6 @@ def encode_text(raw: bytes, shared: dict[int, np.ndarray], words: Vocabulary) ->
         if k % 2:
             out.append(np.array([words.special[segment]], np.int32))
             continue
-        if not shared:
-            out += words.encode([segment] if segment else [])
-            continue
         ends = cuts(segment)
         chunks = [segment[a:b] for a, b in zip([0, *ends], ends)]
         known = [shared.get(number + x) for x in range(len(chunks))]
@@ -200,6 +207,18 @@ def encode_text(raw: bytes, shared: dict[int, np.ndarray], words: Vocabulary) ->
     return np.concatenate(out)
 
 
+def encode_plain(raws: list[bytes], words: Vocabulary) -> list[np.ndarray]:
+    """The ids of texts of which no chunk is known."""
+    parted = [words.segments(raw) for raw in raws]
+    found = iter(words.encode([s for segments in parted for s in segments[::2] if s]))
+    none = np.zeros(0, np.int32)
+    out = []
+    for segments in parted:
+        ids = [np.array([words.special[s]], np.int32) if k % 2 else next(found) if s else none for k, s in enumerate(segments)]
+        out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+    return out
+
+
 def _chunks(raw: bytes, words: Vocabulary):
     """(number, bytes) of a text's chunks."""
     number = 0
@@ -269,29 +288,43 @@ def _encode_chunks(path: str):
     return encode
 
 
+def _packed(batches):
+    """Rows (key, packed) of texts, made small before they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        column = batch.column("text")
+        for at in range(0, len(column), PACKED_ROWS):
+            raws = raw_texts(column.slice(at, PACKED_ROWS))
+            keys = [hashlib.sha256(raw).digest() for raw in raws]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(map(pack, raws), pa.binary())], names=["key", "packed"])
+
+
 def _assemble(path: str, decoded: bool):
     def assemble(batches):
-        words = vocabulary(path)
+        words, unpack = vocabulary(path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keys, out, said, size = [], [], [], 0
+            rows, size = [], 0
             for k in range(batch.num_rows):
+                raw = unpack(batch.column("packed")[k].as_py())
                 shared = {s["number"]: np.frombuffer(s["ids"], np.int32) for s in batch.column("shared")[k].as_py() or ()}
-                ids = encode_text(batch.column("text")[k].as_buffer().to_pybytes(), shared, words)
-                keys.append(batch.column("key")[k].as_py())
-                out.append(pa.array(ids))
-                if decoded:
-                    said.append(words.decode(ids.tolist()))
-                size += len(ids)
+                rows.append((batch.column("key")[k].as_py(), raw, shared))
+                size += len(raw)
                 if size > BATCH or k == batch.num_rows - 1:
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                    columns = {"key": pa.array(keys, pa.binary()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out))}
-                    columns |= {"said": pa.array(said, pa.string())} if decoded else {}
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-                    keys, out, said, size = [], [], [], 0
+                    yield _encoded(rows, words, decoded)
+                    rows, size = [], 0
 
     return assemble
 
 
+def _encoded(rows: list[tuple[bytes, bytes, dict]], words: Vocabulary, decoded: bool) -> pa.RecordBatch:
+    plain = iter(encode_plain([raw for _, raw, shared in rows if not shared], words))
+    out = [encode_text(raw, shared, words) if shared else next(plain) for _, raw, shared in rows]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+    columns = {"key": pa.array([key for key, _, _ in rows], pa.binary()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))}
+    columns |= {"said": pa.array(map(words.decode, out), pa.string())} if decoded else {}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def text_key(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
@@ -321,8 +354,8 @@ def encode_distinct(docs: DataFrame, path: str, *, text: str = "text", decoded:
     encoded = scratch.save(sent.groupBy("digest").agg(F.first("bytes").alias("bytes")).mapInArrow(_encode_chunks(path), "digest binary, ids binary"), "encoded")
     places = met.select("key", "number", "digest").distinct()
     shared = places.join(encoded, "digest").groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("shared"))
-    once = texts.groupBy("key").agg(F.first("text").alias("text"))
-    return once.join(shared, "key", "left").select("key", "text", "shared").mapInArrow(_assemble(path, decoded), "key binary, ids array<int>" + ", said string" * decoded)
+    once = texts.select("text").mapInArrow(_packed, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
+    return once.join(shared, "key", "left").select("key", "packed", "shared").mapInArrow(_assemble(path, decoded), "key binary, ids array<int>" + ", said string" * decoded)
 
 
 def encode_texts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
