@@ -114,12 +114,12 @@ _TRAIL = [(k, "rule_risky" if _FLAGS.get(k, ("", ""))[1] == "high" else "rule_ap
 _TRAIL += [(k, "rule_risk_flagged", name) for k, (name, _) in _FLAGS.items()]
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS batch, CAST(t.rule_id AS BIGINT) AS rule_id, t.event, t.detail FROM part, (VALUES " + ", ".join(f"({k}, '{e}', '{d}')" for k, e, d in _TRAIL) + ") AS t(rule_id, event, detail)")
+@query("SELECT CAST(p_partkey AS BIGINT) AS rule_id, t.event, t.detail FROM part JOIN (VALUES " + ", ".join(f"({k}, '{e}', '{d}')" for k, e, d in _TRAIL) + f") AS t(wording, event, detail) ON t.wording = p_size % {len(WORDINGS)}")
 def q_rule_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit rows of a dozen rules compiled for every part's batch; what is found in them is told by hand in the SQL."""
-    rules = spark.createDataFrame(list(enumerate(WORDINGS)), "rule_id long, wording string")
-    trail = batches.rule_trail(rules, F.lit(None).cast("timestamp")).select("rule_id", "event", "detail")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("batch")).join(F.broadcast(trail), F.lit(True))
+    """Audit rows of the rules that parts stand for, each worded as its size says; what is found in a wording is told by hand in the SQL."""
+    worded = F.element_at(F.array(*map(F.lit, WORDINGS)), F.col("p_size").cast("int") % len(WORDINGS) + 1)
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("rule_id"), worded.alias("wording"))
+    return batches.rule_trail(rules, F.lit(None).cast("timestamp")).select("rule_id", "event", "detail")
 
 
 _RULES = "SELECT p_partkey AS rule_id, CASE WHEN p_retailprice > 1000 THEN 'require' ELSE 'prefer' END AS kind, CASE WHEN p_size > 40 THEN 'risky' WHEN p_size > 30 THEN 'unmappable' ELSE 'applicable' END AS verdict, p_size > 5 AS parsed FROM part"
