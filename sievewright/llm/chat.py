@@ -6,8 +6,8 @@ and a letter, so no control string is left inside a turn, and the replacement ca
 Prefix-target expansion makes one example of every assistant turn: all turns before it are its
 context and only its own text is trainable.
 
-A formatted conversation is kept as one row per turn with offsets, so that an example is a prefix
-of it by reference; ``render_examples`` writes the texts out.
+A formatted conversation is one row per turn with offsets, an example first a prefix of it by reference;
+``render_examples`` writes its text out, and the query reads context and reply from that text.
 
 Defined results: a null text or role is empty; turns come by number (null first), then by role
 and text; repeated rows are repeated turns; null is a conversation id of its own; extra columns
@@ -80,53 +80,49 @@ def prefix_target_examples(turns: DataFrame) -> DataFrame:
     )
 
 
-def render_examples(turns: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, target, text, loss_start, loss_end."""
+def render_examples(turns: DataFrame, **more: Column) -> DataFrame:
+    """The examples written out: conv_id, target, text (all turns before the reply and the reply), loss_start, loss_end, and
+    columns ``more`` over those of the offsets."""
     parts = F.sort_array(F.collect_list(F.struct("position", "piece")))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x.piece), "").alias("formatted"))
-    examples = prefix_target_examples(turns).withColumnRenamed("conv_id", "of")
+    examples = prefix_target_examples(turns).withColumns(more).withColumnRenamed("conv_id", "of")
     joined = examples.join(whole, F.col("of").eqNullSafe(F.col("conv_id")))
     text = F.substring(F.col("formatted"), F.lit(1), F.col("example_chars").cast("int"))
-    return joined.select("conv_id", "target", text.alias("text"), "loss_start", "loss_end")
+    return joined.select("conv_id", "target", text.alias("text"), "loss_start", "loss_end", *more)
 
 
 def digest(turns: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted turns and, for what is trained on and its context, from the
-    examples: their offsets count from the start of the conversation, and where a piece stands in it is summed up anew
-    from the pieces before it. What an example has as context beyond that of the example before is cut out by the same
-    offsets; end to end these are the context of the last example without the replies in it."""
+    texts of the rendered examples: a reply is what stands under its example's mask, its context what stands before. What
+    an example has as context beyond that of the example before, end to end, is the context of the last example without
+    the replies in it; only this and the reply leave the task that renders an example."""
     body = F.substring(F.col("piece"), F.lit(len(START) + 1), F.length("piece") - len(START) - len(END))
     role = F.substring_index("body", "\n", 1)
     content = F.substring(F.col("body"), F.length(role) + 2, F.length("body"))
-    examples = prefix_target_examples(turns).select(
-        F.col("conv_id").alias("of"), "target", "example_chars", F.col("loss_start").alias("from_char"), F.col("loss_end").alias("to_char")
-    )
-    met = turns.join(examples, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("position") == F.col("target")), "left")
-    earlier = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("piece").cast("long")).over(earlier), F.lit(0))
-
-    def cut(begin: Column, end: Column) -> Column:
-        return F.substring(F.col("piece"), (begin - F.col("before") + 1).cast("int"), (end - begin).cast("int"))
-
-    back = met.withColumn("before", before).withColumn("body", body).select(
-        "conv_id", "position", "target", "from_char", F.length("piece").cast("long").alias("chars"),
-        F.concat(unescape(role, ROLE_ESCAPES), F.lit("\n"), unescape(content), F.lit("\n")).alias("said"),
-        unescape(cut(F.col("from_char"), F.col("to_char"))).alias("loss"),
-        F.coalesce(cut(F.col("before"), F.col("from_char")), F.col("piece")).alias("context"), cut(F.col("to_char"), F.col("example_chars")).alias("rest"),
-    )
+    said = F.concat(unescape(role, ROLE_ESCAPES), F.lit("\n"), unescape(content), F.lit("\n"))
+    back = turns.withColumn("body", body).select("conv_id", "position", F.length("piece").cast("long").alias("chars"), said.alias("said"))
 
     def joined(parts: Column, field: str) -> Column:
         return F.array_join(F.transform(parts, lambda x: x[field]), "")
 
-    grouped = back.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count("target").alias("n_examples"), F.max("target").alias("last"), F.sum("from_char").alias("context_chars"),
-        F.sort_array(F.collect_list(F.struct("position", "said", "loss", "context", "rest"))).alias("parts"),
+    spoken = back.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("position", "said"))).alias("parts"))
+    spoken = spoken.select("conv_id", "n_turns", F.sha2(joined(F.col("parts"), "said"), 256).alias("turns_sha256"), "formatted_chars")
+
+    def cut(begin: Column, end: Column) -> Column:
+        return F.substring(F.col("text"), (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    earlier = F.coalesce(F.lag("loss_end").over(Window.partitionBy("conv_id").orderBy("target")), F.lit(0))
+    examples = render_examples(turns, known_end=earlier).select(
+        F.col("conv_id").alias("of"), "target", F.length(cut(F.lit(0), F.col("loss_start"))).cast("long").alias("context_chars"),
+        unescape(cut(F.col("loss_start"), F.col("loss_end"))).alias("loss"), cut(F.col("known_end"), F.col("loss_start")).alias("context"),
     )
-    of_last = F.transform(F.filter("parts", lambda x: x["position"] <= F.col("last")), lambda x: F.concat(x["context"], F.when(x["position"] < F.col("last"), F.coalesce(x["rest"], F.lit(""))).otherwise("")))
-    out = grouped.select("conv_id", "n_turns", joined(F.col("parts"), "said").alias("said"), joined(F.col("parts"), "loss").alias("loss"), "formatted_chars", "n_examples", "context_chars", F.array_join(of_last, "").alias("context"))
+    trained = examples.groupBy("of").agg(F.count("*").alias("n_examples"), F.sum("context_chars").alias("context_chars"), F.sort_array(F.collect_list(F.struct("target", "loss", "context"))).alias("parts"))
+    trained = trained.select("of", "n_examples", "context_chars", *[joined(F.col("parts"), n).alias(n) for n in ("loss", "context")])
+    trained = trained.select("of", "n_examples", "context_chars", F.length("loss").cast("long").alias("loss_chars"), *[F.sha2(n, 256).alias(f"{n}_sha256") for n in ("loss", "context")])
+    out, nothing = spoken.join(trained, F.col("conv_id").eqNullSafe(F.col("of")), "left"), F.sha2(F.lit(""), 256)
     return out.select(
-        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", F.coalesce("context_chars", F.lit(0)).alias("context_chars"), F.sha2("context", 256).alias("context_sha256"),
+        "conv_id", "n_turns", "turns_sha256", F.coalesce("loss_chars", F.lit(0)).alias("loss_chars"), F.coalesce("loss_sha256", nothing).alias("loss_sha256"), "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.coalesce("context_chars", F.lit(0)).alias("context_chars"), F.coalesce("context_sha256", nothing).alias("context_sha256"),
     )
 
 

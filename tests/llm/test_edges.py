@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievewright.llm import chat, decontaminate, embeddings, langid, lines, minhash, mix, shard, suffixes, toxicity
@@ -102,6 +103,18 @@ def test_chat_loss_is_read_from_the_examples(spark, monkeypatch):
         assert (found.n_turns, found.loss_chars, found.loss_sha256) == (4, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_digest_reads_the_texts_of_the_examples(spark, monkeypatch):
+    table = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "abc"), (1, 3, "user", "so"), (1, 4, "assistant", "defg"), (2, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(table)
+    right = {r.conv_id: r for r in chat.digest(formatted).collect()}
+    assert (right[2].n_examples, right[2].loss_sha256, right[2].context_sha256) == (0, *[hashlib.sha256(b"").hexdigest()] * 2)
+    render = chat.render_examples
+    # an example whose context lacks its first turn's text, and one whose reply is another's
+    for old, new in (("hi", "HI"), ("defg", "DEFG")):
+        monkeypatch.setattr(chat, "render_examples", lambda *a, old=old, new=new, **k: render(*a, **k).withColumn("text", F.replace("text", F.lit(old), F.lit(new))))
+        found = {r.conv_id: r for r in chat.digest(formatted).collect()}
+        assert found[1].turns_sha256 == right[1].turns_sha256 and (found[1].context_sha256 != right[1].context_sha256) == (old == "hi") and (found[1].loss_sha256 != right[1].loss_sha256) == (old == "defg")
+
 
 def test_shards(spark):
     found = shard.shard_slots(messy(spark)).collect()
