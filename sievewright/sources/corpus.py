@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ class Page(InputPartition):
         self.path = path
 
 
+_space = re.compile(r"\s*")
+
+
 def _local(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
@@ -43,19 +47,29 @@ class CorpusReader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, encoding="utf-8") as file:
-            text = file.read()
-        for page in _documents(text):
-            for entry in page.get("rows") or []:
-                row = entry.get("row") or {}
-                yield tuple(_shaped(n, row.get(n)) for n in self.names)
-
-
-def _documents(text: str):
-    at, decoder = 0, json.JSONDecoder()
-    while text[at:].strip():
-        at += len(text[at:]) - len(text[at:].lstrip())
-        page, at = decoder.raw_decode(text, at)
-        yield page
+            for page in _documents(file):
+                for entry in page.get("rows") or []:
+                    row = entry.get("row") or {}
+                    yield tuple(_shaped(n, row.get(n)) for n in self.names)
+
+
+def _documents(file, step: int = 1 << 20):
+    """The documents of a file, one at a time: what is held is the page at hand and what was read of the next."""
+    decoder, held, wanted = json.JSONDecoder(), "", step
+    while more := file.read(wanted):
+        # a page longer than what is held is tried again at twice the length, so that it is scanned a few times at most
+        held, at = held + more, 0
+        while True:
+            at = _space.match(held, at).end()
+            try:
+                page, at = decoder.raw_decode(held, at)
+            except json.JSONDecodeError:
+                break
+            yield page
+        held = held[at:]
+        wanted = max(step, len(held))
+    if held:
+        decoder.raw_decode(held)
 
 
 def _shaped(name: str, value):
@@ -84,8 +98,10 @@ def cached_corpus(spark: SparkSession, folder: str, config: str) -> DataFrame:
     return spark.read.format("cached_corpus").option("config", config).load(folder)
 
 
-def write_pages(rows: DataFrame, folder: str, config: str, pages: int) -> None:
-    """Rows in the form in which pages are cached; ``pages`` of about equal size."""
+def write_pages(rows: DataFrame, folder: str, config: str, pages: int, most: int = 500) -> None:
+    """Rows in the form in which pages are cached: at least ``pages`` of about equal size, and as many more as keep a page
+    at some ``most`` rows, a line each, however long the table."""
+    pages = max(pages, -(-rows.count() // most))
     row = F.struct(F.struct(*rows.columns).alias("row"))
     page = rows.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(pages))).agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("value"))
     page.select("value").write.text(f"{folder.rstrip('/')}/{config}")

@@ -1,5 +1,6 @@
 """Tables that are kept, streams into them, places in an order, and answers of models."""
 
+import io
 import json
 from datetime import datetime, timedelta
 
@@ -160,3 +161,26 @@ def test_a_written_table_is_cleaned(spark):
         assert rows.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(held.path)
+
+
+def test_cached_pages_stay_small_and_are_read_one_at_a_time(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id as string) AS user_id", "'a' AS race", "repeat('é', 100) AS first_name").coalesce(1)
+    corpus.write_pages(rows, str(tmp_path), "summaries", 2, most=20)
+    texts = [p.read_text(encoding="utf-8") for p in (tmp_path / "summaries").glob("part-*")]
+    pages = [json.loads(line)["rows"] for text in texts for line in text.splitlines()]
+    assert len(pages) >= 15 and max(map(len, pages)) < 60 and sum(map(len, pages)) == 400
+    assert corpus.cached_corpus(spark, str(tmp_path), "summaries").distinct().count() == 400
+
+    class File(io.StringIO):
+        most = 0
+
+        def read(self, n):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    file = File(" \n".join(t for t in texts) * 3 + " ")
+    found = list(corpus._documents(file, 64))
+    assert [p["rows"] for p in found] == [json.loads(line)["rows"] for text in texts for line in text.splitlines()] * 3
+    assert file.most < 4 * max(len(json.dumps(p, ensure_ascii=False)) for p in found)
+    with pytest.raises(json.JSONDecodeError):
+        list(corpus._documents(io.StringIO('{"rows": []}\n{"rows": ['), 8))
