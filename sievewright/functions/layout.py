@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +12,44 @@ from pyspark.sql import functions as F
 COLUMN_GUTTER, BLOCK_GUTTER = 20, 12
 
 
-def _parted(part: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """The boxes before and after the widest gutter along an axis, the last of equals."""
-    part = part[np.argsort(low[part], kind="stable")]
-    gaps = low[part][1:] - np.maximum.accumulate(high[part])[:-1]
-    if not (gaps > least).any():
-        return None
-    at = len(gaps) - int(np.argmax(gaps[::-1]))
-    return part[:at], part[at:]
+def _cuts(part: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of boxes by part, for every part at once: the order along an axis within the parts, and for each place of it
+    whether it lies behind its part's widest gutter, the last of equals; parts without a gutter have nothing behind."""
+    order = np.lexsort((low, part))
+    of, low, high = part[order], low[order], high[order]
+    # the furthest edge so far within a part: whole numbers, so that parts do not blur into each other
+    edges, rank = np.unique(high, return_inverse=True)
+    furthest = edges[np.maximum.accumulate(rank + of * len(edges)) - of * len(edges)]
+    gap = np.full(len(of), -np.inf)
+    gap[1:] = np.where(of[1:] == of[:-1], low[1:] - furthest[:-1], -np.inf)
+    gap[~(gap > least)] = -np.inf
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size = np.diff(np.r_[first, len(of)])
+    widest = np.repeat(np.maximum.reduceat(gap, first), size)
+    place = np.arange(len(of))
+    at = np.maximum.reduceat(np.where((gap == widest) & (gap > -np.inf), place, -1), first)
+    return order, (place >= np.repeat(at, size)) & np.repeat(at >= 0, size)
 
 
-def _order(boxes: np.ndarray) -> np.ndarray:
-    """Indices of boxes (x0, y0, x1, y1) in reading order, from a stack of parts still to be cut."""
+def _order(page: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """The places of boxes (x0, y0, x1, y1), sorted by page, in reading order within their pages. All pages are cut at once:
+    a part is a number that grows in reading order, and a cut gives what lies behind it the next one."""
     x0, y0, x1, y1 = boxes.T
-    waiting, out = [np.arange(len(boxes))], []
-    while waiting:
-        part = waiting.pop()
-        cut = _parted(part, x0, x1, COLUMN_GUTTER) or _parted(part, y0, y1, BLOCK_GUTTER)
-        if cut:
-            waiting += cut[::-1]
-        else:
-            out.append(part[np.lexsort((x0[part], y0[part]))])
-    return np.concatenate(out)
+    part = np.unique(page, return_inverse=True)[1]
+    waiting = np.arange(len(page))
+    while len(waiting):
+        now = part[waiting]
+        behind = np.zeros(len(now), bool)
+        for low, high, least in ((x0, x1, COLUMN_GUTTER), (y0, y1, BLOCK_GUTTER)):
+            order, later = _cuts(now, low[waiting], high[waiting], least)
+            uncut = ~np.isin(now[order], now[behind])
+            behind[order] |= later & uncut
+        cut = np.isin(now, now[behind])
+        doubled = part * 2
+        doubled[waiting] += behind
+        part = np.unique(doubled, return_inverse=True)[1]
+        waiting = waiting[cut]
+    return np.lexsort((x0, y0, part))
 
 
 def reading_order(boxes: Column) -> Column:
@@ -40,7 +57,12 @@ def reading_order(boxes: Column) -> Column:
     gutters from left to right, blocks from top to bottom, lines by their top and left edges. A page
     without boxes has none; a page without a list has null."""
 
-    def ordered(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: page if page is None or not len(page) else _order(np.stack(page).astype(float)))
+    def ordered(pages: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(pages), 0).to_numpy(zero_copy_only=False)
+        page, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        flat = pc.list_flatten(pc.list_flatten(pages)).to_numpy(zero_copy_only=False)
+        found = _order(page, flat.reshape(-1, 4).astype(float)) if len(page) else page
+        places = pa.array((found - first[page]).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), places, mask=pages.is_null())
 
-    return F.pandas_udf(ordered, "array<int>")(boxes)
+    return F.arrow_udf(ordered, "array<int>")(boxes)

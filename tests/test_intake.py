@@ -2,12 +2,15 @@
 
 import io
 import random
+import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
+from sievewright.functions import layout
 from sievewright.functions.layout import reading_order
 from sievewright.plans import batches, ingest
 from sievewright.sources import documents as sources
@@ -91,6 +94,17 @@ def test_reading_order_by_its_definition(spark):
     assert found == {k: by_cuts(list(enumerate(p))) for k, p in enumerate(pages)}
 
 
+def test_pages_are_cut_together():
+    pick = random.Random(4)
+    pages = [[[float(x), float(y), float(x + 30), float(y + 8)] for x, y in ((pick.randrange(0, 300, 20), pick.randrange(0, 200, 10)) for _ in range(pick.randrange(1, 9)))] for _ in range(3000)]
+    page, boxes = np.repeat(np.arange(len(pages)), [len(p) for p in pages]), np.array([b for p in pages for b in p])
+    first = np.searchsorted(page, np.arange(len(pages)))
+    began = time.perf_counter()
+    found = layout._order(page, boxes)
+    assert time.perf_counter() - began < 2
+    assert [list(f - a) for f, a in zip(np.split(found, first[1:]), first)] == [by_cuts(list(enumerate(p))) for p in pages]
+
+
 def test_rows_without_text_stay(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "Ann Lee\nann@x.org")], "doc_id long, text string")
     left = {r.doc_id: r for r in ingest.anonymised(ingest.structured(docs)).collect()}
