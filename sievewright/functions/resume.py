@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.verdicts import bound
-from .text import EMAIL, qualification_level
+from .text import EMAIL, odd_letters, qualification_level
 
 # Headings, and patterns of what resumes say.
 SECTIONS = {
@@ -27,24 +27,25 @@ SECTIONS = {
     "projects": ("projects", "personal projects", "open source", "selected projects"),
     "publications": ("publications", "papers", "patents"),
 }
+#: Each with letters of which some stand, in small letters, wherever the pattern matches.
 SENIORITY_PATTERNS = [
-    (r"\b(chief|cto|ceo|cfo|coo|vp|vice president|executive)\b", "executive"),
-    (r"\bdirector\b", "director"),
-    (r"\bhead of\b|\bhead\b", "head"),
-    (r"\bmanager\b|\bmanagement\b", "manager"),
-    (r"\bprincipal\b|\bstaff\b|\barchitect\b", "principal"),
-    (r"\blead\b|\bteam lead\b|\btech lead\b", "lead"),
-    (r"\bsenior\b|\bsr\.?\b", "senior"),
-    (r"\bintern\b|\binternship\b", "intern"),
-    (r"\bgraduate\b|\bgrad\b", "graduate"),
-    (r"\bjunior\b|\bjr\.?\b|\bassociate\b|\bassistant\b", "junior"),
+    (r"\b(chief|cto|ceo|cfo|coo|vp|vice president|executive)\b", "executive", ("chief", "cto", "ceo", "cfo", "coo", "vp", "vice president", "executive")),
+    (r"\bdirector\b", "director", ("director",)),
+    (r"\bhead of\b|\bhead\b", "head", ("head",)),
+    (r"\bmanager\b|\bmanagement\b", "manager", ("manage",)),
+    (r"\bprincipal\b|\bstaff\b|\barchitect\b", "principal", ("principal", "staff", "architect")),
+    (r"\blead\b|\bteam lead\b|\btech lead\b", "lead", ("lead",)),
+    (r"\bsenior\b|\bsr\.?\b", "senior", ("senior", "sr")),
+    (r"\bintern\b|\binternship\b", "intern", ("intern",)),
+    (r"\bgraduate\b|\bgrad\b", "graduate", ("grad",)),
+    (r"\bjunior\b|\bjr\.?\b|\bassociate\b|\bassistant\b", "junior", ("junior", "jr", "associate", "assistant")),
 ]
 EMPLOYMENT_PATTERNS = [
-    (r"\bintern(ship)?\b", "internship"),
-    (r"\bcontract(or)?\b|\bfixed[- ]term\b", "contract"),
-    (r"\bcasual\b", "casual"),
-    (r"\bfreelanc\w*\b|\bconsultant\b", "freelance"),
-    (r"\bvolunteer\w*\b", "volunteer"),
+    (r"\bintern(ship)?\b", "internship", ("intern",)),
+    (r"\bcontract(or)?\b|\bfixed[- ]term\b", "contract", ("contract", "fixed")),
+    (r"\bcasual\b", "casual", ("casual",)),
+    (r"\bfreelanc\w*\b|\bconsultant\b", "freelance", ("freelanc", "consultant")),
+    (r"\bvolunteer\w*\b", "volunteer", ("volunteer",)),
 ]
 INDUSTRY_HINTS = {
     "banking": ("bank", "banking", "finance", "fintech", "payments"),
@@ -65,8 +66,11 @@ AWARD = r"\b(bachelor|master|phd|doctor|diploma|certificate|graduate|honours|hon
 INSTITUTION = r"(\buniversit\w*|\binstitutes?\b|\bcollege\b|\btafe\b|\bpolytechnic\b|\bacademy\b|\bschool of\b|\bnit\b|\biit\b)"
 MOBILE = r"\b(?:\+?61\s?)?0?4\d{2}[\s-]?\d{3}[\s-]?\d{3}\b"
 LINK = r"\b(?:linkedin\.com|github\.com|gitlab\.com)/[\w./-]+"
-DATE = r"([A-Za-z]{3,9})?\s*\b((?:19|20)\d{2})\b"
+#: A year with the word before it; a word is tried from its first letter alone, which keeps the search linear.
+DATE = r"(?<![A-Za-z])[A-Za-z]*+\s*+\b(?:19|20)\d{2}\b"
 CURRENT = r"\b(present|current|now|ongoing)\b"
+CURRENT_HINTS = ("present", "current", "now", "ongoing")
+CLEARANCE_HINTS = ("baseline", "nv1", "nv2", "vetting", "clearance")
 YEAR = r"\b((?:19|20)\d{2})\b"
 STATED_YEARS = r"\b(\d{1,2})\+?\s*years?\b"
 STATED_EXPERIENCE = r"\b(\d{1,2})\+?\s*years?\s+(?:of\s+)?(?:commercial\s+|professional\s+)?experience"
@@ -115,9 +119,21 @@ def _group(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", group), F.lit(""))
 
 
-def _ladder(text: Column, patterns: list[tuple[str, str]]) -> Column:
+def _hinted(text: Column, body) -> Column:
+    """body(text, may_hold), where may_hold(hints) tells by comparing letters alone whether a pattern that needs one of the
+    hints can match: a pattern is tried only there. ``body`` may name what it is given as often as it likes."""
+    given = F.struct(text.alias("text"), F.lower(text).alias("lowered"), odd_letters(text).alias("odd"))
+    return bound(given, lambda g: body(g["text"], lambda hints: reduce(Column.__or__, [F.contains(g["lowered"], F.lit(h)) for h in hints]) | g["odd"]))
+
+
+def _held(text: Column, pattern: str, hints: tuple[str, ...]) -> Column:
+    """_has, tried where a hint stands."""
+    return _hinted(text, lambda t, may_hold: F.when(may_hold(hints), _has(t, pattern)).otherwise(F.when(t.isNotNull(), False)))
+
+
+def _ladder(text: Column, patterns: list[tuple[str, str, tuple[str, ...]]]) -> Column:
     """What the first pattern that matches stands for."""
-    return F.coalesce(*[F.when(_has(text, p), F.lit(name)) for p, name in patterns])
+    return _hinted(text, lambda t, may_hold: F.coalesce(*[F.when(may_hold(hints), F.when(_has(t, p), F.lit(name))) for p, name, hints in patterns]))
 
 
 def _filled(items: Column) -> Column:
@@ -211,7 +227,7 @@ def identity(text: Column, header: Column) -> Column:
     return F.struct(
         full_name.alias("full_name"), _group(text, EMAIL).alias("email"), _group(text, MOBILE).alias("phone"),
         F.when(at > 1, F.get(parts, (at - 2).cast("int"))).alias("suburb"), state.alias("state"), F.when(state.isNotNull(), F.lit("Australia")).alias("country"),
-        F.regexp_extract_all(text, F.lit(f"({LINK})"), 1).alias("links"),
+        F.when(F.contains(text, F.lit(".com/")), F.regexp_extract_all(text, F.lit(f"({LINK})"), 1)).when(text.isNotNull(), F.array().cast(_STRINGS)).alias("links"),
     )
 
 
@@ -235,25 +251,30 @@ def skills(lines: Column) -> Column:
 def date_range(text: Column) -> Column:
     """struct(start, end, is_current, months) of 'Mar 2022 - Present' or '2017 - 2021'; the months of a current role are not told."""
 
+    def dated(x: Column) -> Column:
+        # nine letters of a word at most, and three at least
+        word = bound(F.regexp_extract(x, "^[A-Za-z]*", 0), lambda w: F.when(F.length(w) > 2, F.substring(w, F.greatest(F.length(w) - 8, F.lit(1)), F.lit(3))))
+        at = F.instr(F.lit(" ".join(MONTHS)), F.lower(word))
+        return F.struct(F.substring(x, F.length(x) - 3, F.lit(4)).alias("year"), F.when(at > 0, F.floor((at + 3) / 4).cast("int")).alias("month"))
+
     def ranged(d: Column) -> Column:
-        def month(k: Column) -> Column:
-            return F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get(d["words"], k), 1, 3))), F.lit(0))
+        first, last = F.get(d["dates"], F.lit(0)), F.get(d["dates"], F.size(d["dates"]) - 1)
+        ended = ~d["now"] & (F.size(d["dates"]) > 1)
 
-        def said(k: Column) -> Column:
-            return F.concat(F.get(d["years"], k), F.coalesce(F.concat(F.lit("-"), F.lpad(month(k).cast("string"), 2, "0")), F.lit("")))
+        def said(x: Column) -> Column:
+            return F.concat(x["year"], F.coalesce(F.concat(F.lit("-"), F.lpad(x["month"].cast("string"), 2, "0")), F.lit("")))
 
-        def place(k: Column) -> Column:
-            return F.get(d["years"], k).cast("int") * 12 + F.coalesce(month(k), F.lit(1))
+        def place(x: Column) -> Column:
+            return x["year"].cast("int") * 12 + F.coalesce(x["month"], F.lit(1))
 
-        last = F.size(d["years"]) - 1
-        ended = ~d["now"] & (last > 0)
         return F.struct(
-            said(F.lit(0)).alias("start"), F.when(ended, said(last)).alias("end"), d["now"].alias("is_current"),
-            F.when(ended, F.greatest(F.lit(0), place(last) - place(F.lit(0))).cast("double")).alias("months"),
+            said(first).alias("start"), F.when(ended, said(last)).alias("end"), d["now"].alias("is_current"),
+            F.when(ended, F.greatest(F.lit(0), place(last) - place(first)).cast("double")).alias("months"),
         )
 
     text = F.coalesce(text, F.lit(""))
-    return bound(F.struct(F.regexp_extract_all(text, F.lit(DATE), 1).alias("words"), F.regexp_extract_all(text, F.lit(DATE), 2).alias("years"), _has(text, CURRENT).alias("now")), ranged)
+    dates = F.transform(F.regexp_extract_all(text, F.lit(DATE), 0), dated)
+    return bound(F.struct(dates.alias("dates"), _held(text, CURRENT, CURRENT_HINTS).alias("now")), ranged)
 
 
 def seniority_of(title: Column) -> Column:
@@ -274,7 +295,7 @@ def team_size_of(text: Column) -> Column:
 
 
 def _dated(line: Column) -> Column:
-    return F.coalesce(F.rlike(line, F.lit(DATE)) | _has(line, CURRENT), F.lit(False))
+    return F.coalesce(F.rlike(line, F.lit(YEAR)) | _held(line, CURRENT, CURRENT_HINTS), F.lit(False))
 
 
 def experience(lines: Column) -> Column:
@@ -417,21 +438,28 @@ def affiliation_kind(text: Column) -> Column:
 
 def work_rights(text: Column) -> Column:
     """struct(status, visa_subclass, unrestricted, evidence); evidence is the sentence that says so."""
-    subclass = _group(text, r"subclass\s*(\d{3})", 1)
-    ladder = [
-        (_has(text, "australian citizen|citizen of australia|citizenship"), "citizen", True, False, "citizen"),
-        (_has(text, r"permanent resident|\bpr\b holder"), "permanent_resident", True, False, "permanent resident"),
-        (_has(text, "sponsorship"), "requires_sponsorship", False, True, "sponsor"),
-        (_has(text, "full work rights|unrestricted work rights|bridging visa"), "visa_unrestricted", True, True, "work rights"),
-        (subclass.isNotNull(), "visa_restricted", False, True, "subclass"),
-    ]
     unknown = F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("visa_subclass"), F.lit(None).cast("boolean").alias("unrestricted"), F.lit(None).cast("string").alias("evidence"))
-    out = None
-    for test, status, free, with_visa, word in ladder:
-        visa = subclass if with_visa else F.lit(None).cast("string")
-        made = F.struct(F.lit(status).alias("status"), visa.alias("visa_subclass"), F.lit(free).alias("unrestricted"), F.trim(_group(text, rf"[^.\n]*{word}[^.\n]*")).alias("evidence"))
-        out = F.when(test, made) if out is None else out.when(test, made)
-    return out.otherwise(unknown)
+
+    def told(body: Column, may_hold) -> Column:
+        subclass = F.when(may_hold(("subclass",)), _group(body, r"subclass\s*(\d{3})", 1))
+        ladder = [
+            ("australian citizen|citizen of australia|citizenship", ("citizen",), "citizen", True, False, "citizen"),
+            (r"permanent resident|\bpr\b holder", ("permanent resident", "pr holder"), "permanent_resident", True, False, "permanent resident"),
+            ("sponsorship", ("sponsorship",), "requires_sponsorship", False, True, "sponsor"),
+            ("full work rights|unrestricted work rights|bridging visa", ("work rights", "bridging visa"), "visa_unrestricted", True, True, "work rights"),
+            (None, ("subclass",), "visa_restricted", False, True, "subclass"),
+        ]
+        out = None
+        for pattern, hints, status, free, with_visa, word in ladder:
+            visa = subclass if with_visa else F.lit(None).cast("string")
+            # a sentence is tried from its start alone
+            evidence = F.trim(_group(body, rf"(?:^|[.\n])([^.\n]*{word}[^.\n]*)", 1))
+            made = F.struct(F.lit(status).alias("status"), visa.alias("visa_subclass"), F.lit(free).alias("unrestricted"), evidence.alias("evidence"))
+            test = F.when(may_hold(hints), _has(body, pattern) if pattern else subclass.isNotNull())
+            out = F.when(test, made) if out is None else out.when(test, made)
+        return out.otherwise(unknown)
+
+    return _hinted(text, told)
 
 
 def years_of_experience(text: Column, summary: Column, roles: Column) -> Column:
@@ -441,14 +469,23 @@ def years_of_experience(text: Column, summary: Column, roles: Column) -> Column:
     years = F.transform(F.regexp_extract_all(text, F.lit(YEAR), 1), lambda y: y.cast("int"))
     span = bound(years, lambda y: F.when(F.size(y) >= 2, (F.array_max(y) - F.array_min(y)).cast("double")))
     return F.coalesce(
-        _group(summary, STATED_YEARS, 1).cast("double"), _group(text, STATED_EXPERIENCE, 1).cast("double"), F.when((F.size(known) > 0) & (F.size(known) == F.size(roles)), total), span
+        _group(summary, STATED_YEARS, 1).cast("double"), _hinted(text, lambda t, may_hold: F.when(may_hold(("year",)), _group(t, STATED_EXPERIENCE, 1))).cast("double"), F.when((F.size(known) > 0) & (F.size(known) == F.size(roles)), total), span
     )
 
 
 def notice_weeks(text: Column) -> Column:
-    amount = F.coalesce(_group(text, NOTICE, 1), _group(text, NOTICE, 3)).cast("double")
-    unit = F.lower(F.coalesce(_group(text, NOTICE, 2), _group(text, NOTICE, 4)))
-    return F.when(F.startswith(unit, F.lit("month")), amount * 4).otherwise(amount)
+    said = _hinted(text, lambda t, may_hold: F.when(may_hold(("notice",)), _group(t, NOTICE)))
+
+    def weeks(x: Column) -> Column:
+        amount = F.coalesce(_group(x, NOTICE, 1), _group(x, NOTICE, 3)).cast("double")
+        unit = F.lower(F.coalesce(_group(x, NOTICE, 2), _group(x, NOTICE, 4)))
+        return F.when(F.startswith(unit, F.lit("month")), amount * 4).otherwise(amount)
+
+    return bound(said, weeks)
+
+
+def clearance(text: Column) -> Column:
+    return F.initcap(_hinted(text, lambda t, may_hold: F.when(may_hold(CLEARANCE_HINTS), _group(t, CLEARANCE, 1))))
 
 
 def listed(lines: Column, marks: str = "[,;]") -> Column:

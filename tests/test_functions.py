@@ -367,3 +367,10 @@ def test_readers(spark):
     hinted = {n: [h for h in tx.RISK_HINTS[n]] for n, _, _ in tx.RISK_PATTERNS}
     assert all(hinted.values())
     assert [f.id for f in one(tx.risk_findings(F.lit("big 4 consultancies; aged 30 to 40; lives in the inner north; nat\u0131ve speaker")))] == ["native_speaker", "age_coded", "employer_prestige", "postcode_or_suburb"]
+
+
+def test_evidence_of_work_rights_is_found_in_linear_time(spark):
+    text = "x" * 200_000 + "\nHolds full work rights, and more. Else"
+    began = time.perf_counter()
+    found = spark.createDataFrame([(text,)], "t string").select(rs.work_rights(F.col("t")).alias("r")).first().r
+    assert (found.status, found.evidence) == ("visa_unrestricted", "Holds full work rights, and more") and time.perf_counter() - began < 20
