@@ -157,7 +157,9 @@ def q_email_phone_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-identified documents: what is left of the text and whether it still identifies."""
-    docs = ingest.structured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a file of one row group is one task, and every text is much work
+    docs = ingest.structured(docs.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id"))
     return ingest.anonymised(docs).select("doc_id", F.length("text").alias("chars"), "leaked")
 
 

@@ -45,3 +45,7 @@ def test_query(spark, duck, name):
         want = rows(names, wanted.fetchall())
         different = [(a, b) for a, b in zip(got, want) if a != b]
         assert len(got) == len(want) and not different, different[:3]
+
+
+def test_documents_are_searched_for_leaks_in_many_tasks(spark):
+    assert QUERIES["q_leak_check"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
