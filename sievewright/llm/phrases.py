@@ -9,10 +9,11 @@ pointers, as does the answer to which phrase lies in which longer one.
 
 Occurrences are never shuffled. A task packs its texts into blocks: numbers of the words of a block in
 text order beside a dictionary of the block's distinct words with their counts. Only dictionary entries
-travel, to be summed and to meet their ids, and come back to the block, which turns its numbers into those
-of pairs. A word that is a third of all is one entry in each block, summed by partial aggregation and
-joined as a key that Spark can split; no vocabulary is broadcast or collected. A bitmap of fixed size keeps
-pairs that cannot be frequent from coming back at all.
+travel, once, to be summed and named, and come back to the block as ids. From these the block names its
+own pairs, pairs of pairs and so on by numbers; for each length it sends its distinct phrases, spelt in
+ids of words, to be summed in buckets of bounded size. A word that is a third of all is one entry in each
+block; no vocabulary is broadcast or collected. A bitmap of fixed size for each length keeps phrases from
+being sent of which a part cannot be frequent. Sequences and the phrases of a bucket travel compressed.
 
 Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count each; a
 corpus without frequent phrases gives no rows; extra columns are not read. A piece, and so a text without
@@ -30,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, raw_texts, sorted_groups
+from .common import Scratch, mix, raw_texts, sorted_groups
 
 BLOCK_WORDS = 800_000
 SLICE = 1 << 20  # bytes of a text that are split at a time
 PART = 1 << 16  # rows that a task hands over at a time
+BUCKET = 1 << 20  # words, of which the distinct phrases meet in a bucket
+MADE, POS = 16, 30  # bits of a block's number in its task, and of a word's in its block
 BITMAP = 1 << 27  # bits
 GAP = b"\xff"  # no byte of UTF-8
 
@@ -72,30 +75,43 @@ class _Block:
         self.parts.append(np.full(1, -1, np.int32))
 
     def rows(self, block: int):
-        """Dictionary rows (block, pos, lang, word, n, null), then one row with the sequence."""
+        """Dictionary rows (block, pos, lang, word, n, null), for each language one without a word, and one with the sequence, whose word is its own."""
         seq = np.concatenate(self.parts)
         n = np.bincount(seq[seq >= 0], minlength=sum(len(k) - 1 for k in self.known.values()))
         for lang, known in self.known.items():
             del known[GAP]
             pos = np.fromiter(known.values(), np.int64, len(known))
             words = pa.array(known, pa.binary()).cast(pa.string())
-            yield _dictionary(block, pos, n[pos], lang=pa.repeat(pa.scalar(lang, pa.string()), len(pos)), word=words)
-        yield _sequence(block, seq, lang=pa.string(), word=pa.string())
+            yield _rows(block, len(pos), pos=pos, lang=pa.repeat(pa.scalar(lang, pa.string()), len(pos)), word=words, n=n[pos])
+            yield _rows(block, 1, lang=[lang], n=[int(n[pos].sum())])
+        yield _rows(block, 1, word=[str(block)], seq=[_squeezed(seq)])
 
 
-def _dictionary(block: int, pos: np.ndarray, n: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
-    own = {"block": pa.array(np.full(len(pos), block, np.int64)), "pos": pa.array(pos, pa.int64()), **columns, "n": pa.array(n, pa.int64()), "seq": pa.nulls(len(pos), pa.binary())}
-    return pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+_PACKED = pa.schema([("block", pa.int64()), ("pos", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("seq", pa.binary())])
 
 
-def _sequence(block: int, seq: np.ndarray, **kinds: pa.DataType) -> pa.RecordBatch:
-    own = {"block": pa.array([block], pa.int64()), "pos": pa.nulls(1, pa.int64()), **{k: pa.nulls(1, kind) for k, kind in kinds.items()}, "n": pa.nulls(1, pa.int64()), "seq": pa.array([seq.astype(np.int32).tobytes()], pa.binary())}
-    return pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+def _rows(block: int, size: int, **columns) -> pa.RecordBatch:
+    columns["block"] = np.full(size, block, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PACKED], schema=_PACKED)
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers in few bytes: first their lowest bytes, then the next ones, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if len(numbers) else b"")
+
+
+def _spread(raw: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], size * width, "zstd"), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack(size: int):
     def pack(batches):
-        task, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
+        task, made, block = TaskContext.get().partitionId() << MADE, 0, _Block()
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text"))):
                 if raw:
@@ -103,6 +119,8 @@ def _pack(size: int):
                 if block.size >= size:
                     yield from block.rows(task + made)
                     made, block = made + 1, _Block()
+                    if made >> MADE:
+                        raise ValueError("too many blocks in a task: repartition the texts or take larger blocks")
         if block.size:
             yield from block.rows(task + made)
 
@@ -110,83 +128,102 @@ def _pack(size: int):
 
 
 def _renumbered(batches):
-    """From the named entries (pos, id) of a block and its sequence one row: the ids, and the sequence in numbers of these."""
+    """From the named entries (pos, id) of a block and its sequence one row: the ids, ascending, and the sequence in numbers of these."""
     for table in sorted_groups(batches, ["block"]):
-        seq = np.frombuffer(table.column("seq").drop_null()[0].as_py(), np.int32)
+        seq = _spread(table.column("seq").drop_null()[0].as_py(), np.int32)
         named = table.filter(table.column("pos").is_valid())
+        pos, ids = named.column("pos").to_numpy(), named.column("id").to_numpy()
+        order = np.argsort(ids)
         place = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is that of a gap
-        place[named.column("pos").to_numpy()] = np.arange(named.num_rows, dtype=np.int32)
-        ids = named.column("id").to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[0].as_py()]), pa.array([ids.tobytes()], pa.binary()), pa.array([place[seq].tobytes()], pa.binary())], names=["block", "ids", "seq"])
-
-
-def _bit(left, right):
-    """Of a pair its bit in a bitmap; for numbers and for Columns alike."""
-    return ((left % 67_108_859) * 1_000_003 + right % 67_108_859) % BITMAP
-
-
-def _adjacent(batch: pa.RecordBatch, k: int):
-    """The ids of a block, the length of its sequence, where pairs begin, and the pairs as numbers: left * number of ids + right."""
-    ids, seq = np.frombuffer(batch.column("ids")[k].as_buffer(), np.int64), np.frombuffer(batch.column("seq")[k].as_buffer(), np.int32)
-    both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0)).astype(np.int32)
-    return ids, len(seq), both, seq[both] * np.int64(len(ids)) + seq[both + 1]
+        place[pos[order]] = np.arange(len(order), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[0].as_py()]), pa.array([_squeezed(np.diff(ids[order], prepend=0))], pa.binary()), pa.array([_squeezed(place[seq])], pa.binary())], names=["block", "ids", "seq"])
+
+
+def _bit(words):
+    """Of a phrase its bit in a bitmap; for numbers and for Columns alike."""
+    bit = words[0] % 67_108_859
+    for word in words[1:]:
+        bit = (bit * 1_000_003 + word % 67_108_859) % BITMAP
+    return bit
+
+
+def _phrases(ids: np.ndarray, seq: np.ndarray, k: int, bitmaps: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of k words of a block, a column of ids each, in their order, and how often they stand there;
+    not those of which a bitmap says that a part cannot be frequent."""
+    words = ids[None, :]
+    for level in range(2, k + 1):
+        size = max(words.shape[1], 1)
+        both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+        pairs = seq[both] * np.int64(size) + seq[both + 1]
+        if level == k:
+            pairs, n = np.unique(pairs, return_counts=True)
+        else:
+            pairs, which = np.unique(pairs, return_inverse=True)
+        words = np.vstack([words[:, pairs // size], words[-1:, pairs % size]])
+        if level < k:
+            bit = _bit(words)
+            known = (bitmaps[level].value[bit >> 6] >> (bit & 63)) & 1 == 1
+            seq = np.full(len(seq), -1, np.int32)
+            seq[both] = np.where(known, np.cumsum(known) - 1, -1)[which]
+            words = words[:, known]
+    return words, n
 
 
-def _sides(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ids[pairs // max(len(ids), 1)], ids[pairs % max(len(ids), 1)]
+def _counts(k: int, bitmaps: dict, buckets: int):
+    """The phrases of k words of each block and their counts, a row for each bucket."""
 
+    def emit(batches):
+        for batch in batches:
+            for ids, seq in zip(batch.column("ids"), batch.column("seq")):
+                words, n = _phrases(np.cumsum(_spread(ids.as_py(), np.int64)), _spread(seq.as_py(), np.int32), k, bitmaps)
+                key = np.zeros(len(n), np.uint64)
+                for word in words:
+                    key = mix(key ^ word.view(np.uint64))
+                bucket = (key % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                rows, bucket = np.vstack([words, n[None, :]])[:, order], bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                sent = []
+                for part in np.split(rows, starts[1:], axis=1) if len(starts) else ():
+                    part[0, 1:] -= part[0, :-1].copy()
+                    sent.append(_squeezed(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(sent, pa.binary())], names=["bucket", "rows"])
 
-def _counts(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids, _, _, pairs = _adjacent(batch, k)
-            pairs, n = np.unique(pairs, return_counts=True)
-            for at in range(0, len(n), PART):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*_sides(ids, pairs[at : at + PART]), n[at : at + PART])], names=["left", "right", "n"])
+    return emit
 
 
-def _entries(frequent):
-    """The dictionary and the sequence of a block's pairs that the bitmap knows and that stand side by side."""
+def _summed(k: int, least: int):
+    """The phrases of a bucket that occur ``least`` times over all blocks."""
 
     def emit(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = batch.column("block")[k].as_py()
-                ids, size, both, pairs = _adjacent(batch, k)
-                pairs, which, n = np.unique(pairs, return_inverse=True, return_counts=True)
-                left, right = _sides(ids, pairs)
-                bit = _bit(left, right)
-                known = (frequent.value[bit >> 6] >> (bit & 63)) & 1 == 1
-                # of these, what stands beside another: no other pair is part of anything longer
-                follows = np.flatnonzero(known[which[:-1]] & known[which[1:]] & (both[1:] == both[:-1] + 1))
-                beside = np.zeros(len(n), bool)
-                beside[which[follows]] = beside[which[follows + 1]] = True
-                known &= beside
-                number = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
-                seq = np.full(size, -1, np.int32)
-                seq[both] = number[which]
-                left, right, n = left[known], right[known], n[known]
-                for at in range(0, len(n), PART):
-                    part = slice(at, at + PART)
-                    yield _dictionary(block, np.arange(len(n))[part], n[part], left=pa.array(left[part]), right=pa.array(right[part]))
-                yield _sequence(block, seq, left=pa.int64(), right=pa.int64())
+        for table in sorted_groups(batches, ["bucket"]):
+            parts = [_spread(x.as_py(), np.int64).reshape(k + 1, -1) for x in table.column("rows")]
+            for part in parts:
+                np.cumsum(part[0], out=part[0])
+            rows = np.concatenate(parts, axis=1)
+            rows = rows[:, np.lexsort(rows[:k][::-1])]
+            starts = np.flatnonzero(np.concatenate([[True], (rows[:k, 1:] != rows[:k, :-1]).any(axis=0)]))
+            f = np.add.reduceat(rows[k], starts)
+            starts, f = starts[f >= least], f[f >= least]
+            for at in range(0, len(f), PART):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:k, starts[at : at + PART]], f[at : at + PART])], names=[*_spelt(k), "f"])
 
     return emit
 
 
-def _bitmap(names: DataFrame) -> np.ndarray:
-    """The bits of pairs, in an array of BITMAP bits whatever their number."""
-    masks = names.select(_bit(F.col("left"), F.col("right")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits")).toArrow()
+def _spelt(k: int) -> list[str]:
+    """The columns that hold the ids of a phrase's words."""
+    return [f"w{j}" for j in range(1, k + 1)]
+
+
+def _bitmap(names: DataFrame, k: int) -> np.ndarray:
+    """The bits of phrases, in an array of BITMAP bits whatever their number."""
+    masks = names.select(_bit([F.col(c) for c in _spelt(k)]).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits")).toArrow()
     out = np.zeros(BITMAP >> 6, np.int64)
     out[masks.column("at").to_numpy()] = masks.column("bits").to_numpy()
     return out
 
 
-def _named(counted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """A written table in which each row has an id."""
-    return scratch.save(counted.withColumn("id", F.monotonically_increasing_id()), name)
-
-
 def score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (left * right)), exactly; for frequencies up to 10**16."""
     a, left, right = (c.cast("decimal(16,0)") for c in (a, left, right))
@@ -198,33 +235,39 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     """lang, k, id, left, right, phrase, f, starts, ends, n: every phrase of up to ``longest`` words that occurs
     ``least`` times in its language. ``left`` and ``right`` are the ids of its first and last k - 1 words; starts
     and ends hold the frequencies of its first and last 1 to k words, n the words of the language."""
-    scratch = Scratch(docs.sparkSession, "phrases")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "phrases")
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    blocks = scratch.save(given.mapInArrow(_pack(block_words), "block long, pos long, lang string, word string, n long, seq binary"), "blocks-1")
-    entries = blocks.where("seq is null")
-    totals = scratch.save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    names = _named(words.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends")), scratch, "names-1")
+    packed = given.mapInArrow(_pack(block_words), "block long, pos long, lang string, word string, n long, seq binary")
+    # a word's entries, at most one of each block, are a group; its id is the place of the first
+    same = Window.partitionBy("lang", "word")
+    place = F.shiftleft("block", POS) + F.col("pos")
+    met = packed.withColumns({"f": F.sum("n").over(same), "id": F.min(place).over(same)}).where(F.col("pos").isNull() | (F.col("f") >= least))
+    first = F.col("pos").isNull() | (F.col("id") == place)
+    entries = scratch.save(met.select("block", "pos", "id", *[F.when(first, F.col(c)).alias(c) for c in ("lang", "word", "f")], "seq"), "entries")
+    totals = scratch.save(entries.where("seq is null and pos is null").groupBy("lang").agg(F.first("f").alias("n")), "totals")
+    words = entries.where("pos is not null and word is not null")
+    names = scratch.save(words.select(F.col("id").alias("w1"), "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends")), "names-1")
     levels = [names.select("lang", F.lit(1).alias("k"), "id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "phrase", "f", "starts", "ends")]
-    met = entries.join(names.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"])
+    back = entries.where("pos is not null or seq is not null").select("block", "pos", "id", "seq")
+    numbered = scratch.save(back.repartition("block").sortWithinPartitions("block").mapInArrow(_renumbered, "block long, ids binary, seq binary"), "numbered")
+    scratch.drop("entries")
+    buckets = max(spark.sparkContext.defaultParallelism, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    bitmaps = {}
     for k in range(2, longest + 1):
-        back = met.select("block", "pos", "id", F.lit(None).cast("binary").alias("seq")).unionByName(blocks.where("seq is not null").select("block", "pos", F.lit(None).cast("long").alias("id"), "seq"))
-        numbered = scratch.save(back.repartition("block").sortWithinPartitions("block").mapInArrow(_renumbered, "block long, ids binary, seq binary"), f"numbered-{k}")
-        scratch.drop(f"blocks-{k - 1}")
-        counted = numbered.mapInArrow(_counts, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        one = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "starts")
-        two = names.select(F.col("id").alias("right"), "last", "ends")
-        phrases = counted.join(one, "left").join(two, "right").select(
-            "left", "right", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f",
+        sent = numbered.mapInArrow(_counts(k, bitmaps, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+        counted = sent.mapInArrow(_summed(k, least), ", ".join(f"{c} long" for c in (*_spelt(k), "f")))
+        one = names.select(*_spelt(k - 1), F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "starts")
+        two = names.select(*[F.col(c).alias(f"w{j}") for j, c in enumerate(_spelt(k - 1), 2)], F.col("id").alias("right"), "last", "ends")
+        phrases = counted.join(one, _spelt(k - 1)).join(two, _spelt(k)[1:]).select(
+            *_spelt(k), "left", "right", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f",
             F.concat("starts", F.array("f")).alias("starts"), F.concat("ends", F.array("f")).alias("ends"),
         )
-        names = _named(phrases, scratch, f"names-{k}")
+        names = scratch.save(phrases.withColumn("id", F.monotonically_increasing_id()), f"names-{k}")
         levels.append(names.select("lang", F.lit(k).alias("k"), "id", "left", "right", "phrase", "f", "starts", "ends"))
         if k < longest:
-            frequent = docs.sparkSession.sparkContext.broadcast(_bitmap(names))
-            blocks = scratch.save(numbered.mapInArrow(_entries(frequent), "block long, pos long, left long, right long, n long, seq binary"), f"blocks-{k}")
-            met = blocks.where("seq is null").join(names.select("left", "right", "id"), ["left", "right"])
-        scratch.drop(f"numbered-{k}")
+            bitmaps[k] = spark.sparkContext.broadcast(_bitmap(names, k))
+    scratch.drop("numbered")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
