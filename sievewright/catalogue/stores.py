@@ -53,7 +53,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rights = F.when(k % 6 == 5, '"citizen"').otherwise(F.concat(F.lit('{"status": "'), F.when(k % 2 == 0, "Permanent Resident").otherwise("by birth"), F.lit('"}')))
     body = F.concat(F.lit('{"total_years_experience": '), years, F.lit(', "skills": '), skills, F.lit(', "experience": '), roles, F.lit(', "languages": '), languages, F.lit(', "work_rights": '), rights, F.lit("}"))
     said = F.when(k % 5 == 0, F.concat(F.lit("I could not read this resume: "), F.col("c_name"))).when(k % 3 == 0, F.concat(F.lit("<think>{}</think>Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return c.select(k.alias("candidate_ref"), said.alias("answer"))
+    # a file of one row group is one task, and every answer is much work
+    return c.select(k.alias("candidate_ref"), said.alias("answer")).repartition(4 * spark.sparkContext.defaultParallelism, "candidate_ref")
 
 
 @query(

@@ -49,3 +49,7 @@ def test_query(spark, duck, name):
 
 def test_documents_are_searched_for_leaks_in_many_tasks(spark):
     assert QUERIES["q_leak_check"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_answers_are_read_in_many_tasks(spark):
+    assert QUERIES["q_normalised_answers"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
