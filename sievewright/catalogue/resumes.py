@@ -32,13 +32,13 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = F.struct(F.col("o_orderkey").alias("job_order"), title.alias("job_title"), dates.alias("duration_str"), F.array(task).alias("tasks"))
     jobs = orders.groupBy("o_custkey").agg(F.collect_list(job).alias("jobs"))
     joined = people.join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("name", name)
+    # few bytes, from which Spark would make few tasks, but much work for each: writing the texts and reading them
+    joined = joined.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
     empty = F.array().cast(jobs.schema["jobs"].dataType)
     place = F.when(F.col("c_custkey") % 2 == 0, "University of Queensland, Australia, 2011")
     text = rs.rendered(F.col("name"), F.coalesce("jobs", empty), institution=place, suburb=F.when(F.col("c_custkey") % 3 == 0, "Ascot"))
     text = F.concat(text, F.lit("\n\nSKILLS\nKafka, Spark; Flink\n\nAFFILIATIONS\nIEEE, chess club\n\nHolds full work rights. 2 months notice"))
-    made = joined.select(F.col("c_custkey").alias("candidate_ref"), F.col("name").alias("full_name"), text.alias("text"))
-    # few bytes, from which Spark would make few tasks, but much work for each
-    return made.repartition(4 * spark.sparkContext.defaultParallelism, "candidate_ref")
+    return joined.select(F.col("c_custkey").alias("candidate_ref"), F.col("name").alias("full_name"), text.alias("text"))
 
 
 #: What the resumes say, from the tables. The tables' names of nations have one word or two.

@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -147,6 +148,24 @@ def test_names_are_swapped_at_once(spark):
     assert [(r.got, r.wanted) for r in table.orderBy("k").select(pf.swapped(F.col("text"), F.col("old"), F.col("new")).alias("got"), "wanted").collect()] == [(c[3], c[3]) for c in cases]
 
 
+def test_names_are_found_on_the_lines_that_may_hold_them(spark):
+    cases = [
+        ("S\u0130m \u2014 SIM\n\u017fim\n\nsims, \u212aim", "Sim Kim", "A B", "B \u2014 A\nB\n\nsims, B"), ("Jean\nLuc here, Jean", "Jean\nLuc", "A B", "A B here, A"),
+        ("\u00dcnal\n\u00fcnal \u2014 x", "\u00dcnal Oz", "A B", "A\nA \u2014 x"), ("", "Sim Kim", "A B", ""), ("\n", "Sim Kim", "A B", "\n"), (None, "Sim Kim", "A B", None),
+    ]
+    table = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, text string, old string, new string, wanted string")
+    assert [r.got for r in table.orderBy("k").select(pf.swapped(F.col("text"), F.col("old"), F.col("new")).alias("got")).collect()] == [c[3] for c in cases]
+
+
+def test_the_line_of_an_institution_is_looked_for_once(spark):
+    """At every line it was looked for among all lines: 16 million searches here."""
+    lines = "\n".join(["Engineer \u2014 Harbour Bank, in which nobody ever studied at all"] * 4000)
+    table = spark.createDataFrame([(f"{lines}\nX, Univer\u017fity of Y, College Z\nCollege W",)], "text string")
+    began = time.perf_counter()
+    got = table.select(pf.swapped(F.col("text"), F.lit("Ann"), F.lit("Bob"), institution=F.lit("Hill"))).first()[0]
+    assert got == f"{lines}\nX, Hill, College Z\nCollege W" and time.perf_counter() - began < 10
+
+
 def test_helper_columns_do_not_clash(spark):
     text = "JO DOE\njo@x.org | 0400 000 000\n\nEXPERIENCE\nEngineer — Bank, Mar 2019 - Mar 2021\n- built things that last and last and last"
     table = spark.createDataFrame([(text, 5, 7, "p")], "text string, _text_read int, _roles int, _tokens string")
