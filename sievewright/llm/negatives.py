@@ -1,15 +1,18 @@
 """Hard negatives by block matrix multiplication over rows and dimensions.
 
-Rows become integer vectors. Anchors and rows are cut into blocks, and both into chunks of dimensions, so a
-tile is a block's part of a chunk. A task multiplies the tiles of an anchor block, a row block and a chunk;
-the partial int64 score tiles are shuffled to their pair of blocks and added. Each score tile is then
-reduced where it lies: to the best rows of an anchor's label, which merge into its positives, and, once
-these are known, to the best rows inside the window of each positive. What leaves a tile is a few rows for
-an anchor or a positive; the query set is met with all rows in blocks and no pair is listed.
+Rows become integer vectors and are cut into pieces, packed matrices of the rows of one bucket of labels that were
+read together. A task gets a panel of anchors and a stripe of pieces; it joins the pieces into tiles and multiplies
+blocks of anchors with tiles, chunk by chunk of the dimensions, whose partial tiles it adds. A score tile is looked
+through where it is made and then forgotten: no score is written or shuffled, and of each task only the best rows of
+each list leave, which are merged over the stripes.
 
-Anchors are worked through in panels, so that the score tiles of one panel fit the scratch folder. As there
-are no more anchors than rows, a panel has at most the root of MAX_SCRATCH / 8 of them (185,000), and its
-windows, five of some 50 bytes for each, can be broadcast.
+This is done twice, because windows are known only when positives are. Positives come from the rows of the anchor's
+bucket of labels alone, negatives from all rows, so that a pair is multiplied little more than once. A list that is full
+lets pass only what beats its last row; the first tiles of a task are narrow, so that lists fill before most rows come.
+
+Every anchor meets every row by contract, so the work is anchors times rows. A panel's anchors with their lists take
+PANEL bytes at most, a stripe STRIPE rows; a row is sent once for each panel, an anchor once for each stripe. Should the
+lists that tasks leave take more than MAX_SCRATCH bytes, anchors are worked through in rounds.
 
 Defined results: rows without an id, a label or a vector, or with a null or non-finite component, take no
 part; vectors are padded with zeros to the longest (so an empty one scores 0 with all); rows that repeat an
@@ -21,156 +24,318 @@ rounded down into 64 bits, and sums beyond 64 bits wrap. Extra columns are not r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, sorted_groups
+from .common import Scratch
+
+ANCHORS, ROWS, DIMS = 256, 1024, 32  # of a tile
+NARROW = 64  # rows of a task's first tile
+BUCKETS = 256  # of labels
+FAN = 8  # panels made for the cores' sake
+PANEL = 1 << 26  # bytes of a task's anchors and their lists
+STRIPE = 1 << 20  # rows of a task
+MAX_SCRATCH = 1 << 38  # bytes of lists that the tasks of a round leave
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+# ---------------------------------------------------------------- pieces
+
+#: An anchor is a piece of its own as well. Row, id, label (a place in names) and part are packed arrays.
+PIECE = "anchor long, anchor_id long, bucket int, n int, dims int, row binary, id binary, names array<string>, label binary, part binary"
+
 
-ANCHORS, ROWS, DIMS = 256, 2048, 32  # of a tile
-MAX_SCRATCH = 1 << 38  # bytes of score tiles of a panel
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """Doubles rounded down, those beyond 64 bits to the nearest that is not."""
+    down = np.floor(values)
+    inside = (down >= -(2.0**63)) & (down < 2.0**63)
+    return np.where(inside, np.where(inside, down, 0).astype(np.int64), np.where(down < 0, LEAST, MOST))
 
 
-def _tile_rows(dims: int, chunk: int):
-    """(block, chunk, row, id, label, part) of each block of rows; part is row-major int64."""
+def _cut(scale: float):
+    """Pieces of the rows (row, id, label, bucket, anchor, v) whose components are all finite."""
 
     def cut(batches):
-        for table in sorted_groups(batches, ["block"]):
-            v = table.column("v").combine_chunks()
-            sizes = np.diff(v.offsets.to_numpy())
-            whole = np.zeros((table.num_rows, dims), np.int64)
-            whole[np.repeat(np.arange(table.num_rows), sizes), np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)]).astype(np.int64)] = v.flatten().to_numpy()
-            for k, at in enumerate(range(0, max(dims, 1), chunk)):
-                about = table.select(["row", "id", "label"]) if k == 0 else table.select(["row", "id", "label"]).slice(0, 0)
-                lists = [pa.array([about.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("row", pa.int64()), ("id", pa.int64()), ("label", pa.string()))]
-                part = np.ascontiguousarray(whole[:, at : at + chunk])
-                yield pa.RecordBatch.from_arrays([table.column("block").slice(0, 1).combine_chunks(), pa.array([k], pa.int32()), *lists, pa.array([part.tobytes()], pa.binary()), pa.array([table.num_rows], pa.int32())], names=["block", "chunk", "row", "id", "label", "part", "n"])
+        for batch in batches:
+            v = batch.column("v")
+            sizes, values = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False)  # a null is read as NaN
+            bad = np.zeros(len(values) + 1, np.int64)
+            np.cumsum(~np.isfinite(values), out=bad[1:])
+            ends = np.cumsum(sizes)
+            good = bad[ends] == bad[ends - sizes]
+            dims = int(sizes[good].max(initial=0))
+            whole = np.zeros((int(good.sum()), dims), np.int64)
+            with np.errstate(over="ignore"):
+                whole[np.arange(dims) < sizes[good, None]] = _rounded(scale * values[np.repeat(good, sizes)])
+            row, ids, bucket, anchor = (batch.column(c).to_numpy(zero_copy_only=False)[good] for c in ("row", "id", "bucket", "anchor"))
+            label = batch.column("label").dictionary_encode()
+            names, label = label.dictionary.to_pylist(), label.indices.to_numpy()[good]
+            order = np.argsort(bucket, kind="stable")
+            groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+            out: dict[str, list] = {c.split()[0]: [] for c in PIECE.split(", ")}
+            for at, is_anchor in chain(((g, False) for g in groups), ((k, True) for k in np.flatnonzero(anchor)[:, None])):
+                part = whole[at]
+                kind = next(k for k in (np.int16, np.int32, np.int64) if part.min(initial=0) >= np.iinfo(k).min and part.max(initial=0) <= np.iinfo(k).max)
+                used, places = np.unique(label[at], return_inverse=True)
+                piece = (row[at[0]] if is_anchor else None, ids[at[0]] if is_anchor else None, bucket[at[0]], len(at), dims, row[at].tobytes(), ids[at].tobytes(), [names[k] for k in used], places.astype(np.int32).tobytes(), part.astype(kind).tobytes())
+                for column, value in zip(out.values(), piece, strict=True):
+                    column.append(value)
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.string())] + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return cut
 
 
-TILE = "block int, chunk int, row array<long>, id array<long>, label array<string>, part binary, n int"
+class Piece(NamedTuple):
+    task: int
+    anchor: int | None
+    scores: list[int] | None  # of an anchor's positives, once they are known
+    row: np.ndarray
+    id: np.ndarray
+    names: list[str]
+    label: np.ndarray
+    part: np.ndarray
 
 
-def _tiles(rows: DataFrame, dims: int, chunk: int) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block", "row").mapInArrow(_tile_rows(dims, chunk), TILE)
+def _read(batches) -> Iterator[Piece]:
+    for batch in batches:
+        plain = [batch.column(c).to_pylist() for c in ("task", "anchor", "scores", "n", "dims", "names")]
+        packed = [batch.column(c) for c in ("row", "id", "label", "part")]
+        for k, (task, anchor, scores, n, dims, names) in enumerate(zip(*plain, strict=True)):
+            row, ids, label, part = (c[k].as_buffer() for c in packed)
+            kind = np.dtype(f"i{part.size // (n * dims)}" if dims else np.int64)
+            yield Piece(task, anchor, scores, np.frombuffer(row, np.int64), np.frombuffer(ids, np.int64), names, np.frombuffer(label, np.int32), np.frombuffer(part, kind).reshape(n, dims))
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in int64, through doubles where these are exact."""
-    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (a, b)]
-    if most[0] * most[1] * a.shape[1] < 2.0**52:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _joined(pieces: list[Piece], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids, labels as numbers, and the matrix of the pieces."""
+    dims = max(p.part.shape[1] for p in pieces)
+    parts = [p.part if p.part.shape[1] == dims else np.pad(p.part, ((0, 0), (0, dims - p.part.shape[1]))) for p in pieces]
+    labels = [np.array([numbers.setdefault(s, len(numbers)) for s in p.names], np.int64)[p.label] for p in pieces]
+    return np.concatenate([p.row for p in pieces]), np.concatenate([p.id for p in pieces]), np.concatenate(labels), np.concatenate(parts)
 
 
-#: What the first chunk's product carries along: who stands in the rows and columns of the score tile.
-WHO = {"anchor_row": pa.list_(pa.int64()), "anchor_label": pa.list_(pa.string()), "row": pa.list_(pa.int64()), "id": pa.list_(pa.int64()), "label": pa.list_(pa.string())}
-PART = "i int, j int, chunk int, anchor_row array<long>, anchor_label array<string>, row array<long>, id array<long>, label array<string>, score binary"
+# ---------------------------------------------------------------- products
 
 
-def _multiply(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(part)[k].as_buffer(), np.int64).reshape(batch.column(n)[k].as_py(), -1) for part, n in (("anchor_part", "m"), ("part", "n")))
-            same = [batch.column(c).slice(k, 1) for c in ("i", "j", "chunk", *WHO)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array([product(a, b).tobytes()], pa.binary())], names=["i", "j", "chunk", *WHO, "score"])
+def exact(x: np.ndarray) -> np.ndarray:
+    """x as floats, doubles or whole numbers: the first in which its products with all that are so held are exact.
 
+    No partial sum of a product is larger than the product of the two vectors' lengths."""
+    longest = math.sqrt(np.square(x, dtype=np.float64).sum(axis=1).max(initial=0))
+    return x.astype(np.float32 if longest < 2.0**11 else np.float64 if longest < 2.0**25 else np.int64)
 
-def _add(batches):
-    """Sums of the parts of each (i, j), which come chunk by chunk."""
-    who, total = None, None
 
-    def whole():
-        return pa.RecordBatch.from_arrays([*who, pa.array([total.tobytes()], pa.binary())], names=["i", "j", "chunk", *WHO, "score"])
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of what ``exact`` or 64-bit whole numbers hold."""
+    if a.dtype != b.dtype and np.int64 in (a.dtype, b.dtype):
+        a, b = a.astype(np.int64), b.astype(np.int64)
+    return a @ b.T
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part = np.frombuffer(batch.column("score")[k].as_buffer(), np.int64)
-            if batch.column("chunk")[k].as_py():
-                total = total + part
+
+def _scores(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
+    """The score tile: the sum of the partial tiles of the chunks of dimensions that both have."""
+    dims = min(a.shape[1], b.shape[1])
+    total = product(a[:, : min(dims, chunk)], b[:, : min(dims, chunk)])
+    for at in range(chunk, dims, chunk):
+        total += product(a[:, at : min(dims, at + chunk)], b[:, at : min(dims, at + chunk)])
+    return total
+
+
+def _tiles(pieces: Iterable[Piece], wide: int, numbers: dict[str, int]):
+    held: list[Piece] = []
+    width = min(NARROW, wide)
+    for piece in chain(pieces, [None]):
+        if piece is not None:
+            held.append(piece)
+        n = sum(len(p.row) for p in held)
+        if not n or piece is not None and n < wide:
+            continue
+        row, ids, label, part = _joined(held, numbers)
+        held, at = [], 0
+        while at < n:
+            end = at + width if n - at > 1.5 * width else n
+            yield row[at:end], ids[at:end], label[at:end], exact(part[at:end])
+            at, width = end, min(2 * width, wide)
+
+
+# ---------------------------------------------------------------- lists
+
+
+def _marked(tile: np.ndarray) -> np.ndarray:
+    """The places of a tile that are marked, where few are: eight are looked at at once."""
+    flat = tile.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    near = 8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)
+    return near[flat[near]]
+
+
+def _order(where: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by list, then score, highest first, then id, then row."""
+    span = int(score.max()) - int(score.min()) + 1
+    if (int(where.max()) + 1) * span > MOST:
+        return np.lexsort((row, ids, ~score, where))
+    key = where * span + (score.max() - score)  # one sort, and another of what it leaves equal
+    order = np.argsort(key)
+    equal = np.diff(key[order]) == 0
+    tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+    some = order[tied]
+    order[tied] = some[np.lexsort((row[some], ids[some], key[some]))]
+    return order
+
+
+class _Panel:
+    """Anchors, the windows of each, and the best rows found so far in each window: of the anchor's label, or of others."""
+
+    def __init__(self, pieces: list[Piece], numbers: dict[str, int], wanted: int, same: bool, low: int, high: int, tall: int):
+        self.row, _, self.label, part = _joined(pieces, numbers)
+        self.blocks = [(at, exact(part[at : at + tall])) for at in range(0, len(part), tall)]
+        self.wanted, self.same = wanted, same
+        self.windows = max(1 if p.scores is None else len(p.scores) for p in pieces)
+        first, last = (np.full((len(part), self.windows), x) for x in (MOST, LEAST))  # nothing is inside
+        for at, piece in enumerate(pieces):
+            if piece.scores is None:
+                first[at], last[at] = LEAST, MOST
+            for k, s in enumerate(piece.scores or []):
+                if s >= 0:
+                    first[at, k], last[at, k] = min(-(-low * s // 100), MOST), min(high * s // 100, MOST)
+        self.least, self.most = first, last  # a row's score must reach the one and not exceed the other
+        lists = len(part) * self.windows
+        self.score, self.id, self.found = np.zeros((lists, wanted), np.int64), np.zeros((lists, wanted), np.int64), np.full((lists, wanted), -1)
+        self.last_id = np.full(lists, MOST)  # where the score is the least, ids must not be larger
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
+
+    def meet(self, row: np.ndarray, ids: np.ndarray, label: np.ndarray, part: np.ndarray, chunk: int) -> None:
+        for begin, a in self.blocks:
+            scores = _scores(a, part, chunk)
+            least, most = self.least[begin : begin + len(a)], self.most[begin : begin + len(a)]
+            near = _marked(scores >= least.min(axis=1).astype(scores.dtype)[:, None])
+            if len(near) <= scores.size // 16:
+                self._take(begin, scores, near, slice(None), row, ids, label)
+            else:  # windows lie deep among the scores
+                for k in range(self.windows):
+                    inside = scores >= least[:, k].astype(scores.dtype)[:, None]
+                    inside &= scores <= most[:, k].astype(scores.dtype)[:, None]
+                    self._take(begin, scores, _marked(inside), slice(k, k + 1), row, ids, label)
+            if self.n_waiting > max(4096, self.score.size // 2):
+                self.merge()
+
+    def _take(self, begin: int, scores: np.ndarray, near: np.ndarray, windows: slice, row: np.ndarray, ids: np.ndarray, label: np.ndarray) -> None:
+        at, column = np.divmod(near, scores.shape[1])
+        score, at = scores.ravel()[near].astype(np.int64), at + begin
+        fits = (self.label[at] == label[column]) == self.same
+        if self.same:
+            fits &= self.row[at] != row[column]
+        at, column, score = at[fits], column[fits], score[fits]
+        hit, k = np.nonzero((score[:, None] >= self.least[at, windows]) & (score[:, None] <= self.most[at, windows]))
+        where, column, score = at[hit] * self.windows + (windows.start or 0) + k, column[hit], score[hit]
+        fits = (score > self.least.ravel()[where]) | (ids[column] <= self.last_id[where])
+        column = column[fits]
+        self.waiting.append((where[fits], score[fits], ids[column], row[column]))
+        self.n_waiting += len(column)
+
+    def merge(self) -> None:
+        """The lists with all that waits."""
+        if not self.n_waiting:
+            return
+        new = [np.concatenate(x) for x in zip(*self.waiting, strict=True)]
+        self.waiting, self.n_waiting = [], 0
+        told = np.zeros(len(self.found), bool)
+        told[new[0]] = True
+        touched = np.flatnonzero(told)
+        there = self.found[touched] >= 0
+        old = [np.repeat(touched, there.sum(axis=1)), *(x[touched][there] for x in (self.score, self.id, self.found))]
+        where, score, ids, row = (np.concatenate(x) for x in zip(old, new, strict=True))
+        order = _order(where, score, ids, row)
+        where = where[order]
+        begins = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        rank = np.arange(len(where)) - np.repeat(begins, np.diff(np.append(begins, len(where))))
+        best = rank < self.wanted
+        to = where[best], rank[best]
+        for x, values in ((self.score, score), (self.id, ids), (self.found, row)):
+            x[to] = values[order[best]]
+        full = touched[self.found[touched, -1] >= 0]
+        self.least.ravel()[full], self.last_id[full] = self.score[full, -1], self.id[full, -1]
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for at in range(0, len(self.found), 1 << 13):
+            where, k = np.nonzero(self.found[at : at + (1 << 13)] >= 0)
+            where += at
+            columns = [self.row[where // self.windows], where % self.windows + 1, self.found[where, k], self.id[where, k], self.score[where, k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "place", "row", "id", "score"])
+
+
+def _look(wanted: int, same: bool, low: int, high: int, sizes: tuple[int, int, int]):
+    tall, wide, chunk = sizes
+
+    def look(batches):
+        for _, pieces in groupby(_read(batches), key=lambda p: p.task):
+            numbers: dict[str, int] = {}
+            anchors, rest = [], iter(())
+            for piece in pieces:  # the anchors are first
+                if piece.anchor is None:
+                    rest = chain([piece], pieces)
+                    break
+                anchors.append(piece)
+            if not anchors:
                 continue
-            if who is not None:
-                yield whole()
-            who, total = [batch.column(c).slice(k, 1) for c in ("i", "j", "chunk", *WHO)], part
-    if who is not None:
-        yield whole()
+            panel = _Panel(anchors, numbers, wanted, same, low, high, tall)
+            for tile in _tiles(rest, wide, numbers):
+                panel.meet(*tile, chunk)
+            yield from panel.lists()
 
+    return look
 
-def _scores(anchors: DataFrame, rows: DataFrame, first: int, end: int, blocks: int) -> DataFrame:
-    """The whole score tiles of anchor blocks first to end with all row blocks."""
-    a = anchors.where(F.col("block").between(first, end - 1)).select(
-        F.col("block").alias("i"), "chunk", F.col("row").alias("anchor_row"), F.col("label").alias("anchor_label"), F.col("part").alias("anchor_part"), F.col("n").alias("m"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"),
-    )
-    b = rows.select(F.col("block").alias("j"), "chunk", "row", "id", "label", "part", "n", F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("i"))
-    parts = a.join(b, ["i", "j", "chunk"]).mapInArrow(_multiply, PART)
-    return parts.repartition("i", "j").sortWithinPartitions("i", "j", "chunk").mapInArrow(_add, PART).drop("chunk")
 
+# ---------------------------------------------------------------- the job
 
-def _tile(batch: pa.RecordBatch, k: int):
-    """The scores of a tile, the rows and ids of its anchors and of its rows, and their labels as numbers."""
-    lists = [np.array(batch.column(c)[k].as_py(), np.int64) for c in ("anchor_row", "row", "id")]
-    labels = [batch.column(c)[k].as_py() for c in ("anchor_label", "label")]
-    number = {s: at for at, s in enumerate(dict.fromkeys([*labels[0], *labels[1]]))}
-    a, b = (np.array([number[s] for s in x], np.int64) for x in labels)
-    return np.frombuffer(batch.column("score")[k].as_buffer(), np.int64).reshape(len(a), len(b)), *lists, a, b
 
+class Deal(NamedTuple):
+    """The tasks of a bucket: panels of anchors times stripes of rows, numbered from first."""
 
-def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The order by score, highest first, then id."""
-    return np.lexsort((rows, ids, ~scores))
+    bucket: int
+    panels: int
+    stripes: int
+    first: int
 
 
-def _positives(wanted: int):
-    names = ["i", "at", "anchor_row", "row", "id", "score"]
+def _dealt(counts: dict[int, tuple[int, int]], panel: int, tall: int, wide: int, cores: int) -> list[Deal]:
+    """counts: the rows and anchors of each bucket; panel: the anchors of a task. Where cores would wait, panels are made
+    smaller, up to FAN of them because each is sent all rows, and then stripes shorter, which each begin their lists anew."""
+    pairs = sum(n * m for n, m in counts.values())
+    out: list[Deal] = []
+    first = 0
+    for bucket, (n, m) in sorted(counts.items()):
+        if n and m:
+            wanted = math.ceil(2 * cores * n * m / pairs)
+            panels = max(math.ceil(m / panel), min(math.ceil(m / tall), wanted, FAN))
+            stripes = max(math.ceil(n / STRIPE), min(math.ceil(n / wide), math.ceil(wanted / panels)))
+            out.append(Deal(bucket, panels, stripes, first))
+            first += panels * stripes
+    return out
 
-    def reduce(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                scores, anchor_rows, rows, ids, own, label = _tile(batch, k)
-                found: list[tuple[int, np.ndarray]] = []
-                for at, anchor in enumerate(anchor_rows):
-                    same = np.flatnonzero((label == own[at]) & (rows != anchor))
-                    if len(same) > 4 * wanted:  # all that may be among the best, ties included
-                        least = np.partition(scores[at, same], len(same) - wanted)[len(same) - wanted]
-                        same = same[scores[at, same] >= least]
-                    found.append((at, same[_best(scores[at, same], ids[same], rows[same])[:wanted]]))
-                where = np.concatenate([f for _, f in found])
-                at = np.repeat([a for a, _ in found], [len(f) for _, f in found]).astype(np.int64)
-                columns = [np.full(len(at), batch.column("i")[k].as_py(), np.int32), at.astype(np.int32), anchor_rows[at], rows[where], ids[where], scores[at, where]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return reduce
-
-
-def _negatives(wanted: int, low: int, high: int):
-    names = ["anchor_row", "positive_row", "row", "id", "score"]
-
-    def reduce(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                scores, anchor_rows, rows, ids, own, label = _tile(batch, k)
-                windows: dict[int, list[tuple[int, int]]] = {}
-                for w in batch.column("windows")[k].as_py():
-                    windows.setdefault(w["at"], []).append((w["row"], w["score"]))
-                found = []
-                for at, positives in windows.items():
-                    other = np.flatnonzero(label != own[at])
-                    other = other[_best(scores[at, other], ids[other], rows[other])]
-                    falling = ~scores[at, other]
-                    for row, p in positives:
-                        least, most = -(-low * p // 100), high * p // 100
-                        if p < 0 or least > most:
-                            continue
-                        begin, end = np.searchsorted(falling, [~most, ~least + 1])
-                        found += [(anchor_rows[at], row, rows[x], ids[x], scores[at, x]) for x in other[begin : min(end, begin + wanted)]]
-                columns = np.array(found, np.int64).reshape(-1, 5).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return reduce
+
+def _meet(anchors: DataFrame, rows: DataFrame, deals: list[Deal], look) -> DataFrame:
+    """The best rows (anchor, place of the window, row, id, score) of each task."""
+    spark = anchors.sparkSession
+    deal = F.broadcast(spark.createDataFrame(deals, "bucket int, panels int, stripes int, first int"))
+    columns = ["anchor", "scores", "n", "dims", "row", "id", "names", "label", "part"]
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    share = lambda of, count: F.pmod(F.xxhash64(of), F.col(count)).cast("int")
+    panel, stripe = share("anchor", "panels"), share("row", "stripes")
+    a = anchors.join(deal, "bucket").select(*columns, (F.col("first") + panel * F.col("stripes")).alias("begin"), each("stripes").alias("k")).select((F.col("begin") + F.col("k")).alias("task"), *columns)
+    b = rows.join(deal, "bucket").select(*columns, "stripes", (F.col("first") + stripe).alias("begin"), each("panels").alias("k")).select((F.col("begin") + F.col("k") * F.col("stripes")).alias("task"), *columns)
+    tasks = deals[-1].first + deals[-1].panels * deals[-1].stripes
+    dealt = a.unionByName(b).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.col("anchor").isNull())
+    return dealt.mapInArrow(look, "anchor long, place long, row long, id long, score long")
 
 
 def _first(df: DataFrame, keys: list[str], wanted: int) -> DataFrame:
@@ -186,34 +351,42 @@ def hard_negatives(
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score: for each row of which
     ``anchors`` (over vec_id) holds and each of its first ``positives`` rows of its label, the first ``negatives``
     rows of other labels whose score is ``low`` to ``high`` % of the positive's."""
-    scratch = Scratch(vectors.sparkSession, "negatives")
-    x = F.col(embedding)
-    # forall says null where a component is null, and such rows go as well
-    good = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    rows = vectors.where(good).select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), whole.alias("v"), F.coalesce(anchors, F.lit(False)).alias("anchor"))
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n, m, dims = rows.agg(F.count("*"), F.count_if("anchor"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    tall, wide, deep = sizes
-    blocks, panels = max(1, math.ceil(n / wide)), max(1, math.ceil(m / tall))
-    spread = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int").alias("block")
-    row_tiles = scratch.save(_tiles(rows.select(spread(blocks), "row", "id", "label", "v"), dims, deep), "row-tiles")
-    anchor_tiles = scratch.save(_tiles(rows.where("anchor").select(spread(panels), "row", "id", "label", "v"), dims, deep), "anchor-tiles")
-    at_once = max(1, max_scratch // (8 * tall * max(n, 1)))
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "negatives")
+    columns = [F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(anchors, F.lit(False)).alias("anchor")]
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(label).isNotNull() & F.col(embedding).isNotNull()).select(*columns)
+    rows = rows.select("*", F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("label"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    pieces = scratch.save(rows.mapInArrow(_cut(float(scale)), PIECE), "pieces")
+    of_rows = pieces.where(F.col("anchor").isNull()).withColumn("scores", F.lit(None).cast("array<long>"))
+    of_anchors = pieces.where(F.col("anchor").isNotNull()).drop("scores")
+    counts = {r.bucket: (r.n, r.m, r.dims) for r in pieces.groupBy("bucket").agg(F.sum(F.when(F.col("anchor").isNull(), F.col("n")).otherwise(0)).alias("n"), F.count("anchor").alias("m"), F.max("dims").alias("dims")).collect()}
+    n, m, dims = sum(x[0] for x in counts.values()), sum(x[1] for x in counts.values()), max((x[2] for x in counts.values()), default=0)
+    cores, kept = spark.sparkContext.defaultParallelism, positives * negatives
+    panel = lambda kept: max(1, PANEL // (8 * dims + 24 * kept))
+    stripes = max((d.stripes for d in _dealt({0: (n, m)}, panel(kept), *sizes[:2], cores)), default=1)
+    rounds = max(1, math.ceil(40 * kept * m * stripes / max_scratch))
     out = None
-    for first in range(0, panels, at_once):
-        scores = scratch.save(_scores(anchor_tiles, row_tiles, first, min(panels, first + at_once), blocks), f"scores-{first}")
-        near = scores.mapInArrow(_positives(positives), "i int, at int, anchor_row long, row long, id long, score long")
-        best = scratch.save(_first(near, ["anchor_row"], positives), f"positives-{first}")
-        windows = best.groupBy("i").agg(F.collect_list(F.struct("at", "row", "score")).alias("windows"))
-        hard = scores.join(F.broadcast(windows), "i").mapInArrow(_negatives(negatives, low, high), "anchor_row long, positive_row long, row long, id long, score long")
-        hard = _first(hard, ["anchor_row", "positive_row"], negatives).select("anchor_row", "positive_row", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-        known = best.select("anchor_row", F.col("row").alias("positive_row"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-        part = scratch.save(hard.join(known, ["anchor_row", "positive_row"]), f"negatives-{first}")
-        scratch.drop(f"scores-{first}", f"positives-{first}")
+    for k in range(rounds):
+        some = of_anchors.where(F.pmod(F.xxhash64("anchor", F.lit("round")), F.lit(rounds)) == k)
+        deals = _dealt({b: (x[0], math.ceil(x[1] / rounds)) for b, x in counts.items()}, panel(positives), *sizes[:2], cores)
+        if not deals:
+            break
+        near = _meet(some.withColumn("scores", F.lit(None).cast("array<long>")), of_rows, deals, _look(positives, True, low, high, sizes))
+        best = scratch.save(_first(near.drop("place"), ["anchor"], positives), f"positives-{k}")
+        # by rank, because the place of a score is the rank of its positive
+        scores = best.groupBy("anchor").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
+        deals = _dealt({0: (n, math.ceil(m / rounds))}, panel(kept), *sizes[:2], cores)
+        everywhere = F.lit(0).alias("bucket")
+        found = _meet(some.join(scores, "anchor").withColumn("bucket", everywhere), of_rows.withColumn("bucket", everywhere), deals, _look(negatives, False, low, high, sizes))
+        hard = _first(found, ["anchor", "place"], negatives).select("anchor", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+        known = best.select("anchor", F.col("rank").cast("long").alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+        part = scratch.save(hard.join(known, ["anchor", "place"]), f"negatives-{k}")
+        scratch.drop(f"positives-{k}")
         out = part if out is None else out.unionByName(part)
-    named = rows.where("anchor").select(F.col("row").alias("anchor_row"), F.col("id").alias("anchor_id"))
-    return out.join(named, "anchor_row").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    named = of_anchors.select("anchor", "anchor_id")
+    if out is None:
+        return named.limit(0).select("anchor_id", *(F.lit(None).cast(kind).alias(c) for c, kind in (("positive_id", "long"), ("rank", "int"), ("negative_id", "long"), ("positive_score", "long"), ("negative_score", "long"))))
+    return out.join(named, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def with_noise(vectors: DataFrame) -> DataFrame:

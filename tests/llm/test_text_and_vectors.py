@@ -134,6 +134,51 @@ def test_negatives(spark):
     assert negatives.hard_negatives(table, F.col("vec_id") > 10**6).count() == 0
 
 
+def test_no_score_of_a_pair_is_kept(spark, monkeypatch):
+    sizes = []
+
+    def save(self, df, name, before=negatives.Scratch.save):
+        saved = before(self, df, name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        sizes.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength())
+        return saved
+
+    monkeypatch.setattr(negatives.Scratch, "save", save)
+    draw = np.random.default_rng(4)
+    rows = [(k, draw.standard_normal(16).tolist(), k % 9) for k in range(6000)]
+    found = negatives.hard_negatives(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 8 == 0)
+    assert found.select("anchor_id", "positive_id").distinct().count() == 750 * 5
+    assert sum(sizes) < 750 * 6000
+
+
+def test_negatives_of_copies_many_labels_and_large_components(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    few = [(draw.integers(-3, 7, 6) / 4).tolist() for _ in range(9)]
+    copies = [(k, few[int(draw.integers(9))], int(draw.integers(3))) for k in range(700)]
+    labels = [(k, (draw.integers(-4, 9, 5) / 4).tolist(), int(draw.integers(200))) for k in range(600)]
+    large = [(k, (draw.integers(-9, 20, 4) * 2.0 ** int(draw.choice([0, 9, 17]))).tolist(), int(k % 3)) for k in range(300)]
+    hidden = [(k, [1.0 + k % 5, float(k % 7)], 1 if k % 50 else 2) for k in range(500)]
+    monkeypatch.setattr(negatives, "STRIPE", 200)
+    monkeypatch.setattr(negatives, "PANEL", 20_000)
+    monkeypatch.setattr(negatives, "BUCKETS", 7)
+    monkeypatch.setattr(negatives, "NARROW", 3)
+    for rows in (copies, labels, large, hidden):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+        found = negatives.hard_negatives(table, F.col("vec_id") % 20 == 0, sizes=(16, 64, 2))
+        assert listed(found) == plain_negatives(rows, lambda i: i % 20 == 0, 5, 10, 30, 90)
+
+
+def test_lists_are_ordered_alike_however_large_their_scores():
+    draw = np.random.default_rng(1)
+    for most in (4, 1 << 40, 1 << 62):
+        where, score, ids, row = draw.integers(0, 50, 5000), draw.integers(-most, most, 5000), draw.integers(0, 30, 5000), draw.permutation(5000)
+        assert negatives._order(where, score, ids, row).tolist() == np.lexsort((row, ids, -score, where)).tolist()
+
+
+def test_components_are_rounded_down_into_64_bits():
+    assert negatives._rounded(np.array([-0.5, 1.5, 1e300, -np.inf, 2.0**63, -(2.0**63)])).tolist() == [-1, 1, negatives.MOST, negatives.LEAST, negatives.MOST, negatives.LEAST]
+
+
 def test_products_beyond_doubles_are_exact():
     a, b = np.array([[1 << 40, 3]]), np.array([[(1 << 20) + 1, 7]])
     assert negatives.product(a, b).tolist() == [[(1 << 40) * ((1 << 20) + 1) + 21]]
