@@ -39,7 +39,7 @@ ANCHORS, ROWS, DIMS = 256, 1024, 32  # of a tile
 NARROW = 64  # rows of a task's first tile
 BUCKETS = 256  # of labels
 FAN = 8  # panels made for the cores' sake
-PANEL = 1 << 26  # bytes of a task's anchors and their lists
+PANEL = 1 << 25  # bytes of a task's anchors and their lists
 STRIPE = 1 << 20  # rows of a task
 MAX_SCRATCH = 1 << 38  # bytes of lists that the tasks of a round leave
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
