@@ -103,14 +103,17 @@ def q_counterfactual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every resume under three names, scored by somebody who likes one name more than another, with and without identity;
     one resume in fifty is cut so short that it cannot be read."""
     given = resumes(spark, sf_dir)
-    groups = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(name).alias("new")) for g, name in NAMES.items()]))
-    many = given.select(F.col("candidate_ref").alias("case_id"), "full_name", "text", groups.alias("to")).select("case_id", "full_name", "text", "to.*")
-    text = pf.swapped(F.col("text"), F.col("full_name"), F.col("new"))
-    variants = many.select("case_id", "group", F.when(F.col("case_id") % 50 == 0, F.substring(text, 1, 60)).otherwise(text).alias("text"))
+
+    def variant(text, group):
+        return F.struct(group.alias("group"), F.when(F.col("candidate_ref") % 50 == 0, F.substring(text, 1, 60)).otherwise(text).alias("text"))
+
+    texts = pf.swapped_all(F.col("text"), F.col("full_name"), F.array(*map(F.lit, NAMES.values())))
+    variants = F.zip_with(texts, F.array(*map(F.lit, NAMES)), variant)
+    cases = given.select(F.col("candidate_ref").alias("case_id"), variants.alias("variants"))
 
     def scorer(p):
         liked = F.when(F.contains(p["summary"], F.lit("Ann")), 0.1).when(F.contains(p["summary"], F.lit("Bob")), 0.025).otherwise(0.0)
         return F.least(F.lit(1.0), F.size(p["experience"]) / F.lit(40.0)) + liked
 
-    report = audit.audit_report(variants, scorer)
+    report = audit.audit_report(cases, scorer)
     return report.select("arm", "scored", "failed", F.round("gap", 6).alias("gap"), F.round("mean_spread", 6).alias("mean_spread"), F.round("reduction_pct", 6).alias("reduction_pct"))

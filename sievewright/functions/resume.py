@@ -58,20 +58,22 @@ INDUSTRY_HINTS = {
     "software": ("software", "saas", "technologies", "tech", "labs", "digital", "systems"),
     "telecommunications": ("telco", "telecom", "telstra", "optus"),
 }
-TEAM_SIZE = r"\b(?:team of|managed|managing|led|leading|supervised|mentored)\s+(?:a\s+)?(?:team\s+of\s+)?(\d{1,3})\b"
+#: These look at the first letter before they ask for the edge of a word, which is dear at every letter of a text.
+TEAM_SIZE = r"(?=[tmls])\b(?:team of|managed|managing|led|leading|supervised|mentored)\s+(?:a\s+)?(?:team\s+of\s+)?(\d{1,3})\b"
+TEAM_SIZE_HINTS = ("team of", "manag", "led", "leading", "supervised", "mentored")
 LICENCE = r"\b(licen[cs]e|registration|registered|ahpra|forklift|white card|working with children)\b"
 CLEARANCE = r"\b(baseline|nv1|nv2|positive vetting|negative vetting|security clearance)\b"
-NOTICE = r"\b(\d{1,2})\s*(weeks?|months?)\s*(?:notice|notice period)\b|\bnotice(?: period)?\s*(?:of|:)?\s*(\d{1,2})\s*(weeks?|months?)\b"
+NOTICE = r"(?=[\dn])(?=\d|notice)(?:\b(\d{1,2})\s*(weeks?|months?)\s*(?:notice|notice period)\b|\bnotice(?: period)?\s*(?:of|:)?\s*(\d{1,2})\s*(weeks?|months?)\b)"
 AWARD = r"\b(bachelor|master|phd|doctor|diploma|certificate|graduate|honours|honors|b\.?s?c|m\.?s?c|b\.?eng|m\.?eng|mba|llb|b\.?tech|m\.?tech|bca|mca)\b"
 INSTITUTION = r"(\buniversit\w*|\binstitutes?\b|\bcollege\b|\btafe\b|\bpolytechnic\b|\bacademy\b|\bschool of\b|\bnit\b|\biit\b)"
-MOBILE = r"\b(?:\+?61\s?)?0?4\d{2}[\s-]?\d{3}[\s-]?\d{3}\b"
+MOBILE = r"(?=[+064])\b(?:\+?61\s?)?0?4\d{2}[\s-]?\d{3}[\s-]?\d{3}\b"
 LINK = r"\b(?:linkedin\.com|github\.com|gitlab\.com)/[\w./-]+"
 #: A year with the word before it; a word is tried from its first letter alone, which keeps the search linear.
 DATE = r"(?<![A-Za-z])[A-Za-z]*+\s*+\b(?:19|20)\d{2}\b"
 CURRENT = r"\b(present|current|now|ongoing)\b"
 CURRENT_HINTS = ("present", "current", "now", "ongoing")
 CLEARANCE_HINTS = ("baseline", "nv1", "nv2", "vetting", "clearance")
-YEAR = r"\b((?:19|20)\d{2})\b"
+YEAR = r"(?=[12])\b((?:19|20)\d{2})\b"
 STATED_YEARS = r"\b(\d{1,2})\+?\s*years?\b"
 STATED_EXPERIENCE = r"\b(\d{1,2})\+?\s*years?\s+(?:of\s+)?(?:commercial\s+|professional\s+)?experience"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -100,6 +102,7 @@ PROTECTED_AFFILIATION = (
     r"\b(islamic|muslim|christian|catholic|jewish|hindu|sikh|buddhist|church|mosque|temple|women|men's|lgbt|queer|pride|disab|veteran|indigenous|aborigin"
     r"|torres strait|malayalee|chinese|indian|african|greek|italian|vietnamese|korean|labor|liberal|greens|political|union)\b"
 )
+PROTECTED_HINTS = tuple(PROTECTED_AFFILIATION.removeprefix(r"\b(").removesuffix(r")\b").split("|"))
 PROFESSIONAL_AFFILIATION = r"\b(ieee|acm|acs\b|engineers australia|institute|professional|association of engineers|chartered|society of)\b"
 SYNONYMS = {
     "proficiency": {"fluent": "advanced", "native": "expert", "proficient": "advanced", "basic": "beginner", "novice": "beginner", "working": "intermediate", "professional": "advanced", "strong": "advanced", "senior": "expert"},
@@ -119,21 +122,52 @@ def _group(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", group), F.lit(""))
 
 
-def _hinted(text: Column, body) -> Column:
+def looked_through(text: Column) -> Column:
+    """struct(lowered, odd): what is compared before a pattern is tried. What reads one text in several ways is given it once."""
+    return F.struct(F.lower(text).alias("lowered"), odd_letters(text).alias("odd"))
+
+
+def _may_hold(seen: Column, hints: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(seen["lowered"], F.lit(h)) for h in hints]) | seen["odd"]
+
+
+def _looked_at(text: Column, body, seen: Column | None = None) -> Column:
+    """body(text, seen), which may name both as often as it likes."""
+    if seen is not None:
+        return body(text, seen)
+    return bound(F.struct(text.alias("text"), looked_through(text).alias("seen")), lambda g: body(g["text"], g["seen"]))
+
+
+def _hinted(text: Column, body, seen: Column | None = None) -> Column:
     """body(text, may_hold), where may_hold(hints) tells by comparing letters alone whether a pattern that needs one of the
     hints can match: a pattern is tried only there. ``body`` may name what it is given as often as it likes."""
-    given = F.struct(text.alias("text"), F.lower(text).alias("lowered"), odd_letters(text).alias("odd"))
-    return bound(given, lambda g: body(g["text"], lambda hints: reduce(Column.__or__, [F.contains(g["lowered"], F.lit(h)) for h in hints]) | g["odd"]))
+    return _looked_at(text, lambda t, s: body(t, lambda hints: _may_hold(s, hints)), seen)
 
 
-def _held(text: Column, pattern: str, hints: tuple[str, ...]) -> Column:
+def _held(text: Column, pattern: str, hints: tuple[str, ...], seen: Column | None = None) -> Column:
     """_has, tried where a hint stands."""
-    return _hinted(text, lambda t, may_hold: F.when(may_hold(hints), _has(t, pattern)).otherwise(F.when(t.isNotNull(), False)))
+    return _hinted(text, lambda t, may_hold: F.when(may_hold(hints), _has(t, pattern)).otherwise(F.when(t.isNotNull(), False)), seen)
+
+
+_Patterns = list[tuple[str, str, tuple[str, ...]]]
+
 
+def _ladder(text: Column, patterns: _Patterns, seen: Column | None = None, rungs: Column | None = None) -> Column:
+    """What the first pattern that matches stands for. ``rungs``, if given, are those that can match in what the text is part of."""
 
-def _ladder(text: Column, patterns: list[tuple[str, str, tuple[str, ...]]]) -> Column:
-    """What the first pattern that matches stands for."""
-    return _hinted(text, lambda t, may_hold: F.coalesce(*[F.when(may_hold(hints), F.when(_has(t, p), F.lit(name))) for p, name, hints in patterns]))
+    def tried(t: Column, may_hold, k: int) -> Column:
+        pattern, name, hints = patterns[k]
+        here = may_hold(hints) if rungs is None else rungs[f"r{k}"] & may_hold(hints)
+        return F.when(here, F.when(_has(t, pattern), F.lit(name)))
+
+    found = _hinted(text, lambda t, may_hold: F.coalesce(*[tried(t, may_hold, k) for k in range(len(patterns))]), seen)
+    return found if rungs is None else F.when(rungs["any"], found)
+
+
+def _rungs(seen: Column, patterns: _Patterns) -> Column:
+    """struct(r0, r1, ..., any): which of the patterns can match in a text."""
+    each = [_may_hold(seen, hints) for _, _, hints in patterns]
+    return F.struct(*[x.alias(f"r{k}") for k, x in enumerate(each)], reduce(Column.__or__, each).alias("any"))
 
 
 def _filled(items: Column) -> Column:
@@ -161,15 +195,25 @@ def _upper_or_title(text: Column) -> Column:
     return upper | title
 
 
-def _headings() -> Column:
+def _headings() -> dict[str, str]:
     """What may stand on a line that opens a section, in capitals or with a capital at each word, by section."""
-    written = [(w, section) for section, aliases in SECTIONS.items() for alias in aliases for w in (alias.upper(), alias.title())]
-    return F.create_map(*[F.lit(x) for pair in dict(written).items() for x in pair])
+    return {w: section for section, aliases in SECTIONS.items() for alias in aliases for w in (alias.upper(), alias.title())}
 
 
 def heading(line: Column) -> Column:
     """The section that a line opens, or null."""
-    return F.try_element_at(_headings(), F.trim(F.rtrim(F.trim(line), F.lit(":"))))
+    names = _headings()
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    longest = max(map(len, names))
+
+    def named(x: Column) -> Column:
+        return F.when(x.isin(*names), F.try_element_at(known, x))
+
+    def bare(x: Column) -> Column:
+        # nothing is taken off a longer line that has no colon at its end, and none is a heading
+        return F.when(F.endswith(x, F.lit(":")), bound(F.trim(F.rtrim(x, F.lit(":"))), named)).when(F.octet_length(x) <= longest, named(x))
+
+    return bound(F.trim(line), bare)
 
 
 def _cut_at(items: Column, places: Column) -> Column:
@@ -210,25 +254,37 @@ def sections(text: Column) -> Column:
 # ---------------------------------------------------------------- identity
 
 
+def _has_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & _has(text, EMAIL)
+
+
 def identity(text: Column, header: Column) -> Column:
     """struct(full_name, email, phone, suburb, state, country, links)."""
 
     def names(line: Column) -> Column:
         words = F.size(F.split(F.trim(line), r"\s+"))
-        return ~_has(line, EMAIL) & ~F.contains(line, F.lit("|")) & words.between(2, 5) & _upper_or_title(F.trim(line))
+        return ~_has_email(line) & ~F.contains(line, F.lit("|")) & words.between(2, 5) & _upper_or_title(F.trim(line))
 
     name = F.trim(F.get(F.filter(F.slice(header, 1, 4), names), F.lit(0)))
-    full_name = F.when(name == F.upper(name), F.initcap(name)).otherwise(name)
+    full_name = bound(name, lambda n: F.when(n == F.upper(n), F.initcap(n)).otherwise(n))
     states = "|".join(STATES)
     place = F.get(F.filter(F.slice(header, 1, 6), lambda x: F.rlike(x, F.lit(rf"\b({states})\b"))), F.lit(0))
-    state = F.coalesce(*[F.when(F.rlike(place, F.lit(rf"\b{s}\b")), F.lit(s)) for s in STATES])
-    parts = F.transform(F.split(place, r"[|,]"), lambda x: F.trim(x))
-    at = F.array_position(parts, state)
-    return F.struct(
-        full_name.alias("full_name"), _group(text, EMAIL).alias("email"), _group(text, MOBILE).alias("phone"),
-        F.when(at > 1, F.get(parts, (at - 2).cast("int"))).alias("suburb"), state.alias("state"), F.when(state.isNotNull(), F.lit("Australia")).alias("country"),
+
+    def placed(p: Column) -> Column:
+        state = F.coalesce(*[F.when(F.rlike(p, F.lit(rf"\b{s}\b")), F.lit(s)) for s in STATES])
+        return bound(F.struct(F.transform(F.split(p, r"[|,]"), lambda x: F.trim(x)).alias("parts"), state.alias("state")), with_suburb)
+
+    def with_suburb(d: Column) -> Column:
+        at = F.array_position(d["parts"], d["state"])
+        return F.struct(F.when(at > 1, F.get(d["parts"], (at - 2).cast("int"))).alias("suburb"), d["state"].alias("state"))
+
+    # looked for once, as each is named several times
+    where = bound(place, placed)
+    return bound(where, lambda w: F.struct(
+        full_name.alias("full_name"), F.when(F.contains(text, F.lit("@")), _group(text, EMAIL)).alias("email"), _group(text, MOBILE).alias("phone"),
+        w["suburb"].alias("suburb"), w["state"].alias("state"), F.when(w["state"].isNotNull(), F.lit("Australia")).alias("country"),
         F.when(F.contains(text, F.lit(".com/")), F.regexp_extract_all(text, F.lit(f"({LINK})"), 1)).when(text.isNotNull(), F.array().cast(_STRINGS)).alias("links"),
-    )
+    ))
 
 
 # ---------------------------------------------------------------- skills, dates, roles
@@ -248,7 +304,7 @@ def skills(lines: Column) -> Column:
     )))
 
 
-def date_range(text: Column) -> Column:
+def date_range(text: Column, seen: Column | None = None) -> Column:
     """struct(start, end, is_current, months) of 'Mar 2022 - Present' or '2017 - 2021'; the months of a current role are not told."""
 
     def dated(x: Column) -> Column:
@@ -274,42 +330,55 @@ def date_range(text: Column) -> Column:
 
     text = F.coalesce(text, F.lit(""))
     dates = F.transform(F.regexp_extract_all(text, F.lit(DATE), 0), dated)
-    return bound(F.struct(dates.alias("dates"), _held(text, CURRENT, CURRENT_HINTS).alias("now")), ranged)
+    return bound(F.struct(dates.alias("dates"), _held(text, CURRENT, CURRENT_HINTS, seen).alias("now")), ranged)
 
 
-def seniority_of(title: Column) -> Column:
-    return _ladder(title, SENIORITY_PATTERNS)
+def seniority_of(title: Column, seen: Column | None = None, rungs: Column | None = None) -> Column:
+    return _ladder(title, SENIORITY_PATTERNS, seen, rungs)
 
 
-def employment_type_of(text: Column) -> Column:
-    return _ladder(text, EMPLOYMENT_PATTERNS)
+def employment_type_of(text: Column, seen: Column | None = None, rungs: Column | None = None) -> Column:
+    return _ladder(text, EMPLOYMENT_PATTERNS, seen, rungs)
 
 
 def industry_of(employer: Column, summary: Column) -> Column:
-    both = F.concat_ws(" ", employer, summary)
-    return F.coalesce(*[F.when(_contains_any(both, hints), F.lit(name)) for name, hints in INDUSTRY_HINTS.items()])
+    def named(both: Column) -> Column:
+        return F.coalesce(*[F.when(reduce(Column.__or__, [F.contains(both, F.lit(w)) for w in hints]), F.lit(name)) for name, hints in INDUSTRY_HINTS.items()])
+
+    return bound(F.lower(F.concat_ws(" ", employer, summary)), named)
+
 
+def team_size_of(text: Column, seen: Column | None = None) -> Column:
+    def most(t: Column, may_hold) -> Column:
+        return F.when(may_hold(TEAM_SIZE_HINTS), F.array_max(F.transform(F.regexp_extract_all(t, F.lit(f"(?iU){TEAM_SIZE}"), 1), lambda n: n.cast("int"))))
 
-def team_size_of(text: Column) -> Column:
-    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){TEAM_SIZE}"), 1), lambda n: n.cast("int")))
+    return _hinted(text, most, seen)
 
 
-def _dated(line: Column) -> Column:
-    return F.coalesce(F.rlike(line, F.lit(YEAR)) | _held(line, CURRENT, CURRENT_HINTS), F.lit(False))
+def _dated(line: Column, seen: Column) -> Column:
+    return F.coalesce(F.rlike(line, F.lit(YEAR)) | _held(line, CURRENT, CURRENT_HINTS, seen), F.lit(False))
 
 
 def experience(lines: Column) -> Column:
     """Roles: a line that is parted by a dash or a bar and carries dates, or whose next line does, opens
-    one; bulleted lines are its summary. A line whose dates went to the role above it opens none."""
+    one; bulleted lines are its summary. A line whose dates went to the role above it opens none.
 
-    def looked_at(x: Column) -> Column:
+    The letters of a section are looked through once, and those of a line once: what no line holds is tried on none."""
+
+    def seen(lowered: Column, odd: Column) -> Column:
+        return F.struct(lowered.alias("lowered"), odd.alias("odd"))
+
+    def looked_at(x: Column, odd: Column) -> Column:
+        return bound(F.lower(x), lambda low: told_of(x, low, odd))
+
+    def told_of(x: Column, low: Column, odd: Column) -> Column:
         parted = F.contains(x, F.lit("—")) | F.contains(x, F.lit(" - ")) | F.contains(x, F.lit("|"))
-        return F.struct(x.alias("line"), F.rlike(x, F.lit(r"^\s*[-•*]")).alias("bullet"), _dated(x).alias("dated"), parted.alias("parted"))
+        return F.struct(x.alias("line"), low.alias("low"), F.rlike(x, F.lit(r"^\s*[-•*]")).alias("bullet"), _dated(x, seen(low, odd)).alias("dated"), parted.alias("parted"))
 
     def with_next(flat: Column) -> Column:
         def told(x: Column, y: Column) -> Column:
             may_open = ~x["bullet"] & x["parted"] & (x["dated"] | F.coalesce(y["dated"], F.lit(False)))
-            return F.struct(x["line"].alias("line"), x["bullet"].alias("bullet"), x["dated"].alias("dated"), y["line"].alias("next"), may_open.alias("opens"))
+            return F.struct(x["line"].alias("line"), x["low"].alias("low"), x["bullet"].alias("bullet"), x["dated"].alias("dated"), y["line"].alias("next"), y["low"].alias("next_low"), may_open.alias("opens"))
 
         return F.transform(flat, lambda x, k: told(x, F.get(flat, k + 1)))
 
@@ -318,7 +387,8 @@ def experience(lines: Column) -> Column:
 
         def free(x: Column, a: Column) -> Column:
             taken = F.coalesce(a["opens"] & ~a["dated"], F.lit(False))
-            return F.struct(x["line"].alias("line"), F.when(x["dated"], x["line"]).otherwise(x["next"]).alias("dates"), (x["opens"] & ~taken).alias("opens"), (x["bullet"] & ~taken).alias("bullet"))
+            dates, low = F.when(x["dated"], x["line"]).otherwise(x["next"]), F.when(x["dated"], x["low"]).otherwise(x["next_low"])
+            return F.struct(x["line"].alias("line"), x["low"].alias("low"), dates.alias("dates"), low.alias("dates_low"), (x["opens"] & ~taken).alias("opens"), (x["bullet"] & ~taken).alias("bullet"))
 
         return F.transform(told, lambda x, k: free(x, F.get(told, k - 1)))
 
@@ -328,28 +398,36 @@ def experience(lines: Column) -> Column:
 
         def joined(head: Column, body: Column) -> Column:
             said = F.transform(F.filter(body, lambda x: x["bullet"]), lambda x: F.regexp_replace(F.regexp_replace(x["line"], r"^[-•* ]+", ""), r"^\s+|\s+$", ""))
-            return F.struct(head["line"].alias("line"), head["dates"].alias("dates"), F.when(F.size(said) > 0, F.substring(F.array_join(said, "; "), 1, 400)).alias("summary"))
+            return F.struct(head["line"].alias("line"), head["low"].alias("low"), head["dates"].alias("dates"), head["dates_low"].alias("dates_low"), F.when(F.size(said) > 0, F.substring(F.array_join(said, "; "), 1, 400)).alias("summary"))
 
         return F.zip_with(heads, bodies, joined)
 
-    def role(r: Column) -> Column:
+    def role(r: Column, known: Column) -> Column:
         mark = F.when(F.contains(r["line"], F.lit("—")), F.lit("—")).when(F.contains(r["line"], F.lit("|")), F.lit("|")).otherwise(F.lit(" - "))
         head = F.substring(r["line"], F.lit(1), F.instr(r["line"], mark) - 1)
         tail = F.substring(r["line"], F.instr(r["line"], mark) + F.length(mark), F.length(r["line"]))
         title, employer = _some_text(F.trim(head)), _some_text(F.trim(F.get(F.split(tail, r"[|,]"), F.lit(0))))
 
         def made(d: Column) -> Column:
+            odd = known["odd"]
+            line, title_seen, summary_seen = seen(r["low"], odd), seen(F.lower(d["title"]), odd), seen(d["summary_low"], odd)
             return F.struct(
                 d["title"].alias("title"), d["employer"].alias("employer"), d["dates"]["start"].alias("start"), d["dates"]["end"].alias("end"), d["dates"]["is_current"].alias("is_current"),
-                d["dates"]["months"].alias("months"), r["summary"].alias("summary"), seniority_of(d["title"]).alias("seniority"), industry_of(d["employer"], r["summary"]).alias("industry"),
-                F.coalesce(employment_type_of(r["line"]), employment_type_of(F.coalesce(r["summary"], F.lit("")))).alias("employment_type"), team_size_of(r["summary"]).alias("team_size"),
+                d["dates"]["months"].alias("months"), r["summary"].alias("summary"), bound(title_seen, lambda t: seniority_of(d["title"], t, known["seniority"])).alias("seniority"),
+                industry_of(d["employer"], r["summary"]).alias("industry"),
+                F.coalesce(employment_type_of(r["line"], line, known["employment"]), employment_type_of(r["summary"], summary_seen, known["employment"])).alias("employment_type"),
+                team_size_of(r["summary"], summary_seen).alias("team_size"),
                 F.array().cast(_STRINGS).alias("technologies"),
             )
 
-        return bound(F.struct(title.alias("title"), employer.alias("employer"), date_range(r["dates"]).alias("dates")), made)
+        return bound(F.struct(title.alias("title"), employer.alias("employer"), date_range(r["dates"], seen(r["dates_low"], known["odd"])).alias("dates"), F.lower(r["summary"]).alias("summary_low")), made)
+
+    def read(d: Column) -> Column:
+        roles = bound(F.transform(d["lines"], lambda x: looked_at(x, d["seen"]["odd"])), lambda flat: bound(with_next(flat), lambda told: bound(without_taken(told), cut)))
+        known = F.struct(d["seen"]["odd"].alias("odd"), _rungs(d["seen"], SENIORITY_PATTERNS).alias("seniority"), _rungs(d["seen"], EMPLOYMENT_PATTERNS).alias("employment"))
+        return bound(known, lambda k: F.transform(roles, lambda r: role(r, k)))
 
-    roles = bound(F.transform(lines, looked_at), lambda flat: bound(with_next(flat), lambda told: bound(without_taken(told), cut)))
-    return F.transform(roles, role)
+    return bound(lines, lambda x: bound(F.array_join(x, "\n"), lambda t: bound(F.struct(x.alias("lines"), looked_through(t).alias("seen")), read)))
 
 
 def projects(lines: Column) -> Column:
@@ -388,11 +466,10 @@ def qualifications(lines: Column) -> Column:
             place = F.get(F.filter(p["parts"], lambda q: _has(q, INSTITUTION)), F.lit(0))
             abroad = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(p["parts"], lambda q: F.lower(q).isin(*AWARD_COUNTRIES))), -1)
             home = F.when(place.isNotNull() & ~F.contains(F.lower(x["context"]), F.lit("australia")) & _contains_any(place, HOME_MARKS), F.lit("Australia"))
-            level = qualification_level(title)
-            return F.struct(
+            return bound(bound(title, qualification_level), lambda level: F.struct(
                 title.alias("title"), place.alias("institution"), F.lit(None).cast("string").alias("field_of_study"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), years), -1).cast("int").alias("completion_year"),
                 F.coalesce(abroad, home).alias("country"), level["level"].alias("aqf_level"), level_label(level["level"]).alias("aqf_label"), level["confidence"].alias("aqf_confidence"),
-            )
+            ))
 
         return bound(F.struct(parts.alias("parts")), award)
 
@@ -429,19 +506,40 @@ def region_of(state: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair]), state), state)
 
 
+def protected(text: Column) -> Column:
+    """Whether a text names what reveals a protected attribute."""
+    return _held(text, PROTECTED_AFFILIATION, PROTECTED_HINTS)
+
+
 def affiliation_kind(text: Column) -> Column:
-    return F.when(_has(text, PROTECTED_AFFILIATION), "protected").when(_has(text, PROFESSIONAL_AFFILIATION), "professional").otherwise("other")
+    return F.when(protected(text), "protected").when(_has(text, PROFESSIONAL_AFFILIATION), "professional").otherwise("other")
 
 
 # ---------------------------------------------------------------- the rest
 
 
-def work_rights(text: Column) -> Column:
+def _sentence_with(text: Column, seen: Column, word: str) -> Column:
+    """The first sentence that holds a word of small ASCII letters, in any case; lines end sentences too."""
+    at = F.instr(seen["lowered"], F.lit(word))
+    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
+    plain = F.concat(F.substring_index(F.substring_index(before, "\n", -1), ".", -1), F.substring_index(F.substring_index(after, "\n", 1), ".", 1))
+    # with odd letters the places of letters may differ once they are small; a sentence is tried from its start alone
+    return F.when(seen["odd"], _group(text, rf"(?:^|[.\n])([^.\n]*{word}[^.\n]*)", 1)).otherwise(F.when(at > 0, plain))
+
+
+def _said(text: Column, seen: Column, pattern: str) -> Column:
+    """_has, by comparing letters alone where a pattern is words of small ASCII letters and the text has no odd ones."""
+    if not all(c in "abcdefghijklmnopqrstuvwxyz |" for c in pattern):
+        return _has(text, pattern)
+    return F.when(seen["odd"], _has(text, pattern)).otherwise(reduce(Column.__or__, [F.contains(seen["lowered"], F.lit(w)) for w in pattern.split("|")]))
+
+
+def work_rights(text: Column, seen: Column | None = None) -> Column:
     """struct(status, visa_subclass, unrestricted, evidence); evidence is the sentence that says so."""
     unknown = F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("visa_subclass"), F.lit(None).cast("boolean").alias("unrestricted"), F.lit(None).cast("string").alias("evidence"))
 
-    def told(body: Column, may_hold) -> Column:
-        subclass = F.when(may_hold(("subclass",)), _group(body, r"subclass\s*(\d{3})", 1))
+    def told(body: Column, seen: Column) -> Column:
+        subclass = F.when(_may_hold(seen, ("subclass",)), _group(body, r"subclass\s*(\d{3})", 1))
         ladder = [
             ("australian citizen|citizen of australia|citizenship", ("citizen",), "citizen", True, False, "citizen"),
             (r"permanent resident|\bpr\b holder", ("permanent resident", "pr holder"), "permanent_resident", True, False, "permanent resident"),
@@ -452,29 +550,28 @@ def work_rights(text: Column) -> Column:
         out = None
         for pattern, hints, status, free, with_visa, word in ladder:
             visa = subclass if with_visa else F.lit(None).cast("string")
-            # a sentence is tried from its start alone
-            evidence = F.trim(_group(body, rf"(?:^|[.\n])([^.\n]*{word}[^.\n]*)", 1))
+            evidence = F.trim(_sentence_with(body, seen, word))
             made = F.struct(F.lit(status).alias("status"), visa.alias("visa_subclass"), F.lit(free).alias("unrestricted"), evidence.alias("evidence"))
-            test = F.when(may_hold(hints), _has(body, pattern) if pattern else subclass.isNotNull())
+            test = F.when(_may_hold(seen, hints), _said(body, seen, pattern) if pattern else subclass.isNotNull())
             out = F.when(test, made) if out is None else out.when(test, made)
         return out.otherwise(unknown)
 
-    return _hinted(text, told)
+    return _looked_at(text, told, seen)
 
 
-def years_of_experience(text: Column, summary: Column, roles: Column) -> Column:
+def years_of_experience(text: Column, summary: Column, roles: Column, seen: Column | None = None) -> Column:
     """What the summary states, what the text states, the roles' months if all are told, or the span of years."""
     known = F.filter(F.transform(roles, lambda r: r["months"]), lambda m: m.isNotNull() & (m != 0))
     total = F.round(F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / 12, 1)
     years = F.transform(F.regexp_extract_all(text, F.lit(YEAR), 1), lambda y: y.cast("int"))
     span = bound(years, lambda y: F.when(F.size(y) >= 2, (F.array_max(y) - F.array_min(y)).cast("double")))
     return F.coalesce(
-        _group(summary, STATED_YEARS, 1).cast("double"), _hinted(text, lambda t, may_hold: F.when(may_hold(("year",)), _group(t, STATED_EXPERIENCE, 1))).cast("double"), F.when((F.size(known) > 0) & (F.size(known) == F.size(roles)), total), span
+        _group(summary, STATED_YEARS, 1).cast("double"), _hinted(text, lambda t, may_hold: F.when(may_hold(("year",)), _group(t, STATED_EXPERIENCE, 1)), seen).cast("double"), F.when((F.size(known) > 0) & (F.size(known) == F.size(roles)), total), span
     )
 
 
-def notice_weeks(text: Column) -> Column:
-    said = _hinted(text, lambda t, may_hold: F.when(may_hold(("notice",)), _group(t, NOTICE)))
+def notice_weeks(text: Column, seen: Column | None = None) -> Column:
+    said = _hinted(text, lambda t, may_hold: F.when(may_hold(("notice",)), _group(t, NOTICE)), seen)
 
     def weeks(x: Column) -> Column:
         amount = F.coalesce(_group(x, NOTICE, 1), _group(x, NOTICE, 3)).cast("double")
@@ -484,8 +581,8 @@ def notice_weeks(text: Column) -> Column:
     return bound(said, weeks)
 
 
-def clearance(text: Column) -> Column:
-    return F.initcap(_hinted(text, lambda t, may_hold: F.when(may_hold(CLEARANCE_HINTS), _group(t, CLEARANCE, 1))))
+def clearance(text: Column, seen: Column | None = None) -> Column:
+    return F.initcap(_hinted(text, lambda t, may_hold: F.when(may_hold(CLEARANCE_HINTS), _group(t, CLEARANCE, 1)), seen))
 
 
 def listed(lines: Column, marks: str = "[,;]") -> Column:
